@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, simhash, tokenstore
+from . import common, mixing, packing, simhash, tokenstore
 
 
 def word_tokenizer() -> str:
@@ -23,6 +23,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), word_tokenizer(), end_id=0, capacity=2048)
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "token-store")
     tokenstore.write_store(common.table(spark, sf_dir, "documents"), path, word_tokenizer(), end_id=2)
@@ -32,7 +36,10 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash,
     "op2_best_fit_packing": op2_pack,
+    "op8_source_mixing": op8_mix,
     "op9_token_store": op9_token_store,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_source_mixing": mixing.ORACLE,
+}
