@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, mixing, packing, simhash, tokenstore
+from . import common, mixing, packing, simhash, tokenstore, toxicity
 
 
 def word_tokenizer() -> str:
@@ -23,6 +24,12 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), word_tokenizer(), end_id=0, capacity=2048)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (common.doc_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,6 +43,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash,
     "op2_best_fit_packing": op2_pack,
+    "op3_toxicity": op3_toxicity,
     "op8_source_mixing": op8_mix,
     "op9_token_store": op9_token_store,
 }
