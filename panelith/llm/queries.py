@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, packing, simhash, tokenstore, toxicity
+from . import common, mixing, packing, pii, simhash, tokenstore, toxicity
 
 
 def word_tokenizer() -> str:
@@ -30,6 +30,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.doc_fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base_sha256 are those of the base spans; spans and n_added have what the method adds."""
+    return pii.extract(common.table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash,
     "op2_best_fit_packing": op2_pack,
     "op3_toxicity": op3_toxicity,
+    "op5_pii": op5_pii,
     "op8_source_mixing": op8_mix,
     "op9_token_store": op9_token_store,
 }
