@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, packing, pii, simhash, tokenstore, toxicity
+from . import common, lm, mixing, packing, pii, simhash, tokenstore, toxicity
 
 
 def word_tokenizer() -> str:
@@ -45,6 +45,10 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_checks(spark, path)
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash,
     "op2_best_fit_packing": op2_pack,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op8_source_mixing": op8_mix,
     "op9_token_store": op9_token_store,
+    "op10_lm_scoring": op10_lm,
 }
 
 ORACLES: dict[str, str] = {
