@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lm, mixing, packing, pii, simhash, tokenstore, toxicity
+from . import common, embdedup, lm, mixing, packing, pii, simhash, tokenstore, topk, toxicity, warc
 
 
 def word_tokenizer() -> str:
@@ -35,6 +35,19 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extract(common.table(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(common.table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.new_path(spark, "warc")
+    return warc.read_records(warc.write_archives(common.table(spark, sf_dir, "pages"), folder), folder)
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -54,11 +67,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_pack,
     "op3_toxicity": op3_toxicity,
     "op5_pii": op5_pii,
+    "op4_embedding_near_dedup": op4_embeddings,
+    "op6_exact_top_k": op6_top_k,
+    "op7_warc": op7_warc,
     "op8_source_mixing": op8_mix,
     "op9_token_store": op9_token_store,
     "op10_lm_scoring": op10_lm,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_embedding_near_dedup": embdedup.ORACLE,
+    "op6_exact_top_k": topk.ORACLE,
+    "op7_warc": warc.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
 }
