@@ -118,9 +118,9 @@ def covariance(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Sample covariance of every two tickers, per key: NULL if either lacks a value on any date."""
     keys = list(keys)
     n = F.count(F.lit(1))
-    a = panel.select(*keys, "obs_date", F.col("ticker").alias("ticker_1"), F.col("value").alias("x"))
-    b = panel.select(*keys, "obs_date", F.col("ticker").alias("ticker_2"), F.col("value").alias("y"))
-    return a.join(b, [*keys, "obs_date"]).groupBy(*keys, "ticker_1", "ticker_2").agg(F.when(F.count(F.col("x") + F.col("y")) == n, F.covar_samp("x", "y")).alias("value"))
+    a = panel.select(*keys, "obs_date", F.col("ticker").alias("ticker_1"), F.col("value").alias("__x"))
+    b = panel.select(*keys, "obs_date", F.col("ticker").alias("ticker_2"), F.col("value").alias("__y"))
+    return a.join(b, [*keys, "obs_date"]).groupBy(*keys, "ticker_1", "ticker_2").agg(F.when(F.count(F.col("__x") + F.col("__y")) == n, F.covar_samp("__x", "__y")).alias("value"))
 
 
 def mean(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

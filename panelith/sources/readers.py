@@ -100,7 +100,7 @@ class WorkbookSource:
 def html_links(pages: DataFrame, pattern: str = r'<a href="/([^"]*)"[^>]*>([^<]*)</a>') -> DataFrame:
     """A ticker and a name per anchor of scraped pages: page_id, ticker, name."""
     both = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("t"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("n"))
-    return pages.select("page_id", F.explode(both).alias("x")).select("page_id", F.upper(F.col("x")["0"]).alias("ticker"), F.col("x")["1"].alias("name"))
+    return pages.select("page_id", F.explode(both).alias("x")).select("page_id", F.col("x.t").alias("ticker"), F.col("x.n").alias("name"))
 
 
 def tidy_dividends(rows: DataFrame, start=None, end=None) -> DataFrame:
@@ -117,14 +117,11 @@ def reference_data(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def membership_panel(members: DataFrame, calendar: DataFrame) -> DataFrame:
     """1 or 0 for every date of the calendar and every ticker that is ever a member, from the first date with any member on."""
-    from pyspark.sql import Window
-
     own = members.select("obs_date", F.upper("ticker").alias("ticker")).distinct().join(calendar.select("obs_date").distinct(), "obs_date", "left_semi")
     grid = calendar.select("obs_date").distinct().crossJoin(own.select("ticker").distinct())
     on = grid.join(own.withColumn("__in", F.lit(1.0)), ["obs_date", "ticker"], "left").withColumn("value", F.coalesce("__in", F.lit(0.0))).drop("__in")
     some = own.groupBy("obs_date").agg(F.count("*").alias("n"))
     first = some.agg(F.min("obs_date").alias("__first"))
-    _ = Window
     return on.join(F.broadcast(first), F.col("obs_date") >= F.col("__first")).drop("__first")
 
 
