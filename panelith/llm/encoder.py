@@ -2,68 +2,98 @@
 
 The tokenizer file drops white space: its pre-tokenizer never matches across it and its normalizers work inside words.
 So the ids of a text are the ids of its words in order, and a word needs to be encoded once per worker.
+
+Most new words are Latin letters with signs at the end. Such letters are one piece of the pre-tokenizer and lower-casing is all that
+the normalizers do to them, so they go to the library's BPE model at once; every other word passes the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 
 #: Words kept per Python worker (about 200 bytes each); a full cache starts anew.
 CACHE_WORDS = 800_000
-#: A word of its own that stands between the missing words when they are encoded in one call.
-SEPARATOR = "\x01"
+#: Latin letters that are in normal form C and lower-case one by one (the dotted capital I does not), and signs behind them.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ĬĮ-įı-ɏ]+)([.,;:!?]*)")
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+class _Words(dict):
+    """Ids of a word as bytes, learned at first sight."""
+
+    def __init__(self, tokenizer, dtype: np.dtype):
+        super().__init__()
+        self.whole = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        self.code, self.tokenize, self.byte_level = {2: "H", 4: "I"}[dtype.itemsize], tokenizer.model.tokenize, _byte_letters()
+        self.heads: dict[str, bytes] = {}
+        # the shortcut holds for tokenizers that agree on these words, and is left otherwise
+        self.shortcut = True
+        tried = [w + e for w in ("Apple", "naïve", "Über", "ÑÅÉßø", "straße", "x") for e in ("", ".", ",", "?!", "...")]
+        self.shortcut = all(self[t.encode()] == self._bytes(self.whole(t)) for t in tried)
+        self.clear()
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _head(self, low: str) -> bytes:
+        units = low if low.isascii() else low.encode().decode("latin-1").translate(self.byte_level)
+        ids = self.heads[low] = self._bytes([x.id for x in self.tokenize(units)])
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        m = _PLAIN.fullmatch(text) if self.shortcut else None
+        if m is None:
+            ids = self._bytes(self.whole(text))
+        else:
+            head, tail = m.groups()
+            low = head.lower()
+            ids = self.heads.get(low) or self._head(low)
+            if tail:
+                key = tail.encode()
+                if key not in self:
+                    super().__setitem__(key, self._bytes(self.whole(tail)))
+                ids += super().__getitem__(key)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
-        ids = self._plain(SEPARATOR)
-        self.separator = int(ids[0]) if len(ids) == 1 and self._plain(f"a {SEPARATOR} b")[1] == ids[0] else None
-        self.cache: dict[bytes, bytes] = {}
-        self.cache_words = cache_words
-
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes the words in one call and cuts the ids at the separators."""
-        if not words:
-            return
-        ids = self._plain(f" {SEPARATOR} ".join(w.decode() for w in words))
-        at = np.flatnonzero(ids == self.separator)
-        if len(at) != len(words) - 1:
-            raise ValueError("a word gave the separator's id")
-        raw, width = ids.tobytes(), self.dtype.itemsize
-        starts, ends = [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]
-        for w, a, b in zip(words, starts, ends, strict=True):
-            self.cache[w] = raw[a * width : b * width]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
+        self.words, self.cache_words = _Words(tokenizer, self.dtype), cache_words
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of the whole text; null counts as empty."""
-        if not text:
-            return np.empty(0, dtype=self.dtype)
-        data = text.encode()
-        if self.separator is None or b"\x01" in data:
-            return self._plain(text)
-        words = data.split()
-        missing = list({w for w in words if w not in self.cache})
-        if missing:
-            if len(self.cache) + len(missing) > self.cache_words:
-                self.cache.clear()
-                missing = list(set(words))
-            for k in range(0, len(missing), 20_000):
-                self._learn(missing[k : k + 20_000])
-        cache = self.cache
-        return np.frombuffer(b"".join([cache[w] for w in words]), dtype=self.dtype)
+        words = self.words
+        if len(words) > self.cache_words:
+            words.clear()
+            words.heads.clear()
+        data = text.encode().split() if text else []
+        out = []
+        for k in range(0, len(data), 100_000):  # very long texts fill the cache between two looks at it
+            if len(words) > 2 * self.cache_words:
+                words.clear()
+                words.heads.clear()
+            out.append(b"".join(map(words.__getitem__, data[k : k + 100_000])))
+        return np.frombuffer(b"".join(out), dtype=self.dtype)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 def encoder(path: str) -> WordEncoder:
