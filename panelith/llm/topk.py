@@ -10,7 +10,7 @@ query, and the groups' results are ranked once more.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count as padded with
 zeros; a query with fewer candidates than k gets all; null ids take no part; rows that repeat an id are candidates each but never
-of their own id; an empty table gives no rows; further columns are ignored.
+of their own id; scores beyond 64 bits are an error; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
