@@ -70,7 +70,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -
         placed = placed.withColumn("to", F.col("to") + F.col("below")).where(F.col("to") >= F.col("budget"))
         edge = placed.groupBy("source").agg(F.min(F.struct("bucket", (F.col("to") - F.col("words")).alias("below"), (F.col("least") == F.col("greatest")).alias("single"))).alias("e"))
         edge = edge.select(F.col("source").alias("es"), F.shiftleft(F.col("e.bucket"), left).alias("e_low"), F.col("e.below").alias("e_below"), F.col("e.single").alias("single"))
-        joined = state.join(edge, F.col("source").eqNullSafe(F.col("es")), "left")
+        joined = state.drop("single").join(edge, F.col("source").eqNullSafe(F.col("es")), "left")
         new = common.materialize(joined.select("source", "source_size", "target", "passes", "budget", F.coalesce("e_below", "below").alias("below"), F.coalesce("e_low", "low").alias("low"), F.coalesce("single", F.lit(True)).alias("single")), "thresholds")
         common.discard(state)
         state, done = new, new.agg(F.min("single")).first()[0]
