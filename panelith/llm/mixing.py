@@ -24,10 +24,15 @@ WEIGHTS, MOST = (5, 2, 1), 3
 HASH_BITS, LEVEL_BITS = 60, 12
 
 
+def hash_of_id():
+    """60 bits of the id's digest; a null id has the digest of the empty text."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words) and the 60-bit hash of the id."""
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    return common.pick(docs, ["doc_id", "source", "text"]).select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
+    words = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
+    return common.pick(docs, ["doc_id", "source", "text"]).select("doc_id", "source", words.alias("size"), hash_of_id().alias("h"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -50,8 +55,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     return s.select("source", "source_size", F.when(F.col("stops"), F.col("cap")).otherwise(free * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken and times (how often a document is taken)."""
+def _thresholds(docs: DataFrame, weights: Sequence[float], most: int) -> tuple[DataFrame, DataFrame, int]:
+    """The sized rows; per source (s) its whole passes, boundary bucket and whether that is taken; and the bits below a bucket."""
     rows = common.materialize(sized(docs), "sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -82,11 +87,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -
     edge = rows.join(marks, F.col("source").eqNullSafe(F.col("s"))).where(F.shiftright("h", left) == F.col("bucket")).groupBy("source").agg(F.sum("size").alias("group"))
     marks = common.materialize(marks.join(edge.select(F.col("source").alias("es"), "group"), F.col("s").eqNullSafe(F.col("es")), "left").select("s", "source_size", "target", "passes", "bucket", (F.col("below") + F.coalesce("group", F.lit(0)) / 2 <= F.col("budget")).alias("takes")), "marks")
     common.discard(state)
-    here = F.shiftright("h", left)
-    extra = ((here < F.col("bucket")) | ((here == F.col("bucket")) & F.col("takes"))).cast("long")
-    extra = F.when(F.col("passes") >= most, F.lit(0).cast("long")).otherwise(extra)
+    return rows, marks, left
+
+
+def _times(h, left: int, most: int, prefix: str = ""):
+    """How often a document of hash ``h`` is taken."""
+    here, passes, bucket = F.shiftright(h, left), F.col(f"{prefix}passes"), F.col(f"{prefix}bucket")
+    extra = ((here < bucket) | ((here == bucket) & F.col(f"{prefix}takes"))).cast("long")
+    return F.when(passes >= most, passes).otherwise(passes + extra)
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """doc_id, size, source_size, target, taken and times (how often a document is taken)."""
+    rows, marks, left = _thresholds(docs, weights, most)
+    times = _times(F.col("h"), left, most)
     out = rows.join(marks, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", "target", ((F.col("passes") + extra) * F.col("size")).alias("taken"), (F.col("passes") + extra).alias("times"), "source")
+    return out.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"), "source")
 
 
 #: The same mix in DuckDB's SQL: documents in order of hash, taken while their middle lies within the budget.
@@ -123,3 +139,17 @@ SELECT d.doc_id, d.size, p.source_size, CAST(p.target AS DOUBLE) AS target,
        CAST((p.passes + CASE WHEN p.passes < 3 AND r.below + r.group_size / 2.0 <= p.target - p.passes * p.source_size THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.h = r.h
 """
+
+
+def apply(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of ``docs`` as often as the mixture takes them, with their columns.
+
+    The thresholds are one small row per source, so the texts are filtered and repeated where they are read, without a shuffle of theirs.
+    """
+    rows, marks, left = _thresholds(docs, weights, most)
+    common.discard(rows)
+    marks = marks.select(*[F.col(c).alias(f"__{c}") for c in ("s", "passes", "bucket", "takes")])
+    marked = docs.withColumn("__h", hash_of_id()).join(marks, F.col("source").eqNullSafe(F.col("__s")))
+    times = _times(F.col("__h"), left, most, "__")
+    taken = marked.withColumn("__times", times.cast("int")).where("__times > 0")
+    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -213,8 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = (), ma
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row and its score."""
+def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row and its score under ``name``."""
     spark = docs.sparkSession
     common.prepare(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -225,6 +225,6 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> D
         m = shared.value
         for batch in batches:
             s = pa.array([m.score(t.as_py()) for t in batch.column(batch.num_columns - 1)], type=pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s], names=[*keep, name])
 
-    return kept.mapInArrow(run, f"{fields}, score double")
+    return kept.mapInArrow(run, f"{fields}, {name} double")
