@@ -59,7 +59,7 @@ def date_range(spark: SparkSession, start: str | None = None, end: str | None =
         seq = f"transform(sequence(0, {periods - 1}), i -> to_date('{end}') - i * {step})"
     else:
         seq = f"sequence(to_date('{start}'), to_date('{end}'), {step})"
-    out = spark.range(1).select(F.explode(F.expr(seq)).cast("date").alias("obs_date"))
+    out = spark.range(1).select(F.explode(F.expr(seq)).alias("obs_date")).select(F.col("obs_date").cast("date").alias("obs_date"))
     if ends:
         out = out.select(F.last_day("obs_date").alias("obs_date"))
         if unit == "BM":

@@ -169,11 +169,10 @@ def exponentially_weighted_return(prices: DataFrame, lambda_: float) -> DataFram
 
 
 def returns_to_prices(returns: DataFrame, initial: float = 1.0) -> DataFrame:
-    """Prices with ``initial`` on the row before the first return; NULL where the next return is missing, but on the last row."""
+    """Prices with ``initial`` on the row before the first return; NULL, and not compounded, where the next return is missing, but on
+    the last row."""
     w = by_ticker()
-    following = F.lead("value").over(w)
-    is_last = F.lead("obs_date").over(w).isNull()
-    started = F.count("value").over(last_rows(w, None)) > 0
-    grown = F.coalesce(F.product(1 + F.col("value")).over(last_rows(w, None)), F.lit(1.0))
-    shown = following.isNotNull() | (is_last & (started | F.col("value").isNull()))
-    return returns.withColumn("__v", F.when(shown, grown * float(initial))).withColumn("value", F.col("__v")).drop("__v")
+    shown = F.lead("value").over(w).isNotNull() | F.lead("obs_date").over(w).isNull()
+    factors = returns.withColumn("__f", F.when(shown, 1 + F.coalesce("value", F.lit(0.0))))
+    grown = F.product("__f").over(last_rows(w, None)) * float(initial)
+    return factors.withColumn("value", F.when(F.col("__f").isNotNull(), grown)).drop("__f")
