@@ -5,7 +5,8 @@ spaces in use finds the smallest one that still fits in a few machine operations
 fullest closes. A piece of full length closes its bin at once.
 
 Texts are tokenised once; the lengths (about 40 bytes a piece) are written to the shared folder and packed from there in
-few, large shards, each a stream through one packer, so memory is bounded and no shuffle is needed.
+few, large shards, each a stream through one packer, so memory is bounded and no shuffle is needed. The stream passes in stretches of
+``LOOKAHEAD`` pieces, each in descending length: long pieces open bins that the short ones of the same stretch fill.
 
 Edge cases: a null or empty text has the end id only (length 1); repeated and null ``doc_id`` are packed like any other row;
 an empty table gives no rows; further columns are ignored.
@@ -29,6 +30,8 @@ from .encoder import encoder
 OPEN_BINS = 4096
 #: Pieces that one packer takes; more pieces get more packers.
 SHARD_PIECES = 4_000_000
+#: Pieces that are looked at together.
+LOOKAHEAD = 8192
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = f"{PIECE_SCHEMA}, sequence_id long, offset long"
@@ -96,12 +99,25 @@ def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
 def _packer(capacity: int, open_bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit, first = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 33
+
+        def placed(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            lengths = rows["length"].to_numpy()
+            order = np.argsort(-lengths, kind="stable")
+            bins, offsets = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
+            for k, n in zip(order.tolist(), lengths[order].tolist(), strict=True):
+                bins[k], offsets[k] = fit.place(n)
+            yield from rows.append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets)).to_batches()
+
+        waiting, size = [], 0
         for batch in batches:
-            placed = [fit.place(n) for n in batch.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([first + b for b, _ in placed], type=pa.int64()), pa.array([at for _, at in placed], type=pa.int64())],
-                names=[*batch.schema.names, "sequence_id", "offset"],
-            )
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= LOOKAHEAD:
+                yield from placed(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from placed(waiting)
 
     return run
 
