@@ -53,18 +53,23 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
-def borders(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document, by a rolling hash of the last ``WINDOW`` ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def candidates(ids: np.ndarray) -> np.ndarray:
+    """Positions behind which the rolling hash of the last ``WINDOW`` ids asks for a border.
+
+    Whole batches of documents may be passed at once: a border within the first ``LEAST`` ids of a document, where the window would reach
+    into the one before, is never taken.
+    """
     mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     rolled = mixed.copy()
     for k in range(1, WINDOW):
         rolled[k:] += mixed[:-k] << np.uint64(k)
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
-    at = (np.flatnonzero(((rolled >> np.uint64(48)) & np.uint64(MASK)) == 0) + 1).tolist()
+    return np.flatnonzero(((rolled >> np.uint64(48)) & np.uint64(MASK)) == 0) + 1
+
+
+def borders(n: int, at: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids with the given candidates."""
     out, last = [], 0
     for b in at:
         while b - last > MOST:
@@ -88,10 +93,14 @@ def _chunker(path: str, end_id: int):
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([enc.encode(text.as_py()), end])
-                raw, last, keys = ids.tobytes(), 0, []
-                for b in borders(ids):
+            coded = [enc.encode(text.as_py()) for text in batch.column(1)]
+            stream = np.concatenate([x for ids in coded for x in (ids, end)]) if coded else end[:0]
+            cuts, at, begin = candidates(stream), 0, 0
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
+                n = len(ids) + 1
+                until = int(np.searchsorted(cuts, begin + n, side="right"))
+                raw, last, keys = stream[begin : begin + n].tobytes(), 0, []
+                for b in borders(n, (cuts[at:until] - begin).tolist()):
                     payload = raw[last * width : b * width]
                     keys.append(key := digest(payload))
                     if key not in seen:
@@ -101,8 +110,9 @@ def _chunker(path: str, end_id: int):
                         rows.append((0, key, payload, None, None, None))
                         size += len(payload)
                     last = b
+                begin, at = begin + n, until
                 joined = b"".join(keys)
-                rows.append((1, merkle(keys), None, doc_id, len(ids), joined))
+                rows.append((1, merkle(keys), None, doc_id, n, joined))
                 size += len(joined)
                 if size > 4_000_000:
                     yield _data_batch(rows)
@@ -152,7 +162,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
     # equal documents have equal roots: their recipes are dealt by id as well
     dealt = rows.repartition(common.parallelism(spark), "key", F.coalesce("doc_id", F.lit(-1)))
     dealt.mapInArrow(_first_of_each, DATA_SCHEMA).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
-    recipes = spark.read.schema("kind int, key binary, payload binary, doc_id long, n_ids long, digests binary").parquet(f"{path}/data").where("kind = 1")
+    recipes = spark.read.schema(DATA_SCHEMA).parquet(f"{path}/data").where("kind = 1")
     ordered = recipes.select("doc_id", "n_ids", "key", "digests").repartitionByRange(common.parallelism(spark), F.asc_nulls_first("doc_id"), "key")
     ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), "key").mapInArrow(_place, RECIPE_SCHEMA).write.parquet(f"{path}/recipes")
     per_part = spark.read.schema(RECIPE_SCHEMA).parquet(f"{path}/recipes").groupBy("part").agg(F.sum("n_ids").alias("n_ids"), F.count("*").alias("n_docs"), F.hex(F.expr("bit_xor(xxhash64(root, local_start))")).alias("check"))
@@ -169,7 +179,7 @@ def recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key binary, payload binary").parquet(f"{path}/data/kind=0")
+    return spark.read.schema(DATA_SCHEMA).parquet(f"{path}/data").where("kind = 0").select("key", "payload")
 
 
 def _verify(width: int):
