@@ -1,20 +1,23 @@
-"""Language-model scoring by prediction by partial matching (PPM) with a pretrained byte-context trie.
+"""Language-model scoring by prediction by partial matching (PPM) over all byte contexts of the training documents.
 
-A text is its words in lower case, joined by single spaces, and an end byte. The trie counts which byte follows which context of
-up to ``ORDER`` bytes in all training documents. Escape estimation is PPM method C: a context with ``d`` kept continuations and
-total ``t`` gives each of them ``c / (t + d)`` and the rest to the next shorter context, where the symbols of the longer one
-are excluded. Below the empty context every byte that is left is equally likely, so each text has a proper probability.
+A text is its words in lower case, joined by single spaces, and an end byte. The model counts which byte follows which context of
+up to ``ORDER`` bytes in all training documents; no count is dropped, so it grows with the corpus. Escape estimation is PPM method C:
+a context with ``d`` continuations and total ``t`` gives each of them ``c / (t + d)`` and the rest to the next shorter context, where
+the symbols of the longer one are excluded. Below the empty context every byte that is left is equally likely, so each text has a
+proper probability.
 
-The counts are Spark aggregates of (ORDER + 1)-grams; shorter contexts are their margins. A node is kept if it holds more than one
-part in ``2**NODE_BITS`` of all counts, and may be a context if it holds more than one in ``2**CONTEXT_BITS``: at most
-``2**NODE_BITS`` nodes per order exist, so the broadcast trie is bounded however large the corpus. Every worker turns it
-into a table (context, byte) -> cost and next context, and scores many segments of text in step; a segment starts with the
-``ORDER`` bytes before it, which determine its context.
+The model is never in one place. Documents are read once and cut into chunks of about ``CHUNK`` bytes; a chunk asks for its distinct
+(ORDER + 1)-grams, with their counts in its training documents. Requests are dealt into buckets by the last ``NEAR`` bytes of the
+context, so a bucket sees all counts of the longer contexts it is asked for; what follows shorter contexts is shared, at most
+``256**NEAR`` counts whatever the corpus. A bucket answers each request in the order it came, and the chunk, which was kept in the
+shared folder, meets its answers. A task holds one bucket or one chunk.
 
 The base score is an add-half unigram model of words. Words that hold more than one part in ``2**HOT_BITS`` of all training tokens, at most
 ``2**HOT_BITS`` of them, are scored where the text is read. The others are counted per document and joined with their counts;
 none of them is frequent enough to make a join key hot.
 
+``Trie`` is the same model of a small corpus in memory.
+
 Edge cases: a null or empty text has the end token only; without training rows every count is zero; repeated rows and null ids are
 scored like any other; an empty table gives no rows; further columns are ignored.
 """
@@ -27,16 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .simhash import _LOWER as LOWER
 
-ORDER, NODE_BITS, CONTEXT_BITS, HOT_BITS = 6, 20, 16, 16
+ORDER, NEAR, CONTEXT_BITS, HOT_BITS = 6, 3, 16, 16
 FOLDS, HELD_OUT = 5, 1
 END, SEGMENT = 10, 256
-COUNT_SCHEMA = "word binary, gram long, n long"
+#: Bytes of text whose grams are asked for together, and of text in one row of the shared folder.
+CHUNK, PIECE = 8 << 20, 1 << 20
+MAX_BUCKETS = 1024
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -53,54 +60,213 @@ def grams(data: np.ndarray, order: int = ORDER) -> np.ndarray:
     return code
 
 
-def _count(order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        codes, sums, waiting, size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), [], 0
+def suffix_codes(data: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """As ``grams``, but the context's last byte comes first and the byte that follows it last: contexts with a common end are neighbours."""
+    padded = np.concatenate([np.full(order, END, dtype=np.uint8), data])
+    n = len(data)
+    code = np.zeros(n, dtype=np.int64)
+    for k in [*range(order - 1, -1, -1), order]:
+        code <<= 8
+        code |= padded[k : k + n]
+    return code
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, dtype=np.int64)
+
+
+def _by_bucket(codes: np.ndarray, buckets: int, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts sorted distinct codes bucket by bucket, and where each bucket begins in it."""
+    mixed = ((codes >> 8 * (order + 1 - NEAR)) * 0x9E3779B1 >> 16 & 0xFFFFFF) % buckets
+    return np.argsort(mixed.astype(np.uint16), kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(mixed, minlength=buckets))])
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Byte plane by byte plane, which compresses well."""
+    return pa.compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays), codec="zstd", asbytes=True)
 
-        def merged():
-            new, n = np.unique(np.concatenate(waiting), return_counts=True)
-            both, weight = np.concatenate([codes, new]), np.concatenate([sums, n])
-            by = np.argsort(both, kind="stable")  # two sorted runs
-            both = both[by]
-            at = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-            return both[at], np.add.reduceat(weight[by], at)
 
-        def word_batch():
-            return pa.RecordBatch.from_arrays([pa.array(list(words), type=pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), type=pa.int64())], names=["word", "gram", "n"])
+def _unpacked(data: bytes, n: int, *types: str) -> list[np.ndarray]:
+    sizes = [np.dtype(t).itemsize for t in types]
+    flat, out, at = np.frombuffer(pa.decompress(data, n * sum(sizes), codec="zstd", asbytes=True), dtype=np.uint8), [], 0
+    for t, size in zip(types, sizes, strict=True):
+        out.append(np.ascontiguousarray(flat[at : at + n * size].reshape(size, n).T).view(t).ravel())
+        at += n * size
+    return out
 
-        def gram_batch():
-            return pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(codes), pa.array(sums)], names=["word", "gram", "n"])
+
+READ_SCHEMA = "kind int, chunk long, bucket int, n long, data binary, ids array<long>, rows array<long>, sizes array<long>, word binary, code long"
+_LIST = pa.list_(pa.int64())
+_READ_TYPES = {"kind": pa.int32(), "chunk": pa.int64(), "bucket": pa.int32(), "n": pa.int64(), "data": pa.binary(), "ids": _LIST, "rows": _LIST, "sizes": _LIST, "word": pa.binary(), "code": pa.int64()}
+WORD, SHORT, REQUEST, TEXT = range(4)
+
+
+def _read_batch(kind: int, n: int, /, **columns) -> pa.RecordBatch:
+    columns["kind"] = np.full(n, kind, dtype=np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], type=t) if c in columns else pa.nulls(n, t) for c, t in _READ_TYPES.items()], names=list(_READ_TYPES))
+
+
+def _reader(buckets: int):
+    """Of (doc_id, row, train, text): word counts, counts after short contexts, requests and the texts themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        words: Counter = Counter()
+        docs: list[tuple] = []
+        size = 0
+
+        def chunk() -> Iterator[pa.RecordBatch]:
+            name = part << 32 | number
+            keys = np.concatenate([suffix_codes(np.frombuffer(t, dtype=np.uint8)) << 1 | (not train) for _, _, train, t in docs])
+            keys.sort()
+            first = _starts(keys >> 1)
+            codes, n = keys[first] >> 1, np.add.reduceat(1 - (keys & 1), first)
+            del keys
+            short = (codes >> 8 * (ORDER + 2 - NEAR)) << 8 | codes & 255
+            by = np.argsort(short)
+            at = _starts(short[by])
+            sums = np.add.reduceat(n[by], at)
+            yield _read_batch(SHORT, len(at), code=short[by][at], n=sums)
+            by, edge = _by_bucket(codes, buckets)
+            codes, n = codes[by], n[by].astype(np.int32)
+            full = np.flatnonzero(edge[1:] > edge[:-1])
+            for a in range(0, len(full), 256):
+                some = full[a : a + 256]
+                data = [_packed(np.diff(codes[edge[b] : edge[b + 1]], prepend=0), n[edge[b] : edge[b + 1]]) for b in some]
+                yield _read_batch(REQUEST, len(some), chunk=np.full(len(some), name), bucket=some.astype(np.int32), n=edge[some + 1] - edge[some], data=data)
+            a = 0
+            while a < len(docs):
+                b, held = a, 0
+                while b < len(docs) and (b == a or held + len(docs[b][3]) <= PIECE):
+                    held += len(docs[b][3])
+                    b += 1
+                ids, rows, _, texts = zip(*docs[a:b], strict=True)
+                data = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+                yield _read_batch(TEXT, 1, chunk=[name], n=[held], data=[data], ids=[list(ids)], rows=[list(rows)], sizes=[[len(t) for t in texts]])
+                a = b
+
+        def counted() -> pa.RecordBatch:
+            return _read_batch(WORD, len(words), word=list(words), n=list(words.values()))
 
         for batch in batches:
-            for cell in batch.column(0):
+            for doc_id, row, train, cell in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
                 own = normal_words(cell.as_py())
-                words.update(own)
-                words[b""] += 1  # the end
-                waiting.append(grams(np.frombuffer(b" ".join(own) + b"\n", dtype=np.uint8), order))
-                size += len(waiting[-1])
-                if size > 2_000_000:
-                    codes, sums = merged()
-                    waiting, size = [], 0
-                if len(words) > 300_000:
-                    yield word_batch()
-                    words.clear()
-                if len(codes) > 2_000_000:
-                    yield gram_batch()
-                    codes, sums = codes[:0], sums[:0]
-        if size:
-            codes, sums = merged()
-        yield word_batch()
-        if len(codes):
-            yield gram_batch()
+                if train:
+                    words.update(own)
+                    words[b""] += 1  # the end
+                    if len(words) > 300_000:
+                        yield counted()
+                        words.clear()
+                docs.append((doc_id, row, train, b" ".join(own) + b"\n"))
+                size += len(docs[-1][3])
+                if size >= CHUNK:
+                    yield from chunk()
+                    docs, size, number = [], 0, number + 1
+        if docs:
+            yield from chunk()
+        yield counted()
 
     return run
 
 
-def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Word counts (gram null; the end is the empty word) and gram counts (word null) of all rows."""
-    common.prepare(docs.sparkSession)
-    return common.pick(docs, ["text"]).mapInArrow(_count(order), COUNT_SCHEMA).groupBy("word", "gram").agg(F.sum("n").alias("n"))
+class Near:
+    """All counts of what follows contexts of fewer than ``NEAR`` bytes: levels[k] has the nodes of k context bytes."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray):
+        self.levels = {NEAR - 1: (codes, n)}
+        for k in range(NEAR - 2, -1, -1):
+            self.levels[k] = shorter(*self.levels[k + 1])
+
+
+def shorter(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of contexts of one byte less: the oldest byte, which stands before the symbol, goes."""
+    less = (codes >> 16) << 8 | codes & 255
+    by = np.argsort(less, kind="stable")
+    at = _starts(less[by])
+    return less[by][at], np.add.reduceat(n[by], at) if len(at) else n
+
+
+def _find(known: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(known):
+        return np.zeros(len(want), dtype=np.int64), np.zeros(len(want), dtype=bool)
+    at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+    return at, known[at] == want
+
+
+def log10_of(codes: np.ndarray, n: np.ndarray, near: Near) -> np.ndarray:
+    """log10 of the probability of each gram's last byte after its context.
+
+    ``codes`` are sorted and distinct; ``n`` counts them in training and may be 0. They hold every gram whose context ends in the
+    same ``NEAR`` bytes as one of them. What a context has seen, its shorter ones have seen too, so what is excluded from a
+    context is what the next longer one holds.
+    """
+    levels = {ORDER: (codes[n > 0], n[n > 0])}
+    for k in range(ORDER - 1, NEAR - 1, -1):
+        levels[k] = shorter(*levels[k + 1])
+    levels |= near.levels
+    out, done = np.zeros(len(codes)), np.zeros(len(codes), dtype=bool)
+    gone, fewer = np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=np.int64)  # excluded counts and symbols
+    symbol = codes & 255
+    for k in range(ORDER, -1, -1):
+        nodes, counts = levels[k]
+        first = _starts(nodes >> 8)
+        contexts, distinct = (nodes >> 8)[first], np.diff(np.append(first, len(nodes)))
+        total = np.add.reduceat(counts, first) if len(first) else counts
+        want = codes >> 8 * (ORDER - k + 1)
+        at, known = _find(contexts, want)
+        if not len(contexts):
+            continue
+        left, kinds = total[at] - gone, distinct[at] - fewer
+        escape = np.where(distinct[at] == 256, 0, kinds)
+        node, seen = _find(nodes, want << 8 | symbol)
+        live = known & ~done & (kinds > 0)
+        hit, miss = live & seen, live & ~seen
+        out[hit] += np.log10(counts[node[hit]] / (left + escape)[hit])
+        out[miss] += np.log10(escape[miss] / (left + escape)[miss])
+        done |= hit
+        fewer = np.where(known, distinct[at], 0)
+        if k:
+            below, weight = levels[k - 1]
+            there, _ = _find(below, (nodes >> 16) << 8 | nodes & 255)
+            gone = np.where(known, np.add.reduceat(weight[there], first)[at], 0)
+    out[~done] -= np.log10(256 - fewer[~done])
+    return out
+
+
+ANSWER_SCHEMA = "chunk long, bucket int, data binary, n long"
+
+
+def _answers(shared):
+    """Requests sorted by bucket: per request the log10 probabilities in its order."""
+
+    def finish(bucket: int, asked: list[tuple], near: Near) -> Iterator[pa.RecordBatch]:
+        both = np.concatenate([c for _, c, _ in asked])
+        by = np.argsort(both)
+        first = _starts(both[by])
+        codes, n = both[by][first], np.add.reduceat(np.concatenate([x for _, _, x in asked])[by].astype(np.int64), first)
+        del both, by
+        cost = log10_of(codes, n, near).astype(np.float32)
+        for a in range(0, len(asked), 64):
+            some = asked[a : a + 64]
+            data = [_packed(cost[np.searchsorted(codes, c)]) for _, c, _ in some]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some]), pa.array([bucket] * len(some), type=pa.int32()), pa.array(data, type=pa.binary()), pa.array([len(x[1]) for x in some])], names=["chunk", "bucket", "data", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = Near(*shared.value)
+        now, asked = None, []
+        for batch in batches:
+            for bucket, chunk, n, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if bucket != now and asked:
+                    yield from finish(now, asked, near)
+                    asked = []
+                now = bucket
+                step, count = _unpacked(data, n, "<i8", "<i4")
+                asked.append((chunk, np.cumsum(step), count))
+        if asked:
+            yield from finish(now, asked, near)
+
+    return run
 
 
 class Trie:
@@ -226,50 +392,34 @@ def log10_probabilities(trie: Trie, texts: list[bytes]) -> np.ndarray:
     return np.bincount(owner, weights=total, minlength=len(texts))
 
 
-def _margin(grams_: DataFrame, length: int, order: int, total: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The kept nodes of ``length`` bytes: those whose count exceeds one part in 2**bits, so fewer than 2**bits."""
-    code = F.col("gram").bitwiseAND(F.lit((1 << 8 * length) - 1))
-    kept = grams_.groupBy(code.alias("code")).agg(F.sum("n").alias("n")).where(F.col("n") > total >> bits)
-    t = kept.toArrow()
-    codes, n = t["code"].to_numpy(), t["n"].to_numpy()
-    by = np.argsort(codes)
-    return codes[by].astype(np.int64), n[by].astype(np.int64)
-
-
-class Model:
-    def __init__(self, trie: Trie, hot: dict[bytes, int], tokens: int, distinct: int):
-        self.trie, self.hot, self.tokens, self.distinct = trie, hot, tokens, distinct
+class Words:
+    def __init__(self, hot: dict[bytes, int], tokens: int, distinct: int):
+        self.hot, self.tokens, self.distinct = hot, tokens, distinct
 
     def base(self, count: int) -> float:
         return math.log10((count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
 
-def train(docs: DataFrame, order: int = ORDER, node_bits: int = NODE_BITS, context_bits: int = CONTEXT_BITS, hot_bits: int = HOT_BITS) -> tuple[Model, DataFrame]:
-    """The model, and the table (word, c) of the words that are not hot."""
-    kept = common.materialize(counts(docs, order), "lm-counts")
-    words = kept.where("word is not null")
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = {bytes(r["word"]): r["n"] for r in words.where((F.col("n") > tokens >> hot_bits) | (F.col("word") == F.lit(b""))).select("word", "n").collect()}
-    grams_ = kept.where("gram is not null").select("gram", "n")
-    total = grams_.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    nodes = {k: _margin(grams_, k, order, total, node_bits) for k in range(1, order + 2)}
-    return Model(Trie(total, nodes, order, context_bits), hot, tokens, distinct), words.where((F.col("n") <= tokens >> hot_bits) & (F.col("word") != F.lit(b""))).select("word", F.col("n").alias("c"))
-
-
 SCORED_SCHEMA = "doc_id long, row long, n_tokens long, hot_known long, hot_base double, score double, rare array<struct<word: binary, n: int>>"
 _RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
 
-def _scorer(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        hot = {w: model.base(c) for w, c in model.hot.items()}
-        end_known, end_base = (1, hot[b""]) if b"" in hot else (0, model.base(0))  # no training rows, no end
-        for batch in batches:
-            rows, texts = [], []
-            for doc_id, row, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = normal_words(cell.as_py())
-                texts.append(b" ".join(words) + b"\n")
+def _scorer(shared, buckets: int):
+    """Rows sorted by chunk, answers before texts and in order of buckets."""
+
+    def finish(costs: list[np.ndarray], docs: list[tuple], hot: dict[bytes, float], unseen: float) -> Iterator[pa.RecordBatch]:
+        codes, place = np.unique(np.concatenate([suffix_codes(np.frombuffer(t, dtype=np.uint8)) for _, _, t in docs]), return_inverse=True)
+        by, _ = _by_bucket(codes, buckets)
+        cost = np.empty(len(codes))
+        cost[by] = np.concatenate(costs)  # of another length if an answer were missing
+        lengths = np.array([len(t) for _, _, t in docs])
+        score = np.add.reduceat(cost[place], np.cumsum(lengths) - lengths)
+        del place
+        end_known, end_base = (1, hot[b""]) if b"" in hot else (0, unseen)  # no training rows, no end
+        for a in range(0, len(docs), 1000):
+            rows = []
+            for doc_id, row, text in docs[a : a + 1000]:
+                words = text.split()
                 known, base, rare = end_known, end_base, []
                 for w, n in Counter(words).items():
                     b = hot.get(w)
@@ -279,26 +429,63 @@ def _scorer(shared):
                         known += n
                         base += n * b
                 rows.append((doc_id, row, len(words) + 1, known, base, rare))
-            if not rows:
-                continue
             cols = list(zip(*rows, strict=True))
-            score = log10_probabilities(model.trie, texts)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, type=pa.int64()) for c in cols[:4]), pa.array(cols[4], type=pa.float64()), pa.array(score), pa.array(cols[5], type=_RARE)], names=["doc_id", "row", "n_tokens", "hot_known", "hot_base", "score", "rare"])
+            batch = pa.RecordBatch.from_arrays([*(pa.array(c, type=pa.int64()) for c in cols[:4]), pa.array(cols[4], type=pa.float64()), pa.array(score[a : a + 1000]), pa.array(cols[5], type=_RARE)], names=["doc_id", "row", "n_tokens", "hot_known", "hot_base", "score", "rare"])
+            yield batch.filter(pc.is_valid(batch.column("row")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        hot, unseen = {w: model.base(c) for w, c in model.hot.items()}, model.base(0)
+        now, costs, docs = None, [], []
+        for batch in batches:
+            for kind, chunk, n, data, ids, rows, sizes in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6, 7)), strict=True):
+                if chunk != now and docs:
+                    yield from finish(costs, docs, hot, unseen)
+                    costs, docs = [], []
+                now = chunk
+                if kind == REQUEST:
+                    costs += _unpacked(data, n, "<f4")
+                    continue
+                text, at = pa.decompress(data, n, codec="zstd", asbytes=True), 0
+                for doc_id, row, size in zip(ids, rows, sizes, strict=True):
+                    docs.append((doc_id, row, text[at : at + size]))
+                    at += size
+        if docs:
+            yield from finish(costs, docs, hot, unseen)
 
     return run
 
 
-def score(docs: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
+def score(docs: DataFrame, train_docs: DataFrame | None = None, hot_bits: int = HOT_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     ``train_docs`` defaults to the rows of ``docs`` whose fold is not the held-out one.
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    model, rare_counts = train(train_docs if train_docs is not None else docs.where(common.doc_fold("doc_id", FOLDS) != HELD_OUT))
-    shared = spark.sparkContext.broadcast(model)
-    rows = common.pick(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    scored = common.materialize(rows.mapInArrow(_scorer(shared), SCORED_SCHEMA), "lm-scored")
+    parts = common.parallelism(spark)
+    buckets = min(2 * parts, MAX_BUCKETS)
+    train = common.doc_fold("doc_id", FOLDS) != HELD_OUT if train_docs is None else F.lit(False)
+    rows = common.pick(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), train.alias("train"), "text")
+    if train_docs is not None:  # without a row number: counted, not scored
+        rows = rows.unionAll(common.pick(train_docs, ["text"]).select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(True), "text"))
+    read = common.materialize(rows.mapInArrow(_reader(buckets), READ_SCHEMA), "lm-read")
+    words = common.materialize(read.where(F.col("kind") == WORD).groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    is_hot = (F.col("n") > tokens >> hot_bits) | (F.col("word") == F.lit(b""))
+    model = Words({bytes(r["word"]): r["n"] for r in words.where(is_hot).collect()}, tokens, distinct)
+    rare_counts = words.where(~is_hot).select("word", F.col("n").alias("c"))
+    short = read.where(F.col("kind") == SHORT).groupBy("code").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+    by = np.argsort(short["code"].to_numpy())
+    near = spark.sparkContext.broadcast((short["code"].to_numpy()[by].astype(np.int64), short["n"].to_numpy()[by].astype(np.int64)))
+    requests = read.where(F.col("kind") == REQUEST).select("bucket", "chunk", "n", "data")
+    answers = requests.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answers(near), ANSWER_SCHEMA)
+    none = F.lit(None).cast("array<long>")
+    texts = read.where(F.col("kind") == TEXT).select("kind", "chunk", "bucket", "n", "data", "ids", "rows", "sizes")
+    met = answers.select(F.lit(REQUEST).alias("kind"), "chunk", "bucket", "n", "data", none.alias("ids"), none.alias("rows"), none.alias("sizes")).unionAll(texts)
+    dealt = met.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
+    scored = common.materialize(dealt.mapInArrow(_scorer(spark.sparkContext.broadcast(model), buckets), SCORED_SCHEMA), "lm-scored")
+    common.discard(read)
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
     floor = F.lit(model.tokens + 0.5 * (model.distinct + 1))
     c = F.coalesce("c", F.lit(0))

@@ -92,3 +92,18 @@ def test_query_against_brute_force(spark):
     assert len(got) == len(rows) and all(r["score"] < 0 for r in got)
     empty = lm.score(spark.createDataFrame([], "doc_id long, text string"))
     assert empty.count() == 0
+
+
+def test_rare_contexts_count_in_a_large_corpus(spark):
+    rnd = np.random.default_rng(5)
+    words = ["".join(rnd.choice(list("abcdefgh"), size=rnd.integers(3, 9))) for _ in range(6000)]
+    rows = [(i, " ".join(rnd.choice(words, size=8))) for i in range(4000)]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    train = [t.encode() + b"\n" for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert sum(map(len, train)) > 1 << 16
+    asked = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1][:3] + [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0][:3]
+    codes = np.concatenate([lm.grams(np.frombuffer(t, dtype=np.uint8)) for t in train])
+    nodes = {k: np.unique(codes & ((1 << 8 * k) - 1), return_counts=True) for k in range(1, lm.ORDER + 2)}
+    want = lm.log10_probabilities(lm.Trie(len(codes), nodes, lm.ORDER, 60), [rows[i][1].encode() + b"\n" for i in asked])
+    for i, x in zip(asked, want, strict=True):
+        assert abs(got[i] - x) < 1e-3 * len(rows[i][1])
