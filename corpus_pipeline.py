@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelith.llm import common, mixing, packing, pii, simhash, toxicity
+from panelith.llm import common, mixing, packing, pii, shingles, toxicity
 from panelith.llm.queries import word_tokenizer
 
 #: Documents that score at least this go.
@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates, that with the least id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8), that with the least id."""
+    return shingles.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -245,10 +245,13 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return edges
 
 
-def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Per distinct fingerprint of ``rows`` (doc_id, fp): its least id and that of its component (``NO_ID`` for null)."""
+def classes(rows: DataFrame, radius: int = RADIUS, edges: DataFrame | None = None) -> DataFrame:
+    """Per distinct fingerprint of ``rows`` (doc_id, fp): its least id and that of its component (``NO_ID`` for null).
+
+    ``edges`` between fingerprints are those of ``links`` unless they are given.
+    """
     own = common.materialize(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least_id")), "classes")
-    edges = links(own.select("fp"), radius)
+    edges = links(own.select("fp"), radius) if edges is None else edges
     roots = common.materialize(connected_components(edges).withColumnRenamed("v", "fp"), "roots")
     common.discard(edges)
     linked = own.join(roots, "fp")
@@ -272,14 +275,19 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     common.prepare(docs.sparkSession)
     rows = common.materialize(fingerprints(docs), "fingerprints")
-    heads = common.materialize(classes(rows, radius).where("fp = head").select("fp", "least_id"), "heads")
-    common.discard(rows)
+    return keep_heads(docs, rows, links(rows.select("fp").distinct(), radius), lambda text: _signed(fingerprint(text)), rows)
+
+
+def keep_heads(docs: DataFrame, rows: DataFrame, edges: DataFrame, mark: Callable[[str | None], int], done: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``keep_one`` keeps, if ``rows`` (doc_id, fp) are linked by ``edges``; ``mark`` gives the fp of a text. ``done`` goes."""
+    heads = common.materialize(classes(rows, edges=edges).where("fp = head").select("fp", "least_id"), "heads")
+    common.discard(done)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def add(batches):
         for batch in batches:
             text = batch.column(batch.schema.names.index("text"))
-            fp = pa.array([_signed(fingerprint(t.as_py())) for t in text], type=pa.int64())
+            fp = pa.array([mark(t.as_py()) for t in text], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*batch.schema.names, "__fp"])
 
     from pyspark.sql import Window
