@@ -110,6 +110,14 @@ def test_report(make_panel):
         report.risk_and_return(p, benchmark="A")
 
 
+def test_report_has_return_tables_of_all_tickers(make_panel, monkeypatch):
+    monkeypatch.setattr(report, "MOST_TICKERS", 2)
+    p = make_panel({t: [100 + k for k in range(40)] for t in "ABC"})
+    r = report.risk_and_return(p, window=20)
+    assert "Return table (B)" in r and "Return table (C)" not in r
+    assert sorted((x["ticker"], round(x["Jan"], 9)) for x in r["Return tables"].collect()) == [(t, 0.3) for t in "ABC"]
+
+
 def slow_futures(prices, expiries, positions, roll, buffer):
     """Segment by segment, in pandas."""
     order = sorted(expiries, key=lambda t: (expiries[t], t))
