@@ -198,7 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = (), ma
     lexicon = {r["term"]: float(candidates[r["term"]]) for r in kept.collect()}
     pairs = around.select("term", "toxic", "clean", F.explode(F.array(F.concat_ws(" ", "before", "term"), F.concat_ws(" ", "term", "after"))).alias("phrase"))
     clean = pairs.groupBy("phrase", "term").agg(F.sum("toxic").alias("toxic"), F.count(F.when(F.col("clean") > 0, 1)).alias("places")).where("toxic = 0 and places >= 3")
-    learned = [r["phrase"] for r in clean.orderBy(F.desc("places"), "phrase").limit(MAX_EXCEPTIONS).collect() if r["term"] in lexicon and r["phrase"].strip() != r["term"]]
+    # only phrases of the lexicon's terms count against the limit; there are at most MAX_TERMS of these
+    clean = clean.where(F.col("term").isin(list(lexicon)) & (F.trim("phrase") != F.col("term")))
+    learned = [r["phrase"] for r in clean.orderBy(F.desc("places"), "phrase").limit(MAX_EXCEPTIONS).collect()]
     model = Model(lexicon, [*(" ".join(fold(p)) for p in exceptions), *learned], (0.0, 0.0, 0.0))
 
     def features(batches):

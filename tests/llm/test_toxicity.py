@@ -46,3 +46,14 @@ def test_nothing_to_learn_from(spark):
         model = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert all(r["score"] < 0.5 for r in toxicity.score(d, model).collect())
     assert toxicity.score(d.limit(0), model).count() == 0
+
+
+def test_phrases_of_dropped_terms_leave_room_for_exceptions(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_EXCEPTIONS", 1)
+    docs, labels = corpus()
+    docs = [(k, f"oh blorp no {t}" if k % 8 == 0 else t, lang, x) for k, t, lang, x in docs]
+    for k in range(1, 12, 4):  # in few clean documents, but with many words behind it
+        docs[k] = (k, " ".join(f"my blorp {a}{b}" for a in "bcdfgh" for b in ("ar", "et", "on", "umi", "aro")), "en", 0.0)
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string, lang string, score double"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "blorp" not in model.lexicon and "grobnik" in model.lexicon
+    assert model.exceptions == ("saint grobnik",)
