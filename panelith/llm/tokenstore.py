@@ -6,9 +6,10 @@ on the content alone, so that equal passages give equal chunks. The store has th
 * ``data/kind=0``: unique chunks, ``key`` (BLAKE2b-128 of the payload) and ``payload`` (little-endian ids);
 * ``recipes``: one row per document in ascending ``doc_id`` (nulls first), with the chunk digests in order, the Merkle root over them,
   the number of ids and where the document starts inside its part;
-* ``manifest``: per part the ids before it, the number of documents and the Merkle root over its documents' roots.
+* ``manifest``: per part the ids before it, the numbers of ids and documents and the Merkle root over its documents' roots in order;
+  each row also has the Merkle root over the parts' roots.
 
-Reading verifies each payload against its digest and each document against its Merkle root.
+Reading verifies each payload against its digest, each document against its Merkle root, and first of all the parts against the manifest.
 
 Edge cases: a null text is empty and holds the end id only; null and repeated ``doc_id`` are kept, one row each, ordered
 by their Merkle root inside a tie; an empty table gives an empty store; further columns are ignored.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -165,14 +166,58 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
     recipes = spark.read.schema(DATA_SCHEMA).parquet(f"{path}/data").where("kind = 1")
     ordered = recipes.select("doc_id", "n_ids", "key", "digests").repartitionByRange(common.parallelism(spark), F.asc_nulls_first("doc_id"), "key")
     ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), "key").mapInArrow(_place, RECIPE_SCHEMA).write.parquet(f"{path}/recipes")
-    per_part = spark.read.schema(RECIPE_SCHEMA).parquet(f"{path}/recipes").groupBy("part").agg(F.sum("n_ids").alias("n_ids"), F.count("*").alias("n_docs"), F.hex(F.expr("bit_xor(xxhash64(root, local_start))")).alias("check"))
     # one row per part, however many documents
-    before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    per_part.coalesce(1).withColumn("before", F.coalesce(before, F.lit(0)).cast("long")).write.parquet(f"{path}/manifest")
+    parts, before = _parts(spark, path), 0
+    store, rows = merkle([r[3] for r in parts]), []
+    for part, n_ids, n_docs, root in parts:
+        rows.append((part, n_ids, n_docs, root, before, store))
+        before += n_ids
+    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+MANIFEST_SCHEMA = "part int, n_ids long, n_docs long, root binary, before long, store binary"
+
+
+def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part and place: one row per part with the Merkle root over its documents' roots."""
+    now, n_ids, leaves, out = None, 0, [], []
+    for batch in batches:
+        for part, n, root in zip(*(batch.column(c).to_pylist() for c in ("part", "n_ids", "root")), strict=True):
+            if part != now:
+                if leaves:
+                    out.append((now, n_ids, len(leaves), merkle(leaves)))
+                now, n_ids, leaves = part, 0, []
+            n_ids += n
+            leaves.append(root)
+    if leaves:
+        out.append((now, n_ids, len(leaves), merkle(leaves)))
+    cols, types = zip(*out, strict=True) if out else ((),) * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["part", "n_ids", "n_docs", "root"])
+
+
+def _parts(spark: SparkSession, path: str) -> list[tuple[int, int, int, bytes]]:
+    """Part, ids, documents and Merkle root of each part, as its recipes have them now."""
+    docs = spark.read.schema(RECIPE_SCHEMA).parquet(f"{path}/recipes").select("part", "local_start", "n_ids", "root")
+    ordered = docs.repartition(common.parallelism(spark), "part").sortWithinPartitions("part", "local_start")
+    found = ordered.mapInArrow(_part_roots, "part int, n_ids long, n_docs long, root binary").collect()
+    return sorted((r["part"], r["n_ids"], r["n_docs"], bytes(r["root"])) for r in found)
+
+
+def verify_parts(spark: SparkSession, path: str) -> None:
+    """Raises ValueError if a recipe or a part is missing, too many or another than the manifest says."""
+    manifest = sorted((tuple(r) for r in spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest").collect()), key=lambda r: r[0])
+    found, said = {r[0]: r for r in _parts(spark, path)}, {r[0]: (*r[:3], bytes(r[3])) for r in manifest}
+    for part in sorted(found.keys() | said.keys()):
+        if found.get(part) != said.get(part):
+            raise ValueError(f"part {part} does not match the manifest")
+    store = merkle([r[3] for _, r in sorted(said.items())])
+    if len(said) != len(manifest) or any(bytes(r[5]) != store for r in manifest):
+        raise ValueError("the manifest does not match its Merkle root")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of the store: doc_id, start, n_ids, root, digests, part, local_start."""
+    """The documents of the store: doc_id, start, n_ids, root, digests, part, local_start. Checked against the manifest at once."""
+    verify_parts(spark, path)
     docs = spark.read.schema(RECIPE_SCHEMA).parquet(f"{path}/recipes")
     parts = spark.read.schema("part int, before long").parquet(f"{path}/manifest")
     return docs.join(F.broadcast(parts), "part").withColumn("start", F.col("before") + F.col("local_start"))
@@ -303,7 +348,8 @@ def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """Reconstructs the id streams: doc_id, start, ids (array of long)."""
     common.prepare(spark)
     entries = recipes(spark, path).select("part", "local_start", "doc_id", "start", "n_ids", "root", "digests").mapInArrow(_entries, ENTRY_SCHEMA)
-    joined = entries.join(chunks(spark, path), "key").repartition(common.parallelism(spark), "part", "local_start").sortWithinPartitions("part", "local_start", "pos")
+    whole = entries.join(chunks(spark, path), "key", "left").withColumn("payload", F.coalesce("payload", F.raise_error(F.lit("a chunk is missing")).cast("binary")))
+    joined = whole.repartition(common.parallelism(spark), "part", "local_start").sortWithinPartitions("part", "local_start", "pos")
 
     def rebuild(batches):
         now, state = None, None

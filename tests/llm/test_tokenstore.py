@@ -101,3 +101,18 @@ def test_best_fit_takes_the_tightest_bin():
     # a third open bin closes the fullest
     fit = packing.BestFit(10, open_bins=2)
     assert [fit.place(n)[0] for n in (6, 7, 8, 3, 4)] == [0, 1, 2, 0, 3]
+
+
+@pytest.mark.parametrize("table", ["recipes", "manifest"])
+def test_lost_rows_are_found(spark, tmp_path, table):
+    path = f"{tmp_path}/store"
+    tokenstore.write_store(spark.createDataFrame([(k, f"text number {k}", "") for k in range(40)], SCHEMA), path, PATH)
+    whole = spark.read.parquet(f"{path}/{table}")
+    lost = whole.where("doc_id <> 7" if table == "recipes" else "part > 0")
+    assert 0 < lost.count() < whole.count()
+    lost.write.parquet(f"{path}/less")
+    (tmp_path / "store" / table).rename(tmp_path / "store" / "before")
+    (tmp_path / "store" / "less").rename(tmp_path / "store" / table)
+    for read in (tokenstore.read_checks, tokenstore.read_documents):
+        with pytest.raises(ValueError, match="manifest"):
+            read(spark, path).collect()
