@@ -1,99 +1,200 @@
 """Token ids through the ``tokenizers`` library with a bounded cache of words.
 
-The tokenizer file drops white space: its pre-tokenizer never matches across it and its normalizers work inside words.
-So the ids of a text are the ids of its words in order, and a word needs to be encoded once per worker.
-
-Most new words are Latin letters with signs at the end. Such letters are one piece of the pre-tokenizer and lower-casing is all that
-the normalizers do to them, so they go to the library's BPE model at once; every other word passes the whole tokenizer.
+A tokenizer file of the form below drops white space and cuts letters, single digits and signs apart before its BPE model sees them, so the
+ids of a text are the ids of its words in order, and a word needs to be encoded once per worker. Blanks may be put wherever the
+pre-tokenizer cuts anyway, and Latin capitals may be lower-cased beforehand, as the normalizer does so itself: fewer different words are left.
+Words of Latin letters are one piece and go to the library's BPE model at once; every other word passes the whole tokenizer.
+Texts that hold an added token (in any case) pass it word by word as they are, and so do whole texts if the file has another form.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-#: Words kept per Python worker (about 200 bytes each); a full cache starts anew.
+#: Words kept per Python worker (about 200 bytes each), in two generations; the older one goes when the younger is full.
 CACHE_WORDS = 800_000
-#: Latin letters that are in normal form C and lower-case one by one (the dotted capital I does not), and signs behind them.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ĬĮ-įı-ɏ]+)([.,;:!?]*)")
-
+#: Longer words are encoded whenever they come; bytes of text looked at together.
+LONGEST, SEGMENT = 64, 1 << 20
+
+# The form of a file whose texts may be encoded by words.
+FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+#: Latin letters that are in normal form C and lower-case one by one; the dotted capital I does not.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ȿ]+")
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: Stands between texts that are looked at together; the byte is in no UTF-8 text.
+_MARK = b"\xff"
+_END = b" \xff "
 _encoders: dict[str, "WordEncoder"] = {}
 
+OTHER, LETTER, DIGIT, SIGN, QUOTE = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each byte; bytes beyond ASCII are letters if they belong to U+00C0 to U+023F (exceptions are put right by ``spaced``)."""
+    kind = np.full(256, OTHER, dtype=np.uint8)
+    for b in range(33, 127):
+        c = chr(b)
+        kind[b] = LETTER if c.isalpha() else DIGIT if c.isdigit() else QUOTE if c == "'" else SIGN
+    kind[0xC3:0xC9] = LETTER
+    return kind
+
+
+_KIND = _kinds()
+_CUT = np.zeros((5, 5), dtype=bool)
+for _a, _b in ((LETTER, DIGIT), (LETTER, SIGN), (LETTER, QUOTE), (DIGIT, LETTER), (DIGIT, DIGIT), (DIGIT, SIGN), (DIGIT, QUOTE), (SIGN, LETTER), (SIGN, DIGIT), (QUOTE, DIGIT)):
+    _CUT[_a, _b] = True
+_CUTS = _CUT.ravel()
+
+
+def spaced(data: bytes) -> bytes:
+    """The text with blanks wherever the pre-tokenizer cuts between characters of ASCII and Latin letters."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    kind = _KIND[raw]
+    if not data.isascii():
+        wide = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC8))
+        second = raw[wide + 1]
+        lead = raw[wide]
+        # not letters: the signs of multiplication and division; not one letter in lower case: the dotted capital I
+        no = ((lead == 0xC3) & ((second == 0x97) | (second == 0xB7))) | ((lead == 0xC4) & (second == 0xB0))
+        kind[wide + 1] = kind[wide] = np.where(no, OTHER, LETTER)
+    at = np.flatnonzero(_CUTS[kind[:-1] * np.uint8(5) + kind[1:]]) + 1
+    if not len(at):
+        return data
+    out = np.full(len(raw) + len(at), 32, dtype=np.uint8)
+    place = np.ones(len(out), dtype=bool)
+    place[at + np.arange(len(at))] = False
+    out[place] = raw
+    return out.tobytes()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
 
 class _Words(dict):
     """Ids of a word as bytes, learned at first sight."""
 
-    def __init__(self, tokenizer, dtype: np.dtype):
+    def __init__(self, tokenizer, dtype: np.dtype, most: int):
         super().__init__()
         self.whole = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         self.code, self.tokenize, self.byte_level = {2: "H", 4: "I"}[dtype.itemsize], tokenizer.model.tokenize, _byte_letters()
-        self.heads: dict[str, bytes] = {}
-        # the shortcut holds for tokenizers that agree on these words, and is left otherwise
-        self.shortcut = True
-        tried = [w + e for w in ("Apple", "naïve", "Über", "ÑÅÉßø", "straße", "x") for e in ("", ".", ",", "?!", "...")]
-        self.shortcut = all(self[t.encode()] == self._bytes(self.whole(t)) for t in tried)
-        self.clear()
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def _head(self, low: str) -> bytes:
-        units = low if low.isascii() else low.encode().decode("latin-1").translate(self.byte_level)
-        ids = self.heads[low] = self._bytes([x.id for x in self.tokenize(units)])
-        return ids
+        self.older: dict[bytes, bytes] = {}
+        self.half = most // 2
+        self[_MARK] = b""
+
+    def ids(self, word: bytes) -> bytes:
+        """The ids of a word as the whole tokenizer gives them."""
+        return array(self.code, self.whole(word.decode())).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        m = _PLAIN.fullmatch(text) if self.shortcut else None
-        if m is None:
-            ids = self._bytes(self.whole(text))
-        else:
-            head, tail = m.groups()
-            low = head.lower()
-            ids = self.heads.get(low) or self._head(low)
-            if tail:
-                key = tail.encode()
-                if key not in self:
-                    super().__setitem__(key, self._bytes(self.whole(tail)))
-                ids += super().__getitem__(key)
-        self[word] = ids
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isalpha():
+                ids = array(self.code, [x.id for x in self.tokenize(word.decode())]).tobytes()
+            elif _LATIN.fullmatch(text := word.decode()):
+                units = text.lower().encode().decode("latin-1").translate(self.byte_level)
+                ids = array(self.code, [x.id for x in self.tokenize(units)]).tobytes()
+            else:
+                ids = self.ids(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
+    def bound(self) -> None:
+        if len(self) > self.half:
+            self.older = dict(self)
+            self.clear()
+            self[_MARK] = b""
+
 
 class WordEncoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2") if tokenizer.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
-        self.words, self.cache_words = _Words(tokenizer, self.dtype), cache_words
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        added, model = said["added_tokens"], said["model"]
+        self.by_words = all(said[k] == v for k, v in FORM.items()) and model["type"] == "BPE" and not model["dropout"] and all(not a["normalized"] for a in added)
+        self.added = [a["content"].encode().translate(_LOWER) for a in added]
+        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
+        self.words = _Words(self.tokenizer, self.dtype, cache_words)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of the whole text; null counts as empty."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """The ids of each text. Short texts are looked at together, long ones in segments between words."""
+        if not self.by_words:
+            return [np.array(self.words.whole(t or ""), dtype=self.dtype) for t in texts]
+        raw = [t.encode() if t else b"" for t in texts]
+        out: list[bytes] = []
+        group: list[bytes] = []
+        size = 0
+        for data in raw:
+            if size + len(data) > SEGMENT and group:
+                out += self._group(group)
+                group, size = [], 0
+            if len(data) > SEGMENT:
+                out.append(b"".join(x for part in _segments(data) for x in self._group([part])))
+            else:
+                group.append(data)
+                size += len(data)
+        if group:
+            out += self._group(group)
+        return [np.frombuffer(x, dtype=self.dtype) for x in out]
+
+    def _group(self, texts: list[bytes]) -> list[bytes]:
         words = self.words
-        if len(words) > self.cache_words:
-            words.clear()
-            words.heads.clear()
-        data = text.encode().split() if text else []
-        out = []
-        for k in range(0, len(data), 100_000):  # very long texts fill the cache between two looks at it
-            if len(words) > 2 * self.cache_words:
-                words.clear()
-                words.heads.clear()
-            out.append(b"".join(map(words.__getitem__, data[k : k + 100_000])))
-        return np.frombuffer(b"".join(out), dtype=self.dtype)
-
-
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(256 + k) for k, b in enumerate(others)}
+        low = [t.translate(_LOWER) for t in texts]
+        special = [any(a in t for a in self.added) for t in low]
+        split = spaced(_END.join(b"" if s else t for t, s in zip(low, special, strict=True))).split()
+        ids = list(map(words.__getitem__, split))
+        out, at = [], 0
+        for text, s in zip(texts, special, strict=True):
+            try:
+                until = split.index(_MARK, at)
+            except ValueError:
+                until = len(split)
+            out.append(b"".join(map(words.ids, text.split())) if s else b"".join(ids[at:until]))
+            at = until + 1
+        words.bound()
+        return out
+
+
+def _segments(data: bytes) -> Iterator[bytes]:
+    """Parts of about ``SEGMENT`` bytes, cut at blanks."""
+    at = 0
+    while at < len(data):
+        m = _BLANK.search(data, at + SEGMENT)
+        to = m.end() if m else len(data)
+        yield data[at:to]
+        at = to
 
 
 def encoder(path: str) -> WordEncoder:

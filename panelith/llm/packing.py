@@ -81,8 +81,8 @@ def _pieces(path: str, end_id: int, capacity: int):
         enc = encoder(path)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(enc.encode(text.as_py()), end_id).astype("<u4")
+            for doc_id, coded in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids = np.append(coded, end_id).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     out.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))

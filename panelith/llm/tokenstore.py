@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -94,7 +94,7 @@ def _chunker(path: str, end_id: int):
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            coded = [enc.encode(text.as_py()) for text in batch.column(1)]
+            coded = enc.encode_all(batch.column(1).to_pylist())
             stream = np.concatenate([x for ids in coded for x in (ids, end)]) if coded else end[:0]
             cuts, at, begin = candidates(stream), 0, 0
             for doc_id, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
@@ -130,16 +130,12 @@ def _data_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
 
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops repeated chunks. All rows of a digest are in this partition; recipes pass."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keep.append(kind == 1 or key not in seen)
-            if kind == 0:
-                seen.add(key)
-        yield batch.filter(pa.array(keep, type=pa.bool_()))
+def _first_of_each(rows: DataFrame) -> DataFrame:
+    """One row of each chunk and every recipe, whose ``own`` numbers differ; one sort behind one shuffle, which may spill."""
+    once = Window.partitionBy("key", "own").orderBy("key")
+    dealt = rows.withColumn("own", F.when(F.col("kind") == 1, F.monotonically_increasing_id()).otherwise(-1))
+    dealt = dealt.repartition(common.parallelism(rows.sparkSession), "key", "own")
+    return dealt.withColumn("copy", F.row_number().over(once)).where("copy = 1").drop("own", "copy")
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +156,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
     spark = docs.sparkSession
     common.prepare(spark)
     rows = common.pick(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_chunker(tokenizer_path, end_id), DATA_SCHEMA)
-    # equal documents have equal roots: their recipes are dealt by id as well
-    dealt = rows.repartition(common.parallelism(spark), "key", F.coalesce("doc_id", F.lit(-1)))
-    dealt.mapInArrow(_first_of_each, DATA_SCHEMA).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
+    _first_of_each(rows).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
     recipes = spark.read.schema(DATA_SCHEMA).parquet(f"{path}/data").where("kind = 1")
     ordered = recipes.select("doc_id", "n_ids", "key", "digests").repartitionByRange(common.parallelism(spark), F.asc_nulls_first("doc_id"), "key")
     ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), "key").mapInArrow(_place, RECIPE_SCHEMA).write.parquet(f"{path}/recipes")
@@ -230,14 +224,15 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 def _verify(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            payloads = batch.column(1).to_pylist()
+            for key, payload in zip(batch.column(0).to_pylist(), payloads, strict=True):
                 if digest(payload) != key:
                     raise ValueError(f"chunk {key.hex()} does not match its digest")
-                wide = np.frombuffer(payload, dtype=f"<u{width}").astype("<u4")
-                out.append((key, len(wide), zlib.crc32(wide.tobytes())))
-            cols = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["key", "n", "crc"])
+            wide = memoryview(np.frombuffer(b"".join(payloads), dtype=f"<u{width}").astype("<u4").tobytes())
+            sizes = np.fromiter(map(len, payloads), dtype=np.int64, count=len(payloads)) // width
+            ends = (4 * np.cumsum(sizes)).tolist()
+            crcs = [zlib.crc32(wide[e - 4 * n : e]) for e, n in zip(ends, sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(crcs, type=pa.int64())], names=["key", "n", "crc"])
 
     return run
 
@@ -245,93 +240,98 @@ def _verify(width: int):
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per chunk of a document; checks the Merkle root."""
     for batch in batches:
-        cols = {n: batch.column(n).to_pylist() for n in ("part", "local_start", "doc_id", "start", "n_ids", "root", "digests")}
-        out: list[tuple] = []
-        for part, local, doc_id, start, n_ids, root, joined in zip(*cols.values(), strict=True):
-            keys = [joined[k : k + DIGEST] for k in range(0, len(joined), DIGEST)]
-            if merkle(list(keys)) != root:
+        joined = batch.column("digests").to_pylist()
+        for doc_id, root, digests in zip(batch.column("doc_id").to_pylist(), batch.column("root").to_pylist(), joined, strict=True):
+            if merkle([digests[k : k + DIGEST] for k in range(0, len(digests), DIGEST)]) != root:
                 raise ValueError(f"document {doc_id} does not match its Merkle root")
-            out += [(part, local, doc_id, start, n_ids, pos, key) for pos, key in enumerate(keys)]
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        for k in range(0, len(out), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out[k : k + 50_000], strict=True), types, strict=True)], names=["part", "local_start", "doc_id", "start", "n_ids", "pos", "key"])
+        many = np.fromiter(map(len, joined), dtype=np.int64, count=len(joined)) // DIGEST
+        row = np.repeat(np.arange(len(many)), many)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DIGEST), len(row), [None, pa.py_buffer(b"".join(joined))]).cast(pa.binary())
+        given = batch.select(["part", "local_start", "doc_id", "start", "n_ids"]).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([*given.columns, pa.array(pos.astype(np.int32)), keys], names=[*given.schema.names, "pos", "key"])
 
 
 ENTRY_SCHEMA = "part int, local_start long, doc_id long, start long, n_ids long, pos int, key binary"
 
 
-def _gf2_times(matrix: list[int], vector: int) -> int:
-    total, k = 0, 0
-    while vector:
-        if vector & 1:
-            total ^= matrix[k]
-        vector >>= 1
-        k += 1
-    return total
+def _zero_operators() -> np.ndarray:
+    """Table k, byte b, value v: what v in byte b of a CRC-32 becomes when 2**k zero bytes are appended."""
 
+    def times(matrix: list[int], vector: int) -> int:
+        total = 0
+        for k in range(32):
+            if vector >> k & 1:
+                total ^= matrix[k]
+        return total
 
-def _zero_operators() -> list[list[int]]:
-    """Operator k appends 2**k zero bytes to a CRC-32."""
     one = [0xEDB88320] + [1 << k for k in range(31)]  # one zero bit
-    ops = []
     for _ in range(3):
-        one = [_gf2_times(one, one[k]) for k in range(32)]
-    for _ in range(60):
-        ops.append(one)
-        one = [_gf2_times(one, one[k]) for k in range(32)]
-    return ops
-
-
-_ZEROS = _zero_operators()
-_shifts: dict[int, list[int]] = {}
-
-
-def crc_join(first: int, second: int, second_bytes: int) -> int:
-    """CRC-32 of a text from those of its two parts."""
-    if second_bytes not in _shifts:
-        if len(_shifts) > 4096:
-            _shifts.clear()
-        matrix = [1 << k for k in range(32)]
-        k, left = 0, second_bytes
-        while left:
-            if left & 1:
-                matrix = [_gf2_times(_ZEROS[k], c) for c in matrix]
-            left >>= 1
-            k += 1
-        _shifts[second_bytes] = matrix
-    return _gf2_times(_shifts[second_bytes], first) ^ second
+        one = [times(one, c) for c in one]
+    tables = np.zeros((48, 4, 256), dtype=np.uint32)
+    for table in tables:
+        for b in range(4):
+            for k in range(8):
+                table[b, np.arange(256) >> k & 1 == 1] ^= np.uint32(one[8 * b + k])
+        one = [times(one, c) for c in one]
+    return tables
+
+
+_ZEROS: list[np.ndarray] = []
+
+
+def crc_shift(crcs: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """The part of each CRC-32 in that of a text which goes on for so many bytes behind it; the parts of a text's pieces are joined by xor."""
+    if not _ZEROS:
+        _ZEROS.append(_zero_operators())
+    crcs, k = crcs.astype(np.uint32), 0
+    while len(zeros) and int(zeros.max()) >> k:
+        on = np.flatnonzero(zeros >> k & 1)
+        c, t = crcs[on], _ZEROS[0][k]
+        crcs[on] = t[0][c & 0xFF] ^ t[1][c >> 8 & 0xFF] ^ t[2][c >> 16 & 0xFF] ^ t[3][c >> 24]
+        k += 1
+    return crcs
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by document and position: one row per document."""
-    now, state, out = None, None, []
+    """Rows sorted by document and position: one row per document. The last document of a batch waits for the next one."""
+    wait: tuple | None = None
     for batch in batches:
-        for part, local, doc_id, start, n_ids, n, crc in zip(*(batch.column(c).to_pylist() for c in ("part", "local_start", "doc_id", "start", "n_ids", "n", "crc")), strict=True):
-            if (part, local) != now:
-                if state:
-                    out.append(_whole(state))
-                now, state = (part, local), [doc_id, start, n_ids, n, crc]
-            else:
-                state[4] = crc_join(state[4], crc, 4 * n)
-                state[3] += n
-        if len(out) > 20_000:
-            yield _doc_batch(out)
-            out = []
-    if state:
-        out.append(_whole(state))
-    yield _doc_batch(out)
-
-
-def _whole(state: list) -> tuple:
-    doc_id, start, n_ids, n, crc = state
-    if n != n_ids:
-        raise ValueError(f"document {doc_id} has {n} ids instead of {n_ids}")
-    return doc_id, start, n, crc
-
-
-def _doc_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        if not batch.num_rows:
+            continue
+        part, local, n_ids, n, crc = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "local_start", "n_ids", "n", "crc"))
+        first = np.concatenate([[True], (part[1:] != part[:-1]) | (local[1:] != local[:-1])])
+        at = np.flatnonzero(first)
+        doc = np.cumsum(first) - 1
+        done = np.cumsum(n)
+        begun = (done - n)[at]  # ids of the batch before each document
+        key, had, mixed = (int(part[0]), int(local[0])), 0, 0
+        if wait and wait[0] == key:
+            _, _, had, mixed = wait
+        elif wait:
+            yield _whole(*wait[1:])
+        before = np.zeros(len(at), dtype=np.int64)
+        before[0] = had
+        total = before + np.add.reduceat(n, at)
+        after = n_ids - (before[doc] + done - begun[doc])
+        if (after < 0).any():
+            raise ValueError("a document has more ids than its recipe says")
+        joined = np.bitwise_xor.reduceat(crc_shift(crc, 4 * after), at)
+        joined[0] ^= np.uint32(mixed)
+        facts = batch.select(["doc_id", "start", "n_ids"]).take(pa.array(at))
+        last = len(at) - 1
+        if last:
+            yield _whole(facts.slice(0, last), total[:last], joined[:last])
+        wait = (int(part[-1]), int(local[-1])), facts.slice(last), int(total[last]), int(joined[last])
+    if wait:
+        yield _whole(*wait[1:])
+
+
+def _whole(facts: pa.RecordBatch, n: np.ndarray | int, crc: np.ndarray | int) -> pa.RecordBatch:
+    n, crc = np.atleast_1d(np.asarray(n, dtype=np.int64)), np.atleast_1d(np.asarray(crc)).astype(np.int64)
+    if (facts.column("n_ids").to_numpy() != n).any():
+        raise ValueError("a document has another number of ids than its recipe says")
+    return pa.RecordBatch.from_arrays([facts.column("doc_id"), facts.column("start"), pa.array(n), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_checks(spark: SparkSession, path: str, width: int = 2) -> DataFrame:

@@ -8,12 +8,11 @@ from panelith.llm.encoder import WordEncoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE = Tokenizer.from_file(PATH)
-WHOLE.encode_special_tokens = True
 OURS = WordEncoder(PATH, cache_words=50)
 
 pieces = st.one_of(
     st.text(max_size=12),
-    st.sampled_from(["Straße,", "ΑΣ", "ΑΣ.", "İstanbul", "été", "́x", "don't", "'s", "\x01", "<|endoftext|>", "a.b", "123,4", "ﬁn", "ǅ", "...", "ö!", "　", " x", "\x1cx"]),
+    st.sampled_from(["Straße,", "ΑΣ", "ΑΣ.", "İstanbul", "été", "́x", "don't", "'s", "\x01", "<|endoftext|>", "<|ENDOFTEXT|>", "x<|startoftext|>5's", "a.b", "123,4", "a1b2", "'5", "''s", "l'll×x÷", "ĭĬİ.", "≮", "≮", "e̸.", "É-È_à", "x×.", "ȿɀ.", "ﬁn", "ǅ", "...", "ö!", "　", " x", "\x1cx"]),
     st.text(alphabet="abcéñßÜ.,!?", max_size=10),
 )
 
@@ -27,7 +26,27 @@ def test_words_give_the_ids_of_the_whole_text(words, gap):
 
 
 def test_edge_texts():
-    assert OURS.words.shortcut
+    assert OURS.by_words
     assert len(OURS.encode(None)) == len(OURS.encode("")) == len(OURS.encode(" \n")) == 0
     long = "word " * 50_000
     assert np.array_equal(OURS.encode(long), np.array(WHOLE.encode(long, add_special_tokens=False).ids))
+
+
+def test_long_texts_pass_in_segments(monkeypatch):
+    from panelith.llm import encoder
+
+    monkeypatch.setattr(encoder, "SEGMENT", 100)
+    texts = ["Über alles, " * 300, "x" * 5000, None, "a <|endoftext|> b " * 40, "", "1234 " * 10]
+    for got, text in zip(OURS.encode_all(texts), texts, strict=True):
+        assert got.tolist() == WHOLE.encode(text or "", add_special_tokens=False).ids
+
+
+def test_other_forms_encode_whole_texts(tmp_path):
+    import json
+
+    said = json.load(open(PATH, encoding="utf-8"))
+    said["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said), encoding="utf-8")
+    text = "Some Words, and 12 MORE"
+    assert WordEncoder(str(path)).encode(text).tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids

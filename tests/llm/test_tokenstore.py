@@ -54,10 +54,49 @@ def test_equal_passages_are_stored_once(spark, stored):
     assert held < 0.7 * ids
 
 
-def test_damage_is_found():
+def test_crcs_of_pieces_join_to_that_of_the_whole():
+    rng = np.random.default_rng(3)
+    for sizes in ([0, 1, 5], [700, 0, 70_001, 3], [1], [9] * 50):
+        parts = [rng.bytes(n) for n in sizes]
+        after = np.cumsum(sizes[::-1])[::-1] - sizes
+        got = np.bitwise_xor.reduce(tokenstore.crc_shift(np.array([zlib.crc32(p) for p in parts]), after))
+        assert int(got) == zlib.crc32(b"".join(parts))
+
+
+def test_merkle_root_depends_on_order():
     assert tokenstore.merkle([b"a", b"b", b"c"]) != tokenstore.merkle([b"a", b"c", b"b"])
-    a, b = b"some bytes", b"and more of them"
-    assert tokenstore.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+@pytest.mark.parametrize("how", ["flipped payload", "lost chunk", "other digests"])
+def test_damaged_data_are_found(spark, tmp_path, how):
+    path = f"{tmp_path}/store"
+    tokenstore.write_store(spark.createDataFrame([(k, f"text number {k} " * 90, "") for k in range(20)], SCHEMA), path, PATH)
+    if how == "other digests":
+        table, hurt = "recipes", "if(doc_id = 3, concat(digests, substring(digests, 1, 16)), digests) AS digests"
+        bad = spark.read.parquet(f"{path}/{table}").selectExpr("doc_id", "part", "local_start", "n_ids", "root", hurt)
+    else:
+        table, data = "data", spark.read.schema(tokenstore.DATA_SCHEMA).parquet(f"{path}/data")
+        one = data.where("kind = 0").agg({"key": "max"}).first()[0].hex()
+        hurt = f"if(kind = 0 and hex(key) = upper('{one}'), concat(payload, X'0101'), payload) AS payload"
+        bad = data.selectExpr("kind", "key", hurt, "doc_id", "n_ids", "digests") if how == "flipped payload" else data.where(f"kind = 1 or hex(key) <> upper('{one}')")
+    writer = bad.write if table == "recipes" else bad.write.partitionBy("kind")
+    writer.parquet(f"{path}/hurt")
+    (tmp_path / "store" / table).rename(tmp_path / "store" / "before")
+    (tmp_path / "store" / "hurt").rename(tmp_path / "store" / table)
+    for read in (tokenstore.read_checks, tokenstore.read_documents):
+        with pytest.raises(Exception, match="does not match its|missing"):
+            read(spark, path).collect()
+
+
+def test_documents_over_several_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        path = common.new_path(spark, "store")
+        tokenstore.write_store(spark.createDataFrame([(k, f"{k} lorem {k * k} " * (400 * (k % 4) + 1), "") for k in range(30)], SCHEMA), path, PATH)
+        got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokenstore.read_checks(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: (len(w := [*ids_of(f"{k} lorem {k * k} " * (400 * (k % 4) + 1)), 2]), crc(w)) for k in range(30)}
 
 
 def test_borders_cover_every_id():
