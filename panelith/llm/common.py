@@ -85,6 +85,14 @@ def doc_fold(col: str = "doc_id", folds: int = 5):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def free_name(names: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores behind it until no column has the name."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def pick(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Only the columns an operator reads, so that further columns, whatever their names, can't clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

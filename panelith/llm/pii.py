@@ -1,10 +1,12 @@
 """Personal data: base patterns and bootstrapped contextual extraction.
 
-Base patterns find e-mail addresses, IP addresses, card and phone numbers by contract. They are the seeds of a bootstrap:
-every seed and every other token with a digit is an occurrence with a lexical pattern, its two left words. Spark scores the
-graph of patterns and instances iteratively: a pattern's confidence for a kind is the mean score of its instances for that kind, an
-unknown instance's score the mean confidence of its patterns. A pattern that enough different seeds support and whose
-confidence passes the threshold adds the unknown identifiers that stand behind it; base spans stay as they are.
+Base patterns find e-mail addresses, IP addresses, card and phone numbers by contract. They are the seeds of a bootstrap. Each seed and each
+other token with a digit or with a sign of identifiers inside is an occurrence with up to three lexical patterns: the two words before it, the
+word before and the word behind it, and the two words behind it. Spark scores the graph of patterns and instances iteratively: a pattern's confidence
+for a kind is the mean score of its instances, where a known instance counts 1 for its own kind, and an unknown one the mean confidence of its *other*
+patterns, so that no pattern vouches for itself. A pattern that enough different known instances support and whose confidence passes the
+threshold discovers the unknown instances that stand in it. These are known in the next round and support further patterns, until a round
+finds none or ``ROUNDS`` are over. Added are the occurrences in passing patterns; base spans stay as they are.
 
 All spans are in code points, end exclusive. Texts are matched whole and in linear time, however long the runs in them.
 
@@ -31,14 +33,13 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Tokens with a digit, and the words to the left of one.
-NUMBERED = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
-WORDS = re.compile(r"\S+")
+#: Tokens that hold a digit or a sign of identifiers.
+MARKS = "0123456789@_([{=/\\"
+NUMBERED = re.compile(r"(?<!\S)[^\s0-9@_(\[{=/\\]*+[0-9@_(\[{=/\\]\S*+")
 TRIM = ".,;:!?\"'()[]{}<>|*#%&$"
 
-#: How many rounds the graph is scored, how many different seeds a pattern needs, and how sure it must be.
-ROUNDS, LEAST_SEEDS, CONFIDENCE = 3, 5, 0.8
-LEAST_LENGTH = 5
+#: How many rounds of discovery, how often the graph is scored in each, how many known instances a pattern needs, and how sure it must be.
+ROUNDS, SCORINGS, LEAST_SEEDS, CONFIDENCE = 5, 3, 5, 0.8
 
 
 def luhn(digits: str) -> bool:
@@ -84,17 +85,39 @@ def describe(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _left(text: str, start: int) -> str:
-    """The two words before a position, without their punctuation; at most 80 characters are looked at."""
-    words = text[max(0, start - 80) : start].lower().split()[-2:]
-    return " ".join(w.strip(TRIM) for w in words)
+def _around(text: str, start: int, end: int) -> list[str]:
+    """The patterns of a span: two words before it, one before and one behind, two behind; without their punctuation."""
+    width = 64
+    while True:  # whole words, however long: the first of the window may be cut
+        left = text[max(0, start - width) : start].rstrip(TRIM).lower().split()
+        if len(left) > 2 or start <= width:
+            break
+        width *= 2
+    width = 64
+    while True:
+        behind = text[end : end + width].lstrip(TRIM)
+        right = behind.lower().split()
+        if len(right) > 3 or end + width >= len(text):
+            break
+        width *= 2
+    if behind and not behind[0].isspace():
+        right = right[1:]  # the rest of the token itself
+    left, right = [w.strip(TRIM) for w in left[-2:]], [w.strip(TRIM) for w in right[:2]]
+    out = []
+    if len(left) == 2 and all(left):
+        out.append("<<" + " ".join(left))
+    if left and right and left[-1] and right[0]:
+        out.append(f"<>{left[-1]} {right[0]}")
+    if len(right) == 2 and all(right):
+        out.append(">>" + " ".join(right))
+    return out
 
 
-def occurrences(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, int]]:
-    """(start, end, pattern, instance, kind or -1) of the seeds and of the other tokens with a digit."""
-    if not text or not any(c in text for c in "0123456789"):
+def occurrences(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple[int, int, list[str], str, int]]:
+    """(start, end, patterns, instance, kind or -1) of the seeds and of the other tokens that may be identifiers."""
+    if not text:
         return []
-    out = [(s, e, _left(text, s), text[s:e].lower(), k) for s, k, e in base]
+    out = [(s, e, _around(text, s, e), text[s:e].lower(), k) for s, k, e in base]
     n, reach = 0, 0
     for m in NUMBERED.finditer(text):
         raw = m[0]
@@ -103,13 +126,13 @@ def occurrences(text: str | None, base: list[tuple[int, int, int]]) -> list[tupl
         while n < len(base) and base[n][0] < start:
             reach = max(reach, base[n][2])
             n += 1
-        if end - start >= LEAST_LENGTH and reach <= start and not (n < len(base) and base[n][0] < end):
-            out.append((start, end, _left(text, start), text[start:end].lower(), -1))
+        if start < end and reach <= start and not (n < len(base) and base[n][0] < end) and any(c in MARKS for c in text[start:end]):
+            out.append((start, end, _around(text, start, end), text[start:end].lower(), -1))
     return [x for x in out if x[2]]
 
 
-SCAN_SCHEMA = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<start: long, end: long, pattern: long, instance: long, kind: int>>"
-_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.int64()), ("instance", pa.int64()), ("kind", pa.int32())]))
+SCAN_SCHEMA = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base string, found array<struct<start: long, end: long, patterns: array<long>, instance: long, kind: int>>"
+_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("patterns", pa.list_(pa.int64())), ("instance", pa.int64()), ("kind", pa.int32())]))
 
 
 def _key(text: str) -> int:
@@ -123,7 +146,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = cell.as_py() or ""
             base = base_spans(text)
             counts = [sum(k == kind for _, k, _ in base) for kind in range(len(KINDS))]
-            found = [{"start": s, "end": e, "pattern": _key(p), "instance": _key(i), "kind": k} for s, e, p, i, k in occurrences(text, base)]
+            found = [{"start": s, "end": e, "patterns": [_key(x) for x in p], "instance": _key(i), "kind": k} for s, e, p, i, k in occurrences(text, base)]
             rows.append((doc_id, _key(text), *counts, describe(base), found))
         types = (*[pa.int64()] * 6, pa.string(), _FOUND)
         cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
@@ -136,39 +159,69 @@ def scan(docs: DataFrame) -> DataFrame:
     return common.pick(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, SCAN_SCHEMA)
 
 
-def patterns(scanned: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern, kind) of the patterns that pass, from the graph of patterns and instances."""
-    each = scanned.select(F.explode("found").alias("f")).select("f.pattern", "f.instance", "f.kind")
-    # an edge once, however many copies hold it; a seed's kind is certain
-    edges = common.materialize(each.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
-    kinds = F.array(*[F.lit(k) for k in range(len(KINDS))])
-    seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
-    active = common.materialize(seeds, "seeded")  # other patterns can't pass
-    unknown = edges.where("kind < 0").join(active.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "instance")
-    sure = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("sure"))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
-    known = common.materialize(active.join(sure, ["pattern", "kind"]).join(size, "pattern").select("pattern", "kind", "sure", "size"), "known")
-    unknown = common.materialize(unknown, "unknown")
-    scores = known.select("pattern", "kind", (F.col("sure") / F.col("size")).alias("confidence"))
-    for _ in range(rounds - 1):
-        # instances of patterns without confidence for a kind count as zero there
-        degree = unknown.groupBy("instance").agg(F.count("*").alias("degree"))
-        lifted = unknown.join(scores, "pattern").groupBy("instance", "kind").agg(F.sum("confidence").alias("total"))
-        lifted = lifted.join(degree, "instance").select("instance", "kind", (F.col("total") / F.col("degree")).alias("score"))
-        gain = unknown.join(lifted, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("gain"))
-        scores = known.join(gain, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("sure") + F.coalesce("gain", F.lit(0.0))) / F.col("size")).alias("confidence"))
-        scores = common.materialize(scores, "confidence")
-    best = scores.where(F.col("confidence") >= confidence).groupBy("pattern").agg(F.max_by("kind", "confidence").alias("as_kind"))
-    best = common.materialize(best, "patterns")
-    common.discard(edges, active, known, unknown)
-    return best
+def graph(scanned: DataFrame) -> DataFrame:
+    """The edges (pattern, instance, kind or -1), each once, however many copies hold it. A base kind of an instance holds wherever it stands."""
+    each = scanned.select(F.explode("found").alias("f")).select(F.explode("f.patterns").alias("pattern"), "f.instance", "f.kind")
+    return each.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+
+
+def confidences(edges: DataFrame, scorings: int = SCORINGS, least_seeds: int = LEAST_SEEDS) -> DataFrame | None:
+    """(pattern, kind, confidence) of the patterns with enough known instances of the kind, or None if there are none."""
+    known = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("sure")).where(F.col("sure") >= least_seeds)
+    known = common.materialize(known, "known")
+    if not known.take(1):
+        common.discard(known)
+        return None
+    size = edges.join(known.select("pattern").distinct(), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("size"))
+    known_sized = common.materialize(known.join(size, "pattern"), "known")
+    unknown = edges.where("kind < 0").join(known.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "instance")
+    # a pattern without confidence for a kind counts as zero: the mean is over all of an instance's patterns in the graph
+    degree = edges.where("kind < 0").groupBy("instance").agg(F.count("*").alias("degree"))
+    unknown = common.materialize(unknown.join(degree, "instance").where("degree > 1"), "unknown")
+    scores = known_sized.select("pattern", "kind", (F.col("sure") / F.col("size")).alias("confidence"))
+    for _ in range(scorings - 1):
+        votes = unknown.join(scores, "pattern")
+        total = votes.groupBy("instance", "kind").agg(F.sum("confidence").alias("total"))
+        others = unknown.join(total, "instance").join(scores.withColumnRenamed("confidence", "own"), ["pattern", "kind"], "left")
+        gain = others.groupBy("pattern", "kind").agg(F.sum((F.col("total") - F.coalesce("own", F.lit(0.0))) / (F.col("degree") - 1)).alias("gain"))
+        raised = known_sized.join(gain, ["pattern", "kind"], "left")
+        new = common.materialize(raised.select("pattern", "kind", ((F.col("sure") + F.coalesce("gain", F.lit(0.0))) / F.col("size")).alias("confidence")), "confidence")
+        common.discard(scores)
+        scores = new
+    common.discard(unknown, known) if scorings > 1 else None
+    return scores
+
+
+def patterns(scanned: DataFrame, rounds: int = ROUNDS, scorings: int = SCORINGS, least_seeds: int = LEAST_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
+    """(pattern, as_kind, confidence) of the patterns that pass in the last round; what passed before still does, as known instances only grow."""
+    spark = scanned.sparkSession
+    edges = common.materialize(graph(scanned), "edges")
+    passed = spark.createDataFrame([], "pattern long, as_kind int, confidence double")
+    for _ in range(rounds):
+        scores = confidences(edges, scorings, least_seeds)
+        if scores is None:
+            break
+        sure = scores.where(F.col("confidence") >= confidence).groupBy("pattern").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("best"))
+        now = common.materialize(sure.select("pattern", (-F.col("best.col2")).cast("int").alias("as_kind"), "best.confidence"), "patterns")
+        votes = edges.where("kind < 0").join(now, "pattern").groupBy("instance").agg(F.max(F.struct("confidence", -F.col("as_kind"))).alias("best"))
+        found = common.materialize(votes.select("instance", (-F.col("best.col2")).cast("int").alias("as_kind")), "discovered")
+        passed = now
+        if not found.take(1):
+            break
+        grown = edges.join(found, "instance", "left").select("pattern", "instance", F.coalesce("as_kind", "kind").alias("kind"))
+        before, edges = edges, common.materialize(grown, "edges")
+        common.discard(before, found)
+    common.discard(edges)
+    return passed
 
 
 def added_spans(scanned: DataFrame, passing: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, added): the spans that the patterns add, for the texts that have any."""
+    """(doc_id, text_hash, added): the spans that the patterns add, for the texts that have any; the surest pattern names the kind."""
     other = scanned.select("doc_id", "text_hash", F.explode("found").alias("f")).where("f.kind < 0")
-    hits = other.select("doc_id", "text_hash", F.col("f.pattern").alias("pattern"), F.col("f.start").alias("start"), F.col("f.end").alias("end")).join(passing, "pattern")
-    return hits.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", F.col("as_kind").alias("kind"), "end"))).alias("added"))
+    each = other.select("doc_id", "text_hash", "f.start", "f.end", F.explode("f.patterns").alias("pattern")).join(passing, "pattern")
+    hits = each.groupBy("doc_id", "text_hash", "start", "end").agg(F.max(F.struct("confidence", -F.col("as_kind"))).alias("best"))
+    span = F.struct("start", (-F.col("best.col2")).cast("int").alias("kind"), "end")
+    return hits.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(span)).alias("added"))
 
 
 def _same_text(a: DataFrame, b: DataFrame):
@@ -225,12 +278,14 @@ def redact(docs: DataFrame) -> DataFrame:
 
     if not added.take(1):
         return docs.mapInArrow(masked(False), fields)
+    key, its_id, its_key, more_spans = (common.free_name(names, x) for x in ("text_key", "its_id", "its_key", "added_spans"))
 
     def keyed(batches):
         for batch in batches:
             h = pa.array([_key(t.as_py() or "") for t in batch.column("text")], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, h], names=[*batch.schema.names, "__hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, h], names=[*batch.schema.names, key])
 
-    marked = docs.mapInArrow(keyed, f"{fields}, __hash long")
-    joined = marked.join(added.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h"), F.col("added").alias("__added")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__added").mapInArrow(masked(True), fields)
+    marked = docs.mapInArrow(keyed, f"{fields}, `{key}` long")
+    held = added.select(F.col("doc_id").alias(its_id), F.col("text_hash").alias(its_key), F.col("added").alias(more_spans))
+    joined = marked.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col(its_id)) & (F.col(key) == F.col(its_key)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], more_spans).mapInArrow(masked(True), fields)

@@ -1,12 +1,12 @@
 """SimHash near-duplicates with bit-sliced Hamming comparison.
 
 A fingerprint has 64 bits. Equal fingerprints collapse first, so copies cost one row each. Two fingerprints that differ in at most
-two bits agree in at least two of four 16-bit parts; each of the six pairs of parts is a 32-bit key, and only fingerprints
-that share a key are compared. Keys with more members than a block holds are cut into blocks and compared block by block, so
-no pair is lost and no task holds an unbounded group.
+r bits agree in at least one of r + 1 parts of their bits; only fingerprints that share a part are compared. Keys with more members than
+a block holds are cut into blocks and compared block by block, so no pair is lost and no task holds an unbounded group; keys with few members
+share a block, where a mask keeps them apart.
 
 Inside a block the fingerprints stand as bit planes; the distances of a batch of queries grow plane by plane in carry-save
-counters over machine words, and a batch is left once every distance exceeds the radius. Blocks return a spanning forest of
+counters over machine words, and a block is left once every distance exceeds the radius. Blocks return a spanning forest of
 their links, never all pairs.
 
 Edge cases: null or empty texts and texts without words have fingerprint zero and link like any other; repeated rows give
@@ -16,23 +16,24 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .graph import connected_components
 
 SEED, SHINGLE, RADIUS, BITS = 42, 3, 2, 64
-#: Fingerprints compared at once; larger groups are cut into so large blocks.
-BLOCK = 4096
+#: Fingerprints compared at once; larger groups are cut into so large blocks, small ones share a block of up to ``MERGED``.
+BLOCK, MERGED, QUERIES = 4096, 512, 256
+#: A class of equal fingerprints is hot if it holds more than one part in so many of all rows.
+HOT = 10_000
 #: Stands for a null id where the least id is sought.
 NO_ID = (1 << 63) - 1
-PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -65,10 +66,12 @@ def _with_fingerprint(width: int):
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and signed fingerprint of every row."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, marked: bool = False) -> DataFrame:
+    """doc_id and signed fingerprint of every row, and its ``text_mark`` if asked for."""
     common.prepare(docs.sparkSession)
-    return common.pick(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_with_fingerprint(width), "doc_id long, fp long")
+    more = [text_mark().alias("mark")] if marked else []
+    given = common.pick(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), *more, "text")
+    return given.mapInArrow(_with_fingerprint(width), "doc_id long, " + "mark long, " * marked + "fp long")
 
 
 class Planes:
@@ -80,41 +83,40 @@ class Planes:
         bits = np.zeros((self.words * 64, BITS), dtype=np.uint8)
         bits[: self.n] = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         self.planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
-        self.valid = np.packbits((np.arange(self.words * 64) < self.n).astype(np.uint8), bitorder="little").view("<u8")
         self.all_or, self.all_and = int(np.bitwise_or.reduce(fps)), int(np.bitwise_and.reduce(fps))
 
-    def within(self, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-        """Packed bits, a row per query: which members differ in at most ``radius`` bits."""
-        out = np.empty((len(queries), self.words), dtype="<u8")
+    def within(self, queries: np.ndarray, radius: int, asked: np.ndarray) -> np.ndarray:
+        """Packed bits, a row per query: which of the members ``asked`` of it (packed likewise) differ in at most ``radius`` bits."""
+        out = asked.copy()
         depth = (radius + 1).bit_length()
-        for at in range(0, len(queries), 256):
-            q = queries[at : at + 256]
+        for at in range(0, len(queries), QUERIES):
+            q = queries[at : at + QUERIES]
             varies = (self.all_or | int(np.bitwise_or.reduce(q))) ^ (self.all_and & int(np.bitwise_and.reduce(q)))
-            shape = (len(q), self.words)
-            counters = [np.zeros(shape, dtype="<u8") for _ in range(depth)]
-            over = np.broadcast_to(~self.valid, shape).copy()
-            left = 0
-            for bit in range(BITS):
-                if not varies >> bit & 1:
-                    continue
+            left = out[at : at + QUERIES]
+            rows = np.flatnonzero(left.any(axis=1))
+            counters = [np.zeros((len(rows), self.words), dtype="<u8") for _ in range(depth)]
+            open_, q = left[rows], q[rows]
+            for seen, bit in enumerate(b for b in range(BITS) if varies >> b & 1):
+                if seen % 8 == 0:  # the block is left once every distance exceeds the radius, and so is each query
+                    some = open_.any(axis=1)
+                    if not some.any():
+                        break
+                    if some.sum() < 0.5 * len(some):
+                        left[rows[~some]] = 0
+                        rows, q, open_, counters = rows[some], q[some], open_[some], [c[some] for c in counters]
                 carry = self.planes[bit][None, :] ^ (np.uint64(0) - ((q >> np.uint64(bit)) & np.uint64(1)))[:, None]
-                carry &= ~over
+                carry &= open_
                 for c in counters:  # carry-save: sum stays, carry moves up
                     kept = c & carry
                     c ^= carry
                     carry = kept
-                over |= carry
-                beyond = self._exceeds(counters, radius)
-                over |= beyond
-                left += 1
-                if left % 8 == 0 and (over == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
-                    break
-            out[at : at + 256] = ~over
+                open_ &= ~self._exceeds(counters, radius)
+            left[rows] = open_
         return out
 
     @staticmethod
     def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
-        """Where the counter is ``radius + 1``; counts rise by one, so none passes it unseen."""
+        """Where the counter is ``radius + 1``; counts rise by one and stop there, so none passes it unseen."""
         hit = None
         for k, c in enumerate(counters):
             x = c if (radius + 1) >> k & 1 else ~c
@@ -122,29 +124,46 @@ class Planes:
         return hit
 
 
-def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges that connect each linked group inside one block."""
-    near = Planes(fps).within(fps, radius)
-    n, out = len(fps), []
-    seen = np.zeros(n, dtype=bool)
-    degree = np.bitwise_count(near).sum(axis=1)
-    seen[degree <= 1] = True
-    for root in range(n):
+def _packed(asked: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of whole words."""
+    out = np.zeros((asked.shape[0], -(-asked.shape[1] // 64) * 8), dtype=np.uint8)
+    bits = np.packbits(asked, axis=1, bitorder="little")
+    out[:, : bits.shape[1]] = bits
+    return out.view("<u8")
+
+
+def _unpacked(words: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(words.view(np.uint8), axis=-1, bitorder="little")[..., :n].astype(bool)
+
+
+def forest(fps: np.ndarray, radius: int = RADIUS, run: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges between places of one block that connect each linked group; with ``run``, only places of one run are compared."""
+    n = len(fps)
+    later = np.triu(np.ones((n, n), dtype=bool), 1)
+    if run is not None:
+        later &= run[:, None] == run[None, :]
+    near = Planes(fps).within(fps, radius, _packed(later))
+    if not near.any():
+        return []
+    near = _unpacked(near, n)
+    near |= near.T
+    alone = ~near.any(axis=1)
+    seen, out = alone.copy(), []
+    for root in np.flatnonzero(~alone).tolist():
         if seen[root]:
             continue
         seen[root] = True
         front = np.array([root])
         while len(front):
-            mask = np.unpackbits(np.bitwise_or.reduce(near[front], axis=0).view(np.uint8), bitorder="little")[:n].astype(bool)
-            front = np.flatnonzero(mask & ~seen)
+            front = np.flatnonzero(near[front].any(axis=0) & ~seen)
             seen[front] = True
-            out += [(int(fps[root]), int(fps[k])) for k in front]
+            out += [(root, int(k)) for k in front]
     return out
 
 
 def cross_forest(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Edges that connect each linked group across two blocks; links inside either block are left to ``forest``."""
-    near, out = Planes(b).within(a, radius), []
+    near, out = Planes(b).within(a, radius, _packed(np.ones((len(a), len(b)), dtype=bool))), []
     left = near.any(axis=1)
     for root in range(len(a)):
         if not left[root]:
@@ -159,51 +178,65 @@ def cross_forest(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> list[tup
             reach = wider
         left[rows] = False
         left[root] = False
-        hit = np.flatnonzero(np.unpackbits(reach.view(np.uint8), bitorder="little")[: len(b)])
+        hit = np.flatnonzero(_unpacked(reach, len(b)))
         out += [(int(a[root]), int(b[k])) for k in hit] + [(int(a[k]), int(b[hit[0]])) for k in rows if k != root]
     return out
 
 
-BLOCK_SCHEMA = "kind int, a long, b long, t int, key long, tile int, members binary"
+BLOCK_SCHEMA = "a long, b long, key long, tile int, members binary"
 
 
 def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["kind", "a", "b", "t", "key", "tile", "members"])
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["a", "b", "key", "tile", "members"])
 
 
-def _blocks(radius: int):
-    """Rows sorted by (t, key, tile): links inside each run, and the run itself if its key has more blocks."""
+def merged_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables of whole runs of equal ``keys``, with the number of each row's run; several runs share a table up to ``most`` rows."""
+    wait: list[pa.RecordBatch] = []
+    rows, last = 0, None
+
+    def number(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, dtype=bool)
+        for k in keys:
+            v = table[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.cumsum(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        run = number(table)
+        starts = np.flatnonzero(np.diff(run, prepend=-1)).tolist()
+        for at, to in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(batch.column(k)[at].as_py() for k in keys)
+            if wait and key != last and rows + to - at > most:
+                whole = pa.Table.from_batches(wait).combine_chunks()
+                yield whole, number(whole)
+                wait, rows = [], 0
+            wait.append(batch.slice(at, to - at))
+            rows, last = rows + to - at, key
+    if wait:
+        whole = pa.Table.from_batches(wait).combine_chunks()
+        yield whole, number(whole)
 
-    def finish(head: tuple, members: list[int]) -> list[tuple]:
-        t, key, tile, tiles = head
-        rows: list[tuple] = []
-        if tiles > 1:
-            rows.append((1, None, None, t, key, tile, np.array(members, dtype="<i8").tobytes()))
-        if len(members) <= 12:
-            links = [(x, y) for k, x in enumerate(members) for y in members[:k] if ((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius]
-        else:
-            links = [(_signed(x), _signed(y)) for x, y in forest(np.array(members, dtype="<i8").view("<u8"), radius)]
-        return rows + [(0, x, y, None, None, None, None) for x, y in links]
+
+def _blocks(radius: int):
+    """Rows sorted by (key, tile): links inside each run, and the run itself if its key has more blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, members, rows = None, [], []
-        for batch in batches:
-            for *h, fp in zip(*(batch.column(c).to_pylist() for c in ("t", "key", "tile", "tiles", "fp")), strict=True):
-                if tuple(h) != head or len(members) >= 2 * BLOCK:
-                    # a run beyond twice the block can't arise from hashed tiles; were one to, it would count as an error
-                    if tuple(h) == head:
-                        raise ValueError("a block is larger than planned")
-                    if head and (len(members) > 1 or head[3] > 1):
-                        rows += finish(head, members)
-                    head, members = tuple(h), []
-                members.append(fp)
+        rows: list[tuple] = []
+        for table, number in merged_runs(batches, ["key", "tile"], MERGED):
+            fps = table["fp"].to_numpy()
+            rows += [(int(fps[i]), int(fps[j]), None, None, None) for i, j in forest(fps.view("<u8"), radius, number)]
+            tiles = table["tiles"].to_numpy()
+            for at in np.flatnonzero(np.diff(number, prepend=-1) & (tiles > 1)).tolist():
+                rows.append((None, None, table["key"][at].as_py(), table["tile"][at].as_py(), fps[number == number[at]].astype("<i8").tobytes()))
             if len(rows) > 20_000:
                 yield _block_batch(rows)
                 rows = []
-        if head and (len(members) > 1 or head[3] > 1):
-            rows += finish(head, members)
         yield _block_batch(rows)
 
     return run
@@ -220,79 +253,79 @@ def _cross(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) whose components are those of all links between the distinct fingerprints ``fp``.
+def part_keys(radius: int):
+    """The keys of a fingerprint: its bits in radius + 1 parts. Two that differ in at most ``radius`` bits agree in one of them."""
+    ends = [BITS * k // (radius + 1) for k in range(radius + 2)]
+    parts = [F.shiftrightunsigned(F.shiftleft("fp", BITS - to), BITS - to + at) if to - at < BITS else F.col("fp") for at, to in zip(ends, ends[1:], strict=False)]
+    return F.array(*[F.xxhash64(F.lit(k), part) for k, part in enumerate(parts)])
 
-    Exact for a radius of at most two.
-    """
-    if radius > 2:
-        raise ValueError("four parts find fingerprints that differ in at most two bits")
+
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) whose components are those of all links between the distinct fingerprints ``fp``."""
     spark = fps.sparkSession
     n = common.parallelism(spark)
-    part = [F.shiftrightunsigned(F.col("fp"), 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    keys = F.array(*[F.struct(F.lit(k).alias("t"), F.shiftleft(part[i], 16).bitwiseOR(part[j]).alias("key")) for k, (i, j) in enumerate(PAIRS)])
-    entries = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
-    sizes = entries.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # unequal parts of one hash meet in a block for nothing; no pair is missed
+    entries = fps.select("fp", F.explode(part_keys(radius)).alias("key"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / block).cast("int")
-    shared = entries.join(sizes, ["t", "key"]).select("t", "key", "fp", tiles.alias("tiles"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("tile"))
-    dealt = shared.repartition(n, "t", "key", "tile").sortWithinPartitions("t", "key", "tile")
+    shared = entries.join(sizes, "key").select("key", "fp", tiles.alias("tiles"), F.pmod(F.xxhash64("fp"), tiles).cast("int").alias("tile"))
+    dealt = shared.repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
     found = common.materialize(dealt.mapInArrow(_blocks(radius), BLOCK_SCHEMA), "blocks")
-    parts = found.where("kind = 1")
-    across = parts.alias("x").join(parts.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") < F.col("y.tile")))
+    parts = found.where("members is not null")
+    across = parts.alias("x").join(parts.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") < F.col("y.tile")))
     crossed = across.select(F.col("x.members").alias("x"), F.col("y.members").alias("y")).repartition(n, F.xxhash64("x", "y")).mapInArrow(_cross(radius), "a long, b long")
-    edges = common.materialize(found.where("kind = 0").select("a", "b").unionAll(crossed), "links")
+    edges = common.materialize(found.where("members is null").select("a", "b").unionAll(crossed), "links")
     common.discard(found)
     return edges
 
 
 def classes(rows: DataFrame, radius: int = RADIUS, edges: DataFrame | None = None) -> DataFrame:
-    """Per distinct fingerprint of ``rows`` (doc_id, fp): its least id and that of its component (``NO_ID`` for null).
+    """Per distinct fingerprint of ``rows`` (doc_id, fp): its least id and that of its component (``NO_ID`` for null), and how many rows have it.
 
-    ``edges`` between fingerprints are those of ``links`` unless they are given.
+    ``mark`` is that of the row with the least id, if ``rows`` have one; ``edges`` between fingerprints are those of ``links`` unless they are given.
     """
-    own = common.materialize(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least_id")), "classes")
+    mark = F.col("mark") if "mark" in rows.columns else F.lit(0)
+    own = common.materialize(rows.groupBy("fp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), mark.alias("mark"))).alias("least"), F.count("*").alias("copies")), "classes")
+    own = own.select("fp", F.col("least.id").alias("least_id"), F.col("least.mark").alias("mark"), "copies")
     edges = links(own.select("fp"), radius) if edges is None else edges
     roots = common.materialize(connected_components(edges).withColumnRenamed("v", "fp"), "roots")
     common.discard(edges)
     linked = own.join(roots, "fp")
     best = linked.groupBy("root").agg(F.min(F.struct("least_id", "fp")).alias("best"))
     named = roots.join(best, "root").select("fp", F.col("best.least_id").alias("component"), F.col("best.fp").alias("head"))
-    return own.join(named, "fp", "left").select("fp", "least_id", F.coalesce("component", "least_id").alias("component"), F.coalesce("head", "fp").alias("head"))
+    return own.join(named, "fp", "left").select("fp", "least_id", "mark", "copies", F.coalesce("component", "least_id").alias("component"), F.coalesce("head", "fp").alias("head"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = common.materialize(fingerprints(docs), "fingerprints")
-    named = classes(rows, radius)
-    out = rows.join(named.select("fp", "component"), "fp")
+    named = common.materialize(classes(rows, radius), "named")
+    # rows of the hot classes, of which there are at most HOT, need no shuffle
+    hot = named.where(F.col("copies") > max(1, rows.count() // HOT)).select("fp", F.col("component").alias("hot"))
+    marked = rows.join(F.broadcast(hot), "fp", "left")
+    cold = marked.where("hot is null").join(named.select("fp", "component"), "fp").select("doc_id", "fp", "component")
+    out = cold.unionAll(marked.where("hot is not null").select("doc_id", "fp", "hot"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.nullif("component", F.lit(NO_ID)).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each near-duplicate group, that with the least id, with the columns of ``docs``.
-
-    Of rows that share the least id and the fingerprint, the one with the least text hash stays.
-    """
-    common.prepare(docs.sparkSession)
-    rows = common.materialize(fingerprints(docs), "fingerprints")
-    return keep_heads(docs, rows, links(rows.select("fp").distinct(), radius), lambda text: _signed(fingerprint(text)), rows)
+    """One row of each near-duplicate group, that with the least id, with the columns of ``docs``; of rows that share it, that with the least mark."""
+    rows = common.materialize(fingerprints(docs, marked=True), "fingerprints")
+    return keep_heads(docs, rows, links(rows.select("fp").distinct(), radius), rows)
 
 
-def keep_heads(docs: DataFrame, rows: DataFrame, edges: DataFrame, mark: Callable[[str | None], int], done: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``keep_one`` keeps, if ``rows`` (doc_id, fp) are linked by ``edges``; ``mark`` gives the fp of a text. ``done`` goes."""
-    heads = common.materialize(classes(rows, edges=edges).where("fp = head").select("fp", "least_id"), "heads")
-    common.discard(done)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+def text_mark():
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64("text")
 
-    def add(batches):
-        for batch in batches:
-            text = batch.column(batch.schema.names.index("text"))
-            fp = pa.array([mark(t.as_py()) for t in text], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*batch.schema.names, "__fp"])
 
-    from pyspark.sql import Window
+def keep_heads(docs: DataFrame, rows: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``keep_one`` keeps, if ``rows`` (doc_id, fp, mark) are linked by ``edges``. The table ``done`` goes.
 
-    marked = docs.mapInArrow(add, f"{fields}, __fp long").withColumn("__id", F.coalesce(F.col("doc_id"), F.lit(NO_ID)))
-    kept = marked.join(heads, (F.col("__id") == heads["least_id"]) & (F.col("__fp") == heads["fp"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy(F.xxhash64("text"), "text"))
-    return kept.withColumn("__n", first).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    Whole rows are shuffled once, by id and mark. Of rows equal in both the one with the least hash stays."""
+    heads = common.materialize(classes(rows, edges=edges).where("fp = head").select("least_id", F.col("mark").alias("least_mark")), "heads")
+    common.discard(done)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_mark().alias("mark"))
+    kept = whole.join(heads, (F.col("id") == F.col("least_id")) & (F.col("mark") == F.col("least_mark")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("id", "mark").orderBy(F.xxhash64(F.to_json("row"))))
+    return kept.withColumn("n", first).where("n = 1").select("row.*")

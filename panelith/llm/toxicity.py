@@ -6,8 +6,9 @@ training folds: terms that toxic documents hold far more often, each supported b
 copies of one document teach nothing. Phrases in which a term occurs in clean documents only are exceptions; a hit
 inside one doesn't count. The score is a logistic function of the weight sum and of the weight sum per word.
 
-The classifier is fitted on a bounded sample: about ``MAX_TRAIN`` labelled rows, chosen by the hash of the id. Scoring reads
-every whole text; labels, lang, source and doc_id are no inputs of a score.
+The classifier is fitted on a bounded sample: about ``MAX_TRAIN`` labelled rows, chosen by hashes of id and text, each text of an id once. Lexicon and
+exceptions have no further bound: they hold what is supported often enough in the sample. Scoring reads
+every whole text in time linear in its length; labels, lang, source and doc_id are no inputs of a score.
 
 Edge cases: null and empty texts have no hits and take the score of zero weight; null labels and labels without a document are ignored;
 repeated rows get equal scores; without labelled rows of both kinds the lexicon is empty and every score is the share of
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds of what is learned: labelled rows, candidate terms, terms, exception phrases.
-MAX_TRAIN, MAX_CANDIDATES, MAX_TERMS, MAX_EXCEPTIONS = 20_000, 20_000, 4_096, 4_096
+#: Labelled rows that are learned from.
+MAX_TRAIN = 20_000
 #: A term needs so many different neighbourhoods in toxic documents, a share of its occurrences, and so high log odds.
 LEAST_CONTEXTS, LEAST_VARIETY, LEAST_ODDS = 8, 0.5, 2.5
 FOLDS = 5
@@ -62,7 +63,7 @@ class _Fold(dict):
 
 _FOLD = _Fold()
 _LETTERS = re.compile(r"[^\W\d_]+")
-_TRAIL = re.compile(r"[!|+$@]+(?=\s|$)")
+_TRAIL = re.compile(r"(?<![!|+$@])[!|+$@]++(?=\s|$)")
 
 
 def fold(text: str | None) -> list[str]:
@@ -79,7 +80,18 @@ def _labelled(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     n = given.count()
     if n > bound:
         given = given.where(F.pmod(F.xxhash64("lid"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
-    return common.pick(docs, ["doc_id", "text"]).join(F.broadcast(given), F.col("doc_id") == F.col("lid")).select("text", "toxic")
+    rows = common.pick(docs, ["doc_id", "text"]).join(F.broadcast(given), F.col("doc_id") == F.col("lid"))
+    rows = rows.select("lid", F.xxhash64("text").alias("mark"), "text", "toxic").dropDuplicates(["lid", "mark"])
+    return rows
+
+
+def _sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+    """The training rows, written once as they are read three times. Ids with many texts are thinned like labels."""
+    rows = common.materialize(_labelled(docs, labels, bound), "labelled")
+    n = rows.count()
+    if n > 1.2 * bound:
+        rows = rows.where(F.pmod(F.xxhash64("mark", "lid"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+    return rows.select("text", "toxic")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +164,14 @@ class Model:
         hits, free = [], []
         for end, (length, weight) in a.iter(f" {' '.join(words)} "):
             (free if weight is None else hits).append((end - length + 1, end, weight))
-        total = sum(w for b, e, w in hits if not any(x <= b and e <= y for x, y, _ in free))
+        # from the right: of the exceptions that end behind a hit, does the one that begins first begin before it?
+        total, first, left = 0.0, math.inf, len(free)
+        for b, e, w in reversed(hits):
+            while left and free[left - 1][1] >= e:
+                left -= 1
+                first = min(first, free[left][0])
+            if first > b:
+                total += w
         return math.log1p(total), math.log1p(100 * total / (len(words) + 10))
 
     def score(self, text: str | None) -> float:
@@ -180,8 +199,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
 def train(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = (), max_train: int = MAX_TRAIN) -> Model:
     """Learns lexicon, exceptions and coefficients from the labelled rows of the training folds."""
     common.prepare(docs.sparkSession)
-    # the sample's texts are read three times: written once, they are at most MAX_TRAIN documents
-    rows = common.materialize(_labelled(docs, labels, max_train), "labelled")
+    rows = _sample(docs, labels, max_train)
     sums = rows.mapInArrow(_frequencies, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sums = common.materialize(sums, "terms")
     total = sums.where("term = ''").first()
@@ -190,17 +208,16 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = (), ma
         return Model({}, (), (40.0 if n_toxic else -40.0, 0.0, 0.0))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     found = sums.where("term <> ''").withColumn("odds", odds).where((F.col("toxic") >= 3) & (F.col("odds") >= LEAST_ODDS))
-    candidates = {r["term"]: r["odds"] for r in found.orderBy(F.desc("toxic"), "term").limit(MAX_CANDIDATES).collect()}
+    candidates = {r["term"]: r["odds"] for r in found.collect()}
     around = rows.mapInArrow(_neighbourhoods(frozenset(candidates)), "term string, before string, after string, toxic int, n long")
     around = common.materialize(around.groupBy("term", "before", "after").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("toxic"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("clean")), "neighbourhoods")
     variety = around.where("toxic > 0").groupBy("term").agg(F.count("*").alias("contexts"), F.sum("toxic").alias("n"))
-    kept = variety.where((F.col("contexts") >= LEAST_CONTEXTS) & (F.col("contexts") >= LEAST_VARIETY * F.col("n"))).orderBy(F.desc("contexts"), "term").limit(MAX_TERMS)
-    lexicon = {r["term"]: float(candidates[r["term"]]) for r in kept.collect()}
+    kept = variety.where((F.col("contexts") >= LEAST_CONTEXTS) & (F.col("contexts") >= LEAST_VARIETY * F.col("n"))).select("term")
+    lexicon = {t: float(candidates[t]) for t in sorted(r["term"] for r in kept.collect())}
     pairs = around.select("term", "toxic", "clean", F.explode(F.array(F.concat_ws(" ", "before", "term"), F.concat_ws(" ", "term", "after"))).alias("phrase"))
     clean = pairs.groupBy("phrase", "term").agg(F.sum("toxic").alias("toxic"), F.count(F.when(F.col("clean") > 0, 1)).alias("places")).where("toxic = 0 and places >= 3")
-    # only phrases of the lexicon's terms count against the limit; there are at most MAX_TERMS of these
-    clean = clean.where(F.col("term").isin(list(lexicon)) & (F.trim("phrase") != F.col("term")))
-    learned = [r["phrase"] for r in clean.orderBy(F.desc("places"), "phrase").limit(MAX_EXCEPTIONS).collect()]
+    clean = clean.join(kept, "term", "left_semi").where(F.trim("phrase") != F.col("term"))
+    learned = sorted({r["phrase"] for r in clean.collect()})
     model = Model(lexicon, [*(" ".join(fold(p)) for p in exceptions), *learned], (0.0, 0.0, 0.0))
 
     def features(batches):
@@ -220,13 +237,16 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), name
     spark = docs.sparkSession
     common.prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
+    given = docs.select(*[F.col(f"`{c}`") for c in keep])
+    if "text" not in keep:
+        given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(common.free_name(keep, "text")))
+    at = list(keep).index("text") if "text" in keep else len(keep)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            s = pa.array([m.score(t.as_py()) for t in batch.column(batch.num_columns - 1)], type=pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], s], names=[*keep, name])
+            s = pa.array([m.score(t.as_py()) for t in batch.column(at)], type=pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], s], names=[*keep, name])
 
-    return kept.mapInArrow(run, f"{fields}, {name} double")
+    return given.mapInArrow(run, f"{fields}, {name} double")

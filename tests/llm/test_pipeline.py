@@ -12,7 +12,7 @@ from panelith.llm import common, mixing, toxicity
 from panelith.llm.queries import word_tokenizer
 
 from .test_pii import slow
-from .test_simhash import components, slow_fingerprint
+from .test_shingles import groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score int"
 
@@ -54,14 +54,10 @@ def test_every_stage_on_its_own_input(spark, folder):
             assert sorted(map(key, after)) == sorted(key(r) for r in before if model.score(r["text"]) < 0.5)
             assert not any("grobnik" in (r["text"] or "") for r in after) and len(after) > 200
         elif name == "near_duplicates":
-            fps = {}
-            for r in before:
-                f = slow_fingerprint(r["text"])
-                fps[f] = min(fps.get(f, 1 << 62), 1 << 61 if r["doc_id"] is None else r["doc_id"])
-            comp = components(list(fps), [(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 2])
+            comp = groups([r["text"] for r in before])
             least = {}
-            for f, i in fps.items():
-                least[comp[f]] = min(least.get(comp[f], 1 << 62), i)
+            for n, r in enumerate(before):
+                least[comp[n]] = min(least.get(comp[n], 1 << 62), 1 << 61 if r["doc_id"] is None else r["doc_id"])
             assert sorted(1 << 61 if r["doc_id"] is None else r["doc_id"] for r in after) == sorted(least.values())
         elif name == "personal_data":
             want = []

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,13 +53,34 @@ def clusters(n, seed=3):
 def test_bit_sliced_distances_and_forests():
     fps = clusters(20)
     a = np.array(fps, dtype="<u8")
-    near = np.unpackbits(simhash.Planes(a).within(a).view(np.uint8), axis=1, bitorder="little")[:, : len(a)].astype(bool)
+    every = simhash._packed(np.ones((len(a), len(a)), dtype=bool))
+    near = simhash._unpacked(simhash.Planes(a).within(a, 2, every), len(a))
     brute = np.array([[(x ^ y).bit_count() <= 2 for y in fps] for x in fps])
     assert (near == brute).all()
     want = components(fps, [(fps[i], fps[j]) for i, j in zip(*np.nonzero(brute), strict=True)])
-    assert components(fps, simhash.forest(a)) == want
+
+    def edges(x):
+        return [(int(x[i]), int(x[j])) for i, j in simhash.forest(x)]
+
+    assert components(fps, edges(a)) == want
     x, y = a[::2].copy(), a[1::2].copy()
-    assert components(fps, simhash.forest(x) + simhash.forest(y) + simhash.cross_forest(x, y)) == want
+    assert components(fps, edges(x) + edges(y) + simhash.cross_forest(x, y)) == want
+    for radius in (0, 1, 5, 22, 63):
+        near = simhash._unpacked(simhash.Planes(a).within(a, radius, every), len(a))
+        assert (near == np.array([[(p ^ q).bit_count() <= radius for q in fps] for p in fps])).all()
+
+
+def test_runs_that_share_a_block_stay_apart():
+    fps = np.array([1, 1, 3, 7, 1 << 40, 1, 3], dtype="<u8")
+    assert sorted(simhash.forest(fps, 2, np.array([0, 0, 1, 1, 1, 2, 2]))) == [(0, 1), (2, 3), (5, 6)]
+
+
+def test_small_keys_pass_the_bit_planes(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(simhash.Planes, "within", lambda self, *a, real=simhash.Planes.within: calls.append(self.n) or real(self, *a))
+    batch = pa.RecordBatch.from_pydict({"key": [1, 1, 2, 2], "tile": [0] * 4, "tiles": [1] * 4, "fp": [5, 4, 9, 1 << 30]})
+    got = pa.Table.from_batches(simhash._blocks(2)(iter([batch])))
+    assert calls == [4] and got.num_rows == 1
 
 
 def test_links_with_tiny_blocks(spark):
@@ -66,6 +88,7 @@ def test_links_with_tiny_blocks(spark):
     df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
     brute = [(a, b) for k, a in enumerate(fps) for b in fps[:k] if (a ^ b).bit_count() <= 2]
     for block in (4096, 8):
+        assert simhash.links(df, radius=4, block=block).count()
         got = [(r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1) for r in simhash.links(df, block=block).collect()]
         assert components(fps, got) == components(fps, brute)
 
