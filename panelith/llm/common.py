@@ -96,3 +96,17 @@ def free_name(names: Iterable[str], wanted: str) -> str:
 def pick(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Only the columns an operator reads, so that further columns, whatever their names, can't clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+#: A value is hot if it stands in more than one part in so many of all rows; so many hot values there may be, at most.
+HOT = 10_000
+
+
+def look_up(rows: DataFrame, facts: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (keys, ``copies``, values), which are read twice. Rows of the hot keys, at most ``HOT``, stay where they are."""
+    values = [c for c in facts.columns if c not in keys and c != copies]
+    hot = facts.where(F.col(copies) > max(1, total // HOT)).select(*keys, F.struct(*values).alias("found"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    near = marked.where("found is not null").select(*rows.columns, *[F.col(f"found.{v}").alias(v) for v in values])
+    far = marked.where("found is null").drop("found").join(facts.drop(copies), keys, "left").select(*rows.columns, *values)
+    return near.unionAll(far)

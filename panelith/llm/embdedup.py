@@ -6,8 +6,9 @@ Pairs whose count reaches the calibrated threshold are verified with the exact c
 link is false. The window is three standard deviations of what a pair at the threshold differs by in one direction, and the count
 is the greatest that such a pair reaches with probability ``RECALL``; closer pairs reach it more often.
 
-Blocks are cut along a further projection: its axis falls into cells at least as wide as its own, wider window, so a pair
-lies in one cell or in neighbours, and blocks meet by an equi-join on cells. A cell of any size is dealt into blocks of bounded size.
+Blocks are cut along up to ``AXES`` further projections: each axis falls into cells as wide as its own window, so a pair lies in one cell or in
+neighbours on every axis. Each cell is the host of its own blocks and of those of the neighbours behind it; a cell of any size is dealt into
+blocks of bounded size, and guests pass the host as a stream.
 Blocks return link counts per class and a spanning forest of their links, never all pairs.
 
 Edge cases: null, empty and zero vectors and vectors with null or non-finite components link with nothing and stand alone;
@@ -17,11 +18,13 @@ component has no id; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ from .graph import connected_components
 from .simhash import NO_ID
 from .vectors import as_matrix, finite, runs, with_columns
 
-THRESHOLD, M, DEVIATIONS, CELL_DEVIATIONS, RECALL, BLOCK, SEED = 0.95, 16, 3.0, 4.0, 0.9995, 2048, 20240101
+THRESHOLD, M, DEVIATIONS, CELL_DEVIATIONS, RECALL, BLOCK, SEED, AXES = 0.95, 16, 3.0, 3.0, 0.9995, 2048, 20240101, 3
 
 
 def needed_collisions(m: int = M, deviations: float = DEVIATIONS, recall: float = RECALL) -> int:
@@ -45,8 +48,11 @@ def needed_collisions(m: int = M, deviations: float = DEVIATIONS, recall: float
 
 
 def directions(dim: int, m: int = M) -> np.ndarray:
-    """m + 1 unit directions; the first one cuts the cells."""
-    r = np.random.default_rng(SEED).standard_normal((m + 1, dim))
+    """AXES + m unit directions; the first ones, at right angles as far as the dimension goes, cut the cells."""
+    r = np.random.default_rng(SEED).standard_normal((AXES + m, dim))
+    for k in range(1, min(AXES, dim)):
+        before = r[:k] / np.linalg.norm(r[:k], axis=1, keepdims=True)
+        r[k] -= before.T @ (before @ r[k])
     return r / np.linalg.norm(r, axis=1, keepdims=True)
 
 
@@ -64,15 +70,25 @@ def _window(dim: int, threshold: float, deviations: float) -> float:
     return _chord(threshold) * min(1.0, deviations / math.sqrt(dim)) + 1e-12
 
 
+def cells(rows: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The cell of each unit vector on each axis; axes beyond the dimension are not cut."""
+    dim = rows.shape[1]
+    out = np.floor(rows @ directions(dim)[:AXES].T / _window(dim, threshold, CELL_DEVIATIONS)).astype(np.int32)
+    out[:, dim:] = 0
+    return out
+
+
 def _cells(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("embedding").to_pylist()
-            cells = []
-            for v in vectors:
-                p = float(unit(np.array([v])) @ directions(len(v))[0])
-                cells.append(math.floor(p / _window(len(v), threshold, CELL_DEVIATIONS)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(v) for v in vectors], type=pa.int32()), pa.array(cells, type=pa.int32())], names=[*batch.schema.names, "dim", "cell"])
+            column = batch.column("embedding")
+            dims = np.array(pc.list_value_length(column).to_numpy(zero_copy_only=False), dtype=np.int32)
+            found = np.zeros((len(dims), AXES), dtype=np.int32)
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                found[at] = cells(unit(as_matrix(column.take(pa.array(at)))), threshold)
+            cell = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), AXES).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims), cell], names=[*batch.schema.names, "dim", "cell"])
 
     return run
 
@@ -81,20 +97,20 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (dim, cell, tile), parts in runs(batches, ["dim", "cell", "tile"], 1 << 62):
         whole = pa.Table.from_batches(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x], type=t) for x, t in ((dim, pa.int32()), (cell, pa.int32()), (tile, pa.int32()))]
+            [pa.array([x], type=t) for x, t in ((dim, pa.int32()), (cell, pa.list_(pa.int32())), (tile, pa.int32()))]
             + [pa.array([whole[c].to_numpy().astype("<i8").tobytes()], type=pa.binary()) for c in ("class_id", "copies")]
             + [pa.array([as_matrix(whole["embedding"].combine_chunks()).tobytes()], type=pa.binary())],
             names=["dim", "cell", "tile", "ids", "copies", "data"],
         )
 
 
-PACK_SCHEMA = "dim int, cell int, tile int, ids binary, copies binary, data binary"
+PACK_SCHEMA = "dim int, cell array<int>, tile int, ids binary, copies binary, data binary"
 
 
 def colliding(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, m: int = M) -> np.ndarray:
     """Which pairs of unit vectors reach the needed count: sorted projections, windows as ranges of ranks."""
     dim, need = a.shape[1], needed_collisions(m)
-    r, half = directions(dim, m)[1:], _window(dim, threshold, DEVIATIONS)
+    r, half = directions(dim, m)[AXES:], _window(dim, threshold, DEVIATIONS)
     pa_, pb = a @ r.T, b @ r.T
     count = np.zeros((len(a), len(b)), dtype=np.uint8)
     for t in range(m):
@@ -139,29 +155,76 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return node, label[node]
 
 
-def _compare(threshold: float):
+def _linked(host: tuple, guest: tuple | None, threshold: float) -> pa.RecordBatch | None:
+    """Link counts and a forest of the links inside the host, or between host and guests."""
+    ids, copies, a = host
+    if guest is None:
+        i, j = _links(a, a, threshold)
+        i, j = i[i < j], j[i < j]
+        every, weight_j, off = ids, copies, 0
+    else:
+        i, j = _links(a, guest[2], threshold)
+        every, weight_j, off = np.concatenate([ids, guest[0]]), guest[1], len(ids)
+    if not len(i):
+        return None
+    n = np.bincount(i, weights=weight_j[j], minlength=len(every)) + np.bincount(j + off, weights=copies[i], minlength=len(every))
+    has = np.flatnonzero(n)
+    node, root = spanning(i, j + off, len(every))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([every[has], every[node]])),
+            pa.array(np.concatenate([np.full(len(has), -1), every[root]]).astype(np.int64)),
+            pa.array(np.concatenate([n[has], np.zeros(len(node))]).astype(np.int64)),
+        ],
+        names=["a", "b", "n"],
+    )
+
+
+def _hosts(threshold: float, most: int):
+    """Rows sorted by (dim, at, host, guest): a host block, then its guests, which are compared some ``most`` vectors at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, host, wait, size = None, None, [], 0
+
+        def meet():
+            guests = tuple(np.concatenate([g[k] for g in wait]) for k in range(3))
+            return _linked(host, guests, threshold)
+
         for batch in batches:
-            for dim, same, *raw in zip(*(batch.column(c).to_pylist() for c in ("dim", "same", "a_ids", "a_copies", "a_data", "b_ids", "b_copies", "b_data")), strict=True):
-                a_ids, a_copies, b_ids, b_copies = (np.frombuffer(raw[k], dtype="<i8") for k in (0, 1, 3, 4))
-                a, b = (unit(np.frombuffer(raw[k], dtype="<f8").reshape(-1, dim)) for k in (2, 5))
-                i, j = _links(a, b, threshold)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                if not len(i):
-                    continue
-                ids = np.concatenate([a_ids, b_ids]) if not same else a_ids
-                off = 0 if same else len(a_ids)
-                n = np.bincount(i, weights=b_copies[j], minlength=len(ids)) + np.bincount(j + off, weights=a_copies[i], minlength=len(ids))
-                has = np.flatnonzero(n)
-                node, root = spanning(i, j + off, len(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([ids[has], ids[node]])), pa.array(np.concatenate([np.full(len(has), -1), ids[root]]).astype(np.int64)), pa.array(np.concatenate([n[has], np.zeros(len(node))]).astype(np.int64))], names=["a", "b", "n"]
-                )
+            for dim, at, tile, guest, *raw in zip(*(batch.column(c).to_pylist() for c in ("dim", "at", "host", "guest", "ids", "copies", "data")), strict=True):
+                block = np.frombuffer(raw[0], dtype="<i8"), np.frombuffer(raw[1], dtype="<i8"), unit(np.frombuffer(raw[2], dtype="<f8").reshape(-1, dim))
+                out = []
+                if (dim, at, tile) != key:
+                    if wait:
+                        out.append(meet())
+                    key, host, wait, size = (dim, at, tile), block, [], 0
+                    if guest:
+                        raise ValueError("a block came without its host")
+                    out.append(_linked(host, None, threshold))
+                else:
+                    wait.append(block)
+                    size += len(block[0])
+                    if size >= most:
+                        out.append(meet())
+                        wait, size = [], 0
+                yield from (x for x in out if x is not None)
+        if wait and (last := meet()) is not None:
+            yield last
 
     return run
 
 
+def _meetings(packs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Every block as host (guest 0) and as guest (1) of the blocks of its cell before it and of all blocks of the neighbours before its cell."""
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=AXES) if s > (0,) * AXES]
+    to = F.array(*[F.array(*[F.col("cell")[k] - s[k] for k in range(AXES)]) for s in steps])
+    own = packs.select("dim", F.col("cell").alias("at"), F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("host"), "tile", "ids", "copies", "data")
+    own = own.select("dim", "at", "host", (F.col("host") != F.col("tile")).cast("int").alias("guest"), "ids", "copies", "data")
+    away = packs.select("dim", F.explode(to).alias("at"), "ids", "copies", "data").join(sizes.select("dim", F.col("cell").alias("at"), "tiles"), ["dim", "at"])
+    away = away.select("dim", "at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("host"), F.lit(1).alias("guest"), "ids", "copies", "data")
+    return own.unionAll(away)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -169,30 +232,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     n = common.parallelism(spark)
     rows = with_columns(vectors)
     usable = finite() & F.exists("embedding", lambda x: x != 0)
-    rows = rows.withColumn("embedding", F.when(usable, F.col("embedding")))
-    grouped = rows.where("embedding is not null").groupBy("embedding").agg(F.count("*").alias("copies"), F.min(F.coalesce("vec_id", F.lit(NO_ID))).alias("least"))
+    rows = rows.withColumn("embedding", F.when(usable, F.col("embedding"))).withColumn("key", F.xxhash64("embedding"))
+    grouped = rows.where("embedding is not null").groupBy("key", "embedding").agg(F.count("*").alias("copies"), F.min(F.coalesce("vec_id", F.lit(NO_ID))).alias("least"))
     classes = common.materialize(grouped.withColumn("class_id", F.monotonically_increasing_id()), "vector-classes")
-    placed = common.materialize(classes.mapInArrow(_cells(threshold), "embedding array<double>, copies long, least long, class_id long, dim int, cell int"), "vector-cells")
-    # cells of one length: at most 2 / width + 2, whatever the number of vectors
-    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"))
-    tiled = placed.join(sizes, ["dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("class_id"), F.ceil(F.col("n") / block)).cast("int"))
+    given = classes.select("embedding", "copies", "class_id")
+    placed = common.materialize(given.mapInArrow(_cells(threshold), "embedding array<double>, copies long, class_id long, dim int, cell array<int>"), "vector-cells")
+    # cells of one length: at most (2 / width + 2) ** AXES, whatever the number of vectors
+    sizes = common.materialize(placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("tiles")), "vector-sizes")
+    tiled = placed.join(sizes, ["dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
     packed = tiled.repartition(n, "dim", "cell", "tile").sortWithinPartitions("dim", "cell", "tile").select("dim", "cell", "tile", "class_id", "copies", "embedding").mapInArrow(_pack, PACK_SCHEMA)
     packs = common.materialize(packed, "vector-blocks")
-    a, b = packs.alias("a"), packs.withColumn("at", F.explode(F.array(F.col("cell"), F.col("cell") - 1))).alias("b")
-    meet = a.join(b, (F.col("a.dim") == F.col("b.dim")) & (F.col("a.cell") == F.col("b.at")) & ((F.col("a.cell") < F.col("b.cell")) | (F.col("a.tile") <= F.col("b.tile"))))
-    same = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.tile") == F.col("b.tile"))
-    pairs = meet.select(F.col("a.dim").alias("dim"), same.alias("same"), *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("ids", "copies", "data")], F.xxhash64("a.cell", "a.tile", "b.cell", "b.tile", "a.dim").alias("deal"))
-    found = common.materialize(pairs.repartition(max(n, 4 * spark.sparkContext.defaultParallelism), "deal").mapInArrow(_compare(threshold), "a long, b long, n long"), "vector-links")
-    common.discard(packs, placed)
+    # a tile that no vector fell into has no host: its guests have nothing to meet
+    hosts = packs.select("dim", F.col("cell").alias("at"), F.col("tile").alias("host"))
+    meet = _meetings(packs, sizes).join(hosts, ["dim", "at", "host"], "left_semi")
+    dealt = meet.repartition(max(n, 4 * spark.sparkContext.defaultParallelism), "dim", "at", "host").sortWithinPartitions("dim", "at", "host", "guest")
+    found = common.materialize(dealt.mapInArrow(_hosts(threshold, block), "a long, b long, n long"), "vector-links")
+    common.discard(packs, placed, sizes)
     counts = found.where("b < 0").groupBy("a").agg(F.sum("n").alias("n"))
     roots = common.materialize(connected_components(found.where("b >= 0")), "vector-roots")
     linked = classes.select("class_id", "least").join(roots, F.col("class_id") == F.col("v"))
     best = linked.groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(best, "root").select("class_id", "component")
     facts = classes.join(counts, F.col("class_id") == F.col("a"), "left").join(named, "class_id", "left")
-    facts = facts.select("embedding", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "least").alias("component"))
-    out = rows.join(facts, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.nullif("component", F.lit(NO_ID))).alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    facts = facts.select("key", "embedding", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "least").alias("component"))
+    facts = common.materialize(facts, "vector-facts")
+    held = common.look_up(rows.where("embedding is not null"), facts, ["key", "embedding"], "copies", rows.count())
+    held = held.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.nullif("component", F.lit(NO_ID)).alias("component_id"))
+    alone = rows.where("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return held.unionAll(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 #: The same by brute force in DuckDB's SQL.

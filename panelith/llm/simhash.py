@@ -30,8 +30,6 @@ from .graph import connected_components
 SEED, SHINGLE, RADIUS, BITS = 42, 3, 2, 64
 #: Fingerprints compared at once; larger groups are cut into so large blocks, small ones share a block of up to ``MERGED``.
 BLOCK, MERGED, QUERIES = 4096, 512, 256
-#: A class of equal fingerprints is hot if it holds more than one part in so many of all rows.
-HOT = 10_000
 #: Stands for a null id where the least id is sought.
 NO_ID = (1 << 63) - 1
 
@@ -300,11 +298,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     rows = common.materialize(fingerprints(docs), "fingerprints")
     named = common.materialize(classes(rows, radius), "named")
-    # rows of the hot classes, of which there are at most HOT, need no shuffle
-    hot = named.where(F.col("copies") > max(1, rows.count() // HOT)).select("fp", F.col("component").alias("hot"))
-    marked = rows.join(F.broadcast(hot), "fp", "left")
-    cold = marked.where("hot is null").join(named.select("fp", "component"), "fp").select("doc_id", "fp", "component")
-    out = cold.unionAll(marked.where("hot is not null").select("doc_id", "fp", "hot"))
+    out = common.look_up(rows, named.select("fp", "copies", "component"), ["fp"], "copies", rows.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.nullif("component", F.lit(NO_ID)).alias("component_id"))
 
 

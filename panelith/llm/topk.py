@@ -5,7 +5,9 @@ integer matrix, and its term maxima (and minima, for negative query weights) bou
 the blocks are ordered by the summed bounds and scored until the next bound falls below the k-th score; a block whose bound
 equals it is still scored, as ties go to the smaller id.
 
-Documents are dealt into groups of bounded size; every group meets the query blocks as a stream and keeps ``k`` results per
+Documents stand in the order of their dominant term, so that a block's maxima lie close to its members where the data allow it: bounds skip most
+blocks of vectors with few strong terms, and none of vectors spread evenly in all directions (see the README for figures).
+Documents are dealt into groups of bounded size, one to a task; every group meets the query blocks as a stream and keeps ``k`` results per
 query, and the groups' results are ranked once more.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count as padded with
@@ -53,6 +55,8 @@ class Forward:
         self.x = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for _, x in packs])
         at = np.arange(0, len(self.ids), BLOCK)
         self.top, self.bottom, self.count = np.maximum.reduceat(self.x, at), np.minimum.reduceat(self.x, at), len(at)
+        #: Blocks that were scored, of those that were asked for.
+        self.scored = self.asked = 0
         self.exact = float(np.abs(self.x).max(initial=0)) * width
 
     def search(self, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -65,20 +69,27 @@ class Forward:
         order = np.argsort(-bound, axis=1, kind="stable")
         out = []
         for n, query in enumerate(ids):
-            best, best_ids, at = np.empty(0), np.empty(0, dtype=np.int64), 0
+            best, best_ids, at, step = np.empty(0), np.empty(0, dtype=np.int64), 0, 2
             while at < self.count and (len(best) < k or bound[n, order[n, at]] >= best[-1]):
-                take = order[n, at : at + 4]
-                at += 4
+                take = order[n, at : at + step]
+                if len(best) == k:  # bounds fall: those below the k-th score are at the end
+                    take = take[bound[n, take] >= best[-1]]
+                at, step = at + step, min(2 * step, 64)
+                self.scored += len(take)
                 rows = (take[:, None] * BLOCK + np.arange(BLOCK)[None, :]).ravel()
                 rows = rows[rows < len(self.ids)]
-                rows = rows[self.ids[rows] != query]
-                score, docs = self.x[rows] @ q[n], self.ids[rows]
+                score = self.x[rows] @ q[n]
+                good = self.ids[rows] != query
                 if len(best) == k:
-                    good = score >= best[-1]
-                    score, docs = score[good], docs[good]
-                score, docs = np.concatenate([best, score]), np.concatenate([best_ids, docs])
+                    good &= score >= best[-1]
+                rows, score = rows[good], score[good]
+                if len(rows) > 8 * k:  # ties with the k-th stay
+                    good = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    rows, score = rows[good], score[good]
+                score, docs = np.concatenate([best, score]), np.concatenate([best_ids, self.ids[rows]])
                 by = np.lexsort((docs, -score))[:k]
                 best, best_ids = score[by], docs[by]
+            self.asked += self.count
             out += [(int(query), int(d), int(s)) for d, s in zip(best_ids, best, strict=True)]
         return out
 
@@ -119,16 +130,21 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, group: int = GROUP
     common.prepare(spark)
     n = common.parallelism(spark)
     rows = with_columns(vectors).where(finite() & F.col("vec_id").isNotNull()).withColumn("dim", F.size("embedding"))
-    ranged = rows.repartitionByRange(n, "vec_id").sortWithinPartitions("dim", "vec_id").select("dim", "vec_id", "embedding")
+    size = F.transform("embedding", F.abs)
+    lead = F.array_position(size, F.array_max(size))
+    ordered = rows.withColumn("lead", F.signum(F.element_at("embedding", lead.cast("int"))) * lead)
+    ranged = ordered.repartitionByRange(n, "lead", "vec_id").sortWithinPartitions("dim", "lead", "vec_id").select("dim", "vec_id", "embedding")
     docs = common.materialize(ranged.mapInArrow(_pack(PACK), PACK_SCHEMA).withColumn("no", F.monotonically_increasing_id()), "vector-blocks")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).repartition(n, "vec_id").sortWithinPartitions("dim", "vec_id").select("dim", "vec_id", "embedding")
     queries = asked.mapInArrow(_pack(QUERIES), PACK_SCHEMA)
     blocks = docs.count()
     groups = max(1, -(-blocks // group), min(blocks, 2 * spark.sparkContext.defaultParallelism))
-    held = docs.select(F.pmod(F.xxhash64("no"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), "dim", "ids", "data")
+    turn = F.row_number().over(Window.orderBy("no")) - 1  # over one short row for each PACK documents
+    number = docs.select("no").withColumn("g", F.floor(turn * groups / blocks).cast("int") if blocks else turn)
+    held = docs.join(number, "no").select("g", F.lit(0).alias("kind"), "dim", "ids", "data")
     # the stated query set goes to every group, in blocks
     sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), "dim", "ids", "data")
-    dealt = held.unionAll(sent).repartition(groups, "g").sortWithinPartitions("g", "kind")
+    dealt = held.unionAll(sent).repartitionById(groups, "g").sortWithinPartitions("g", "kind")
     found = dealt.mapInArrow(_serve(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
