@@ -1,14 +1,16 @@
 """The panel store: instruments and facts as tables, and what is read from and written to them.
 
-Facts are long, ``(field, obs_date, ticker, value, source, created_at)``, in Parquet partitioned by field, so that a scan of one field
-reads that directory alone and date bounds reach the file statistics. Writes go to a new version of the table and move a
-pointer, so readers never see half of one.
+Facts are long, ``(field, obs_date, ticker, value, source, created_at)``, in Parquet partitioned by field and year. A commit writes the partitions
+that it touches to a folder of its own and then creates the next file of the log, which lists the folders of every partition. Creating a file
+that exists fails, so of two writers one starts anew on what the other left; readers follow the log and never see half of a commit.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+import json
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ DATA_SOURCES = ("YAHOO", "BLOOMBERG", "BORSDATA", "EXCEL")
 WITHOUT_FIELD = {"volume": ("INDEX",), "dividend": ("INDEX", "FX", "BOND"), "split": ("INDEX", "FX", "BOND")}
 
 FACT_SCHEMA = "obs_date date, ticker string, value double, source string, created_at date, field string"
+FACT_COLUMNS = ("obs_date", "ticker", "value", "source", "created_at", "field")
 DATES_FREE = ("ticker", "has_dividend_history", "first_ex_div_date", "expiry_date", "latest_obs_date", "oldest_obs_date")
 
 
@@ -45,56 +48,136 @@ def convert(panel: DataFrame, instruments: DataFrame, fx: DataFrame, currency: s
     """Values in another currency: fx holds closes of ``<PRICE>_<BASE>.FX`` tickers, taken as of the panel's dates."""
     currency = currency.upper()
     own = instruments.select("ticker", F.upper("currency").alias("__ccy"))
-    named = panel.join(F.broadcast(own), "ticker", "left").withColumn("__fx", F.when(F.col("__ccy") != currency, text.fx_ticker(F.lit(currency), F.col("__ccy"))))
+    named = panel.join(own, "ticker", "left").withColumn("__fx", F.when(F.col("__ccy") != currency, text.fx_ticker(F.lit(currency), F.col("__ccy"))))
     wanted = named.where("__fx is not null").select(F.col("__fx").alias("ticker"), "obs_date").distinct()
     rates = asof.per_ticker(wanted, fx.where("value is not null"), alias="__rate").select(F.col("ticker").alias("__fx"), "obs_date", "__rate")
     joined = named.join(rates, ["__fx", "obs_date"], "left")
     return joined.withColumn("value", F.col("value") * F.when(F.col("__fx").isNull(), F.lit(1.0)).otherwise(F.col("__rate"))).select(*panel.columns)
 
 
-class PanelStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+class Conflict(Exception):
+    """Another writer took the next place in the log."""
 
-    # versions
 
-    def _fs(self):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+class Log:
+    """Numbered JSON files in a folder of any file system that Spark reads."""
 
-    def _versions(self, name: str) -> list[int]:
-        fs, path = self._fs()
-        folder = path(f"{self.path}/{name}")
-        if not fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("v") and fs.exists(path(f"{s.getPath()}/_SUCCESS")))
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
-    def _read(self, name: str, schema: str | None = None) -> DataFrame | None:
-        found = self._versions(name)
+    def _path(self, name: str = ""):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def latest(self) -> tuple[int, dict]:
+        p, fs = self._path()
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        found = sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
         if not found:
-            return self.spark.createDataFrame([], schema) if schema else None
-        reader = self.spark.read.schema(schema) if schema else self.spark.read
-        return reader.parquet(f"{self.path}/{name}/v{found[-1]:06d}")
+            return 0, {"facts": [], "instruments": None}
+        p, fs = self._path(f"{found[-1]:08d}.json")
+        stream = fs.open(p)
+        try:
+            return found[-1], json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def append(self, number: int, state: dict) -> None:
+        """Writes a file of its own and moves it to its place, so that readers find it whole; raises Conflict if the place is taken."""
+        from py4j.protocol import Py4JJavaError
+
+        draft, fs = self._path(f".{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(json.dumps(state).encode())
+        out.close()
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        never_over = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf).rename(draft, self._path(f"{number:08d}.json")[0], never_over)
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            raise Conflict(number) from e
 
-    def _write(self, name: str, df: DataFrame, partition_by: str | None = None) -> None:
-        found = self._versions(name)
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.path}/{name}/v{(found[-1] if found else 0) + 1:06d}")
-        fs, path = self._fs()
-        for old in found[:-1]:  # the version before stays for readers that have begun
-            fs.delete(path(f"{self.path}/{name}/v{old:06d}"), True)
 
-    def facts(self) -> DataFrame:
-        return self._read("facts", FACT_SCHEMA)
+class PanelStore:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.log = Log(spark, f"{self.path}/log")
+
+    # commits
+
+    def _folder(self, name: str, entries: Sequence[Sequence]) -> list[str]:
+        return [f"{self.path}/{name}/batch={batch}/field={field}/year={year}" for field, year, batch in entries]
+
+    def _rows(self, entries: Sequence[Sequence]) -> DataFrame:
+        """The rows of partitions [field, year, batch]."""
+        if not entries:
+            return self.spark.createDataFrame([], FACT_SCHEMA)
+        reader = self.spark.read.schema(FACT_SCHEMA + ", batch string, year int").option("basePath", f"{self.path}/facts")
+        return reader.parquet(*self._folder("facts", entries)).select(*FACT_COLUMNS)
+
+    def _commit(self, touched: Callable[[list], list], change: Callable[[DataFrame], DataFrame] | None, instruments: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Rewrites the partitions (field, year) that ``touched`` names, from those there are, to what ``change`` makes of their rows, and instruments."""
+        for _ in range(20):
+            number, state = self.log.latest()
+            parts = touched(state["facts"])
+            keys = {(f, y) for f, y in parts}
+            entries, table, batch = [e for e in state["facts"] if (e[0], e[1]) not in keys], state["instruments"], uuid.uuid4().hex
+            if change is not None and keys:
+                new = change(self._rows([e for e in state["facts"] if (e[0], e[1]) in keys])).withColumn("year", F.year("obs_date"))
+                new.repartition("field", "year").write.partitionBy("field", "year").parquet(f"{self.path}/facts/batch={batch}")
+                entries += [[f, y, batch] for f, y in sorted(keys) if self._there(f"{self.path}/facts/batch={batch}/field={f}/year={y}")]
+            if instruments is not None:
+                instruments(self._table(state)).coalesce(1).write.parquet(f"{self.path}/instruments/{batch}")
+                table = batch
+            try:
+                return self.log.append(number + 1, {"facts": entries, "instruments": table})
+            except Conflict:
+                self._drop(f"{self.path}/facts/batch={batch}")
+                self._drop(f"{self.path}/instruments/{batch}")
+        raise RuntimeError("other writers were faster twenty times")
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _there(self, path: str) -> bool:
+        p, fs = self._fs(path)
+        return fs.exists(p)
+
+    def _drop(self, path: str) -> None:
+        p, fs = self._fs(path)
+        fs.delete(p, True)
+
+    def vacuum(self) -> None:
+        """Deletes what the present state doesn't list. No reader or writer may be at work."""
+        _, state = self.log.latest()
+        held = {e[2] for e in state["facts"]} | {state["instruments"]}
+        for folder, cut in ((f"{self.path}/facts", "batch="), (f"{self.path}/instruments", "")):
+            p, fs = self._fs(folder)
+            for f in fs.listStatus(p) if fs.exists(p) else []:
+                if f.getPath().getName().removeprefix(cut) not in held:
+                    fs.delete(f.getPath(), True)
+
+    def _table(self, state: dict) -> DataFrame:
+        if state["instruments"] is None:
+            return self.spark.createDataFrame([], "ticker string, instrument_type string, data_source string, currency string")
+        return self.spark.read.parquet(f"{self.path}/instruments/{state['instruments']}")
+
+    def facts(self, field: str | None = None, start=None, end=None) -> DataFrame:
+        """Stored rows; of a field and of a span of dates only their partitions are opened."""
+        lo, hi = (None if d is None else int(str(d)[:4]) for d in (start, end))
+        entries = [e for e in self.log.latest()[1]["facts"] if field in (None, e[0]) and (lo is None or e[1] >= lo) and (hi is None or e[1] <= hi)]
+        rows = self._rows(entries)
+        rows = rows if start is None else rows.where(F.col("obs_date") >= F.lit(start).cast("date"))
+        return rows if end is None else rows.where(F.col("obs_date") <= F.lit(end).cast("date"))
 
     def instruments(self) -> DataFrame:
-        out = self._read("instruments")
-        return out if out is not None else self.spark.createDataFrame([], "ticker string, instrument_type string, data_source string, currency string")
+        return self._table(self.log.latest()[1])
 
     def reset(self) -> None:
         """Empties both tables."""
-        self._write("facts", self.spark.createDataFrame([], FACT_SCHEMA), "field")
-        self._write("instruments", self.instruments().limit(0))
+        self._commit(lambda stored: [e[:2] for e in stored], lambda rows: rows.limit(0), lambda table: table.limit(0))
 
     # instruments
 
@@ -131,48 +214,84 @@ class PanelStore:
         """New instruments. Those that are there stay (ignore), are replaced (replace), or are replaced without their facts (delete)."""
         if on_conflict not in ("ignore", "replace", "delete"):
             raise ValueError("on_conflict is ignore, replace or delete")
-        rows = self._checked(rows.withColumn("ticker", F.upper("ticker"))).dropDuplicates(["ticker"])
-        old = self.instruments()
+        rows = self._checked(rows.withColumn("ticker", F.upper("ticker"))).distinct()
+        if rows.groupBy("ticker").count().where("count > 1").take(1):
+            raise ValueError("a ticker has different attributes in two rows")
+
+        def merged(old: DataFrame) -> DataFrame:
+            if on_conflict == "ignore":
+                return old.unionByName(rows.join(old.select("ticker"), "ticker", "left_anti"), allowMissingColumns=True)
+            return old.join(rows.select("ticker"), "ticker", "left_anti").unionByName(rows, allowMissingColumns=True)
+
         if on_conflict == "delete":
-            self._write("facts", self.facts().join(rows.select("ticker"), "ticker", "left_anti").select(*self.facts().columns), "field")
-        out = old.unionByName(rows.join(old.select("ticker"), "ticker", "left_anti"), allowMissingColumns=True) if on_conflict == "ignore" else old.join(rows.select("ticker"), "ticker", "left_anti").unionByName(rows, allowMissingColumns=True)
-        self._write("instruments", out)
+            self._commit(self._all, lambda facts: facts.join(rows.select("ticker"), "ticker", "left_anti").select(*FACT_COLUMNS), merged)
+        else:
+            self._commit(self._none, None, merged)
+
+    @staticmethod
+    def _all(stored: list) -> list:
+        return [e[:2] for e in stored]
+
+    @staticmethod
+    def _none(stored: list) -> list:
+        return []
 
     def update_attributes(self, changes: DataFrame) -> None:
         """Sets the attributes that ``changes`` (ticker, ...) has; unknown tickers are an error."""
-        old = self.instruments()
-        if changes.join(old, "ticker", "left_anti").take(1):
+        if changes.join(self.instruments(), "ticker", "left_anti").take(1):
             raise ValueError("attributes of an unknown ticker")
-        new = changes.select("ticker", *[F.col(c).alias(f"__{c}") for c in changes.columns if c != "ticker"])
         cols = [c for c in changes.columns if c != "ticker"]
-        joined = old.join(new, "ticker", "left")
-        self._write("instruments", joined.select(*[F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in cols else F.col(c) for c in old.columns], *[F.col(f"__{c}").alias(c) for c in cols if c not in old.columns]))
+        new = changes.select("ticker", F.struct(*cols).alias("given"))
+
+        def changed(old: DataFrame) -> DataFrame:
+            kept = [F.coalesce(F.col("given")[c], F.col(c)).alias(c) if c in cols else F.col(c) for c in old.columns]
+            return old.join(new, "ticker", "left").select(*kept, *[F.col("given")[c].alias(c) for c in cols if c not in old.columns])
+
+        self._commit(self._none, None, changed)
 
     def delete(self, tickers: Sequence[str]) -> None:
         """Instruments and their facts."""
-        gone = [t.upper() for t in tickers]
-        self._write("facts", self.facts().where(~F.col("ticker").isin(gone)), "field")
-        self._write("instruments", self.instruments().where(~F.col("ticker").isin(gone)))
+        stays = ~F.col("ticker").isin([t.upper() for t in tickers])
+        self._commit(self._all, lambda facts: facts.where(stays), lambda table: table.where(stays))
 
     # facts
 
-    def upsert(self, rows: DataFrame, replace: bool = False, source: str = "EXCEL", created: dt.date | None = None) -> None:
-        """Adds (obs_date, ticker, field, value). With ``replace`` what is stored in each ticker's and field's span of dates goes first;
-        else stored rows stay and only new dates are added."""
-        old = self.facts()
-        new = rows.where("value is not null").select("obs_date", F.upper("ticker").alias("ticker"), "value", F.lit(source).alias("source"), F.lit(created or dt.date.today()).alias("created_at"), "field").dropDuplicates(["obs_date", "ticker", "field"])
-        barred = [(F.col("field") == f) & F.col("instrument_type").isin(*t) for f, t in WITHOUT_FIELD.items()]
+    def upsert(self, rows: DataFrame, replace: bool | str = False, source: str = "EXCEL", created: dt.date | None = None) -> None:
+        """Adds (obs_date, ticker, field, value). Stored rows stay and only new dates are added (False), stored rows of the same date, ticker
+        and field give way ("exact"), or all that is stored in each ticker's and field's span of dates does (True).
+
+        Rows may repeat, but not with different values. Only the fields and years that ``rows`` hold are rewritten.
+        """
+        value = F.when(F.min("value") == F.max("value"), F.max("value")).otherwise(F.raise_error(F.lit("a fact repeats with another value")).cast("double"))
+        new = rows.where("value is not null").groupBy("obs_date", F.upper("ticker").alias("ticker"), "field").agg(value.alias("value"))
         kinds = self.instruments()
         if "instrument_type" in kinds.columns:
-            new = new.join(F.broadcast(kinds.select("ticker", "instrument_type")), "ticker", "left")
-            new = new.where(~F.coalesce(barred[0] | barred[1] | barred[2], F.lit(False))).select(*old.columns)
-        if replace:
+            barred = [(F.col("field") == f) & F.col("instrument_type").isin(*t) for f, t in WITHOUT_FIELD.items()]
+            new = new.join(kinds.select("ticker", "instrument_type"), "ticker", "left").where(~F.coalesce(barred[0] | barred[1] | barred[2], F.lit(False)))
+        new = new.select("obs_date", "ticker", "value", F.lit(source).alias("source"), F.lit(created or dt.date.today()).alias("created_at"), "field")
+        staged = f"{self.path}/staging/{uuid.uuid4().hex}"
+        new.write.parquet(staged)  # the source is asked once, whatever happens behind
+        new = self.spark.read.schema(FACT_SCHEMA).parquet(staged)
+        if replace is True:
             span = new.groupBy("ticker", "field").agg(F.min("obs_date").alias("lo"), F.max("obs_date").alias("hi"))
-            kept = old.join(span, ["ticker", "field"], "left").where(F.col("lo").isNull() | ~F.col("obs_date").between(F.col("lo"), F.col("hi"))).select(*old.columns)
+            ends = new.groupBy("field").agg(F.min(F.year("obs_date")).alias("lo"), F.max(F.year("obs_date")).alias("hi")).collect()
+            parts = [(r["field"], y) for r in ends for y in range(r["lo"], r["hi"] + 1)]
         else:
-            kept = old
-            new = new.join(old.select("obs_date", "ticker", "field"), ["obs_date", "ticker", "field"], "left_anti").select(*old.columns)
-        self._write("facts", kept.unionByName(new), "field")
+            parts = [tuple(r) for r in new.select("field", F.year("obs_date")).distinct().collect()]  # fields by years
+
+        def merged(old: DataFrame) -> DataFrame:
+            key = ["obs_date", "ticker", "field"]
+            if replace is True:
+                kept = old.join(span, ["ticker", "field"], "left").where(F.col("lo").isNull() | ~F.col("obs_date").between(F.col("lo"), F.col("hi")))
+                return kept.select(*FACT_COLUMNS).unionByName(new)
+            if replace == "exact":
+                return old.join(new.select(*key), key, "left_anti").select(*FACT_COLUMNS).unionByName(new)
+            return old.unionByName(new.join(old.select(*key), key, "left_anti").select(*FACT_COLUMNS))
+
+        try:
+            self._commit(lambda stored: parts, merged)
+        finally:
+            self._drop(staged)
 
     def delete_facts(self, field: str, tickers: Sequence[str], start=None, end=None, dates: Sequence[str] | None = None) -> None:
         """Rows of a field by tickers and a span of dates, or listed dates."""
@@ -183,12 +302,13 @@ class PanelStore:
             hit &= F.col("obs_date") >= F.lit(start).cast("date")
         if end is not None:
             hit &= F.col("obs_date") <= F.lit(end).cast("date")
-        self._write("facts", self.facts().where(~hit), "field")
+        self._commit(lambda stored: [e[:2] for e in stored if e[0] == field], lambda rows: rows.where(~hit))
 
     def delete_unsettled(self, tickers: Sequence[str]) -> None:
         """Rows that were captured on their own date, before the close."""
         hit = F.col("ticker").isin([t.upper() for t in tickers]) & (F.col("obs_date") == F.col("created_at"))
-        self._write("facts", self.facts().where(~hit), "field")
+        years = {(r["field"], r["y"]) for r in self.facts().where(hit).select("field", F.year("obs_date").alias("y")).distinct().collect()}
+        self._commit(lambda stored: [e[:2] for e in stored if (e[0], e[1]) in years], lambda rows: rows.where(~hit))
 
     def observed(self) -> DataFrame:
         """Per ticker: oldest and latest date, latest date with a close, first ex-dividend date, whether it pays dividends."""
@@ -204,11 +324,11 @@ class PanelStore:
     def refresh_dates(self) -> None:
         """Writes ``observed`` into the instruments."""
         own = self.observed()
-        base = self.instruments().drop(*[c for c in own.columns if c != "ticker"])
-        self._write("instruments", base.join(own, "ticker", "left"))
+        drop = [c for c in own.columns if c != "ticker"]
+        self._commit(self._none, None, lambda table: table.drop(*drop).join(own, "ticker", "left"))
 
     def latest_dates(self, field: str, tickers: Sequence[str] | None = None) -> DataFrame:
-        rows = self.facts().where(F.col("field") == field).join(F.broadcast(self.instruments().select("ticker")), "ticker", "left_semi")
+        rows = self.facts(field).join(self.instruments().select("ticker"), "ticker", "left_semi")
         rows = rows if tickers is None else rows.where(F.col("ticker").isin([t.upper() for t in tickers]))
         return rows.groupBy("ticker").agg(F.max("obs_date").alias("latest"))
 
@@ -237,10 +357,14 @@ class PanelStore:
         """Tickers whose latest close is at most so many days old; those without one count as active."""
         return self.instruments().select("ticker").join(self.latest_dates("close"), "ticker", "left").where(F.col("latest").isNull() | (F.datediff(F.lit(today), "latest") <= most_days)).select("ticker")
 
-    def record_refresh(self, tickers: Sequence[str], field: str, on: dt.date) -> None:
-        mark, old = f"last_{field}_refresh", self.instruments()
+    def record_refresh(self, tickers: Sequence[str], field: str | Sequence[str], on: dt.date) -> None:
+        marks = [f"last_{f}_refresh" for f in ([field] if isinstance(field, str) else field)]
         now = F.when(F.col("ticker").isin([t.upper() for t in tickers]), F.lit(on))
-        self._write("instruments", old.withColumn(mark, F.coalesce(now, F.col(mark).cast("date") if mark in old.columns else F.lit(None).cast("date"))))
+
+        def marked(old: DataFrame) -> DataFrame:
+            return old.withColumns({m: F.coalesce(now, F.col(m).cast("date") if m in old.columns else F.lit(None).cast("date")) for m in marks})
+
+        self._commit(self._none, None, marked)
 
     def refresh(self, source: Source, tickers: Sequence[str], replace: bool = True, today: dt.date | None = None) -> None:
         """Incremental batch: facts from the least latest date on, then the dates of the instruments."""
@@ -249,8 +373,7 @@ class PanelStore:
             raise ValueError(f"unknown tickers {missing}")
         start = self.eligible_start(there)
         self.upsert(source.facts(self.spark, there, start), replace=replace, created=today)
-        for field in FIELDS:
-            self.record_refresh(there, field, today or dt.date.today())
+        self.record_refresh(there, FIELDS, today or dt.date.today())
         self.refresh_dates()
 
     def ingest(self, source: Source, tickers: Sequence[str], on_conflict: str = "ignore", refresh: bool = True, today: dt.date | None = None) -> None:
@@ -280,9 +403,7 @@ class PanelStore:
         if field not in FIELDS:
             raise ValueError(f"{field} is no field")
         wanted = self._requested(tickers)
-        rows = self.facts().where((F.col("field") == field) & F.col("ticker").isin(wanted))
-        rows = rows if start is None else rows.where(F.col("obs_date") >= F.lit(start).cast("date"))
-        rows = rows if end is None else rows.where(F.col("obs_date") <= F.lit(end).cast("date"))
+        rows = self.facts(field, start, end).where(F.col("ticker").isin(wanted))
         n = F.count("*")
         value = F.avg("value") if on_duplicates == "mean" else F.when(n > 1, F.raise_error(F.lit("a fact repeats")).cast("double")).otherwise(F.first("value"))
         cells = rows.groupBy("obs_date", "ticker").agg(value.alias("value"))
@@ -293,7 +414,7 @@ class PanelStore:
         return clean.fill(panel, ffill_na, bfill_na, drop_na)
 
     def _fx(self) -> DataFrame:
-        return self.facts().where((F.col("field") == "close") & F.col("ticker").endswith(".FX")).select("obs_date", "ticker", "value")
+        return self.facts("close").where(F.col("ticker").endswith(".FX")).select("obs_date", "ticker", "value")
 
     def open(self, tickers, **how) -> DataFrame:
         return self.scan("open", tickers, **how)
@@ -327,9 +448,9 @@ class PanelStore:
         With ``payers_only`` types that can't pay dividends keep their price.
         """
         close = self.close(tickers, start=start, end=end)
-        paid = self.facts().where((F.col("field") == "dividend") & F.col("ticker").isin(self._requested(tickers))).select("obs_date", "ticker", "value")
+        paid = self.facts("dividend").where(F.col("ticker").isin(self._requested(tickers))).select("obs_date", "ticker", "value")
         if payers_only:
-            paid = paid.join(F.broadcast(self.instruments().where(~F.col("instrument_type").isin(*WITHOUT_FIELD["dividend"])).select("ticker")), "ticker", "left_semi")
+            paid = paid.join(self.instruments().where(~F.col("instrument_type").isin(*WITHOUT_FIELD["dividend"])).select("ticker"), "ticker", "left_semi")
         out = total_return(close, paid, withholding_tax)
         if currency is not None:
             out = convert(out, self.instruments(), self._fx(), currency)

@@ -1,6 +1,7 @@
 """Micro-batches of facts into the panel store.
 
-The engine's refresh is an incremental batch; this lets a file stream feed the same upsert, one version of the table per batch.
+The engine's refresh is an incremental batch; this lets a file stream feed the same upsert, one commit per batch.
+A micro-batch holds whatever came last, so by default it replaces rows of the very date, ticker and field only.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.store import PanelStore
 
 
-def upsert_stream(facts: DataFrame, store: PanelStore, checkpoint: str, replace: bool = True) -> StreamingQuery:
+def upsert_stream(facts: DataFrame, store: PanelStore, checkpoint: str, replace: bool | str = "exact") -> StreamingQuery:
     """Feeds a streaming DataFrame (obs_date, ticker, field, value) into the store until its input ends."""
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -130,6 +130,58 @@ def test_stream_feeds_the_store(filled, spark, tmp_path):
     assert values(filled.close("AA"))[("AA", 9)] == 109
 
 
+FACTS = "obs_date date, ticker string, field string, value double"
+
+
+def test_sparse_micro_batches_keep_what_lies_between(filled, spark, tmp_path):
+    from panelith.streaming.upsert import upsert_stream
+
+    filled.upsert(spark.createDataFrame([(D(2024, 2, k), "AA", "close", 300.0 + k) for k in range(1, 21)], FACTS))
+    src = str(tmp_path / "in")
+    spark.createDataFrame([(D(2024, 2, 2), "AA", "close", 1.0), (D(2024, 2, 19), "AA", "close", 2.0)], FACTS).write.parquet(src)
+    upsert_stream(spark.readStream.schema(FACTS).parquet(src), filled, str(tmp_path / "cp")).awaitTermination(60)
+    got = values(filled.close("AA", start="2024-02-01"))
+    assert len(got) == 20 and got["AA", 2] == 1 and got["AA", 19] == 2 and got["AA", 10] == 310
+
+
+def test_two_writers_lose_nothing(filled, spark):
+    """The second writer commits while the first is at work: the first starts anew on what the second left."""
+    other, done = PanelStore(spark, filled.path), []
+
+    def late(stored):
+        if not done:
+            done.append(1)
+            other.upsert(spark.createDataFrame([(D(2024, 1, 20), "AA", "close", 7.0)], FACTS))
+        return [("close", 2024)]
+
+    real = filled.log.latest
+    seen = real()
+    filled.log.latest = lambda: filled.log.__dict__.pop("latest") and seen  # the state before the other's commit
+    filled._commit(late, lambda rows: rows.unionByName(spark.createDataFrame([(D(2024, 1, 21), "AA", 8.0, "EXCEL", D(2024, 1, 21), "close")], "obs_date date, ticker string, value double, source string, created_at date, field string")))
+    got = values(filled.close("AA"))
+    assert got["AA", 20] == 7 and got["AA", 21] == 8 and got["AA", 1] == 101
+
+
+def test_only_touched_partitions_are_rewritten(filled, spark):
+    before = {tuple(e) for e in filled.log.latest()[1]["facts"]}
+    filled.upsert(spark.createDataFrame([(D(2025, 1, 2), "AA", "close", 5.0)], FACTS))
+    after = {tuple(e) for e in filled.log.latest()[1]["facts"]}
+    assert before < after and len(after - before) == 1
+    filled.delete_facts("volume", ["AA"])
+    assert {tuple(e) for e in filled.log.latest()[1]["facts"]} - after == {e for e in {tuple(e) for e in filled.log.latest()[1]["facts"]} if e[0] == "volume"}
+    filled.vacuum()
+    assert values(filled.close("AA", start="2025-01-01")) == {("AA", 2): 5.0} and filled.exists("AA")
+
+
+def test_facts_that_contradict_each_other(filled, spark):
+    filled.upsert(spark.createDataFrame([(D(2024, 3, 1), "AA", "close", 5.0), (D(2024, 3, 1), "aa", "close", 5.0)], FACTS))
+    assert values(filled.close("AA", start="2024-03-01")) == {("AA", 1): 5.0}
+    with pytest.raises(Exception, match="repeats"):
+        filled.upsert(spark.createDataFrame([(D(2024, 3, 2), "AA", "close", 5.0), (D(2024, 3, 2), "AA", "close", 6.0)], FACTS))
+    with pytest.raises(ValueError):
+        filled.add(spark.createDataFrame([("X", "STOCK", "EXCEL", "USD"), ("x", "ETF", "EXCEL", "USD")], "ticker string, instrument_type string, data_source string, currency string"))
+
+
 def test_strategy_end_to_end(filled, spark, make_panel):
     p = make_panel({"AA": [100 + k for k in range(30)], "BB": [100 - k for k in range(30)]})
     cal = p.where("day(obs_date) in (5, 15)").select("obs_date").distinct()
