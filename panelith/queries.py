@@ -373,13 +373,6 @@ def _(s, d):
     return rounded(store.convert(panel(s, d), instruments(s, d), fx(s, d), "ASIA"))
 
 
-@register("liquidity", _sql(f"SELECT obs_date, ticker, {_r('value * volume')} FROM g"))
-def _(s, d):
-    p = panel(s, d)
-    v = asof.on_calendar(panel(s, d, "volume"), p).withColumnRenamed("value", "v")
-    return rounded(p.join(v, ["obs_date", "ticker"]).withColumn("value", F.col("value") * F.col("v")).drop("v"))
-
-
 def _universe(s, d):
     p = panel(s, d)
     return p, strategy.Universe([r[0] for r in p.select("ticker").distinct().collect()], month_ends(p))
@@ -559,12 +552,6 @@ def _(s, d):
     return readers.membership_panel(q.where("volume > 40"), month_ends(q))
 
 
-@register("observed_dates", _sql("SELECT px.ticker, min(px.obs_date) AS oldest, max(px.obs_date) AS latest, any_value(x.first_ex) AS first_ex, any_value(x.n) AS n_dividends FROM px JOIN (SELECT ticker, min(obs_date) AS first_ex, count(*) AS n FROM div GROUP BY 1) x USING (ticker) GROUP BY 1"))
-def _(s, d):
-    own = quotes(s, d).groupBy("ticker").agg(F.min("obs_date").alias("oldest"), F.max("obs_date").alias("latest"))
-    return own.join(dividends(s, d).groupBy("ticker").agg(F.min("obs_date").alias("first_ex"), F.count("*").alias("n_dividends")), "ticker")
-
-
 @register("null_before_cutoff", _sql(f"SELECT obs_date, ticker, {_r('CASE WHEN obs_date > c THEN value END')} FROM g JOIN (SELECT ticker, min(obs_date) + 30 AS c FROM div GROUP BY 1) USING (ticker)"))
 def _(s, d):
     cut = dividends(s, d).groupBy("ticker").agg(F.date_add(F.min("obs_date"), 30).alias("cutoff"))
@@ -624,7 +611,3 @@ def _(s, d):
 def _(s, d):
     returns = rolling.pct_change_pad(clean.ffill(panel(s, d)))
     return strategy.index_hedged(returns, strategy.equal_weight(eligible(s, d)), transaction_cost=0.0005, fee=0.01, smoothing=5, volatility_target=0.05, market=market(s, d), beta_lags=60, carry=0.01)
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: fn for name, (fn, _sql_text) in Q.items()}
-ORACLES: dict[str, str] = {name: sql for name, (_fn, sql) in Q.items() if sql}
