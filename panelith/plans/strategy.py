@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import optimize
 from ..functions.calendar import monotonic, year_fraction
 from ..operators import asof, clean, cross, rolling
-from ..operators.frames import by_date, by_ticker, dense, last_rows, skip_sum, strict_sum
+from ..operators.frames import by_date, by_ticker, dense, guarded, last_rows, skip_sum, strict_sum
 
 PANEL = "obs_date date, ticker string, value double"
 
@@ -201,13 +201,14 @@ def bounded(weights: DataFrame, low: float | None = None, high: float | None = N
     return clean.clip(weights, low, high)
 
 
-def optimized_weight(signal: DataFrame, prices: DataFrame, window: int | None, *, kind: str = "minimum_variance", min_total: float = 1.0, max_total: float = 1.0, low=None, high=None, return_lag: int = 1, freq=None, clean_returns: bool = True, factor: float | None = None, **how) -> DataFrame:
+def optimized_weight(signal: DataFrame, prices: DataFrame, window: int | None, *, kind: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "minimum_variance", min_total: float = 1.0, max_total: float = 1.0, low=None, high=None, return_lag: int = 1, freq=None, clean_returns: bool = True, factor: float | None = None, **how) -> DataFrame:
     """Optimised weights of the eligible tickers of each date, from the returns of the last ``window`` rows up to it.
 
     Without bounds per instrument and with one total, minimum variance has the analytic solution. Each date is a task of its own;
-    its input is bounded by window times tickers. Problems are convex, so no solution depends on another's start.
+    its input is bounded by window times tickers. ``kind`` may be a function of the returns (dates by tickers) and their covariance that
+    gives the weights. Problems are convex, so no solution depends on another's start.
     """
-    _require(kind in ("minimum_variance", "mean_variance"), "kind is minimum_variance or mean_variance")
+    _require(callable(kind) or kind in ("minimum_variance", "mean_variance"), "kind is minimum_variance, mean_variance or a function of returns and covariance")
     factor = factor or cross.annualization_factor(freq)
     filled = cross.frequency_filter(clean.ffill(prices), freq)
     returns = filled.withColumn("value", F.col("value") / F.lag("value", return_lag).over(by_ticker()) - 1)
@@ -222,6 +223,8 @@ def optimized_weight(signal: DataFrame, prices: DataFrame, window: int | None, *
         cov = np.atleast_2d(np.cov(x.T)) if len(x) > 1 else np.full((x.shape[1],) * 2, np.nan)
         if np.isnan(cov).any():
             w = np.zeros(x.shape[1])
+        elif callable(kind):
+            w = np.asarray(kind(x, cov), dtype=float)
         elif kind == "minimum_variance" and low is None and high is None and min_total == max_total:
             w = optimize.analytic(cov, allocation=max_total)
         elif kind == "minimum_variance":
@@ -244,13 +247,13 @@ def strategy_return(both: DataFrame, lag: int = 1) -> DataFrame:
 
 
 def _scaled(factor: DataFrame, low: float | None, high: float | None, shift: int, smoothing: int) -> DataFrame:
-    """A series of scaling factors: clamped, moved ``shift`` rows and smoothed."""
+    """A series of scaling factors: clamped, moved ``shift`` rows and smoothed over full windows."""
     out = clean.clip(factor, low, high).withColumn("value", F.lag("value", shift).over(on_dates()) if shift else F.col("value"))
-    return out.withColumn("value", F.avg("value").over(last_rows(on_dates(), smoothing))) if smoothing > 1 else out
+    return out.withColumn("value", guarded(F.avg("value"), F.col("value"), on_dates(), smoothing)) if smoothing > 1 else out
 
 
 class VolatilityTarget:
-    """Weights times target over realised volatility of the strategy."""
+    """Weights times target over realised volatility of the strategy; ``smoothing`` means the scaled weights over full windows."""
 
     def __init__(self, target: float, lags=60, return_lag: int = 1, weight_lag: int = 2, factor_lag: int = 1, smoothing: int = 1, high: float = 1.0, low: float = 0.0):
         _require(target > 0, "the target is positive")
@@ -263,12 +266,18 @@ class VolatilityTarget:
             vol = rolling.volatility(prices=rolling.returns_to_prices(series), lags=self.lags, return_lag=self.return_lag, factor=252 / self.return_lag)
         else:
             vol = rolling.volatility(returns=series, lags=self.lags)
-        factor = _scaled(vol.select("obs_date", F.try_divide(F.lit(float(self.target)), F.col("value")).alias("value")), self.low, self.high, self.factor_lag, self.smoothing)
-        return both.join(factor.withColumnRenamed("value", "__k"), "obs_date").withColumn("weight", F.col("weight") * F.col("__k")).drop("__k")
+        factor = _scaled(vol.select("obs_date", F.try_divide(F.lit(float(self.target)), F.col("value")).alias("value")), self.low, self.high, self.factor_lag, 1)
+        out = both.join(factor.withColumnRenamed("value", "__k"), "obs_date").withColumn("weight", F.col("weight") * F.col("__k")).drop("__k")
+        if self.smoothing > 1:
+            out = out.withColumn("weight", guarded(F.avg("weight"), F.col("weight"), by_ticker(), self.smoothing))
+        return out
 
 
 class BetaHedge:
-    """Adds a position in the hedge instrument against the strategy's beta."""
+    """Adds a position in the hedge instrument against the strategy's beta. Dates without a position have no weights at all.
+
+    The benchmark counts from the strategy's first date on; its returns are its own, taken as of the strategy's dates.
+    """
 
     def __init__(self, benchmark: DataFrame, ticker: str = "HEDGE", lags=252, return_lag: int = 1, factor_lag: int = 1, smoothing: int = 1, high: float = 999.0, low: float = 0.0):
         _require(factor_lag >= 0 and smoothing >= 1, "factor_lag >= 0 and smoothing >= 1 are needed")
@@ -282,19 +291,22 @@ class BetaHedge:
 
     def __call__(self, both: DataFrame) -> DataFrame:
         returns = both.select("obs_date", "ticker", F.col("ret").alias("value"))
+        begin = both.agg(F.min("obs_date").alias("__begin"))  # one row
+        bench = self.benchmark.select("obs_date", "value").crossJoin(begin).where(F.col("obs_date") >= F.col("__begin")).drop("__begin")
         if self.return_lag > 1:
-            betas = rolling.beta(prices=rolling.returns_to_prices(returns), benchmark=self.benchmark, lags=self.lags, return_lag=self.return_lag)
+            betas = rolling.beta(prices=rolling.returns_to_prices(returns), benchmark=bench, lags=self.lags, return_lag=self.return_lag)
         else:
-            betas = rolling.beta(returns=returns, benchmark=self.benchmark, lags=self.lags)
+            betas = rolling.beta(returns=returns, benchmark=bench, lags=self.lags)
         joined = both.join(betas.withColumnRenamed("value", "__b"), ["obs_date", "ticker"], "left")
         series = joined.groupBy("obs_date").agg(strict_sum(F.col("__b") * F.col("weight")).alias("value"))
-        hedge = _scaled(series, self.low, self.high, 0, 1).withColumn("value", -F.col("value"))
-        hedge = _scaled(hedge, None, None, self.factor_lag, self.smoothing)
-        m = asof.calendar_map(both, self.benchmark)
-        bench = m.join(self.benchmark.withColumnRenamed("obs_date", "as_of"), "as_of", "left")
-        leg = bench.withColumn("ret", F.col("value") / F.lag("value").over(on_dates()) - 1).select("obs_date", F.lit(self.ticker).alias("ticker"), "ret")
-        leg = leg.join(hedge.withColumnRenamed("value", "weight"), "obs_date", "left")
-        masked = joined.withColumn("weight", F.when(F.col("__b").isNotNull(), F.col("weight"))).select("obs_date", "ticker", "ret", "weight")
+        short = clean.clip(series, self.low, self.high).withColumn("value", -F.col("value"))
+        hedge = _scaled(short, None, None, self.factor_lag, self.smoothing).withColumnRenamed("value", "__h")
+        filled = F.last("value", ignorenulls=True).over(last_rows(on_dates(), None))
+        moved = bench.withColumn("value", filled).withColumn("ret", F.col("value") / F.lag("value").over(on_dates()) - 1)
+        at = asof.calendar_map(both, bench)
+        leg = at.join(moved.select(F.col("obs_date").alias("as_of"), "ret"), "as_of", "left").select("obs_date", F.lit(self.ticker).alias("ticker"), "ret")
+        leg = leg.join(hedge, "obs_date", "left").withColumnRenamed("__h", "weight")
+        masked = both.join(hedge, "obs_date", "left").withColumn("weight", F.when(F.col("__h").isNotNull(), F.col("weight"))).drop("__h")
         return masked.unionByName(leg)
 
 

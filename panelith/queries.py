@@ -16,6 +16,7 @@ from .operators import asof, clean, cross, rolling
 from .operators.frames import dense
 from .plans import futures, report, strategy
 from .sources import readers, store
+from .sources.shared import exists, scratch
 
 SHIFT = 3e-8
 
@@ -30,16 +31,34 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-def quotes(spark: SparkSession, sf: str) -> DataFrame:
-    """obs_date, ticker, close, low, high, volume on weekdays."""
+_stored: dict[tuple[str, str], str] = {}
+
+
+def built_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """obs_date, ticker, close, low, high, volume on weekdays, from the star schema."""
     part = _table(spark, sf, "part").select("p_partkey", F.upper("p_brand").alias("ticker"), "p_retailprice")
     line = _table(spark, sf, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("obs_date"), "l_quantity").where(~F.dayofweek("obs_date").isin(1, 7))
     both = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
     return both.groupBy("obs_date", "ticker").agg(F.round(F.avg("p_retailprice") + SHIFT, 6).alias("close"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"), F.sum("l_quantity").alias("volume"))
 
 
+def wide_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The dense panel of all fields, built once per application and stored: queries read it as a user reads a stored panel."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stored or not exists(spark, f"{_stored[key]}/_SUCCESS"):
+        path = scratch(spark, "panel")
+        dense(built_quotes(spark, sf)).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of the panel that hold a quote."""
+    return wide_panel(spark, sf).where("close is not null")
+
+
 def panel(spark: SparkSession, sf: str, field: str = "close") -> DataFrame:
-    return dense(quotes(spark, sf).select("obs_date", "ticker", F.col(field).alias("value")))
+    return wide_panel(spark, sf).select("obs_date", "ticker", F.col(field).alias("value"))
 
 
 def dividends(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,9 +174,10 @@ def _(s, d):
     return rounded(clean.bfill(panel(s, d)))
 
 
-@register("drop_incomplete_dates", _sql(f"SELECT obs_date, ticker, {_r('value')} FROM g WHERE obs_date NOT IN (SELECT obs_date FROM g WHERE value IS NULL)"))
+@register("drop_incomplete_dates", _sql(f"SELECT obs_date, ticker, {_r('fv')} FROM f WHERE obs_date NOT IN (SELECT obs_date FROM f WHERE fv IS NULL) UNION ALL SELECT obs_date, ticker, {_r('value')} FROM g WHERE obs_date NOT IN (SELECT obs_date FROM g WHERE value IS NULL)"))
 def _(s, d):
-    return rounded(clean.drop_incomplete_dates(panel(s, d)))
+    """Filled forward, a date is complete once every ticker has begun; before that, hardly any is."""
+    return rounded(clean.drop_incomplete_dates(clean.ffill(panel(s, d))).unionByName(clean.drop_incomplete_dates(panel(s, d))))
 
 
 @register("pct_change_padded", _sql(f"SELECT obs_date, ticker, {_r(f'fv / lag(fv, 5) {WT}) - 1')} FROM f"))
@@ -496,8 +516,9 @@ _HEDGE = (
     f"hb AS (SELECT obs_date, ticker, CASE WHEN count(ret) {WT} ROWS 5 PRECEDING) > 0 THEN last_value(x IGNORE NULLS) {WT} ROWS UNBOUNDED PRECEDING) END AS beta FROM (SELECT bw.obs_date, bw.ticker, bw.ret, x FROM bw LEFT JOIN (SELECT obs_date, ticker, ({_guard('covar_samp(r, b)', 'r + b', 60)}) / ({_guard('var_samp(CASE WHEN r + b IS NOT NULL THEN b END)', 'r + b', 60)}) AS x FROM hr) USING (obs_date, ticker)))",
     "hs AS (SELECT obs_date, CASE WHEN count(beta * weight) = count(*) THEN sum(beta * weight) END AS sb FROM hb JOIN bw USING (obs_date, ticker) GROUP BY 1)",
     "hh AS (SELECT obs_date, lag(CASE WHEN sb IS NOT NULL THEN -least(greatest(sb, 0), 999) END) OVER (ORDER BY obs_date) AS weight FROM hs)",
-    "hm AS (SELECT obs_date, value / lag(value) OVER (ORDER BY obs_date) - 1 AS ret FROM mkt WHERE obs_date IN (SELECT obs_date FROM bw))",
-    "hw AS (SELECT bw.obs_date, bw.ticker, bw.ret, CASE WHEN beta IS NOT NULL THEN bw.weight END AS weight FROM bw JOIN hb USING (obs_date, ticker) UNION ALL SELECT obs_date, 'HEDGE', hm.ret, hh.weight FROM hm JOIN hh USING (obs_date))",
+    # no position, no weights: the whole date goes, whichever instrument lacks its beta
+    "hm AS (SELECT obs_date, value / lag(value) OVER (ORDER BY obs_date) - 1 AS ret FROM mkt WHERE obs_date >= (SELECT min(obs_date) FROM bw))",
+    "hw AS (SELECT bw.obs_date, bw.ticker, bw.ret, CASE WHEN hh.weight IS NOT NULL THEN bw.weight END AS weight FROM bw JOIN hh USING (obs_date) UNION ALL SELECT obs_date, 'HEDGE', hm.ret, hh.weight FROM hm JOIN hh USING (obs_date))",
 )
 
 
@@ -584,6 +605,81 @@ def _(s, d):
     return p.select(text.add_suffix(F.col("p_brand")).alias("terminal"), text.fx_to_quote(text.fx_ticker(F.lit("SEK"), base)).alias("quote")).distinct()
 
 
+# two assets, whose optima have closed forms
+
+_TWO = (
+    "two AS (SELECT obs_date, CASE WHEN CAST(right(ticker, 1) AS INT) % 2 = 0 THEN 'EVEN' ELSE 'ODD' END AS ticker, avg(close) AS value FROM px GROUP BY 1, 2)",
+    "tf AS (SELECT d.obs_date, t.ticker, last_value(value IGNORE NULLS) OVER (PARTITION BY t.ticker ORDER BY d.obs_date ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT DISTINCT obs_date FROM two) d CROSS JOIN (VALUES ('EVEN'), ('ODD')) t(ticker) LEFT JOIN two ON two.obs_date = d.obs_date AND two.ticker = t.ticker)",
+    f"tr AS (SELECT obs_date, ticker, coalesce(v / lag(v) {WT}) - 1, 0) AS r FROM tf)",
+    "tw AS (SELECT e.obs_date, row_number() OVER (ORDER BY e.obs_date) AS n, e.r AS x, o.r AS y FROM tr e JOIN tr o USING (obs_date) WHERE e.ticker = 'EVEN' AND o.ticker = 'ODD')",
+    "tc AS (SELECT obs_date, var_samp(x) OVER w AS xx, var_samp(y) OVER w AS yy, covar_samp(x, y) OVER w AS xy FROM tw WINDOW w AS (ORDER BY obs_date ROWS 59 PRECEDING))",
+)
+
+
+def two(s, d) -> DataFrame:
+    q = quotes(s, d).withColumn("ticker", F.when(F.substring("ticker", -1, 1).cast("int") % 2 == 0, "EVEN").otherwise("ODD"))
+    return dense(q.groupBy("obs_date", "ticker").agg(F.avg("close").alias("value")))
+
+
+def _both(s, d) -> DataFrame:
+    """Both eligible at month ends, from the third on."""
+    p = two(s, d)
+    ends = month_ends(p).withColumn("n", F.row_number().over(Window.orderBy("obs_date"))).where("n > 3").select("obs_date")
+    return p.join(ends, "obs_date", "left_semi").withColumn("value", F.lit(1.0))
+
+
+_ENDS3 = "e3 AS (SELECT obs_date FROM (SELECT obs_date, row_number() OVER (ORDER BY obs_date) AS n FROM me) WHERE n > 3)"
+_LEAST = "(yy - xy) / (xx + yy - 2 * xy)"
+
+
+def _shares(x: str) -> str:
+    return f"SELECT obs_date, ticker, {_r('value', 'value').replace(', 6)', ', 4)')} FROM (SELECT obs_date, 'EVEN' AS ticker, {x} AS value FROM tc JOIN e3 USING (obs_date) UNION ALL SELECT obs_date, 'ODD', 1 - ({x}) FROM tc JOIN e3 USING (obs_date))"
+
+
+def _four(df: DataFrame) -> DataFrame:
+    return df.withColumn("value", F.round(F.col("value") + SHIFT, 4))
+
+
+@register("optimized_weight_two_bounded", _sql(_shares(f"least(greatest({_LEAST}, 0.45), 0.55)"), *_TWO, _ENDS3))
+def _(s, d):
+    return _four(strategy.optimized_weight(_both(s, d), two(s, d), 60, low=0.45, high=0.55))
+
+
+@register("optimized_weight_two_analytic", _sql(_shares(_LEAST), *_TWO, _ENDS3))
+def _(s, d):
+    return _four(strategy.optimized_weight(_both(s, d), two(s, d), 60))
+
+
+@register("optimized_weight_two_custom", _sql(_shares("sqrt(yy) / (sqrt(xx) + sqrt(yy))"), *_TWO, _ENDS3))
+def _(s, d):
+    """A user's own optimiser: weights in proportion to the reciprocal of volatility."""
+
+    def reciprocal(returns, cov):
+        import numpy as np
+
+        w = 1 / np.sqrt(np.diag(cov))
+        return w / w.sum()
+
+    return _four(strategy.optimized_weight(_both(s, d), two(s, d), 60, kind=reciprocal))
+
+
+@register("rolling_mean_variance_two", _sql(
+    # least volatility less return on x + y = 1: the derivative's root, kept within the bounds
+    f"SELECT obs_date, ticker, round(value + 3e-8, 4) AS value FROM (SELECT obs_date, 'EVEN' AS ticker, x AS value FROM sol UNION ALL SELECT obs_date, 'ODD', 1 - x FROM sol UNION ALL SELECT obs_date, unnest(['EVEN', 'ODD']), 0.5 FROM tm WHERE n <= 12)",
+    *_TWO,
+    "tm AS (SELECT obs_date, n, x, y FROM (SELECT obs_date, row_number() OVER (ORDER BY obs_date) AS n, e / lag(e) OVER (ORDER BY obs_date) - 1 AS x, o / lag(o) OVER (ORDER BY obs_date) - 1 AS y FROM "
+    "(SELECT obs_date, max(v) FILTER (ticker = 'EVEN') AS e, max(v) FILTER (ticker = 'ODD') AS o FROM tf JOIN me USING (obs_date) GROUP BY 1)))",
+    "ts AS (SELECT obs_date, row_number() OVER (ORDER BY obs_date) AS n, x, y FROM tm WHERE x IS NOT NULL)",
+    "tq AS (SELECT obs_date, n, var_samp(x) OVER w AS xx, var_samp(y) OVER w AS yy, covar_samp(x, y) OVER w AS xy, avg(x) OVER w - avg(y) OVER w AS d FROM ts WINDOW w AS (ORDER BY obs_date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))",
+    "tk AS (SELECT *, 252 * (xx + yy - 2 * xy) AS a, 252 * 2 * (xy - yy) AS b, 252 * yy AS c FROM tq WHERE n > 12)",
+    "sol AS (SELECT obs_date, least(greatest(CASE WHEN a > d * d THEN (sign(d) * sqrt(d * d * (4 * a * c - b * b) / (a - d * d)) - b) / (2 * a) WHEN d > 0 THEN 1.0 ELSE 0.0 END, 0.0), 1.0) AS x FROM tk)",
+).replace("FROM tm WHERE n <= 12", "FROM ts WHERE n <= 12"))
+def _(s, d):
+    p = clean.ffill(two(s, d))
+    monthly = rolling.pct_change_pad(p.join(month_ends(p), "obs_date", "left_semi"), 1)
+    return _four(strategy.rolling_mean_variance(clean.drop_incomplete_dates(monthly), 12, min_total=1.0, max_total=1.0, return_target=-1.0))
+
+
 @register("optimized_weight", None)
 def _(s, d):
     return strategy.optimized_weight(eligible(s, d), panel(s, d), 60, low=0.0, high=0.3)
@@ -607,7 +703,69 @@ def _(s, d):
     return futures.rolling_index(clean.bfill(clean.ffill(p)), expiries, {1: 0.5, 2: 0.5}, 5, 1, 0.0005, 0.01)
 
 
-@register("index_hedged", None)
+_HALL = (
+    "dm0 AS (SELECT days.obs_date, max(me.obs_date) AS at FROM days LEFT JOIN me ON me.obs_date <= days.obs_date GROUP BY 1)",
+    f"h0 AS (SELECT f.obs_date, f.ticker, f.fv / lag(f.fv) OVER (PARTITION BY f.ticker ORDER BY f.obs_date) - 1 AS ret, ew.value AS w0 FROM f JOIN dm0 USING (obs_date) LEFT JOIN ew ON ew.obs_date = dm0.at AND ew.ticker = f.ticker)",
+    f"bw AS (SELECT obs_date, ticker, ret, avg(w0) {WT} ROWS 4 PRECEDING) AS weight FROM h0)",
+    _HEDGE[0],
+    _HEDGE[1],
+    "hs AS (SELECT obs_date, -CASE WHEN count(beta * weight) = count(*) THEN sum(beta * weight) END AS weight FROM hb JOIN bw USING (obs_date, ticker) GROUP BY 1)",
+    "hw AS (SELECT obs_date, ticker, ret, weight FROM bw UNION ALL SELECT obs_date, 'MARKET', m.ret, hs.weight FROM (SELECT obs_date, value / lag(value) OVER (ORDER BY obs_date) - 1 AS ret FROM mkt) m JOIN hs USING (obs_date))",
+    f"g1 AS (SELECT obs_date, CASE WHEN count(t) = count(*) THEN sum(t) END AS value FROM (SELECT obs_date, ret * lag(weight) {WT}) AS t FROM hw) GROUP BY 1)",
+    f"gv AS (SELECT obs_date, CASE WHEN count(value) OVER (ORDER BY obs_date ROWS 5 PRECEDING) > 0 THEN last_value(m IGNORE NULLS) OVER (ORDER BY obs_date ROWS UNBOUNDED PRECEDING) END AS v FROM (SELECT g1.*, m FROM g1 LEFT JOIN (SELECT obs_date, {_guard('stddev_samp(value)', 'value', 60, 'OVER (ORDER BY obs_date')} * sqrt(252.0) AS m FROM g1 WHERE value IS NOT NULL) USING (obs_date)))",
+    "vw AS (SELECT hw.obs_date, ticker, ret, weight * least(0.05 / v, 1.0) AS weight FROM hw JOIN (SELECT obs_date, CASE WHEN v > 0 THEN v END AS v FROM gv) USING (obs_date))".replace("least(0.05 / v, 1.0)", "CASE WHEN v IS NOT NULL THEN least(0.05 / v, 1.0) END"),
+    f"g2 AS (SELECT obs_date, CASE WHEN count(t) = count(*) THEN sum(t) END AS gross, coalesce(sum(c), 0) AS c FROM (SELECT obs_date, ret * lag(weight) {WT}) AS t, abs(weight - lag(weight) {WT})) AS c FROM vw) GROUP BY 1)",
+    "g3 AS (SELECT obs_date, gross, gross - 0.0005 * c - 0.01 * dt + 0.01 * dt * h AS net FROM (SELECT g2.*, date_diff('day', lag(obs_date) OVER (ORDER BY obs_date), obs_date) / 365.0 AS dt, lag(hs.weight) OVER (ORDER BY obs_date) AS h FROM g2 JOIN hs USING (obs_date)))",
+)
+
+
+def _level(r: str) -> str:
+    over = "OVER (ORDER BY obs_date ROWS UNBOUNDED PRECEDING)"
+    return f"CASE WHEN {r} IS NOT NULL THEN 100 * product(1 + {r}) {over} WHEN lead({r}) OVER (ORDER BY obs_date) IS NOT NULL AND count({r}) {over} = 0 THEN 100 END"
+
+
+@register("index_hedged", _sql(f"SELECT obs_date, {_r('gross', 'gross_return')}, {_r(_level('gross'), 'gross')}, {_r('net', 'net_return')}, {_r(_level('net'), 'net')} FROM g3", _EW[0], *_HALL))
 def _(s, d):
     returns = rolling.pct_change_pad(clean.ffill(panel(s, d)))
-    return strategy.index_hedged(returns, strategy.equal_weight(eligible(s, d)), transaction_cost=0.0005, fee=0.01, smoothing=5, volatility_target=0.05, market=market(s, d), beta_lags=60, carry=0.01)
+    out = strategy.index_hedged(returns, strategy.equal_weight(eligible(s, d)), transaction_cost=0.0005, fee=0.01, smoothing=5, volatility_target=0.05, market=market(s, d), beta_lags=60, carry=0.01)
+    return rounded(out, "gross_return", "gross", "net_return", "net")
+
+
+@register("volatility_target_smoothed", _sql(
+    f"SELECT obs_date, {_r('value')} FROM lv WHERE value IS NOT NULL", *_DW, *_VT, f"vs AS (SELECT obs_date, ticker, ret, {_guard('avg(weight)', 'weight', 3)} AS weight FROM vw)", *_index(2, 0, 0, "vs")
+))
+def _(s, d):
+    return rounded(_strategy(s, d, overlays=strategy.VolatilityTarget(0.05, smoothing=3)).back_test())
+
+
+@register("overlay_chain", _sql(
+    f"SELECT obs_date, {_r('value')} FROM lv WHERE value IS NOT NULL", *_DW, *_HEDGE, *(x.replace("FROM bw", "FROM hw").replace("SELECT bw.obs_date, bw.ticker, ret", "SELECT hw.obs_date, hw.ticker, ret").replace("FROM hw JOIN sk", "FROM hw JOIN sk") for x in _VT), *_index(2, 0.001, 0, "vw")
+))
+def _(s, d):
+    """A beta hedge, then a volatility target over basket and hedge."""
+    return rounded(_strategy(s, d, overlays=[strategy.BetaHedge(market(s, d), lags=60), strategy.VolatilityTarget(0.05)], transaction_cost=0.001).back_test())
+
+
+@register("universe_combined", _sql(
+    f"SELECT obs_date, ticker, CASE WHEN n >= 12 AND a.value > 30 THEN 1.0::DOUBLE END AS value FROM (SELECT *, count(value) {WT} ROWS 19 PRECEDING) AS n FROM g) x JOIN me USING (obs_date) JOIN a USING (obs_date, ticker)",
+    "lq AS (SELECT obs_date, ticker, volume AS value FROM g WHERE volume IS NOT NULL)", _stale(_guard("avg(value)", "value", 10), "lq", "a"),
+))
+def _(s, d):
+    p, u = _universe(s, d)
+    return u.price_history(p, 20, 0.6).liquidity(panel(s, d, "volume"), 10, 30).eligibility()
+
+
+@register("universe_custom", _sql("SELECT obs_date, ticker, CASE WHEN CAST(right(ticker, 1) AS INT) % 2 = 0 THEN 1.0::DOUBLE END AS value FROM me CROSS JOIN names"))
+def _(s, d):
+    p, u = _universe(s, d)
+    even = p.withColumn("value", F.when(F.substring("ticker", -1, 1).cast("int") % 2 == 0, 1.0).otherwise(0.0))
+    return u.custom(even).eligibility()
+
+
+@register("monthly_table", _sql(
+    "SELECT ticker, y AS year, " + ", ".join(f"round(max(r) FILTER (m = {k + 1}) + 3e-8, 6) AS {n}" for k, n in enumerate(("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"))) + ", round(product(1 + r) - 1 + 3e-8, 6) AS yearly_return "
+    "FROM (SELECT ticker, y, m, e / coalesce(lag(e) OVER (PARTITION BY ticker ORDER BY y, m), s) - 1 AS r FROM (SELECT ticker, year(obs_date)::INT AS y, month(obs_date)::INT AS m, arg_max(value, obs_date) AS e, arg_min(value, obs_date) AS s FROM pub GROUP BY 1, 2, 3)) GROUP BY 1, 2"
+))
+def _(s, d):
+    out = report.monthly_table(panel(s, d))
+    return rounded(out, *[c for c in out.columns if c not in ("ticker", "year")])

@@ -20,3 +20,8 @@ def scratch(spark: SparkSession, name: str) -> str:
             _local.append(tempfile.mkdtemp(prefix="panelith-"))
         root = _local[0]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

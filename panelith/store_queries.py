@@ -17,7 +17,7 @@ from .plans import futures
 from .queries import Q, _TR, _r, _sql, WT, dividends, fx, instruments, month_ends, panel, quotes, register, rounded
 from .queries import _table as table
 from .sources import readers
-from .sources.shared import scratch
+from .sources.shared import exists, scratch
 from .sources.store import DataGetter, PanelStore
 
 FACTS = "obs_date date, ticker string, field string, value double"
@@ -58,6 +58,17 @@ def opened(s: SparkSession, d: str, rows: DataFrame | None = None) -> PanelStore
     return out
 
 
+_shared: dict[tuple[str, str], PanelStore] = {}
+
+
+def shared(s: SparkSession, d: str) -> PanelStore:
+    """The store of all facts for queries that only read, written once per application."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _shared or not exists(s, f"{_shared[key].path}/log"):
+        _shared[key] = opened(s, d)
+    return PanelStore(s, _shared[key].path)
+
+
 def names(store: PanelStore) -> list[str]:
     return store.tickers()
 
@@ -77,7 +88,7 @@ def _dense(field: str, value: str, where: str = "true") -> str:
 
 @register("store_scan_fields", _sql(" UNION ALL ".join(f"SELECT field, obs_date, ticker, {_r('value')} FROM ({_dense(f, f)})" for f in ("open", "high", "low", "close", "volume", "dividend")), *ALL))
 def _(s, d):
-    st = opened(s, d)
+    st = shared(s, d)
     t = names(st)
     scans = {"open": st.open(t), "high": st.high(t), "low": st.low(t), "close": st.close(t), "volume": st.volume(t), "dividend": st.dividends(t)}
     out = None
@@ -91,7 +102,7 @@ def _(s, d):
     f"SELECT obs_date, ticker, {_r(f'last_value(value IGNORE NULLS) {WT} ROWS UNBOUNDED PRECEDING)')} FROM g WHERE obs_date BETWEEN DATE '1994-03-01' AND DATE '1996-09-15'"
 ))
 def _(s, d):
-    st = opened(s, d)
+    st = shared(s, d)
     return rounded(st.get("close", names(st), start="1994-03-01", end="1996-09-15", ffill_na=True))
 
 
@@ -105,13 +116,13 @@ def _(s, d):
 
 @register("store_total_return", _sql(f"SELECT obs_date, ticker, {_r(f'CASE WHEN value IS NOT NULL THEN product(gr) {WT} ROWS UNBOUNDED PRECEDING) * p0 END')} FROM tg", IDIV, _TR[0].replace("LEFT JOIN div", "LEFT JOIN idiv AS div"), _TR[1]))
 def _(s, d):
-    st = opened(s, d)
+    st = shared(s, d)
     return rounded(st.total_return(names(st), withholding_tax=0.15, payers_only=True))
 
 
 @register("liquidity", _sql(f"SELECT obs_date, ticker, {_r(f'CASE WHEN {STOCKS} THEN value * volume END')} FROM g"))
 def _(s, d):
-    st = opened(s, d)
+    st = shared(s, d)
     return rounded(st.liquidity(names(st)))
 
 
@@ -120,7 +131,7 @@ def _(s, d):
     IDIV,
 ))
 def _(s, d):
-    return opened(s, d).observed()
+    return shared(s, d).observed()
 
 
 @register("store_attributes", _sql(
@@ -163,12 +174,12 @@ def _(s, d):
 
 @register("store_latest_dates", _sql("SELECT ticker, max(obs_date) AS latest FROM px GROUP BY 1"))
 def _(s, d):
-    return opened(s, d).latest_dates("close")
+    return shared(s, d).latest_dates("close")
 
 
 @register("store_eligible_start", _sql("SELECT least((SELECT min(m) FROM (SELECT max(obs_date) AS m FROM px GROUP BY ticker)), (SELECT min(m) FROM (SELECT max(obs_date) AS m FROM idiv GROUP BY ticker))) AS start", IDIV))
 def _(s, d):
-    st = opened(s, d)
+    st = shared(s, d)
     payers = [r[0] for r in underlyings(s, d).where("instrument_type <> 'INDEX'").collect()]
     closes, both = st.eligible_start(names(st)), st.eligible_start(payers, ["close", "dividend"])
     assert st.eligible_start(names(st), ["dividend"]) is None
@@ -187,7 +198,7 @@ def _(s, d):
 
 @register("store_active", _sql("SELECT ticker FROM px GROUP BY 1 HAVING date_diff('day', max(obs_date), (SELECT max(obs_date) FROM px)) <= 2"))
 def _(s, d):
-    st = opened(s, d)
+    st = shared(s, d)
     return st.active(st.facts("close").agg(F.max("obs_date")).first()[0], 2)
 
 
@@ -275,7 +286,7 @@ def _calendar(s, d):
 
 
 def _getter(s, d, **how) -> DataGetter:
-    st = opened(s, d)
+    st = shared(s, d)
     return DataGetter(st, names(st), _calendar(s, d), **how)
 
 
