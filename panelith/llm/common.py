@@ -34,8 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/panelith/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/panelith/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def close(spark: SparkSession) -> None:
+    """Deletes all that the operators wrote for this application. Call it when no result that they returned is needed any more."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
 
 
 def prepare(spark: SparkSession) -> None:

@@ -129,7 +129,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, open_bins: int = OPEN_BINS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """One row per piece with the sequence and offset that hold it."""
+    """One row per piece with the sequence and offset that hold it; ``shard_pieces`` is what a packer gets on average."""
     cut = common.materialize(pieces(docs, tokenizer_path, end_id, capacity), "pieces")
     shards = max(1, -(-cut.count() // shard_pieces))
-    return cut.coalesce(shards).mapInArrow(_packer(capacity, open_bins), PACKED_SCHEMA)
+    # few files may hold more than a shard each: their rows are dealt out then
+    dealt = cut.coalesce(shards) if cut.rdd.getNumPartitions() >= shards else cut.repartition(shards)
+    return dealt.mapInArrow(_packer(capacity, open_bins), PACKED_SCHEMA)

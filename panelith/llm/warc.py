@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_BYTES, ARCHIVE_BYTES, GAP, RANGE = 100, 256 << 20, 64 << 10, 8 << 20
+#: Repeated payloads that are broadcast (about 100 bytes each); of more only the hot ones are.
+BROADCAST_ROWS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX_SCHEMA = "page_id long, url string, file string, offset long, length long, digest string, record_type string"
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -40,8 +43,8 @@ def file_system(path: str):
 
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
+    if "://" in path:  # Hadoop's names of S3 are not pyarrow's
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
     return fs.LocalFileSystem(), path
 
 
@@ -111,9 +114,13 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = common.pick(pages, ["page_id", "url", "html"]).withColumn("page_id", F.col("page_id").cast("long")).withColumn("digest", F.sha2(body.cast("binary"), 256)).withColumn("n", F.octet_length(body))
     shared = rows.where(F.col("n") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("copies")).where("copies > 1 and first_page is not null")
-    # short payloads never meet another; their key spreads them
-    key = F.when(F.col("n") >= LEAST_BYTES, F.col("digest")).otherwise(F.concat(F.lit("-"), F.col("digest"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    joined = rows.withColumn("key", key).join(shared.select(F.col("digest").alias("key"), "first_page"), "key", "left")
+    shared = common.materialize(shared, "payloads")
+    # payloads of at least LEAST_BYTES and shorter ones never have one digest
+    few = shared.agg(F.count("*"), F.sum("copies")).first()
+    if few[0] <= BROADCAST_ROWS:  # pages are written where they were read
+        joined = rows.join(F.broadcast(shared.drop("copies")), "digest", "left")
+    else:
+        joined = common.look_up(rows, shared, ["digest"], "copies", few[1])
     return common.materialize(joined.select("page_id", "url", "html", "first_page", "digest").mapInArrow(_writer(folder, date, archive_bytes), INDEX_SCHEMA), "warc-index")
 
 

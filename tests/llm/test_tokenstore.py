@@ -155,3 +155,29 @@ def test_lost_rows_are_found(spark, tmp_path, table):
     for read in (tokenstore.read_checks, tokenstore.read_documents):
         with pytest.raises(ValueError, match="manifest"):
             read(spark, path).collect()
+
+
+def test_few_files_get_as_many_packers_as_they_need(spark):
+    rows = [(k, "word " * (5 + k % 7), "") for k in range(60)]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA).coalesce(1), PATH, capacity=64, shard_pieces=20).collect()
+    assert len(got) == 60 and len({r["sequence_id"] >> 33 for r in got}) == 3
+
+
+def test_bins_close_when_all_are_open():
+    """With few open bins the fullest closes; no bin overflows and no piece is lost."""
+    r = np.random.default_rng(4)
+    fit, used = packing.BestFit(100, open_bins=8), {}
+    for n in r.integers(1, 90, 5000).tolist():
+        b, at = fit.place(n)
+        assert at == used.get(b, 0) and at + n <= 100 and fit.open <= 8
+        used[b] = at + n
+    assert len(used) < 1.15 * sum(used.values()) / 100
+
+
+def test_close_deletes_what_was_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda s: str(tmp_path))
+    monkeypatch.setattr(common, "_made", {})
+    common.materialize(spark.range(3), "some")
+    assert list((tmp_path / "panelith").iterdir())
+    common.close(spark)
+    assert not list((tmp_path / "panelith").iterdir())

@@ -38,6 +38,22 @@ def test_round_trip(spark):
     assert warc.read_records(warc.write_archives(df.limit(0), common.new_path(spark, "warc")), folder).count() == 0
 
 
+def test_many_repeated_payloads_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    folder = common.new_path(spark, "warc")
+    got = warc.read_records(warc.write_archives(spark.createDataFrame(ROWS, SCHEMA).repartition(3), folder), folder).collect()
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in got) == expected()
+
+
+def test_file_systems_by_scheme():
+    from pyarrow import fs
+
+    assert warc.file_system("file:///tmp/x")[1] == "/tmp/x" and warc.file_system("/tmp/x")[1] == "/tmp/x"
+    for scheme in ("s3a", "s3n", "s3"):
+        found, inside = warc.file_system(f"{scheme}://bucket/folder?region=eu-west-1")
+        assert isinstance(found, fs.S3FileSystem) and inside == "bucket/folder"
+
+
 def test_ranges_join_neighbours():
     rows = [("a", 0, 10, ""), ("a", 10, 10, ""), ("a", 10 + warc.GAP + 21, 5, ""), ("b", 0, 5, "")]
     assert [len(g) for g in warc._ranges(rows)] == [2, 1, 1]
