@@ -97,7 +97,11 @@ def _combine(columns: list[Column], how: str) -> Column:
     return F.when(whole.isNotNull(), top if how == "max" else whole / len(columns))
 
 
-def _metric(panel: DataFrame, columns: list[Column], how: str, max_missing: int | None) -> DataFrame:
+def _metric(panel: DataFrame, columns: list[Column], how: str, max_missing: int | None, least: int = 1) -> DataFrame:
+    """The metric filled forward and masked; an error, when the plan runs, for tickers of fewer than ``least`` rows."""
+    if least > 1:
+        short = F.count(F.lit(1)).over(Window.partitionBy("ticker")) < least
+        panel = panel.withColumn("value", F.when(short, F.raise_error(F.lit(f"at least {least} rows are needed")).cast("double")).otherwise(F.col("value")))
     out = panel.withColumn("__m", _combine(columns, how)).withColumn("__m", _filled("__m"))
     return staleness_mask(out, "value", "__m", max_missing).withColumn("value", F.col("__m"))
 
@@ -114,14 +118,14 @@ def volatility(prices: DataFrame | None = None, returns: DataFrame | None = None
     w = published()
     panel = panel.repartition("ticker").withColumn("__r", _ratio(F.col("value"), F.lag("value", return_lag).over(w)) if price else F.col("value"))
     columns = [guarded(F.stddev_samp("__r"), F.col("__r"), w, n) * math.sqrt(factor) for n in _lags(lags, 2)]
-    return _metric(panel, columns, combine, max_missing).select("obs_date", "ticker", "value")
+    return _metric(panel, columns, combine, max_missing, max(_lags(lags, 2)) + price + return_lag - 1).select("obs_date", "ticker", "value")
 
 
 def rolling_average(panel: DataFrame, lags: int | Sequence[int], max_missing: int | None = 5, combine: str = "avg") -> DataFrame:
     """Mean over published rows, filled forward and masked where stale."""
     w = published()
     columns = [guarded(F.avg("value"), F.col("value"), w, n) for n in _lags(lags, 1)]
-    return _metric(panel.repartition("ticker"), columns, combine, max_missing).select("obs_date", "ticker", "value")
+    return _metric(panel.repartition("ticker"), columns, combine, max_missing, max(_lags(lags, 1))).select("obs_date", "ticker", "value")
 
 
 def relative_sma(prices: DataFrame, lag: int, max_missing: int | None = 5) -> DataFrame:
@@ -144,7 +148,7 @@ def beta(prices: DataFrame | None = None, returns: DataFrame | None = None, benc
     pair = F.col("__x") + F.col("__y")
     y = F.when(pair.isNotNull(), F.col("__y"))
     columns = [guarded(F.covar_samp("__x", "__y"), pair, w, n) / F.nullif(guarded(F.var_samp(y), pair, w, n), F.lit(0.0)) for n in _lags(lags, 2)]
-    return _metric(panel, columns, combine, max_missing).select("obs_date", "ticker", "value")
+    return _metric(panel, columns, combine, max_missing, max(_lags(lags, 2)) + price + return_lag - 1).select("obs_date", "ticker", "value")
 
 
 def rolling_drawdown(prices: DataFrame, look_back: int | None = None) -> DataFrame:

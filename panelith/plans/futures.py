@@ -18,6 +18,45 @@ from ..operators.frames import last_rows, skip_sum
 from .strategy import on_dates
 
 
+# Commodities by the first two characters of their tickers, and the months in which their contracts roll.
+COMMODITIES = {
+    "CL": ("WTI Crude Oil", "H K N U X F"), "CO": ("Brent Crude Oil", "H K N U X F"), "HO": ("ULS Diesel", "H K N U X F"), "XB": ("RBOB Gasoline", "H K N U X F"),
+    "NG": ("Natural Gas", "H K N U X F"), "SI": ("Silver", "H K N U Z"), "GC": ("Gold", "G J M Q Z"), "PL": ("Platinum", "J N V F"), "HG": ("Copper", "H K N U Z F"),
+    "LA": ("Aluminum", "H K N U X F"), "LN": ("Nickel", "H K N U X F"), "LX": ("Zinc", "H K N U X F"), "LL": ("Lead", "H K N U X F"), "LT": ("Tin", "H K N U X F"),
+    "LC": ("Live Cattle", "G J M Q V Z"), "LH": ("Lean Hogs", "G J M N Q V Z"), "BO": ("Soybean Oil", "H K N Z F"), "SM": ("Soybean Meal", "H K N Z F"),
+    "S ": ("Soybeans", "H K N X F"), "C ": ("Corn", "H K N U Z"), "W ": ("Chicago Wheat", "H K N U Z"), "KW": ("KC HRW Wheat", "H K N U Z"), "CC": ("Cocoa", "H K N U Z"),
+    "CT": ("Cotton", "H K N Z"), "SB": ("Sugar", "H K N V"), "KC": ("Coffee", "H K N U Z"),
+}
+
+
+def roll_months(code: str) -> list[str]:
+    """The month codes of a commodity's contracts that are rolled."""
+    return COMMODITIES[code.upper()][1].split()
+
+
+def named(code: str, allocation: Mapping[int, float]) -> tuple[str, str]:
+    """Ticker and description of a rolling strategy."""
+    name = COMMODITIES[code.upper()][0]
+    sides = {k: "LONG" if w > 0 else "SHORT" for k, w in allocation.items()}
+    ticker = "_".join([name.upper().replace(" ", "_"), *(f"{sides[k]}_{k}_FUT" for k in allocation)]) + " INDEX"
+    parts = [f"{sides[k]} {round(abs(w) * 100, 2)}% {k}{ {1: 'st', 2: 'nd', 3: 'rd'}.get(k, 'th') } future" for k, w in allocation.items()]
+    return ticker, f"{name} rolling futures strategy. {' ,'.join(parts)}."
+
+
+def expiry_texts(instruments: DataFrame, expiries: DataFrame) -> DataFrame:
+    """(ticker, description) of the futures among the instruments, from the last trading days (ticker, expiry)."""
+    futures = instruments.where("instrument_type = 'FUTURE'").select("ticker")
+    return expiries.join(futures, "ticker", "left_semi").select("ticker", F.concat(F.lit("EXPIRY "), F.date_format("expiry", "yyyy-MM-dd")).alias("description"))
+
+
+def update_contracts(store, source, tickers: list[str], expiries: DataFrame | None = None, today=None) -> None:
+    """Adds the contracts that the store lacks, writes their expiries into their descriptions and refreshes all."""
+    store.ingest(source, tickers, refresh=False)
+    if expiries is not None:
+        store.update_attributes(expiry_texts(store.instruments(), expiries.where(F.col("ticker").isin([t.upper() for t in tickers]))))
+    store.refresh(source, tickers, today=today)
+
+
 def universe(instruments: DataFrame, code: str, month_codes: list[str] | None = None, start=None, end=None) -> DataFrame:
     """Futures of an underlying, by ticker prefix and month codes, that traded in the span; ordered by expiry."""
     hit = F.lit(False)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import optimize
-from ..functions.calendar import monotonic, year_fraction
+from ..functions.calendar import business_shift, monotonic, year_fraction
 from ..operators import asof, clean, cross, rolling
 from ..operators.frames import by_date, by_ticker, dense, guarded, last_rows, skip_sum, strict_sum
 
@@ -95,6 +95,29 @@ def published_filter(close: DataFrame, n: int) -> DataFrame:
     return counted.withColumn("value", F.when((F.col("__n") > 0) & ran, 1.0).otherwise(0.0)).drop("__n")
 
 
+def look_back(windows: int | Sequence[int] | None, freq: int | str | None = 1, sampled: bool = False) -> int | None:
+    """Business days of prices that a metric over the windows needs before its first date, with a margin of a quarter (15 days at least).
+
+    A weekly frequency, or every freq-th row if ``sampled``, stretches it. None for no window: everything is needed.
+    """
+    if windows is None:
+        return None
+    days = max(windows) if isinstance(windows, (list, tuple)) else windows
+    days += 5 if isinstance(freq, str) else (freq or 1) - 1
+    whole = days + max(days * 0.25, 15)
+    return int(whole * (5 if isinstance(freq, str) else (freq or 1) if sampled else 1))
+
+
+def pruned(prices: DataFrame, signal: DataFrame, windows: int | Sequence[int] | None, freq: int | str | None = 1, sampled: bool = False) -> DataFrame:
+    """The prices that metrics on the signal's dates need, from ``look_back`` days before the first to the last; the bounds are one row."""
+    days = look_back(windows, freq, sampled)
+    span = signal.agg(F.min("obs_date").alias("__lo"), F.max("obs_date").alias("__hi"))
+    inside = F.col("obs_date") <= F.col("__hi")
+    if days is not None:
+        inside = inside & (F.col("obs_date") >= business_shift(F.col("__lo"), -days))
+    return prices.crossJoin(F.broadcast(span)).where(inside).select(*prices.columns)
+
+
 # signals
 
 
@@ -433,6 +456,23 @@ class Strategy:
         out = index_rebalanced(both, self.weight_lag, self.transaction_cost, self.fee, self.initial).select("obs_date", "value")
         return out.where("value is not null") if drop_null else out
 
+    def describe_table(self, universe: Universe | None = None, currency: str | None = None, total_return: bool = False, dividend_tax: float = 0.0) -> DataFrame:
+        """What the index consists of, as (item, description) rows in order."""
+
+        def many(what: str, parts: list) -> list[tuple[str, str]]:
+            names = [getattr(p, "__name__", type(p).__name__) for p in parts]
+            return [(f"{what}:", names[0])] if len(parts) == 1 else [(f"{what} ({k + 1}/{len(parts)}):", n) for k, n in enumerate(names)]
+
+        rows = [("Index eligibility:", ", ".join(universe.filters) if universe is not None and universe.filters else "none")]
+        rows += [("Currency:", currency.upper() if currency else "Local currency"), ("Return type:", "Total return" if total_return else "Price return")]
+        rows += [("Dividend tax:", f"{round(100 * dividend_tax, 2)}%")] if dividend_tax else []
+        rows += [("Signal accumulation method:", f"{self.accumulate} of all signals")] if len(self.signals) > 1 else []
+        rows += many("Signal", self.signals) + [("Weight:", getattr(self.weight, "__name__", type(self.weight).__name__))] + (many("Overlay", self.overlays) if self.overlays else [])
+        rows += [("Index fee p.a.:", f"{round(100 * self.fee, 2)}%"), ("Transaction costs:", f"{round(100 * self.transaction_cost, 2)}%")]
+        rows += [("Weight smoothing (days):", str(self.weight_smoothing))] if self.weight_smoothing > 1 else []
+        rows += [("Weight observation lag (days):", str(self.weight_lag))]
+        return self.prices.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(rows)], "position int, item string, description string")
+
     def describe(self) -> list[tuple[str, str]]:
         return [("signals", str(len(self.signals))), ("accumulation", self.accumulate), ("overlays", str(len(self.overlays))), ("weight observation lag", str(self.weight_lag)), ("weight smoothing", str(self.weight_smoothing)), ("transaction cost", f"{self.transaction_cost:g}"), ("fee", f"{self.fee:g}"), ("initial value", f"{self.initial:g}")]
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import calendar, text
 from .operators import cross, rolling
-from .plans import futures
+from .plans import futures, strategy
 from .queries import Q, _TR, _r, _sql, WT, dividends, fx, instruments, month_ends, panel, quotes, register, rounded
 from .queries import _table as table
 from .sources import readers
@@ -468,3 +468,50 @@ SELECT ticker, s AS roll_start, e AS roll_end, expiry FROM (SELECT ticker, expir
 def _(s, d):
     o = table(s, d, "orders").select(F.concat(F.lit("F"), F.col("o_orderkey")).alias("ticker"), F.to_date("o_orderdate").alias("expiry")).where("weekday(expiry) < 5")
     return futures.roll_calendar(o, 5, 1)
+
+
+@register("futures_contracts_updated", """
+SELECT 'CO' || p_partkey AS ticker, 'EXPIRY ' || strftime(DATE '1996-01-01' + p_size * 30, '%Y-%m-%d') AS description, 3::BIGINT AS n FROM part
+""")
+def _(s, d):
+    """Every part a contract with three closes; what the store holds of it after the update."""
+    p = table(s, d, "part").select(F.concat(F.lit("CO"), "p_partkey").alias("ticker"), F.date_add(F.lit("1996-01-01").cast("date"), F.col("p_size") * 30).alias("expiry"))
+    rows = p.select(F.explode(F.sequence(F.date_sub("expiry", 3), F.date_sub("expiry", 1))).alias("obs_date"), "ticker", F.lit("close").alias("field"), F.lit(5.0).alias("value"))
+    known = p.select("ticker", F.lit("FUTURE").alias("instrument_type"), F.lit("EXCEL").alias("data_source"), F.lit("USD").alias("currency"), F.lit("none").alias("description"))
+    st = PanelStore(s, scratch(s, "panel-store"))
+    futures.update_contracts(st, readers.FrameSource(rows, known), [r[0] for r in p.select("ticker").collect()], p, DAY)
+    n = st.facts("close").groupBy("ticker").agg(F.count("*").alias("n"))
+    return st.instruments().select("ticker", "description").join(n, "ticker")
+
+
+@register("rolling_strategy_names", "SELECT * FROM (VALUES ('CO', 'BRENT_CRUDE_OIL_LONG_1_FUT_SHORT_4_FUT INDEX', 'Brent Crude Oil rolling futures strategy. LONG 50.0% 1st future ,SHORT 25.0% 4th future.', 'H K N U X F'), ('S ', 'SOYBEANS_LONG_2_FUT INDEX', 'Soybeans rolling futures strategy. LONG 100% 2nd future.', 'H K N X F')) t(code, ticker, description, months)")
+def _(s, d):
+    rows = [(c, *futures.named(c.lower(), a), " ".join(futures.roll_months(c))) for c, a in (("CO", {1: 0.5, 4: -0.25}), ("S ", {2: 1}))]
+    return frame(s, rows, "code string, ticker string, description string, months string")
+
+
+_NTH = "(SELECT d FROM (SELECT CAST(range AS DATE) AS d, row_number() OVER (ORDER BY range DESC) AS k FROM range(lo - INTERVAL 900 DAY, lo, INTERVAL 1 DAY) WHERE isodow(range) <= 5) WHERE k = {})"
+
+
+@register("look_back_spans", _sql(
+    "SELECT w, min(obs_date) AS first, max(obs_date) AS last, count(*) AS n FROM (SELECT 'daily' AS w, g.obs_date FROM g CROSS JOIN lo WHERE obs_date >= " + _NTH.format(75)
+    + " UNION ALL SELECT 'weekly', g.obs_date FROM g CROSS JOIN lo WHERE obs_date >= " + _NTH.format(200) + " UNION ALL SELECT 'every fifth', g.obs_date FROM g CROSS JOIN lo WHERE obs_date >= " + _NTH.format(195)
+    + ") x CROSS JOIN lo WHERE obs_date <= hi GROUP BY 1",
+    "lo AS (SELECT min(obs_date) AS lo, max(obs_date) AS hi FROM me WHERE obs_date >= DATE '1995-06-15')",
+))
+def _(s, d):
+    p = panel(s, d)
+    sig = month_ends(p).where("obs_date >= '1995-06-15'")
+    out = None
+    for name, how in (("daily", ([20, 60], 1, False)), ("weekly", (20, "friday", False)), ("every fifth", (20, 5, True))):
+        cut = strategy.pruned(p, sig, *how).agg(F.lit(name).alias("w"), F.min("obs_date").alias("first"), F.max("obs_date").alias("last"), F.count("*").alias("n"))
+        out = cut if out is None else out.unionByName(cut)
+    return out
+
+
+@register("strategy_described", "SELECT * FROM (VALUES (0, 'Index eligibility:', '0.6 of the last 20 closes'), (1, 'Currency:', 'USD'), (2, 'Return type:', 'Total return'), (3, 'Dividend tax:', '15.0%'), (4, 'Signal:', 'SmaCross'), (5, 'Weight:', 'equal_weight'), (6, 'Overlay:', 'VolatilityTarget'), (7, 'Index fee p.a.:', '1.0%'), (8, 'Transaction costs:', '0.1%'), (9, 'Weight observation lag (days):', '2')) t(position, item, description)")
+def _(s, d):
+    p = panel(s, d)
+    u = strategy.Universe(names(shared(s, d)), month_ends(p)).price_history(p, 20, 0.6)
+    st = strategy.Strategy(strategy.SmaCross(u.eligibility(), p, 20, 5), strategy.equal_weight, p, strategy.VolatilityTarget(0.1), fee=0.01, transaction_cost=0.001)
+    return st.describe_table(u, "usd", True, 0.15)

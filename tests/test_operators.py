@@ -161,3 +161,13 @@ def test_empty_and_small_panels(make_panel):
     for fn in (clean.ffill, lambda p: rolling.volatility(prices=p), lambda p: cross.rank_filter(p, True, True, 1), lambda p: rolling.maximum_drawdown(p), lambda p: asof.on_calendar(p, p)):
         assert fn(empty).count() == 0
         fn(make_panel({"A": [1]})).collect()
+
+
+def test_too_few_rows_are_refused(spark, make_panel):
+    from panelith.operators import rolling
+
+    p = make_panel({"A": [1.0, 2.0, 3.0]})
+    assert rolling.rolling_average(p, 3).count() == 3
+    for metric in (lambda: rolling.rolling_average(p, 4), lambda: rolling.volatility(prices=p, lags=3)):
+        with pytest.raises(Exception, match="rows are needed"):
+            metric().collect()
