@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import xlsx
 from ..operators.frames import no_nan
 
 FIELDS = ("open", "high", "low", "close", "volume", "dividend", "split")
@@ -49,7 +50,7 @@ class FrameSource:
 
 
 class WorkbookSource:
-    """A folder with one CSV or Parquet table per sheet: ``underlying`` and wide tables of the fields (dates by tickers)."""
+    """An .xlsx file, or a folder with one CSV or Parquet table per sheet: ``underlying`` and wide tables of the fields (dates by tickers)."""
 
     SHEETS = {"open": "open_price", "high": "high_price", "low": "low_price", "close": "close_price", "volume": "volume", "dividend": "dividend"}
 
@@ -58,6 +59,8 @@ class WorkbookSource:
 
     def sheet(self, spark: SparkSession, name: str) -> DataFrame | None:
         """The table, or None if it is missing or empty."""
+        if self.folder.endswith(".xlsx"):
+            return xlsx.read_sheet(xlsx.read_cells(spark, self.folder), name)
         from pyspark.errors import AnalysisException
 
         reader = spark.read.option("header", True) if self.format == "csv" else spark.read
@@ -74,7 +77,7 @@ class WorkbookSource:
             if wide is None:
                 continue
             date = wide.columns[0]
-            typed = wide.select(F.col(f"`{date}`").cast("date").alias("obs_date"), *[F.col(f"`{c}`").try_cast("double").alias(c.upper()) for c in wide.columns[1:]])
+            typed = wide.select(xlsx.as_date(F.col(f"`{date}`").cast("string")).alias("obs_date"), *[F.col(f"`{c}`").try_cast("double").alias(c.upper()) for c in wide.columns[1:]])
             if typed.where("obs_date is null").take(1) or typed.groupBy("obs_date").count().where("count > 1").take(1):
                 raise ValueError(f"{name} needs one row per date")
             rows = typed.unpivot(["obs_date"], typed.columns[1:], "ticker", "value").select("obs_date", "ticker", F.lit(field).alias("field"), no_nan("value").alias("value"))
@@ -137,12 +140,16 @@ def instruments_from_info(info: DataFrame, mapping: dict[str, str], values: dict
 
 
 def write_report(report: dict[str, DataFrame], folder: str, format: str = "parquet") -> None:
-    """One table per sheet of a report; names of at most 31 characters."""
+    """One table per sheet of a report, or one workbook if the folder's name ends in .xlsx; names of at most 31 characters."""
+    if folder.endswith(".xlsx"):
+        return xlsx.write_workbook(report, folder)
     for name, df in report.items():
         df.write.mode("overwrite").format(format).option("header", True).save(f"{folder}/{text.sheet_name(name)}.{format}")
 
 
 def read_sheet(spark: SparkSession, folder: str, name: str, format: str = "parquet") -> DataFrame:
+    if folder.endswith(".xlsx"):
+        return xlsx.read_sheet(xlsx.read_cells(spark, folder), name)
     return spark.read.format(format).option("header", True).load(f"{folder}/{text.sheet_name(name)}.{format}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,3 +26,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def file_system(path: str):
+    """The file system of a shared path, for use in tasks, and the path inside it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if "://" in path:  # Hadoop's names of S3 are not pyarrow's
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+    return fs.LocalFileSystem(), path

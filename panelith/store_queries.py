@@ -515,3 +515,25 @@ def _(s, d):
     u = strategy.Universe(names(shared(s, d)), month_ends(p)).price_history(p, 20, 0.6)
     st = strategy.Strategy(strategy.SmaCross(u.eligibility(), p, 20, 5), strategy.equal_weight, p, strategy.VolatilityTarget(0.1), fee=0.01, transaction_cost=0.001)
     return st.describe_table(u, "usd", True, 0.15)
+
+
+@register("xlsx_round_trip", _sql(f"SELECT field, obs_date, ticker, {_r('value')} FROM st WHERE field IN ('close', 'dividend')", IDIV.replace(f" WHERE {STOCKS}", ""), ALL[1].replace(f" WHERE {STOCKS}", "")))
+def _(s, d):
+    """Closes and dividends as sheets of one .xlsx file."""
+    path = f"{scratch(s, 'workbook')}.xlsx"
+    wide = {"close_price": quotes(s, d).groupBy("obs_date").pivot("ticker").agg(F.first("close")), "dividend": dividends(s, d).groupBy("obs_date").pivot("ticker").agg(F.first("value"))}
+    readers.write_report(wide, path)
+    return rounded(readers.WorkbookSource(path).facts(s).select("field", "obs_date", "ticker", "value"))
+
+
+@register("xlsx_ingest", f"SELECT ticker, {KIND} AS instrument_type, 'EXCEL' AS data_source, 'A&B_<{KIND}>' AS sector FROM (SELECT DISTINCT upper(p_brand) AS ticker FROM part)".replace(f"'A&B_<{KIND}>'", f"'A&B_<' || {KIND} || '>'"))
+def _(s, d):
+    """Instruments of a workbook's sheet, added to a store."""
+    path, st = f"{scratch(s, 'workbook')}.xlsx", PanelStore(s, scratch(s, "panel-store"))
+    sheet = underlyings(s, d).select("ticker", "instrument_type", "data_source", F.concat(F.lit("a&b <"), "instrument_type", F.lit(">")).alias("sector"))
+    readers.write_report({"underlying": sheet, "empty": sheet.limit(0)}, path)
+    book = readers.WorkbookSource(path)
+    assert book.sheet(s, "empty") is None and book.sheet(s, "missing") is None
+    t = [r[0] for r in sheet.select("ticker").collect()]
+    st.ingest(book, t, refresh=False)
+    return st.attributes(t, ["instrument_type", "data_source", "sector"])

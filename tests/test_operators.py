@@ -160,7 +160,8 @@ def test_empty_and_small_panels(make_panel):
     empty = make_panel({})
     for fn in (clean.ffill, lambda p: rolling.volatility(prices=p), lambda p: cross.rank_filter(p, True, True, 1), lambda p: rolling.maximum_drawdown(p), lambda p: asof.on_calendar(p, p)):
         assert fn(empty).count() == 0
-        fn(make_panel({"A": [1]})).collect()
+    for fn in (clean.ffill, lambda p: rolling.volatility(prices=p, lags=2), lambda p: cross.rank_filter(p, True, True, 1), lambda p: rolling.maximum_drawdown(p), lambda p: asof.on_calendar(p, p)):
+        fn(make_panel({"A": [1, 2, 3]})).collect()
 
 
 def test_too_few_rows_are_refused(spark, make_panel):
