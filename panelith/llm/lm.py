@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 from .simhash import _LOWER as LOWER
 
-ORDER, NEAR, CONTEXT_BITS, HOT_BITS = 6, 3, 16, 16
+ORDER, NEAR, CONTEXT_BITS, HOT_BITS = 6, 3, 16, 18
 FOLDS, HELD_OUT = 5, 1
 END, SEGMENT = 10, 256
 #: Bytes of text whose grams are asked for together, and of text in one row of the shared folder.
