@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embdedup, lm, mixing, packing, pii, simhash, tokenstore, topk, toxicity, warc
+from . import common, conversation, embdedup, lm, mixing, packing, pii, simhash, tokenstore, topk, toxicity, warc
 
 
 def word_tokenizer() -> str:
@@ -62,6 +62,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(common.table(spark, sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(conversation.damage(common.table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash,
     "op2_best_fit_packing": op2_pack,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_mix,
     "op9_token_store": op9_token_store,
     "op10_lm_scoring": op10_lm,
+    "op13_conversation_repair": op13_conversations,
 }
 
 ORACLES: dict[str, str] = {
@@ -80,4 +85,5 @@ ORACLES: dict[str, str] = {
     "op6_exact_top_k": topk.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
+    "op13_conversation_repair": conversation.ORACLE,
 }
