@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, conversation, embdedup, lm, mixing, packing, pii, simhash, tokenstore, topk, toxicity, warc
+from . import common, conversation, embdedup, lexical, lm, mixing, packing, pii, simhash, tokenstore, topk, toxicity, warc
 
 
 def word_tokenizer() -> str:
@@ -62,6 +62,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(common.table(spark, sf_dir, "documents"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair(conversation.damage(common.table(spark, sf_dir, "conversations")))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_mix,
     "op9_token_store": op9_token_store,
     "op10_lm_scoring": op10_lm,
+    "op12_lexical_search": op12_lexical,
     "op13_conversation_repair": op13_conversations,
 }
 
@@ -85,5 +90,6 @@ ORACLES: dict[str, str] = {
     "op6_exact_top_k": topk.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
     "op13_conversation_repair": conversation.ORACLE,
 }
