@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, conversation, embdedup, lexical, lm, mixing, packing, pii, simhash, tokenstore, topk, toxicity, warc
+from . import common, conversation, embdedup, lexical, lm, mixing, packing, pii, quality, simhash, tokenstore, topk, toxicity, warc
 
 
 def word_tokenizer() -> str:
@@ -62,6 +62,13 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(common.table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
+    held_out = common.doc_fold(folds=quality.FOLDS) == quality.HELD_OUT
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_mix,
     "op9_token_store": op9_token_store,
     "op10_lm_scoring": op10_lm,
+    "op11_quality": op11_quality,
     "op12_lexical_search": op12_lexical,
     "op13_conversation_repair": op13_conversations,
 }
