@@ -90,17 +90,18 @@ def _thresholds(docs: DataFrame, weights: Sequence[float], most: int) -> tuple[D
     return rows, marks, left
 
 
-def _times(h, left: int, most: int, prefix: str = ""):
-    """How often a document of hash ``h`` is taken."""
-    here, passes, bucket = F.shiftright(h, left), F.col(f"{prefix}passes"), F.col(f"{prefix}bucket")
-    extra = ((here < bucket) | ((here == bucket) & F.col(f"{prefix}takes"))).cast("long")
+def _times(left: int, most: int, names: dict[str, str] | None = None):
+    """How often a document is taken, by its hash (h) and its source's marks; ``names`` has their columns where they differ."""
+    h, passes, bucket, takes = (F.col((names or {}).get(c, c)) for c in ("h", "passes", "bucket", "takes"))
+    here = F.shiftright(h, left)
+    extra = ((here < bucket) | ((here == bucket) & takes)).cast("long")
     return F.when(passes >= most, passes).otherwise(passes + extra)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target, taken and times (how often a document is taken)."""
     rows, marks, left = _thresholds(docs, weights, most)
-    times = _times(F.col("h"), left, most)
+    times = _times(left, most)
     out = rows.join(marks, F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"), "source")
 
@@ -148,8 +149,12 @@ def apply(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST)
     """
     rows, marks, left = _thresholds(docs, weights, most)
     common.discard(rows)
-    marks = marks.select(*[F.col(c).alias(f"__{c}") for c in ("s", "passes", "bucket", "takes")])
-    marked = docs.withColumn("__h", hash_of_id()).join(marks, F.col("source").eqNullSafe(F.col("__s")))
-    times = _times(F.col("__h"), left, most, "__")
-    taken = marked.withColumn("__times", times.cast("int")).where("__times > 0")
-    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken_names = list(docs.columns)
+    names = {}
+    for c in ("s", "passes", "bucket", "takes", "h", "times", "n"):
+        names[c] = common.free_name(taken_names, f"mix_{c}")
+        taken_names.append(names[c])
+    marks = marks.select(*[F.col(c).alias(names[c]) for c in ("s", "passes", "bucket", "takes")])
+    marked = docs.withColumn(names["h"], hash_of_id()).join(marks, F.col("source").eqNullSafe(F.col(names["s"])))
+    taken = marked.withColumn(names["times"], _times(left, most, names).cast("int")).where(F.col(names["times"]) > 0)
+    return taken.withColumn(names["n"], F.explode(F.sequence(F.lit(1), F.col(names["times"])))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,7 @@ word before and the word behind it, and the two words behind it. Spark scores th
 for a kind is the mean score of its instances, where a known instance counts 1 for its own kind, and an unknown one the mean confidence of its *other*
 patterns, so that no pattern vouches for itself. A pattern that enough different known instances support and whose confidence passes the
 threshold discovers the unknown instances that stand in it. These are known in the next round and support further patterns, until a round
-finds none or ``ROUNDS`` are over. Added are the occurrences in passing patterns; base spans stay as they are.
+finds none: each makes more instances known, so there is a last one. Added are the occurrences in passing patterns; base spans stay as they are.
 
 All spans are in code points, end exclusive. Texts are matched whole and in linear time, however long the runs in them.
 
@@ -17,7 +17,9 @@ rows; further columns are ignored. A token that overlaps a base span is never ad
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,10 +38,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Tokens that hold a digit or a sign of identifiers.
 MARKS = "0123456789@_([{=/\\"
 NUMBERED = re.compile(r"(?<!\S)[^\s0-9@_(\[{=/\\]*+[0-9@_(\[{=/\\]\S*+")
+WORD = re.compile(r"\S+")
 TRIM = ".,;:!?\"'()[]{}<>|*#%&$"
 
-#: How many rounds of discovery, how often the graph is scored in each, how many known instances a pattern needs, and how sure it must be.
-ROUNDS, SCORINGS, LEAST_SEEDS, CONFIDENCE = 5, 3, 5, 0.8
+#: How often the graph is scored in each round, how many known instances a pattern needs, and how sure it must be.
+SCORINGS, LEAST_SEEDS, CONFIDENCE = 3, 5, 0.8
+#: Characters of a neighbouring word that a pattern holds, those next to the span.
+CONTEXT = 64
 
 
 def luhn(digits: str) -> bool:
@@ -85,41 +90,58 @@ def describe(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _around(text: str, start: int, end: int) -> list[str]:
-    """The patterns of a span: two words before it, one before and one behind, two behind; without their punctuation."""
-    width = 64
-    while True:  # whole words, however long: the first of the window may be cut
-        left = text[max(0, start - width) : start].rstrip(TRIM).lower().split()
-        if len(left) > 2 or start <= width:
-            break
-        width *= 2
-    width = 64
-    while True:
-        behind = text[end : end + width].lstrip(TRIM)
-        right = behind.lower().split()
-        if len(right) > 3 or end + width >= len(text):
-            break
-        width *= 2
-    if behind and not behind[0].isspace():
-        right = right[1:]  # the rest of the token itself
-    left, right = [w.strip(TRIM) for w in left[-2:]], [w.strip(TRIM) for w in right[:2]]
-    out = []
-    if len(left) == 2 and all(left):
-        out.append("<<" + " ".join(left))
-    if left and right and left[-1] and right[0]:
-        out.append(f"<>{left[-1]} {right[0]}")
-    if len(right) == 2 and all(right):
-        out.append(">>" + " ".join(right))
-    return out
+class _Words:
+    """The words of a text, cut at blanks once; neighbours of a span are read from at most ``CONTEXT`` characters each."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts, self.ends = [], []
+        for m in WORD.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def _before(self, start: int) -> Iterator[str]:
+        """Words before a span, the nearest first: what its own word has before it, if more than signs, then whole words."""
+        text, k = self.text, bisect_left(self.starts, start) - 1
+        if k >= 0 and self.ends[k] >= start:
+            own = text[max(self.starts[k], start - CONTEXT) : start].rstrip(TRIM)
+            if own:
+                yield own
+            k -= 1
+        while k >= 0:
+            yield text[max(self.starts[k], self.ends[k] - CONTEXT) : self.ends[k]]
+            k -= 1
+
+    def _behind(self, end: int) -> Iterator[str]:
+        """Whole words behind the word that a span ends in."""
+        for k in range(bisect_left(self.starts, end), len(self.starts)):
+            yield self.text[self.starts[k] : min(self.ends[k], self.starts[k] + CONTEXT)]
+
+    def around(self, start: int, end: int) -> list[str]:
+        """The patterns of a span: two words before it, one before and one behind, two behind; without their punctuation."""
+        left = [w.lower().strip(TRIM) for w in itertools.islice(self._before(start), 2)][::-1]
+        right = [w.lower().strip(TRIM) for w in itertools.islice(self._behind(end), 2)]
+        out = []
+        if len(left) == 2 and all(left):
+            out.append("<<" + " ".join(left))
+        if left and right and left[-1] and right[0]:
+            out.append(f"<>{left[-1]} {right[0]}")
+        if len(right) == 2 and all(right):
+            out.append(">>" + " ".join(right))
+        return out
 
 
 def occurrences(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple[int, int, list[str], str, int]]:
     """(start, end, patterns, instance, kind or -1) of the seeds and of the other tokens that may be identifiers."""
     if not text:
         return []
-    out = [(s, e, _around(text, s, e), text[s:e].lower(), k) for s, k, e in base]
+    numbered = list(NUMBERED.finditer(text))
+    if not base and not numbered:
+        return []
+    words = _Words(text)
+    out = [(s, e, words.around(s, e), text[s:e].lower(), k) for s, k, e in base]
     n, reach = 0, 0
-    for m in NUMBERED.finditer(text):
+    for m in numbered:
         raw = m[0]
         start = m.start() + len(raw) - len(raw.lstrip(TRIM))
         end = m.end() - (len(raw) - len(raw.rstrip(TRIM)))
@@ -127,7 +149,7 @@ def occurrences(text: str | None, base: list[tuple[int, int, int]]) -> list[tupl
             reach = max(reach, base[n][2])
             n += 1
         if start < end and reach <= start and not (n < len(base) and base[n][0] < end) and any(c in MARKS for c in text[start:end]):
-            out.append((start, end, _around(text, start, end), text[start:end].lower(), -1))
+            out.append((start, end, words.around(start, end), text[start:end].lower(), -1))
     return [x for x in out if x[2]]
 
 
@@ -192,12 +214,12 @@ def confidences(edges: DataFrame, scorings: int = SCORINGS, least_seeds: int = L
     return scores
 
 
-def patterns(scanned: DataFrame, rounds: int = ROUNDS, scorings: int = SCORINGS, least_seeds: int = LEAST_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern, as_kind, confidence) of the patterns that pass in the last round; what passed before still does, as known instances only grow."""
+def patterns(scanned: DataFrame, rounds: int | None = None, scorings: int = SCORINGS, least_seeds: int = LEAST_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
+    """(pattern, as_kind, confidence) of the patterns that pass in the last round (of ``rounds``, if given); what passed before still does, as known instances only grow."""
     spark = scanned.sparkSession
     edges = common.materialize(graph(scanned), "edges")
     passed = spark.createDataFrame([], "pattern long, as_kind int, confidence double")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         scores = confidences(edges, scorings, least_seeds)
         if scores is None:
             break

@@ -44,3 +44,14 @@ def test_rows_are_repeated(spark):
     want = sum(r["times"] for r in mixing.mix(df).collect())
     assert out.count() == want
     assert mixing.apply(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_come_back(spark):
+    rows, df = make(spark)
+    names = ["mix_h", "mix_n", "mix_times", "mix_s", "__h", "h", "takes"]
+    for k, c in enumerate(names):
+        df = df.withColumn(c, df["doc_id"] + k)
+    out = mixing.apply(df)
+    assert out.columns == df.columns
+    for r in out.select("doc_id", *names).distinct().collect():
+        assert [r[c] for c in names] == [None if r["doc_id"] is None else r["doc_id"] + k for k in range(len(names))]

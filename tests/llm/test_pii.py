@@ -44,6 +44,30 @@ def test_long_runs_are_linear():
     assert time.time() - began < 20
 
 
+def test_long_texts_full_of_matches_are_linear(spark):
+    for bit in ("abc.d%d@host%d.org,", "1.2.3.%d,", "4111-1111-1111-1111,", "+1 (555) 123-4567;"):
+        one = "".join(bit % ((k % 200,) * bit.count("%")) if "%" in bit else bit for k in range(400))
+        assert pii.base_spans(one) == slow(one)
+        long = one * (1_000_000 // len(one) + 1)
+        began = time.time()
+        spans = pii.base_spans(long)
+        found = pii.occurrences(long, spans)
+        masked = pii.mask_text(long, spans)
+        assert time.time() - began < 4  # on a busy machine; a few tenths on a free one
+        assert len(spans) >= 400 * (len(long) // len(one)) and len(masked) < len(long) and len(found) <= len(spans) + 1
+    df = spark.createDataFrame([(1, "a@b.cd," * 150_000)], "doc_id long, text string")
+    assert pii.redact(df).first()["text"] == "[EMAIL]," * 150_000
+    assert pii.extract(df).first()["n_email"] == 150_000
+
+
+def test_contexts_are_the_neighbouring_words():
+    text = "Send a mail: <u1@h.org>, now please. x(u2@h.org) " + "y" * 300 + " 1.2.3.4-" + "z" * 300 + " end"
+    got = {text[s:e]: p for s, e, p, _, k in pii.occurrences(text, pii.base_spans(text)) if k >= 0}
+    assert got["u1@h.org"] == ["<<a mail", "<>mail now", ">>now please"]
+    assert got["u2@h.org"] == ["<<please x", f"<>x {'y' * 64}", f">>{'y' * 64} 1.2.3.4-{'z' * 56}"]
+    assert got["1.2.3.4"] == [f"<<x(u2@h.org {'y' * 64}", f"<>{'y' * 64} end"]
+
+
 def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
