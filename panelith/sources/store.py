@@ -1,15 +1,17 @@
 """The panel store: instruments and facts as tables, and what is read from and written to them.
 
-Facts are long, ``(field, obs_date, ticker, value, source, created_at)``, in Parquet partitioned by field and year. A commit writes the partitions
-that it touches to a folder of its own and then creates the next file of the log, which lists the folders of every partition. Creating a file
-that exists fails, so of two writers one starts anew on what the other left; readers follow the log and never see half of a commit.
+Facts are long, ``(field, obs_date, ticker, value, source, created_at)``, in batches of Parquet by field and year (see ``commits``). A commit writes
+what is new or gone to folders of its own and then creates the next file of the log, which lists the folders that count. Creating a file
+that exists fails, so of two writers one looks again at what the other left and adds its own to it; readers follow the log and never see half of a commit.
+
+Tickers are given as a list or as a DataFrame with a column ``ticker``; a DataFrame is joined and never collected.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
 import uuid
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import asof, clean
 from ..operators.frames import by_ticker, dense, last_rows
+from .commits import FACT_SCHEMA, Conflict, Facts, Log
 from .readers import FIELDS, Source
 
 # What instruments may be, and the fields they may not have.
@@ -25,8 +28,7 @@ INSTRUMENT_TYPES = ("STOCK", "INDEX", "FUTURE", "ETF", "BOND", "FX")
 DATA_SOURCES = ("YAHOO", "BLOOMBERG", "BORSDATA", "EXCEL")
 WITHOUT_FIELD = {"volume": ("INDEX",), "dividend": ("INDEX", "FX", "BOND"), "split": ("INDEX", "FX", "BOND")}
 
-FACT_SCHEMA = "obs_date date, ticker string, value double, source string, created_at date, field string"
-FACT_COLUMNS = ("obs_date", "ticker", "value", "source", "created_at", "field")
+Tickers = Sequence[str] | DataFrame
 DATES_FREE = ("ticker", "has_dividend_history", "first_ex_div_date", "expiry_date", "latest_obs_date", "oldest_obs_date")
 
 
@@ -55,88 +57,45 @@ def convert(panel: DataFrame, instruments: DataFrame, fx: DataFrame, currency: s
     return joined.withColumn("value", F.col("value") * F.when(F.col("__fx").isNull(), F.lit(1.0)).otherwise(F.col("__rate"))).select(*panel.columns)
 
 
-class Conflict(Exception):
-    """Another writer took the next place in the log."""
-
-
-class Log:
-    """Numbered JSON files in a folder of any file system that Spark reads."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def _path(self, name: str = ""):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def latest(self) -> tuple[int, dict]:
-        p, fs = self._path()
-        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-        found = sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
-        if not found:
-            return 0, {"facts": [], "instruments": None}
-        p, fs = self._path(f"{found[-1]:08d}.json")
-        stream = fs.open(p)
-        try:
-            return found[-1], json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def append(self, number: int, state: dict) -> None:
-        """Writes a file of its own and moves it to its place, so that readers find it whole; raises Conflict if the place is taken."""
-        from py4j.protocol import Py4JJavaError
-
-        draft, fs = self._path(f".{uuid.uuid4().hex}")
-        out = fs.create(draft, False)
-        out.write(json.dumps(state).encode())
-        out.close()
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        never_over = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf).rename(draft, self._path(f"{number:08d}.json")[0], never_over)
-        except Py4JJavaError as e:
-            fs.delete(draft, False)
-            raise Conflict(number) from e
-
-
 class PanelStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.log = Log(spark, f"{self.path}/log")
+    """``slot_rows``: about so many rows make a slot; ``most_batches``: a partition of more batches is folded by the next upsert."""
 
-    # commits
+    def __init__(self, spark: SparkSession, path: str, slot_rows: int = 2_000_000, most_batches: int = 8):
+        self.spark, self.path, self.most_batches = spark, path.rstrip("/"), most_batches
+        self.log, self._facts = Log(spark, f"{self.path}/log"), Facts(spark, self.path, slot_rows)
 
-    def _folder(self, name: str, entries: Sequence[Sequence]) -> list[str]:
-        return [f"{self.path}/{name}/batch={batch}/field={field}/year={year}" for field, year, batch in entries]
-
-    def _rows(self, entries: Sequence[Sequence]) -> DataFrame:
-        """The rows of partitions [field, year, batch]."""
-        if not entries:
-            return self.spark.createDataFrame([], FACT_SCHEMA)
-        reader = self.spark.read.schema(FACT_SCHEMA + ", batch string, year int").option("basePath", f"{self.path}/facts")
-        return reader.parquet(*self._folder("facts", entries)).select(*FACT_COLUMNS)
+    # commits
 
-    def _commit(self, touched: Callable[[list], list], change: Callable[[DataFrame], DataFrame] | None, instruments: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        """Rewrites the partitions (field, year) that ``touched`` names, from those there are, to what ``change`` makes of their rows, and instruments."""
+    def _commit(self, change: Callable[[dict, int], dict | None]) -> None:
+        """Logs what ``change`` makes of the latest state, given the commit's number; it is asked again if another writer was faster."""
         for _ in range(20):
             number, state = self.log.latest()
-            parts = touched(state["facts"])
-            keys = {(f, y) for f, y in parts}
-            entries, table, batch = [e for e in state["facts"] if (e[0], e[1]) not in keys], state["instruments"], uuid.uuid4().hex
-            if change is not None and keys:
-                new = change(self._rows([e for e in state["facts"] if (e[0], e[1]) in keys])).withColumn("year", F.year("obs_date"))
-                new.repartition("field", "year").write.partitionBy("field", "year").parquet(f"{self.path}/facts/batch={batch}")
-                entries += [[f, y, batch] for f, y in sorted(keys) if self._there(f"{self.path}/facts/batch={batch}/field={f}/year={y}")]
-            if instruments is not None:
-                instruments(self._table(state)).coalesce(1).write.parquet(f"{self.path}/instruments/{batch}")
-                table = batch
+            new = change(state, number + 1)
+            if new is None:
+                return
             try:
-                return self.log.append(number + 1, {"facts": entries, "instruments": table})
+                return self.log.append(number + 1, new)
             except Conflict:
-                self._drop(f"{self.path}/facts/batch={batch}")
-                self._drop(f"{self.path}/instruments/{batch}")
+                continue
         raise RuntimeError("other writers were faster twenty times")
 
+    def _with_instruments(self, state: dict, change: Callable[[DataFrame], DataFrame]) -> dict:
+        batch = uuid.uuid4().hex
+        change(self._table(state)).write.parquet(f"{self.path}/instruments/{batch}")
+        return state | {"instruments": batch}
+
+    def _change_instruments(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        self._commit(lambda state, number: self._with_instruments(state, change))
+
+    def _names(self, tickers: Tickers) -> DataFrame:
+        """The tickers as a table, in upper case, each once."""
+        if isinstance(tickers, DataFrame):
+            return tickers.select(F.upper("ticker").alias("ticker")).distinct()
+        return self.spark.createDataFrame([(t,) for t in dict.fromkeys(t.upper() for t in ([tickers] if isinstance(tickers, str) else tickers))], "ticker string")
+
+    def _among(self, rows: DataFrame, tickers: Tickers) -> DataFrame:
+        return rows.join(self._names(tickers), "ticker", "left_semi")
+
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -150,25 +109,45 @@ class PanelStore:
         fs.delete(p, True)
 
     def vacuum(self) -> None:
-        """Deletes what the present state doesn't list. No reader or writer may be at work."""
+        """Deletes what the present state doesn't list, and the log up to it. No reader or writer may be at work."""
         _, state = self.log.latest()
-        held = {e[2] for e in state["facts"]} | {state["instruments"]}
-        for folder, cut in ((f"{self.path}/facts", "batch="), (f"{self.path}/instruments", "")):
-            p, fs = self._fs(folder)
+        batches = {f"batch={b}" for b in state["batches"]}
+        kept = {"facts": batches, "summaries": batches, "gone": {g[0] for g in state["gone"]}, "instruments": {state["instruments"]}, "staging": set()}
+        for folder, held in kept.items():
+            p, fs = self._fs(f"{self.path}/{folder}")
             for f in fs.listStatus(p) if fs.exists(p) else []:
-                if f.getPath().getName().removeprefix(cut) not in held:
+                if f.getPath().getName() not in held:
                     fs.delete(f.getPath(), True)
+        self.log.trim()
+
+    def compact(self, field: str | None = None, start=None, end=None) -> None:
+        """Folds the batches and deletions of the partitions of a field and span of years into one batch each."""
+        lo, hi = (None if d is None else int(str(d)[:4]) for d in (start, end))
+
+        def change(state: dict, number: int) -> dict | None:
+            entries = self._facts.entries(state, field, lo, hi)
+            counts = Counter((e[0], e[1]) for e in entries)
+            due = {(e[0], e[1]) for e in entries if counts[e[0], e[1]] > 1 or any(g[1] > state["batches"][e[2]]["number"] for g in state["gone"])}
+            return self._facts.compacted(state, number, due) if due else None
+
+        self._commit(change)
 
     def _table(self, state: dict) -> DataFrame:
         if state["instruments"] is None:
             return self.spark.createDataFrame([], "ticker string, instrument_type string, data_source string, currency string")
         return self.spark.read.parquet(f"{self.path}/instruments/{state['instruments']}")
 
-    def facts(self, field: str | None = None, start=None, end=None) -> DataFrame:
-        """Stored rows; of a field and of a span of dates only their partitions are opened."""
+    def facts(self, field: str | None = None, start=None, end=None, tickers: Tickers | None = None) -> DataFrame:
+        """Stored rows. Only the partitions of a field and of a span of dates are opened, and of these the slots that hold the tickers."""
+        state = self.log.latest()[1]
         lo, hi = (None if d is None else int(str(d)[:4]) for d in (start, end))
-        entries = [e for e in self.log.latest()[1]["facts"] if field in (None, e[0]) and (lo is None or e[1] >= lo) and (hi is None or e[1] <= hi)]
-        rows = self._rows(entries)
+        entries = self._facts.entries(state, field, lo, hi)
+        if tickers is not None and entries:
+            names = self._names(tickers)
+            rows = self._facts.rows(state, self._facts.holding(entries, names)).join(names, "ticker", "left_semi")
+        else:
+            rows = self._facts.rows(state, entries)
+        rows = rows.drop("version")
         rows = rows if start is None else rows.where(F.col("obs_date") >= F.lit(start).cast("date"))
         return rows if end is None else rows.where(F.col("obs_date") <= F.lit(end).cast("date"))
 
@@ -177,7 +156,7 @@ class PanelStore:
 
     def reset(self) -> None:
         """Empties both tables."""
-        self._commit(lambda stored: [e[:2] for e in stored], lambda rows: rows.limit(0), lambda table: table.limit(0))
+        self._commit(lambda state, number: self._with_instruments(state | {"facts": [], "batches": {}, "gone": []}, lambda table: table.limit(0)))
 
     # instruments
 
@@ -187,7 +166,7 @@ class PanelStore:
     def existence(self, tickers: Sequence[str], data_source: str | None = None) -> tuple[list[str], list[str], list[str]]:
         """The tickers that are there, those that are not, and those that come from another source."""
         wanted = list(dict.fromkeys(t.upper() for t in tickers))
-        got = {r["ticker"]: r["data_source"] for r in self.instruments().where(F.col("ticker").isin(wanted)).select("ticker", "data_source").collect()}
+        got = {r["ticker"]: r["data_source"] for r in self._among(self.instruments(), wanted).select("ticker", "data_source").collect()}
         other = [t for t in wanted if t in got and data_source is not None and got[t] != data_source.upper()]
         return [t for t in wanted if t in got and t not in other], [t for t in wanted if t not in got], other
 
@@ -201,8 +180,8 @@ class PanelStore:
             out = out.where(F.col(name).isin([v if name in DATES_FREE or not isinstance(v, str) else text.attribute_py(v) for v in values]))
         return [r[0] for r in out.select("ticker").orderBy("ticker").collect()]
 
-    def attributes(self, tickers: Sequence[str], names: Sequence[str]) -> DataFrame:
-        return self.instruments().where(F.col("ticker").isin([t.upper() for t in tickers])).select("ticker", *names)
+    def attributes(self, tickers: Tickers, names: Sequence[str]) -> DataFrame:
+        return self._among(self.instruments(), tickers).select("ticker", *names)
 
     def _checked(self, rows: DataFrame) -> DataFrame:
         bad = rows.where(~F.col("instrument_type").isin(*INSTRUMENT_TYPES) | ~F.col("data_source").isin(*DATA_SOURCES)).take(1) if {"instrument_type", "data_source"} <= set(rows.columns) else []
@@ -224,17 +203,9 @@ class PanelStore:
             return old.join(rows.select("ticker"), "ticker", "left_anti").unionByName(rows, allowMissingColumns=True)
 
         if on_conflict == "delete":
-            self._commit(self._all, lambda facts: facts.join(rows.select("ticker"), "ticker", "left_anti").select(*FACT_COLUMNS), merged)
+            self._delete(rows, merged)
         else:
-            self._commit(self._none, None, merged)
-
-    @staticmethod
-    def _all(stored: list) -> list:
-        return [e[:2] for e in stored]
-
-    @staticmethod
-    def _none(stored: list) -> list:
-        return []
+            self._change_instruments(merged)
 
     def update_attributes(self, changes: DataFrame) -> None:
         """Sets the attributes that ``changes`` (ticker, ...) has; unknown tickers are an error."""
@@ -247,77 +218,108 @@ class PanelStore:
             kept = [F.coalesce(F.col("given")[c], F.col(c)).alias(c) if c in cols else F.col(c) for c in old.columns]
             return old.join(new, "ticker", "left").select(*kept, *[F.col("given")[c].alias(c) for c in cols if c not in old.columns])
 
-        self._commit(self._none, None, changed)
+        self._change_instruments(changed)
 
-    def delete(self, tickers: Sequence[str]) -> None:
+    def delete(self, tickers: Tickers) -> None:
         """Instruments and their facts."""
-        stays = ~F.col("ticker").isin([t.upper() for t in tickers])
-        self._commit(self._all, lambda facts: facts.where(stays), lambda table: table.where(stays))
+        names = self._names(tickers)
+        self._delete(names, lambda table: table.join(names, "ticker", "left_anti"))
+
+    @staticmethod
+    def _spans(names: DataFrame, fields: Sequence[str], lo=None, hi=None) -> DataFrame:
+        ends = [F.lit(x or y).cast("date").alias(n) for x, y, n in ((lo, "0001-01-01", "lo"), (hi, "9999-12-31", "hi"))]
+        return names.select(F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"), "ticker", *ends)
+
+    def _delete(self, names: DataFrame, instruments: Callable[[DataFrame], DataFrame]) -> None:
+        gone = self._facts.write_spans(self._spans(names, FIELDS))
+        self._commit(lambda state, number: self._with_instruments(self._facts.tidy(state | {"gone": [*state["gone"], [gone, number, True]]}), instruments))
 
     # facts
 
-    def upsert(self, rows: DataFrame, replace: bool | str = False, source: str = "EXCEL", created: dt.date | None = None) -> None:
+    def upsert(self, rows: DataFrame, replace: bool | str = False, source: str = "EXCEL", created: dt.date | None = None, order: str | None = None, token: tuple[str, int] | None = None) -> None:
         """Adds (obs_date, ticker, field, value). Stored rows stay and only new dates are added (False), stored rows of the same date, ticker
         and field give way ("exact"), or all that is stored in each ticker's and field's span of dates does (True).
 
-        Rows may repeat, but not with different values. Only the fields and years that ``rows`` hold are rewritten.
+        Rows may repeat, but not with different values, unless ``order`` names a column of whole numbers: then the row of the greatest (of equal ones
+        the greater value) counts, here and among all that is stored with an order; what has none gives way to what has one. Nothing is written
+        but the new rows and spans. A ``token`` (name, number) that is not above the last one of its name has been written before and does nothing.
         """
-        value = F.when(F.min("value") == F.max("value"), F.max("value")).otherwise(F.raise_error(F.lit("a fact repeats with another value")).cast("double"))
-        new = rows.where("value is not null").groupBy("obs_date", F.upper("ticker").alias("ticker"), "field").agg(value.alias("value"))
+        key = [F.col("obs_date"), F.upper("ticker").alias("ticker"), F.col("field")]
+        if order is None:
+            value = F.when(F.min("value") == F.max("value"), F.max("value")).otherwise(F.raise_error(F.lit("a fact repeats with another value")).cast("double"))
+            version = F.lit(None).cast("long")
+        else:
+            value, version = F.max_by("value", F.struct(order, "value")), F.max(F.col(order).cast("long"))
+        new = rows.where("value is not null").groupBy(*key).agg(value.alias("value"), version.alias("version"))
         kinds = self.instruments()
         if "instrument_type" in kinds.columns:
             barred = [(F.col("field") == f) & F.col("instrument_type").isin(*t) for f, t in WITHOUT_FIELD.items()]
             new = new.join(kinds.select("ticker", "instrument_type"), "ticker", "left").where(~F.coalesce(barred[0] | barred[1] | barred[2], F.lit(False)))
-        new = new.select("obs_date", "ticker", "value", F.lit(source).alias("source"), F.lit(created or dt.date.today()).alias("created_at"), "field")
+        new = new.select("obs_date", "ticker", "value", F.lit(source).alias("source"), F.lit(created or dt.date.today()).alias("created_at"), "version", "field")
         staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-        new.write.parquet(staged)  # the source is asked once, whatever happens behind
+        new.write.parquet(staged)  # the source is asked once
         new = self.spark.read.schema(FACT_SCHEMA).parquet(staged)
-        if replace is True:
-            span = new.groupBy("ticker", "field").agg(F.min("obs_date").alias("lo"), F.max("obs_date").alias("hi"))
-            ends = new.groupBy("field").agg(F.min(F.year("obs_date")).alias("lo"), F.max(F.year("obs_date")).alias("hi")).collect()
-            parts = [(r["field"], y) for r in ends for y in range(r["lo"], r["hi"] + 1)]
-        else:
-            parts = [tuple(r) for r in new.select("field", F.year("obs_date")).distinct().collect()]  # fields by years
+        total = new.count()
+        batch, entries = self._facts.write(new, total) if total else (None, [])
+        gone = None
+        if replace is True and total:
+            gone = self._facts.write_spans(new.groupBy("field", "ticker").agg(F.min("obs_date").alias("lo"), F.max("obs_date").alias("hi")))
+        self._drop(staged)
+
+        def change(state: dict, number: int) -> dict | None:
+            streams = state["streams"]
+            if token is not None:
+                if streams.get(token[0], -1) >= token[1]:
+                    return None
+                streams = streams | {token[0]: token[1]}
+            out = state | {"streams": streams}
+            if total:
+                out = self._facts.added(out, number, batch, entries, keep=replace is False and order is None, versioned=order is not None)
+            if gone is not None and self._facts.entries(state):
+                out["gone"] = [*state["gone"], [gone, number, False]]
+            return out
+
+        self._commit(change)
+        counts = Counter((e[0], e[1]) for e in self.log.latest()[1]["facts"])
+        if total and max(counts[e[0], e[1]] for e in entries) > self.most_batches:
+            due = {(e[0], e[1]) for e in entries if counts[e[0], e[1]] > self.most_batches}
+            self._commit(lambda state, number: self._facts.compacted(state, number, due))
+
+    def _cut(self, spans: Callable[[dict], DataFrame]) -> None:
+        """Deletes the rows in spans that are found in the state that the commit builds on."""
+
+        def change(state: dict, number: int) -> dict | None:
+            if not state["facts"]:
+                return None
+            return state | {"gone": [*state["gone"], [self._facts.write_spans(spans(state)), number, True]]}
 
-        def merged(old: DataFrame) -> DataFrame:
-            key = ["obs_date", "ticker", "field"]
-            if replace is True:
-                kept = old.join(span, ["ticker", "field"], "left").where(F.col("lo").isNull() | ~F.col("obs_date").between(F.col("lo"), F.col("hi")))
-                return kept.select(*FACT_COLUMNS).unionByName(new)
-            if replace == "exact":
-                return old.join(new.select(*key), key, "left_anti").select(*FACT_COLUMNS).unionByName(new)
-            return old.unionByName(new.join(old.select(*key), key, "left_anti").select(*FACT_COLUMNS))
-
-        try:
-            self._commit(lambda stored: parts, merged)
-        finally:
-            self._drop(staged)
-
-    def delete_facts(self, field: str, tickers: Sequence[str], start=None, end=None, dates: Sequence[str] | None = None) -> None:
-        """Rows of a field by tickers and a span of dates, or listed dates."""
-        hit = (F.col("field") == field) & F.col("ticker").isin([t.upper() for t in tickers])
+        self._commit(change)
+
+    def delete_facts(self, field: str, tickers: Tickers, start=None, end=None, dates: Sequence[str] | None = None) -> None:
+        """Rows of a field by tickers and a span of dates, or listed dates within it."""
+        spans = self._spans(self._names(tickers), [field], start, end)
         if dates is not None:
-            hit &= F.col("obs_date").isin([F.lit(d).cast("date") for d in dates])
-        if start is not None:
-            hit &= F.col("obs_date") >= F.lit(start).cast("date")
-        if end is not None:
-            hit &= F.col("obs_date") <= F.lit(end).cast("date")
-        self._commit(lambda stored: [e[:2] for e in stored if e[0] == field], lambda rows: rows.where(~hit))
-
-    def delete_unsettled(self, tickers: Sequence[str]) -> None:
+            listed = F.explode(F.array(*[F.lit(d).cast("date") for d in dates]))
+            spans = spans.withColumn("day", listed).where(F.col("day").between(F.col("lo"), F.col("hi"))).select("field", "ticker", F.col("day").alias("lo"), F.col("day").alias("hi"))
+        self._cut(lambda state: spans)
+
+    def delete_unsettled(self, tickers: Tickers) -> None:
         """Rows that were captured on their own date, before the close."""
-        hit = F.col("ticker").isin([t.upper() for t in tickers]) & (F.col("obs_date") == F.col("created_at"))
-        years = {(r["field"], r["y"]) for r in self.facts().where(hit).select("field", F.year("obs_date").alias("y")).distinct().collect()}
-        self._commit(lambda stored: [e[:2] for e in stored if (e[0], e[1]) in years], lambda rows: rows.where(~hit))
+        day = F.col("obs_date")
+        self._cut(lambda state: self._among(self._facts.rows(state, state["facts"]), tickers).where(day == F.col("created_at")).select("field", "ticker", day.alias("lo"), day.alias("hi")))
+
+    def _dates(self, field: str | None = None, tickers: Tickers | None = None) -> DataFrame:
+        state = self.log.latest()[1]
+        return self._facts.dates(state, self._facts.entries(state, field), None if tickers is None else self._names(tickers))
 
     def observed(self) -> DataFrame:
-        """Per ticker: oldest and latest date, latest date with a close, first ex-dividend date, whether it pays dividends."""
+        """Per ticker: oldest and latest date, latest date with a close, first ex-dividend date, whether it pays dividends. From the batches' summaries."""
         quoted = F.col("field") != "dividend"
-        return self.facts().groupBy("ticker").agg(
-            F.min(F.when(quoted, F.col("obs_date"))).alias("oldest_obs_date"),
-            F.max(F.when(quoted, F.col("obs_date"))).alias("latest_obs_date"),
-            F.max(F.when(F.col("field") == "close", F.col("obs_date"))).alias("latest_obs_date_with_values"),
-            F.min(F.when(~quoted, F.col("obs_date"))).alias("first_ex_div_date"),
+        return self._dates().groupBy("ticker").agg(
+            F.min(F.when(quoted, F.col("first"))).alias("oldest_obs_date"),
+            F.max(F.when(quoted, F.col("last"))).alias("latest_obs_date"),
+            F.max(F.when(F.col("field") == "close", F.col("last"))).alias("latest_obs_date_with_values"),
+            F.min(F.when(~quoted, F.col("first"))).alias("first_ex_div_date"),
             (F.count(F.when(~quoted, 1)) > 0).alias("has_dividend_history"),
         )
 
@@ -325,29 +327,28 @@ class PanelStore:
         """Writes ``observed`` into the instruments."""
         own = self.observed()
         drop = [c for c in own.columns if c != "ticker"]
-        self._commit(self._none, None, lambda table: table.drop(*drop).join(own, "ticker", "left"))
+        self._change_instruments(lambda table: table.drop(*drop).join(own, "ticker", "left"))
 
-    def latest_dates(self, field: str, tickers: Sequence[str] | None = None) -> DataFrame:
-        rows = self.facts(field).join(self.instruments().select("ticker"), "ticker", "left_semi")
-        rows = rows if tickers is None else rows.where(F.col("ticker").isin([t.upper() for t in tickers]))
-        return rows.groupBy("ticker").agg(F.max("obs_date").alias("latest"))
+    def latest_dates(self, field: str, tickers: Tickers | None = None) -> DataFrame:
+        return self._dates(field, tickers).join(self.instruments().select("ticker"), "ticker", "left_semi").select("ticker", F.col("last").alias("latest"))
 
-    def eligible_start(self, tickers: Sequence[str], fields: Sequence[str] = ("close",)) -> dt.date | None:
+    def eligible_start(self, tickers: Tickers, fields: Sequence[str] = ("close",)) -> dt.date | None:
         """Oldest of the latest dates; None if any ticker has no row of a field."""
-        wanted, out = {t.upper() for t in tickers}, []
+        names, out = self._names(tickers), []
+        wanted = names.count()
         for field in fields:
-            r = self.latest_dates(field, tickers).agg(F.min("latest"), F.count("*")).first()
-            if r[1] < len(wanted):
+            r = self.latest_dates(field, names).agg(F.min("latest"), F.count("*")).first()
+            if r[1] < wanted:
                 return None
             out.append(r[0])
         return min(out)
 
-    def stale(self, field: str, as_of: dt.date, tickers: Sequence[str] | None = None) -> DataFrame:
+    def stale(self, field: str, as_of: dt.date, tickers: Tickers | None = None) -> DataFrame:
         """Tickers that may have the field and were never refreshed or not since ``as_of``."""
         kinds = self.instruments()
         if field in WITHOUT_FIELD and "instrument_type" in kinds.columns:
             kinds = kinds.where(~F.col("instrument_type").isin(*WITHOUT_FIELD[field]))
-        kinds = kinds if tickers is None else kinds.where(F.col("ticker").isin([t.upper() for t in tickers]))
+        kinds = kinds if tickers is None else self._among(kinds, tickers)
         mark = f"last_{field}_refresh"
         if mark in kinds.columns:
             kinds = kinds.where(F.col(mark).isNull() | (F.col(mark) <= F.lit(as_of)))
@@ -357,14 +358,15 @@ class PanelStore:
         """Tickers whose latest close is at most so many days old; those without one count as active."""
         return self.instruments().select("ticker").join(self.latest_dates("close"), "ticker", "left").where(F.col("latest").isNull() | (F.datediff(F.lit(today), "latest") <= most_days)).select("ticker")
 
-    def record_refresh(self, tickers: Sequence[str], field: str | Sequence[str], on: dt.date) -> None:
+    def record_refresh(self, tickers: Tickers, field: str | Sequence[str], on: dt.date) -> None:
         marks = [f"last_{f}_refresh" for f in ([field] if isinstance(field, str) else field)]
-        now = F.when(F.col("ticker").isin([t.upper() for t in tickers]), F.lit(on))
+        asked = self._names(tickers).withColumn("asked", F.lit(on))
 
         def marked(old: DataFrame) -> DataFrame:
-            return old.withColumns({m: F.coalesce(now, F.col(m).cast("date") if m in old.columns else F.lit(None).cast("date")) for m in marks})
+            own = {m: F.col(m).cast("date") if m in old.columns else F.lit(None).cast("date") for m in marks}
+            return old.join(asked, "ticker", "left").withColumns({m: F.coalesce("asked", own[m]) for m in marks}).drop("asked")
 
-        self._commit(self._none, None, marked)
+        self._change_instruments(marked)
 
     def refresh(self, source: Source, tickers: Sequence[str], replace: bool = True, today: dt.date | None = None) -> None:
         """Incremental batch: facts from the least latest date on, then the dates of the instruments."""
@@ -384,18 +386,24 @@ class PanelStore:
 
     # scans
 
-    def _requested(self, tickers: Sequence[str]) -> list[str]:
-        if not tickers:
+    def _requested(self, tickers: Tickers) -> DataFrame:
+        """The requested tickers as a table, after the checks."""
+        if isinstance(tickers, DataFrame):
+            n, each = tickers.agg(F.count("*"), F.count_distinct(F.upper("ticker"))).first()
+        else:
+            wanted = [t.upper() for t in ([tickers] if isinstance(tickers, str) else tickers)]
+            n, each = len(wanted), len(set(wanted))
+        if not n:
             raise TypeError("no tickers are given")
-        wanted = [t.upper() for t in ([tickers] if isinstance(tickers, str) else tickers)]
-        if len(set(wanted)) < len(wanted):
+        if each < n:
             raise ValueError("tickers repeat")
-        missing = self.existence(wanted)[1]
+        names = self._names(tickers)
+        missing = [r[0] for r in names.join(self.instruments(), "ticker", "left_anti").orderBy("ticker").limit(20).collect()]
         if missing:
             raise ValueError(f"unknown tickers {missing}")
-        return wanted
+        return names
 
-    def scan(self, field: str, tickers: Sequence[str], start=None, end=None, currency: str | None = None, ffill_na: bool = False, bfill_na: bool = False, drop_na: bool = False, on_duplicates: str = "error") -> DataFrame:
+    def scan(self, field: str, tickers: Tickers, start=None, end=None, currency: str | None = None, ffill_na: bool = False, bfill_na: bool = False, drop_na: bool = False, on_duplicates: str = "error") -> DataFrame:
         """Dense panel of a field: every requested ticker on every date on which one has a value.
 
         Bounds that are missing are those of the data. Volumes are never converted.
@@ -403,11 +411,11 @@ class PanelStore:
         if field not in FIELDS:
             raise ValueError(f"{field} is no field")
         wanted = self._requested(tickers)
-        rows = self.facts(field, start, end).where(F.col("ticker").isin(wanted))
+        rows = self.facts(field, start, end, wanted)
         n = F.count("*")
         value = F.avg("value") if on_duplicates == "mean" else F.when(n > 1, F.raise_error(F.lit("a fact repeats")).cast("double")).otherwise(F.first("value"))
         cells = rows.groupBy("obs_date", "ticker").agg(value.alias("value"))
-        panel = dense(cells, tickers=self.spark.createDataFrame([(t,) for t in wanted], "ticker string"))
+        panel = dense(cells, tickers=wanted)
         panel = clean.drop_empty_dates(panel)
         if currency is not None and field != "volume":
             panel = convert(panel, self.instruments(), self._fx(), currency)
@@ -448,7 +456,7 @@ class PanelStore:
         With ``payers_only`` types that can't pay dividends keep their price.
         """
         close = self.close(tickers, start=start, end=end)
-        paid = self.facts("dividend").where(F.col("ticker").isin(self._requested(tickers))).select("obs_date", "ticker", "value")
+        paid = self.facts("dividend", tickers=tickers).select("obs_date", "ticker", "value")
         if payers_only:
             paid = paid.join(self.instruments().where(~F.col("instrument_type").isin(*WITHOUT_FIELD["dividend"])).select("ticker"), "ticker", "left_semi")
         out = total_return(close, paid, withholding_tax)

@@ -144,33 +144,18 @@ def test_sparse_micro_batches_keep_what_lies_between(filled, spark, tmp_path):
     assert len(got) == 20 and got["AA", 2] == 1 and got["AA", 19] == 2 and got["AA", 10] == 310
 
 
-def test_two_writers_lose_nothing(filled, spark):
-    """The second writer commits while the first is at work: the first starts anew on what the second left."""
-    other, done = PanelStore(spark, filled.path), []
-
-    def late(stored):
-        if not done:
-            done.append(1)
-            other.upsert(spark.createDataFrame([(D(2024, 1, 20), "AA", "close", 7.0)], FACTS))
-        return [("close", 2024)]
-
-    real = filled.log.latest
-    seen = real()
-    filled.log.latest = lambda: filled.log.__dict__.pop("latest") and seen  # the state before the other's commit
-    filled._commit(late, lambda rows: rows.unionByName(spark.createDataFrame([(D(2024, 1, 21), "AA", 8.0, "EXCEL", D(2024, 1, 21), "close")], "obs_date date, ticker string, value double, source string, created_at date, field string")))
-    got = values(filled.close("AA"))
-    assert got["AA", 20] == 7 and got["AA", 21] == 8 and got["AA", 1] == 101
-
-
-def test_only_touched_partitions_are_rewritten(filled, spark):
-    before = {tuple(e) for e in filled.log.latest()[1]["facts"]}
+def test_writes_leave_what_is_stored_alone(filled, spark):
+    def held():
+        return {(*e[:3], *e[3]) for e in filled.log.latest()[1]["facts"]}
+
+    before = held()
     filled.upsert(spark.createDataFrame([(D(2025, 1, 2), "AA", "close", 5.0)], FACTS))
-    after = {tuple(e) for e in filled.log.latest()[1]["facts"]}
+    after = held()
     assert before < after and len(after - before) == 1
     filled.delete_facts("volume", ["AA"])
-    assert {tuple(e) for e in filled.log.latest()[1]["facts"]} - after == {e for e in {tuple(e) for e in filled.log.latest()[1]["facts"]} if e[0] == "volume"}
+    assert held() == after and len(filled.log.latest()[1]["gone"]) == 1
     filled.vacuum()
-    assert values(filled.close("AA", start="2025-01-01")) == {("AA", 2): 5.0} and filled.exists("AA")
+    assert values(filled.close("AA", start="2025-01-01")) == {("AA", 2): 5.0} and filled.exists("AA") and filled.facts("volume").count() == 0
 
 
 def test_facts_that_contradict_each_other(filled, spark):
@@ -189,3 +174,157 @@ def test_strategy_end_to_end(filled, spark, make_panel):
     s = strategy.Strategy(strategy.SmaCross(u.eligibility(), p, 2, 1), lambda x: strategy.equal_weight(x), p, weight_lag=1)
     out = s.back_test().orderBy("obs_date").collect()
     assert out[0]["value"] == 100 and len(out) > 20
+
+
+def paths(df):
+    return {f.split("/facts/")[1].rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+def size_of(spark, store, batch):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store.path}/facts/batch={batch}")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+@pytest.fixture
+def wide(spark, tmp_path):
+    """200 tickers over two years, in slots of about 1,000 rows."""
+    s = PanelStore(spark, str(tmp_path / "wide"), slot_rows=1000, most_batches=3)
+    names = spark.range(200).select(F.format_string("T%03d", "id").alias("ticker"))
+    s.add(names.select("ticker", F.lit("STOCK").alias("instrument_type"), F.lit("EXCEL").alias("data_source"), F.lit("USD").alias("currency")))
+    days = spark.range(20).select(F.date_add(F.lit(D(2023, 12, 22)), F.col("id").cast("int")).alias("obs_date"))
+    s.upsert(names.crossJoin(days).select("obs_date", "ticker", F.lit("close").alias("field"), (F.dayofyear("obs_date") + F.substring("ticker", 2, 3).cast("int")).cast("double").alias("value")), created=D(2024, 2, 1))
+    return s
+
+
+def test_a_scan_of_few_tickers_opens_few_slots(wide, spark):
+    all_slots = paths(wide.facts("close"))
+    few = paths(wide.facts("close", tickers=["T007", "t008"]))
+    assert len(all_slots) >= 4 and len(few) <= 2 and few <= all_slots
+    asked = spark.createDataFrame([("T007",), ("t008",)], "ticker string")
+    got = wide.close(asked, start="2024-01-01")
+    assert values(got) == values(wide.close(["T007", "T008"], start="2024-01-01")) and len(values(got)) == 20
+    assert paths(wide.facts("close", "2024-01-01")) < all_slots
+    with pytest.raises(ValueError):
+        wide.close(asked.unionAll(asked))
+    with pytest.raises(ValueError):
+        wide.close(spark.createDataFrame([("NOPE",)], "ticker string"))
+
+
+def test_many_tickers_are_a_join(wide, spark):
+    began = dt.datetime.now()
+    many = [f"T{k:03d}" for k in range(200)] + [f"X{k}" for k in range(100_000)]
+    there, missing, _ = wide.existence(many)
+    assert len(there) == 200 and len(missing) == 100_000
+    assert wide.facts("close", tickers=many).count() == 4000
+    assert (dt.datetime.now() - began).seconds < 60
+
+
+def test_small_writes_stay_small_and_are_folded(wide, spark):
+    (first,) = wide.log.latest()[1]["batches"]
+    want = {(r["ticker"], r["obs_date"]): r["value"] for r in wide.facts("close").collect()}
+    for k in range(5):
+        day = D(2024, 1, 2 + k)
+        rows = [(day, "T005", "close", float(k)), (D(2024, 3, 1 + k), "T005", "close", 9.0)]
+        wide.upsert(spark.createDataFrame(rows, FACTS), replace="exact")
+        want |= {(t, d): v for d, t, _, v in rows}
+    state = wide.log.latest()[1]
+    assert all(sum(e[:2] == [f, y] for e in state["facts"]) <= 4 for f, y in (("close", 2023), ("close", 2024)))
+    assert {(r["ticker"], r["obs_date"]): r["value"] for r in wide.facts("close").collect()} == want
+    small = [b for b in state["batches"] if b != first and size_of(spark, wide, b) < 10_000]
+    assert small and size_of(spark, wide, first) > 10_000
+    wide.delete_facts("close", ["T005"], dates=["2024-03-05", "2024-01-02"])
+    wide.compact()
+    after = wide.log.latest()[1]
+    assert not after["gone"] and len({e[2] for e in after["facts"] if e[1] == 2024}) == 1
+    del want["T005", D(2024, 3, 5)], want["T005", D(2024, 1, 2)]
+    wide.vacuum()
+    assert {(r["ticker"], r["obs_date"]): r["value"] for r in wide.facts("close").collect()} == want
+    assert wide.log.numbers() == [wide.log.latest()[0]]
+
+
+def test_dates_come_from_summaries_and_equal_the_facts(wide, spark):
+    def scanned():
+        return {(r["ticker"], r["a"], r["b"]) for r in wide.facts("close").groupBy("ticker").agg(F.min("obs_date").alias("a"), F.max("obs_date").alias("b")).collect()}
+
+    def known():
+        return {(r["ticker"], r["oldest_obs_date"], r["latest_obs_date"]) for r in wide.observed().collect()}
+
+    assert known() == scanned() and not any("/facts/" in f for f in wide.observed().inputFiles())
+    assert not any("/facts/" in f for f in wide.latest_dates("close").inputFiles())
+    span = spark.createDataFrame([(D(2023, 12, 20), "T001", "close", 1.0), (D(2024, 1, 12), "T001", "close", 1.0), (D(2024, 5, 1), "T002", "close", 1.0)], FACTS)
+    wide.upsert(span, replace=True)
+    assert known() == scanned() and not any("/facts/" in f for f in wide.observed().inputFiles())
+    wide.delete_facts("close", ["T002", "T003"], start="2024-01-05")
+    wide.delete(["T004"])
+    assert known() == scanned() and {t for t, _, _ in known()} == {f"T{k:03d}" for k in range(200)} - {"T004"}
+    assert wide.latest_dates("close", ["T003"]).first()["latest"] == D(2024, 1, 4)
+    wide.compact()
+    assert known() == scanned() and not any("/facts/" in f for f in wide.observed().inputFiles())
+
+
+def test_of_two_writers_both_commit(wide, spark):
+    other, append = PanelStore(spark, wide.path), wide.log.append
+    row = lambda t, v: spark.createDataFrame([(D(2024, 1, 3), t, "close", v)], FACTS)
+
+    def late(number, state):
+        wide.log.append = append
+        other.upsert(row("T010", -1.0), replace="exact")
+        other.upsert(row("T012", -5.0), replace="exact", created=D(2024, 1, 3))
+        append(number, state)
+
+    wide.log.append = late
+    wide.upsert(row("T011", -2.0), replace="exact")
+    got = {r["ticker"]: r["value"] for r in wide.facts("close", "2024-01-03", "2024-01-03", ["T010", "T011", "T012"]).collect()}
+    assert got == {"T010": -1.0, "T011": -2.0, "T012": -5.0}
+
+    def later(number, state):
+        wide.log.append = append
+        other.upsert(row("T013", -6.0), replace="exact", created=D(2024, 1, 3))
+        append(number, state)
+
+    wide.log.append = later
+    wide.delete_unsettled(["T012", "T013"])  # what the other writer adds meanwhile is found too
+    assert {r["ticker"] for r in wide.facts("close", "2024-01-03", "2024-01-03", ["T012", "T013"]).collect()} == set()
+
+
+def test_kept_and_replaced_rows(filled, spark):
+    row = lambda v, d=5: spark.createDataFrame([(D(2024, 1, d), "AA", "close", v)], FACTS)
+    filled.upsert(row(1.0))  # stays 105
+    filled.upsert(row(2.0, 9))
+    filled.upsert(row(3.0, 9))  # stays 2
+    assert values(filled.close("AA"))[("AA", 5)] == 105 and values(filled.close("AA"))[("AA", 9)] == 2
+    filled.upsert(row(4.0, 9), replace="exact")
+    filled.upsert(row(5.0, 9))
+    assert values(filled.close("AA"))[("AA", 9)] == 4
+    filled.delete_facts("close", ["AA"], dates=["2024-01-09"])
+    assert ("AA", 9) not in values(filled.close("AA"))
+    filled.upsert(row(6.0, 9))
+    filled.compact("close")
+    assert values(filled.close("AA"))[("AA", 9)] == 6
+    assert len(values(filled.volume("AA"))) == 5
+
+
+def test_streams_have_a_winner(filled, spark, tmp_path):
+    from panelith.streaming.upsert import upsert_stream
+
+    schema = FACTS + ", seen long"
+    day = D(2024, 1, 3)
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), filled, str(tmp_path / "check"), order="seen").awaitTermination()
+        return values(filled.close("AA"))[("AA", 3)]
+
+    assert feed([(day, "AA", "close", 7.0, 10), (day, "aa", "close", 9.0, 12), (day, "AA", "close", 8.0, 11)]) == 9.0
+    assert feed([(day, "AA", "close", 1.0, 5)]) == 9.0  # late
+    assert feed([(day, "AA", "close", 2.0, 13), (day, "AA", "close", 3.0, 13)]) == 3.0  # of equal ones the greater
+    number = filled.log.latest()[0]
+    assert filled.log.latest()[1]["streams"] == {str(tmp_path / "check"): 2}
+    replayed = spark.createDataFrame([(day, "AA", "close", 99.0, 99)], schema)
+    filled.upsert(replayed, replace="exact", order="seen", token=(str(tmp_path / "check"), 2))
+    assert filled.log.latest()[0] == number and values(filled.close("AA"))[("AA", 3)] == 3.0
+    # without an order the greater value counts
+    spark.createDataFrame([(day, "AA", "close", 4.0, 1), (day, "AA", "close", 6.0, 2)], schema).write.parquet(str(tmp_path / "plain"))
+    upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "plain")).drop("seen"), filled, str(tmp_path / "check2")).awaitTermination()
+    filled.compact()
+    assert values(filled.close("AA"))[("AA", 3)] == 3.0  # what has an order stays before what has none
