@@ -5,6 +5,7 @@ Every part is a lazy DataFrame transform; a back-test is one plan. Windows over
 
 from __future__ import annotations
 
+import copy
 import warnings
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -14,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .demand import Panel, Span, cut, span_of
 from ..functions import optimize
 from ..functions.calendar import business_shift, monotonic, year_fraction
 from ..operators import asof, clean, cross, rolling
 from ..operators.frames import by_date, by_ticker, dense, guarded, last_rows, skip_sum, strict_sum
+from ..sources.shared import materialized
 
 PANEL = "obs_date date, ticker string, value double"
 
@@ -45,6 +48,13 @@ class Universe:
         names = calendar.sparkSession.createDataFrame([(t,) for t in self.tickers], "ticker string")
         self._eligible = dense(self.calendar.crossJoin(names).withColumn("value", F.lit(1.0)))
         self.filters: list[str] = []
+        self._span: Span | None = None
+
+    def span(self) -> Span:
+        """First and last date of the calendar."""
+        if self._span is None:
+            self._span = span_of(self.calendar)
+        return self._span
 
     def _apply(self, panel: DataFrame, description: str) -> "Universe":
         on = asof.on_calendar(panel, self.calendar).withColumnRenamed("value", "__f")
@@ -59,20 +69,23 @@ class Universe:
         monotonic(eligibility.select("obs_date").distinct())
         return self._apply(eligibility, description)
 
-    def liquidity(self, liquidity: DataFrame, lag: int, threshold: float) -> "Universe":
+    def liquidity(self, liquidity: Panel, lag: int, threshold: float) -> "Universe":
         """Mean liquidity above the threshold."""
         _require(lag >= 1, "the lag is at least 1")
+        liquidity = cut(liquidity, self.span, lag + 1)
         on = rolling.rolling_average(liquidity, lag).withColumn("value", F.when(F.col("value") > threshold, 1.0).otherwise(0.0))
         return self._apply(on, f"average liquidity over {lag} > {threshold}")
 
-    def price_history(self, close: DataFrame, n: int, tolerance: float = 0.95) -> "Universe":
+    def price_history(self, close: Panel, n: int, tolerance: float = 0.95) -> "Universe":
         """At least ``tolerance`` of the last n closes are there."""
         _require(n >= 1, "n is at least 1")
+        close = cut(close, self.span, n + 1)
         enough = F.count("value").over(last_rows(by_ticker(), n)) >= int(tolerance * n)
         return self._apply(close.withColumn("value", F.when(enough, 1.0).otherwise(0.0)), f"{tolerance:g} of the last {n} closes")
 
-    def published(self, close: DataFrame, n: int) -> "Universe":
-        """A close in the last n rows, once a full run of n has occurred."""
+    def published(self, close: Panel, n: int) -> "Universe":
+        """A close in the last n rows, once a full run of n has occurred: that may be long ago, so everything is needed."""
+        close = cut(close, self.span, None)
         return self._apply(published_filter(close, n), f"a close in the last {n} rows")
 
     def eligibility(self, only_eligible: bool = False) -> DataFrame:
@@ -109,7 +122,10 @@ def look_back(windows: int | Sequence[int] | None, freq: int | str | None = 1, s
 
 
 def pruned(prices: DataFrame, signal: DataFrame, windows: int | Sequence[int] | None, freq: int | str | None = 1, sampled: bool = False) -> DataFrame:
-    """The prices that metrics on the signal's dates need, from ``look_back`` days before the first to the last; the bounds are one row."""
+    """The prices that metrics on the signal's dates need, from ``look_back`` days before the first to the last; the bounds are one row.
+
+    An estimate for panels of which nothing is known; what a ``StoredPanel`` opens is exact.
+    """
     days = look_back(windows, freq, sampled)
     span = signal.agg(F.min("obs_date").alias("__lo"), F.max("obs_date").alias("__hi"))
     inside = F.col("obs_date") <= F.col("__hi")
@@ -122,10 +138,17 @@ def pruned(prices: DataFrame, signal: DataFrame, windows: int | Sequence[int] |
 
 
 class Signal:
-    """A panel on the eligibility's calendar, NULL where a ticker isn't eligible. Subclasses give ``raw``."""
+    """A panel on the eligibility's calendar, NULL where a ticker isn't eligible. Subclasses give ``raw``.
+
+    Of a universe the calendar's dates are known, and so which part of stored prices is needed.
+    """
+
+    def __init__(self, eligibility: DataFrame | Universe):
+        self.universe = eligibility if isinstance(eligibility, Universe) else None
+        self.eligibility = eligibility.eligibility() if isinstance(eligibility, Universe) else eligibility
 
-    def __init__(self, eligibility: DataFrame):
-        self.eligibility = eligibility
+    def span(self) -> Span:
+        return self.universe.span() if self.universe is not None else span_of(self.eligibility)
 
     def raw(self) -> DataFrame:
         return self.eligibility
@@ -138,11 +161,11 @@ class Signal:
 class SmaCross(Signal):
     """-1 where the shorter moving average lies below the longer one, else 1 (also where one is undefined)."""
 
-    def __init__(self, eligibility: DataFrame, prices: DataFrame, lag_1: int, lag_2: int | None = None, freq=None):
+    def __init__(self, eligibility: DataFrame | Universe, prices: Panel, lag_1: int, lag_2: int | None = None, freq=None):
         super().__init__(eligibility)
         lags = [lag_1, 1 if lag_2 is None else lag_2]
         _require(min(lags) >= 1, "lags are at least 1")
-        self.prices, self.lead, self.lagging = cross.frequency_filter(prices, freq), min(lags), max(lags)
+        self.prices, self.lead, self.lagging = cross.frequency_filter(cut(prices, self.span, max(lags) + 1, freq), freq), min(lags), max(lags)
 
     def raw(self) -> DataFrame:
         fast = rolling.rolling_average(self.prices, self.lead).withColumnRenamed("value", "__fast")
@@ -152,20 +175,27 @@ class SmaCross(Signal):
 
 
 class RankSignal(Signal):
-    """1 for the first-ranked by ``metric``."""
+    """1 for the first-ranked by ``metric``, a panel or a function of the signal's span that gives one."""
 
-    def __init__(self, eligibility: DataFrame, metric: DataFrame | Callable[[], DataFrame], ascending: bool, **how):
+    def __init__(self, eligibility: DataFrame | Universe, metric: DataFrame | Callable[[Callable[[], Span]], DataFrame], ascending: bool, **how):
         super().__init__(eligibility)
         self.metric, self.ascending, self.how = metric, ascending, how
 
     def compute(self) -> DataFrame:
-        m = self.metric() if callable(self.metric) else self.metric
+        m = self.metric(self.span) if callable(self.metric) else self.metric
         return cross.top_k(m, self.eligibility, ascending=self.ascending, **self.how)
 
 
-def volatility_rank(eligibility: DataFrame, prices: DataFrame, lags, return_lag: int = 1, ascending: bool = True, freq=None, **how) -> RankSignal:
-    prices = cross.frequency_filter(prices, freq)
-    return RankSignal(eligibility, lambda: rolling.volatility(prices=prices, lags=lags, return_lag=return_lag, factor=cross.annualization_factor(freq)), ascending, **how)
+def _most(lags: int | Sequence[int]) -> int:
+    return lags if isinstance(lags, int) else max(lags)
+
+
+def volatility_rank(eligibility: DataFrame | Universe, prices: Panel, lags, return_lag: int = 1, ascending: bool = True, freq=None, **how) -> RankSignal:
+    def metric(span: Callable[[], Span]) -> DataFrame:
+        needed = cross.frequency_filter(cut(prices, span, _most(lags) + return_lag + 1, freq), freq)
+        return rolling.volatility(prices=needed, lags=lags, return_lag=return_lag, factor=cross.annualization_factor(freq))
+
+    return RankSignal(eligibility, metric, ascending, **how)
 
 
 def average_performance(prices: DataFrame, lags: int | Sequence[int]) -> DataFrame:
@@ -177,8 +207,8 @@ def average_performance(prices: DataFrame, lags: int | Sequence[int]) -> DataFra
     return filled.withColumn("value", reduce(lambda a, b: a + b, terms) / len(lags))
 
 
-def performance_rank(eligibility: DataFrame, prices: DataFrame, lags, ascending: bool = False, freq=None, **how) -> RankSignal:
-    return RankSignal(eligibility, lambda: average_performance(cross.frequency_filter(prices, freq), lags), ascending, **how)
+def performance_rank(eligibility: DataFrame | Universe, prices: Panel, lags, ascending: bool = False, freq=None, **how) -> RankSignal:
+    return RankSignal(eligibility, lambda span: average_performance(cross.frequency_filter(cut(prices, span, _most(lags) + 1, freq), freq), lags), ascending, **how)
 
 
 # weights
@@ -220,6 +250,30 @@ def volatility_weight(signal: DataFrame, prices: DataFrame, lags=60, return_lag:
     return proportional_weight(signal, vol, inverse)
 
 
+class PricedWeight:
+    """A weight function of a signal and prices that looks ``rows`` rows back from the first date."""
+
+    def __init__(self, function: Callable[..., DataFrame], prices: Panel, rows: int | None, freq: int | str | None = None, **how):
+        self.function, self.prices, self.rows, self.freq, self.how = function, prices, rows, freq, how
+        self.__name__ = function.__name__
+
+    def over(self, span: Callable[[], Span]) -> Callable[[DataFrame], DataFrame]:
+        """The function of the signal alone, with what it needs of the prices."""
+        needed = cut(self.prices, span, self.rows, self.freq)
+        return lambda signal: self.function(signal, needed, freq=self.freq, **self.how)
+
+    def __call__(self, signal: DataFrame) -> DataFrame:
+        return self.over(lambda: span_of(signal))(signal)
+
+
+def by_volatility(prices: Panel, lags=60, return_lag: int = 1, inverse: bool = True, freq=None) -> PricedWeight:
+    return PricedWeight(volatility_weight, prices, _most(lags) + return_lag + 1, freq, lags=lags, return_lag=return_lag, inverse=inverse)
+
+
+def by_optimizer(prices: Panel, window: int | None, return_lag: int = 1, freq=None, **how) -> PricedWeight:
+    return PricedWeight(optimized_weight, prices, None if window is None else window + return_lag + 1, freq, window=window, return_lag=return_lag, **how)
+
+
 def bounded(weights: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
     return clean.clip(weights, low, high)
 
@@ -299,22 +353,29 @@ class VolatilityTarget:
 class BetaHedge:
     """Adds a position in the hedge instrument against the strategy's beta. Dates without a position have no weights at all.
 
-    The benchmark counts from the strategy's first date on; its returns are its own, taken as of the strategy's dates.
+    The benchmark counts from the strategy's first date on; its returns are its own, taken as of the strategy's dates. If it doesn't span
+    these, the plan fails.
     """
 
-    def __init__(self, benchmark: DataFrame, ticker: str = "HEDGE", lags=252, return_lag: int = 1, factor_lag: int = 1, smoothing: int = 1, high: float = 999.0, low: float = 0.0):
+    def __init__(self, benchmark: Panel, ticker: str = "HEDGE", lags=252, return_lag: int = 1, factor_lag: int = 1, smoothing: int = 1, high: float = 999.0, low: float = 0.0):
         _require(factor_lag >= 0 and smoothing >= 1, "factor_lag >= 0 and smoothing >= 1 are needed")
         self.__dict__.update(benchmark=benchmark, ticker=ticker, lags=lags, return_lag=return_lag, factor_lag=factor_lag, smoothing=smoothing, high=high, low=low)
 
-    def check(self, both: DataFrame) -> None:
-        """An error if the benchmark doesn't span the dates."""
-        span = both.agg(F.min("obs_date"), F.max("obs_date")).first()
-        own = self.benchmark.where("value is not null").agg(F.min("obs_date"), F.max("obs_date")).first()
-        _require(own[0] is not None and own[0] <= span[0] and own[1] >= span[1], "the hedge's prices don't span the strategy's dates")
+    def over(self, span: Callable[[], Span]) -> "BetaHedge":
+        """The hedge with what it needs of a stored benchmark."""
+        out = copy.copy(self)
+        out.benchmark = cut(self.benchmark, span, 2)
+        return out
 
     def __call__(self, both: DataFrame) -> DataFrame:
+        if not isinstance(self.benchmark, DataFrame):
+            return self.over(lambda: span_of(both))(both)
         returns = both.select("obs_date", "ticker", F.col("ret").alias("value"))
-        begin = both.agg(F.min("obs_date").alias("__begin"))  # one row
+        dates = both.agg(F.min("obs_date").alias("__begin"), F.max("obs_date").alias("__end"))  # one row, as the next
+        own = self.benchmark.where("value is not null").agg(F.min("obs_date").alias("__lo"), F.max("obs_date").alias("__hi"))
+        spans = (F.col("__lo") <= F.col("__begin")) & (F.col("__hi") >= F.col("__end"))
+        fails = F.raise_error(F.lit("the hedge's prices don't span the strategy's dates")).cast("date")
+        begin = dates.crossJoin(own).select(F.when(F.col("__begin").isNull() | F.coalesce(spans, F.lit(False)), F.col("__begin")).otherwise(fails).alias("__begin"))
         bench = self.benchmark.select("obs_date", "value").crossJoin(begin).where(F.col("obs_date") >= F.col("__begin")).drop("__begin")
         if self.return_lag > 1:
             betas = rolling.beta(prices=rolling.returns_to_prices(returns), benchmark=bench, lags=self.lags, return_lag=self.return_lag)
@@ -384,7 +445,8 @@ def index_hedged(returns: DataFrame, weights: DataFrame, *, transaction_cost: fl
     """Gross and net index with optional market hedge and volatility target: obs_date, gross_return, gross, net_return, net."""
     w = by_ticker()
     on = asof.on_calendar(weights, returns).withColumn("weight", F.avg("value").over(last_rows(w, smoothing))).drop("value")
-    both = returns.withColumnRenamed("value", "ret").join(on, ["obs_date", "ticker"], "left")
+    both = materialized(returns.withColumnRenamed("value", "ret").join(on, ["obs_date", "ticker"], "left").select("obs_date", "ticker", "ret", "weight"), "index")
+    returns = both.select("obs_date", "ticker", F.col("ret").alias("value"))
     hedge = None
     if market is not None:
         own = returns if beta_return_lag == 1 else rolling.returns_to_prices(returns)
@@ -417,7 +479,7 @@ def index_hedged(returns: DataFrame, weights: DataFrame, *, transaction_cost: fl
 class Strategy:
     """Signals, a weight, overlays and an index over one basket."""
 
-    def __init__(self, signal: Signal | DataFrame | Sequence[Signal | DataFrame], weight: Callable[[DataFrame], DataFrame], prices: DataFrame, overlays: Sequence[Callable[[DataFrame], DataFrame]] | Callable | None = None, *, accumulate: str = "union", weight_smoothing: int = 1, weight_lag: int = 2, transaction_cost: float = 0.0, fee: float = 0.0, initial: float = 100.0):
+    def __init__(self, signal: Signal | DataFrame | Sequence[Signal | DataFrame], weight: Callable[[DataFrame], DataFrame], prices: Panel, overlays: Sequence[Callable[[DataFrame], DataFrame]] | Callable | None = None, *, accumulate: str = "union", weight_smoothing: int = 1, weight_lag: int = 2, transaction_cost: float = 0.0, fee: float = 0.0, initial: float = 100.0):
         signals = list(signal) if isinstance(signal, (list, tuple)) else [signal]
         if not signals or not all(isinstance(s, (Signal, DataFrame)) for s in signals):
             raise TypeError("signals are Signals or panels")
@@ -436,23 +498,33 @@ class Strategy:
         panels = [s.compute() if isinstance(s, Signal) else s for s in self.signals]
         return panels[0] if len(panels) == 1 else cross.combine_signals(panels, self.accumulate)
 
+    def span(self) -> Span:
+        """First and last date of the signals."""
+        spans = [s.span() if isinstance(s, Signal) else span_of(s) for s in self.signals]
+        return min(s[0] for s in spans), max(s[1] for s in spans)
+
     def weights(self) -> DataFrame:
-        return self.weight(self.signal())
+        weight = self.weight.over(self.span) if isinstance(self.weight, PricedWeight) else self.weight
+        return weight(self.signal())
 
-    def returns_and_weights(self) -> DataFrame:
-        """(obs_date, ticker, ret, weight) after the overlays, from the first date with weights on."""
+    def returns_and_weights(self, end=None) -> DataFrame:
+        """(obs_date, ticker, ret, weight) after the overlays, from the first date with weights on. What overlays read again is written once."""
         w = self.weights()
         first = w.agg(F.min("obs_date").alias("__d"))
-        prices = clean.ffill(self.prices).join(F.broadcast(first), F.col("obs_date") >= F.col("__d")).drop("__d")
+        needed = cut(self.prices, lambda: (self.span()[0], end), 2)
+        prices = clean.ffill(needed).join(F.broadcast(first), F.col("obs_date") >= F.col("__d")).drop("__d")
         prices = prices.join(w.select("ticker").distinct(), "ticker", "left_semi")
         ret = prices.withColumn("ret", F.try_divide(F.col("value"), F.lag("value").over(by_ticker())) - 1).drop("value")
         on = asof.on_calendar(w, prices).withColumn("weight", F.avg("value").over(last_rows(by_ticker(), self.weight_smoothing))).drop("value")
         both = ret.join(on, ["obs_date", "ticker"], "left").select("obs_date", "ticker", "ret", "weight")
-        return reduce(lambda b, overlay: overlay(b), self.overlays, both)
+        both = both if end is None else both.where(F.col("obs_date") <= F.lit(end).cast("date"))
+        for overlay in self.overlays:
+            both = materialized(both, "overlay")
+            both = (overlay.over(lambda: (self.span()[0], end)) if isinstance(overlay, BetaHedge) else overlay)(both)
+        return both
 
     def back_test(self, end=None, drop_null: bool = True) -> DataFrame:
-        both = self.returns_and_weights()
-        both = both if end is None else both.where(F.col("obs_date") <= F.lit(end).cast("date"))
+        both = self.returns_and_weights(end)
         out = index_rebalanced(both, self.weight_lag, self.transaction_cost, self.fee, self.initial).select("obs_date", "value")
         return out.where("value is not null") if drop_null else out
 
@@ -471,7 +543,7 @@ class Strategy:
         rows += [("Index fee p.a.:", f"{round(100 * self.fee, 2)}%"), ("Transaction costs:", f"{round(100 * self.transaction_cost, 2)}%")]
         rows += [("Weight smoothing (days):", str(self.weight_smoothing))] if self.weight_smoothing > 1 else []
         rows += [("Weight observation lag (days):", str(self.weight_lag))]
-        return self.prices.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(rows)], "position int, item string, description string")
+        return self.signal().sparkSession.createDataFrame([(k, *r) for k, r in enumerate(rows)], "position int, item string, description string")
 
     def describe(self) -> list[tuple[str, str]]:
         return [("signals", str(len(self.signals))), ("accumulation", self.accumulate), ("overlays", str(len(self.overlays))), ("weight observation lag", str(self.weight_lag)), ("weight smoothing", str(self.weight_smoothing)), ("transaction cost", f"{self.transaction_cost:g}"), ("fee", f"{self.fee:g}"), ("initial value", f"{self.initial:g}")]

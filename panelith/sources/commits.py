@@ -5,7 +5,7 @@ beside it. Readers join rows with the later spans and keep, of equal keys, the r
 partitions (field, year) that hold several batches, nothing over the others. ``compacted`` folds these again.
 
 In a batch rows stand in order of field, year and ticker, so a slot is a range of tickers. Beside every batch stands its summary: first and last
-date of each ticker by field, year and slot. Summaries answer for dates and say which slots hold a ticker, without a look at the facts.
+date and number of rows of each ticker by field, year and slot. Summaries answer for dates and say which slots hold a ticker, without a look at the facts.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ import uuid
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FACT_SCHEMA = "obs_date date, ticker string, value double, source string, created_at date, version long, field string"
 FACT_COLUMNS = ("obs_date", "ticker", "value", "source", "created_at", "version", "field")
-SUMMARY = "ticker string, first date, last date, field string, year int, slot int"
+SUMMARY = "ticker string, first date, last date, n long, field string, year int, slot int"
 SPANS = "field string, ticker string, lo date, hi date"
 EMPTY = {"facts": [], "batches": {}, "gone": [], "instruments": None, "streams": {}}
 
@@ -94,7 +94,7 @@ class Facts:
         placed = ranged.sortWithinPartitions("field", "year", "ticker", "obs_date").withColumn("slot", F.spark_partition_id())
         placed.write.partitionBy("field", "year", "slot").parquet(f"{self.path}/facts/batch={batch}")
         written = self.spark.read.schema(f"{FACT_SCHEMA}, year int, slot int").parquet(f"{self.path}/facts/batch={batch}")
-        spans = written.groupBy("field", "year", "slot", "ticker").agg(F.min("obs_date").alias("first"), F.max("obs_date").alias("last"))
+        spans = written.groupBy("field", "year", "slot", "ticker").agg(F.min("obs_date").alias("first"), F.max("obs_date").alias("last"), F.count("*").alias("n"))
         spans.write.parquet(f"{self.path}/summaries/batch={batch}")
         held = self.spark.read.schema(SUMMARY).parquet(f"{self.path}/summaries/batch={batch}")
         found: dict[tuple, list[int]] = {}
@@ -157,7 +157,7 @@ class Facts:
         return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
 
     def _summaries(self, entries: Sequence[list]) -> DataFrame:
-        """field, ticker, first, last, year, slot and batch of the entries."""
+        """field, ticker, first, last, n, year, slot and batch of the entries."""
         live = self.spark.createDataFrame([(e[2], e[0], e[1]) for e in entries], "batch string, field string, year int")
         reader = self.spark.read.schema(f"{SUMMARY}, batch string").option("basePath", f"{self.path}/summaries")
         read = reader.parquet(*[f"{self.path}/summaries/batch={b}" for b in sorted({e[2] for e in entries})])
@@ -182,6 +182,23 @@ class Facts:
         again = facts.groupBy("field", "ticker").agg(F.min("obs_date").alias("first"), F.max("obs_date").alias("last"))
         return known.join(cut, ["field", "ticker"], "left_anti").groupBy("field", "ticker").agg(*ends).unionAll(again)
 
+    def year_of(self, state: dict, entries: Sequence[list], names: DataFrame, rows: int) -> int | None:
+        """The last year from which on each ticker has at least ``rows`` rows in the entries, or all it has there; None for no rows.
+
+        Of several batches of a partition the greatest counts, and where rows were deleted nothing does: the year may be too early, not too late.
+        """
+        if not entries:
+            return None
+        known = self._summaries(entries).join(names, "ticker", "left_semi")
+        cut = self._gone(state, entries, cuts_only=True)
+        if cut is not None:
+            cut = cut.select("field", "ticker").distinct().withColumn("cut", F.lit(True))
+            known = known.join(cut, ["field", "ticker"], "left").withColumn("n", F.when(F.col("cut"), 0).otherwise(F.col("n")))
+        each = known.groupBy("ticker", "year").agg(F.max("n").alias("n"))
+        back = F.sum("n").over(Window.partitionBy("ticker").orderBy(F.desc("year")))
+        enough = each.withColumn("back", back).groupBy("ticker").agg(F.max(F.when(F.col("back") >= rows, F.col("year"))).alias("y"), F.min("year").alias("least"))
+        return enough.agg(F.min(F.coalesce("y", "least"))).first()[0]
+
     def holding(self, entries: Sequence[list], names: DataFrame) -> list[list]:
         """The entries with only the slots that hold one of the tickers; where partitions have one slot each, all of it."""
         if all(len(e[3]) == 1 for e in entries):

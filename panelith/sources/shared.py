@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
@@ -23,6 +23,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[tuple[str, str]] = []
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new path in the shared folder and read again: plans that read it several times compute it once."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    _made.append((spark.sparkContext.applicationId, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def close(spark: SparkSession) -> None:
+    """Deletes what ``materialized`` wrote for this application. Call it when no result that reads it is needed any more."""
+    own = spark.sparkContext.applicationId
+    for app, path in [m for m in _made if m[0] == own]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _made.remove((app, path))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -308,14 +308,15 @@ class PanelStore:
         day = F.col("obs_date")
         self._cut(lambda state: self._among(self._facts.rows(state, state["facts"]), tickers).where(day == F.col("created_at")).select("field", "ticker", day.alias("lo"), day.alias("hi")))
 
-    def _dates(self, field: str | None = None, tickers: Tickers | None = None) -> DataFrame:
+    def dates(self, field: str | None = None, tickers: Tickers | None = None) -> DataFrame:
+        """field, ticker, first and last date of what is stored, from the batches' summaries."""
         state = self.log.latest()[1]
         return self._facts.dates(state, self._facts.entries(state, field), None if tickers is None else self._names(tickers))
 
     def observed(self) -> DataFrame:
         """Per ticker: oldest and latest date, latest date with a close, first ex-dividend date, whether it pays dividends. From the batches' summaries."""
         quoted = F.col("field") != "dividend"
-        return self._dates().groupBy("ticker").agg(
+        return self.dates().groupBy("ticker").agg(
             F.min(F.when(quoted, F.col("first"))).alias("oldest_obs_date"),
             F.max(F.when(quoted, F.col("last"))).alias("latest_obs_date"),
             F.max(F.when(F.col("field") == "close", F.col("last"))).alias("latest_obs_date_with_values"),
@@ -330,7 +331,7 @@ class PanelStore:
         self._change_instruments(lambda table: table.drop(*drop).join(own, "ticker", "left"))
 
     def latest_dates(self, field: str, tickers: Tickers | None = None) -> DataFrame:
-        return self._dates(field, tickers).join(self.instruments().select("ticker"), "ticker", "left_semi").select("ticker", F.col("last").alias("latest"))
+        return self.dates(field, tickers).join(self.instruments().select("ticker"), "ticker", "left_semi").select("ticker", F.col("last").alias("latest"))
 
     def eligible_start(self, tickers: Tickers, fields: Sequence[str] = ("close",)) -> dt.date | None:
         """Oldest of the latest dates; None if any ticker has no row of a field."""
@@ -343,6 +344,13 @@ class PanelStore:
             out.append(r[0])
         return min(out)
 
+    def since(self, field: str, tickers: Tickers, first: dt.date, rows: int) -> dt.date:
+        """The begin of the last year from which on every ticker has ``rows`` rows before the year of ``first``, or all it ever had. From the summaries."""
+        state = self.log.latest()[1]
+        first = dt.date.fromisoformat(str(first)[:10])
+        year = self._facts.year_of(state, self._facts.entries(state, field, hi=first.year - 1), self._names(tickers), rows) if rows > 0 else None
+        return dt.date(first.year if year is None else year, 1, 1)
+
     def stale(self, field: str, as_of: dt.date, tickers: Tickers | None = None) -> DataFrame:
         """Tickers that may have the field and were never refreshed or not since ``as_of``."""
         kinds = self.instruments()
@@ -418,11 +426,14 @@ class PanelStore:
         panel = dense(cells, tickers=wanted)
         panel = clean.drop_empty_dates(panel)
         if currency is not None and field != "volume":
-            panel = convert(panel, self.instruments(), self._fx(), currency)
+            panel = convert(panel, self.instruments(), self._fx(start, end), currency)
         return clean.fill(panel, ffill_na, bfill_na, drop_na)
 
-    def _fx(self) -> DataFrame:
-        return self.facts("close").where(F.col("ticker").endswith(".FX")).select("obs_date", "ticker", "value")
+    def _fx(self, start=None, end=None) -> DataFrame:
+        """Currency closes for the dates of a span: each one's last before it too."""
+        names = self.instruments().where(F.col("ticker").endswith(".FX")).select("ticker")
+        begin = None if start is None else self.since("close", names, start, 1)
+        return self.facts("close", begin, end, names).select("obs_date", "ticker", "value")
 
     def open(self, tickers, **how) -> DataFrame:
         return self.scan("open", tickers, **how)
@@ -456,12 +467,12 @@ class PanelStore:
         With ``payers_only`` types that can't pay dividends keep their price.
         """
         close = self.close(tickers, start=start, end=end)
-        paid = self.facts("dividend", tickers=tickers).select("obs_date", "ticker", "value")
+        paid = self.facts("dividend", start, end, tickers).select("obs_date", "ticker", "value")
         if payers_only:
             paid = paid.join(self.instruments().where(~F.col("instrument_type").isin(*WITHOUT_FIELD["dividend"])).select("ticker"), "ticker", "left_semi")
         out = total_return(close, paid, withholding_tax)
         if currency is not None:
-            out = convert(out, self.instruments(), self._fx(), currency)
+            out = convert(out, self.instruments(), self._fx(start, end), currency)
         return clean.fill(out, **fills)
 
     def get(self, data_type: str, tickers, **how) -> DataFrame:

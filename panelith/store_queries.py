@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .functions import calendar, text
 from .operators import cross, rolling
 from .plans import futures, strategy
-from .queries import Q, _TR, _r, _sql, WT, dividends, fx, instruments, month_ends, panel, quotes, register, rounded
+from .plans.demand import StoredPanel
+from .queries import Q, RET, _TR, _index, _r, _sql, _stale, _vol, WT, dividends, fx, instruments, month_ends, panel, quotes, register, rounded
 from .queries import _table as table
 from .sources import readers
 from .sources.shared import exists, scratch
@@ -278,6 +279,96 @@ def _(s, d):
     return stored(st)
 
 
+_Y = "DATE '1998-01-01'"
+_WITHIN = f"mw AS (SELECT obs_date FROM me WHERE obs_date BETWEEN {_Y} AND DATE '1998-12-31')"
+
+
+@register("back_test_pruned", _sql(
+    f"SELECT obs_date, {_r('value')} FROM lv WHERE value IS NOT NULL", _WITHIN, RET,
+    f"el8 AS (SELECT obs_date, ticker, CASE WHEN n >= 12 THEN 1.0::DOUBLE END AS value FROM (SELECT *, count(value) {WT} ROWS 19 PRECEDING) AS n FROM g) WHERE obs_date IN (SELECT obs_date FROM mw))",
+    _stale(f"CASE WHEN ({_vol(40)}) IS NOT NULL THEN ({_vol(40)}) END", "ret", "v40"),
+    "rk AS (SELECT el8.obs_date, el8.ticker, el8.value, row_number() OVER (PARTITION BY el8.obs_date ORDER BY CASE WHEN el8.value IS NOT NULL THEN v40.value END NULLS LAST, el8.ticker) AS k, v40.value AS v FROM el8 LEFT JOIN v40 USING (obs_date, ticker))",
+    "sg AS (SELECT obs_date, ticker, v, CASE WHEN k <= 5 AND value IS NOT NULL AND v IS NOT NULL THEN 1.0::DOUBLE END AS s FROM rk)",
+    "wt AS (SELECT obs_date, ticker, coalesce(x / sum(x) OVER (PARTITION BY obs_date), 0) AS value FROM (SELECT *, CASE WHEN s = 1 AND v > 0 THEN 1 / v END AS x FROM sg))",
+    "dm AS (SELECT days.obs_date, max(mw.obs_date) AS at FROM days JOIN mw ON mw.obs_date <= days.obs_date WHERE days.obs_date <= DATE '1998-12-31' GROUP BY 1)",
+    f"bw AS (SELECT f.obs_date, f.ticker, f.fv / lag(f.fv) {WT.replace('ticker ORDER BY obs_date', 'f.ticker ORDER BY f.obs_date')}) - 1 AS ret, wt.value AS weight FROM f JOIN dm USING (obs_date) JOIN wt ON wt.obs_date = dm.at AND wt.ticker = f.ticker)",
+    *_index(2, 0, 0, "bw"),
+))
+def back_test_pruned(s, d):
+    """A year of an index; the store opens this year and what the parts look back to, and nothing else."""
+    st = shared(s, d)
+    close = StoredPanel(st, names(st))
+    year = month_ends(panel(s, d)).where("year(obs_date) = 1998")
+    universe = strategy.Universe(names(st), year).price_history(close, 20, 0.6)
+    test = strategy.Strategy(strategy.volatility_rank(universe, close, 40, number=5), strategy.by_volatility(close, 40), close)
+    out = test.back_test(end="1998-12-31")
+    opened_years = {f.split("/year=")[1].split("/")[0] for f in out.inputFiles() if "/facts/" in f}
+    assert opened_years == {"1997", "1998"}, opened_years
+    return rounded(out)
+
+
+@register("store_statistics", _sql(
+    "SELECT field, ticker, min(obs_date) AS first, max(obs_date) AS last FROM late2 GROUP BY 1, 2",
+    *ALL, "late2 AS (SELECT * FROM st WHERE NOT (field = 'close' AND right(ticker, 1) = '2' AND obs_date >= DATE '1999-05-01'))",
+))
+def store_statistics(s, d):
+    """First and last dates by field and ticker from the batches' summaries: no fact is read but those of tickers that rows were deleted of."""
+    st = opened(s, d)
+    assert not any("/facts/" in f for f in st.observed().inputFiles())
+    st.delete_facts("close", underlyings(s, d).where("ticker like '%2'"), start="1999-05-01")
+    return st.dates()
+
+
+@register("store_scan_pruned", _sql(f"SELECT obs_date, ticker, {_r('close')} FROM px WHERE ticker IN ('BRAND#7', 'BRAND#8') AND obs_date >= DATE '1997-01-01'"))
+def store_scan_pruned(s, d):
+    """Two tickers of a store whose partitions have several slots: the summaries name the few slots that hold them."""
+    st = PanelStore(s, scratch(s, "panel-store"), slot_rows=5000)
+    st.add(underlyings(s, d))
+    st.upsert(facts(s, d).where("field = 'close'"), created=DAY)
+    asked = s.createDataFrame([("brand#7",), ("BRAND#8",)], "ticker string")
+    rows = st.facts("close", "1997-01-01", tickers=asked)
+    assert len(rows.inputFiles()) < len(st.facts("close", "1997-01-01").inputFiles()) or len(st.facts("close").inputFiles()) < 12
+    return rounded(rows.select("obs_date", "ticker", "value"))
+
+
+@register("store_merged_on_read", _sql(
+    f"SELECT field, obs_date, ticker, {_r('value')} FROM (SELECT field, obs_date, ticker, CASE WHEN field = 'close' AND day(obs_date) % 5 = 0 THEN value + 3 WHEN field = 'close' AND day(obs_date) % 3 = 0 THEN value + 1 ELSE value END AS value FROM st WHERE NOT (field = 'volume' AND month(obs_date) = 2 AND year(obs_date) = 1998)) WHERE field <> 'low'",
+    *ALL,
+))
+def store_merged_on_read(s, d):
+    """Several batches and deletions, read as they lie; then folded, which must change nothing."""
+    rows = facts(s, d)
+    st = opened(s, d)
+    for every, add in ((3, 1), (5, 3)):
+        st.upsert(rows.where(f"field = 'close' and day(obs_date) % {every} = 0").withColumn("value", F.col("value") + add), replace="exact")
+    st.upsert(rows.withColumn("value", F.col("value") - 1))  # stays behind what is there
+    st.delete_facts("volume", names(st), start="1998-02-01", end="1998-02-28")
+    st.delete_facts("low", names(st))
+    before = st.facts().agg(F.count("*"), F.round(F.sum("value"), 2)).first()
+    st.compact("close")
+    assert st.facts().agg(F.count("*"), F.round(F.sum("value"), 2)).first() == before
+    return stored(st)
+
+
+@register("store_stream_versions", _sql(
+    f"SELECT field, obs_date, ticker, {_r('value')} FROM (SELECT field, obs_date, ticker, arg_max(value, {{'v': version, 'x': value}}) AS value FROM (SELECT field, obs_date, ticker, value + k AS value, k % 3 AS version FROM st, (VALUES (1), (2), (3), (5)) AS v(k) WHERE field = 'close') GROUP BY 1, 2, 3)",
+    *ALL,
+))
+def store_stream_versions(s, d):
+    """A stream of several versions of each fact, within a batch, late and replayed: the greatest version counts, of equal ones the greater value."""
+    from .streaming.upsert import upsert_stream
+
+    folder, st = scratch(s, "stream"), PanelStore(s, scratch(s, "panel-store"))
+    st.add(underlyings(s, d))
+    rows = facts(s, d).where("field = 'close'")
+    schema = FACTS + ", version long"
+    for batch in ((2, 3), (1, 5), (3,)):
+        new = rows.withColumn("k", F.explode(F.array(*[F.lit(k) for k in batch])))
+        new.select("obs_date", "ticker", "field", (F.col("value") + F.col("k")).alias("value"), (F.col("k") % 3).cast("long").alias("version")).write.mode("append").parquet(f"{folder}/in")
+        upsert_stream(s.readStream.schema(schema).parquet(f"{folder}/in"), st, f"{folder}/checkpoint", order="version").awaitTermination()
+    return stored(st)
+
+
 _MAP = "cal AS (SELECT me.obs_date, (SELECT max(days.obs_date) FROM days WHERE days.obs_date <= me.obs_date) AS at FROM (SELECT last_day(obs_date) AS obs_date FROM me) me)"
 
 
