@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import asof
+from . import asof, gram
 from .frames import by_date
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -109,18 +109,14 @@ def annualization_factor(freq: int | str | None) -> float:
 
 def pairwise_correlation(panel: DataFrame) -> DataFrame:
     """Pearson correlation of every two tickers over the dates that both have: ticker_1, ticker_2, value."""
-    a = panel.where("value is not null").select("obs_date", F.col("ticker").alias("ticker_1"), F.col("value").alias("x"))
-    b = panel.where("value is not null").select("obs_date", F.col("ticker").alias("ticker_2"), F.col("value").alias("y"))
-    return a.join(b, "obs_date").groupBy("ticker_1", "ticker_2").agg(F.corr("x", "y").alias("value"))
+    return gram.moments(panel.where("value is not null"), []).where("n > 0").select("ticker_1", "ticker_2", gram.correlation().alias("value"))
 
 
 def covariance(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Sample covariance of every two tickers, per key: NULL if either lacks a value on any date."""
+    """Sample covariance of every two tickers, per key: NULL if either lacks a value on any date that both have a row of."""
     keys = list(keys)
-    n = F.count(F.lit(1))
-    a = panel.select(*keys, "obs_date", F.col("ticker").alias("ticker_1"), F.col("value").alias("__x"))
-    b = panel.select(*keys, "obs_date", F.col("ticker").alias("ticker_2"), F.col("value").alias("__y"))
-    return a.join(b, [*keys, "obs_date"]).groupBy(*keys, "ticker_1", "ticker_2").agg(F.when(F.count(F.col("__x") + F.col("__y")) == n, F.covar_samp("__x", "__y")).alias("value"))
+    met = gram.moments(panel, keys).where("rows > 0")
+    return met.select(*keys, "ticker_1", "ticker_2", F.when(F.col("n") == F.col("rows"), gram.covariance()).alias("value"))
 
 
 def mean(panel: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sliding
 from .demand import Panel, Span, cut, span_of
 from ..functions import optimize
 from ..functions.calendar import business_shift, monotonic, year_fraction
@@ -279,38 +280,47 @@ def bounded(weights: DataFrame, low: float | None = None, high: float | None = N
 
 
 def optimized_weight(signal: DataFrame, prices: DataFrame, window: int | None, *, kind: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "minimum_variance", min_total: float = 1.0, max_total: float = 1.0, low=None, high=None, return_lag: int = 1, freq=None, clean_returns: bool = True, factor: float | None = None, **how) -> DataFrame:
-    """Optimised weights of the eligible tickers of each date, from the returns of the last ``window`` rows up to it.
+    """Optimised weights of the eligible tickers of each date, from the returns of the last ``window`` rows up to it (all for None).
 
-    Without bounds per instrument and with one total, minimum variance has the analytic solution. Each date is a task of its own;
-    its input is bounded by window times tickers. ``kind`` may be a function of the returns (dates by tickers) and their covariance that
+    Without bounds per instrument and with one total, minimum variance has the analytic solution. Runs of dates share a task (see ``sliding``);
+    without a window each date is a task of its own. ``kind`` may be a function of the returns (dates by tickers) and their covariance that
     gives the weights. Problems are convex, so no solution depends on another's start.
     """
     _require(callable(kind) or kind in ("minimum_variance", "mean_variance"), "kind is minimum_variance, mean_variance or a function of returns and covariance")
+    _require(window is None or window >= 1, "the window is at least 1")
     factor = factor or cross.annualization_factor(freq)
     filled = cross.frequency_filter(clean.ffill(prices), freq)
     returns = filled.withColumn("value", F.col("value") / F.lag("value", return_lag).over(by_ticker()) - 1)
     if clean_returns:
         returns = returns.withColumn("value", F.coalesce("value", F.lit(0.0)))
     held = signal.where("value is not null").select(F.col("obs_date").alias("slice_date"), "ticker")
-    slices = asof.trailing_slices(returns, signal, window).join(held, ["slice_date", "ticker"], "left_semi")
-
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.pivot(index="obs_date", columns="ticker", values="value").sort_index()
-        x = table.to_numpy(dtype=float)
-        cov = np.atleast_2d(np.cov(x.T)) if len(x) > 1 else np.full((x.shape[1],) * 2, np.nan)
-        if np.isnan(cov).any():
-            w = np.zeros(x.shape[1])
-        elif callable(kind):
-            w = np.asarray(kind(x, cov), dtype=float)
-        elif kind == "minimum_variance" and low is None and high is None and min_total == max_total:
-            w = optimize.analytic(cov, allocation=max_total)
-        elif kind == "minimum_variance":
-            w = optimize.minimum_variance(cov, total=max_total, low=low, high=high)
-        else:
-            w = optimize.mean_variance(np.nanmean(x, axis=0), cov, None, min_total, max_total, low, high, factor=factor, **how)
-        return pd.DataFrame({"obs_date": key[0], "ticker": table.columns, "weight": w})
 
-    solved = slices.groupBy("slice_date").applyInPandas(solve, "obs_date date, ticker string, weight double")
+    def solve(x: np.ndarray, cov: np.ndarray, start: np.ndarray | None) -> np.ndarray:
+        if callable(kind):
+            return np.asarray(kind(x, cov), dtype=float)
+        if kind == "minimum_variance" and low is None and high is None and min_total == max_total:
+            return optimize.analytic(cov, allocation=max_total)
+        guess = sliding.inside(start, max_total)
+        if kind == "minimum_variance":
+            return optimize.minimum_variance(cov, guess, total=max_total, low=low, high=high)
+        return optimize.mean_variance(np.nanmean(x, axis=0), cov, guess, min_total, max_total, low, high, factor=factor, **how)
+
+    if window is not None:
+        dates = sliding.numbered(returns)
+        ends = asof.calendar_map(signal, returns).where("as_of is not null").select(F.col("obs_date").alias("slice_date"), F.col("as_of").alias("obs_date"))
+        ends = ends.join(dates, "obs_date").select("slice_date", F.col("no").alias("end"))
+        solved = sliding.solved(returns, dates, ends, held, window, solve)
+    else:
+
+        def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            table = rows.pivot(index="obs_date", columns="ticker", values="value").sort_index()
+            x = table.to_numpy(dtype=float)
+            cov = np.atleast_2d(np.cov(x.T)) if len(x) > 1 else np.full((x.shape[1],) * 2, np.nan)
+            w = np.zeros(x.shape[1]) if np.isnan(cov).any() else solve(x, cov, None)
+            return pd.DataFrame({"obs_date": key[0], "ticker": table.columns, "weight": w})
+
+        slices = asof.trailing_slices(returns, signal, None).join(held, ["slice_date", "ticker"], "left_semi")
+        solved = slices.groupBy("slice_date").applyInPandas(whole, "obs_date date, ticker string, weight double")
     return signal.join(solved, ["obs_date", "ticker"], "left").select("obs_date", "ticker", F.coalesce("weight", F.lit(0.0)).alias("value"))
 
 
@@ -551,20 +561,12 @@ class Strategy:
 
 def rolling_mean_variance(returns: DataFrame, window: int, **how) -> DataFrame:
     """Mean-variance weights from the ``window`` rows before each date; equal weights on the first ``window`` dates."""
-    n = returns.select("obs_date").distinct().count()
+    dates = sliding.numbered(returns)
+    n = dates.count()
     _require(2 <= window <= n, f"the window lies between 2 and {n}")
-    dates = returns.select("obs_date").distinct().withColumn("no", F.row_number().over(on_dates()))
-    held = dates.where(F.col("no") > window).select(F.col("obs_date").alias("slice_date"), F.explode(F.sequence(F.col("no") - window, F.col("no") - 1)).alias("no"))
-    slices = held.join(dates, "no").join(returns, "obs_date")
-
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.pivot(index="obs_date", columns="ticker", values="value").sort_index()
-        x = table.to_numpy(dtype=float)
-        w = optimize.mean_variance(x.mean(axis=0), np.cov(x.T), **how)
-        return pd.DataFrame({"obs_date": key[0], "ticker": table.columns, "value": w})
-
-    solved = slices.groupBy("slice_date").applyInPandas(solve, PANEL)
+    ends = dates.where(F.col("no") > window).select(F.col("obs_date").alias("slice_date"), (F.col("no") - 1).alias("end"))
+    top = how.get("max_total", 1.0)
+    solved = sliding.solved(returns, dates, ends, None, window, lambda x, cov, start: optimize.mean_variance(x.mean(axis=0), cov, sliding.inside(start, top), **how))
     share = F.lit(1.0) / F.count(F.lit(1)).over(by_date())
     start = returns.join(dates.where(F.col("no") <= window).select("obs_date"), "obs_date", "left_semi").select("obs_date", "ticker", share.alias("value"))
-    return start.unionByName(solved)
-
+    return start.unionByName(solved.withColumnRenamed("weight", "value"))
