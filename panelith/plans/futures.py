@@ -20,18 +20,38 @@ from .strategy import on_dates
 
 # Commodities by the first two characters of their tickers, and the months in which their contracts roll.
 COMMODITIES = {
-    "CL": ("WTI Crude Oil", "H K N U X F"), "CO": ("Brent Crude Oil", "H K N U X F"), "HO": ("ULS Diesel", "H K N U X F"), "XB": ("RBOB Gasoline", "H K N U X F"),
-    "NG": ("Natural Gas", "H K N U X F"), "SI": ("Silver", "H K N U Z"), "GC": ("Gold", "G J M Q Z"), "PL": ("Platinum", "J N V F"), "HG": ("Copper", "H K N U Z F"),
-    "LA": ("Aluminum", "H K N U X F"), "LN": ("Nickel", "H K N U X F"), "LX": ("Zinc", "H K N U X F"), "LL": ("Lead", "H K N U X F"), "LT": ("Tin", "H K N U X F"),
-    "LC": ("Live Cattle", "G J M Q V Z"), "LH": ("Lean Hogs", "G J M N Q V Z"), "BO": ("Soybean Oil", "H K N Z F"), "SM": ("Soybean Meal", "H K N Z F"),
-    "S ": ("Soybeans", "H K N X F"), "C ": ("Corn", "H K N U Z"), "W ": ("Chicago Wheat", "H K N U Z"), "KW": ("KC HRW Wheat", "H K N U Z"), "CC": ("Cocoa", "H K N U Z"),
-    "CT": ("Cotton", "H K N Z"), "SB": ("Sugar", "H K N V"), "KC": ("Coffee", "H K N U Z"),
+    "CL": ("WTI Crude Oil", ("H", "K", "N", "U", "X", "F")),
+    "CO": ("Brent Crude Oil", ("H", "K", "N", "U", "X", "F")),
+    "HO": ("ULS Diesel", ("H", "K", "N", "U", "X", "F")),
+    "XB": ("RBOB Gasoline", ("H", "K", "N", "U", "X", "F")),
+    "NG": ("Natural Gas", ("H", "K", "N", "U", "X", "F")),
+    "SI": ("Silver", ("H", "K", "N", "U", "Z")),
+    "GC": ("Gold", ("G", "J", "M", "Q", "Z")),
+    "PL": ("Platinum", ("J", "N", "V", "F")),
+    "HG": ("Copper", ("H", "K", "N", "U", "Z", "F")),
+    "LA": ("Aluminum", ("H", "K", "N", "U", "X", "F")),
+    "LN": ("Nickel", ("H", "K", "N", "U", "X", "F")),
+    "LX": ("Zinc", ("H", "K", "N", "U", "X", "F")),
+    "LL": ("Lead", ("H", "K", "N", "U", "X", "F")),
+    "LT": ("Tin", ("H", "K", "N", "U", "X", "F")),
+    "LC": ("Live Cattle", ("G", "J", "M", "Q", "V", "Z")),
+    "LH": ("Lean Hogs", ("G", "J", "M", "N", "Q", "V", "Z")),
+    "BO": ("Soybean Oil", ("H", "K", "N", "Z", "F")),
+    "SM": ("Soybean Meal", ("H", "K", "N", "Z", "F")),
+    "S ": ("Soybeans", ("H", "K", "N", "X", "F")),
+    "C ": ("Corn", ("H", "K", "N", "U", "Z")),
+    "W ": ("Chicago Wheat", ("H", "K", "N", "U", "Z")),
+    "KW": ("KC HRW Wheat", ("H", "K", "N", "U", "Z")),
+    "CC": ("Cocoa", ("H", "K", "N", "U", "Z")),
+    "CT": ("Cotton", ("H", "K", "N", "Z")),
+    "SB": ("Sugar", ("H", "K", "N", "V")),
+    "KC": ("Coffee", ("H", "K", "N", "U", "Z")),
 }
 
 
 def roll_months(code: str) -> list[str]:
     """The month codes of a commodity's contracts that are rolled."""
-    return COMMODITIES[code.upper()][1].split()
+    return list(COMMODITIES[code.upper()][1])
 
 
 def named(code: str, allocation: Mapping[int, float]) -> tuple[str, str]:
@@ -49,11 +69,12 @@ def expiry_texts(instruments: DataFrame, expiries: DataFrame) -> DataFrame:
     return expiries.join(futures, "ticker", "left_semi").select("ticker", F.concat(F.lit("EXPIRY "), F.date_format("expiry", "yyyy-MM-dd")).alias("description"))
 
 
-def update_contracts(store, source, tickers: list[str], expiries: DataFrame | None = None, today=None) -> None:
-    """Adds the contracts that the store lacks, writes their expiries into their descriptions and refreshes all."""
+def update_contracts(store, source, tickers: list[str] | DataFrame, expiries: DataFrame | None = None, today=None) -> None:
+    """Adds the contracts that the store lacks, writes their expiries into their descriptions and refreshes all. ``tickers`` may be a table."""
     store.ingest(source, tickers, refresh=False)
     if expiries is not None:
-        store.update_attributes(expiry_texts(store.instruments(), expiries.where(F.col("ticker").isin([t.upper() for t in tickers]))))
+        names = tickers.select(F.upper("ticker").alias("ticker")) if isinstance(tickers, DataFrame) else store.spark.createDataFrame([(t.upper(),) for t in tickers], "ticker string")
+        store.update_attributes(expiry_texts(store.instruments(), expiries.join(names, "ticker", "left_semi")))
     store.refresh(source, tickers, today=today)
 
 
@@ -70,6 +91,42 @@ def universe(instruments: DataFrame, code: str, month_codes: list[str] | None =
     return out.withColumn("expiry", text.expiry_of(F.col("description"))).orderBy("description")
 
 
+def chain(contracts: DataFrame, most: int | None = None) -> DataFrame:
+    """generic, position, ticker, start, end: which contract is the n-th live one, from when to when.
+
+    ``contracts`` holds generic, ticker, listed and expiry; a contract is live from its listing to its expiry, and live ones stand in order of expiry
+    and ticker. Ranks change where a contract lists or has expired only: between two such dates the live contracts are ranked once,
+    and neighbouring intervals with the same holder are joined. ``most`` is the number of positions that is wanted.
+    """
+    if most is not None and most < 1:
+        raise ValueError("at least one position is wanted")
+    live = contracts.select(F.upper("generic").alias("generic"), F.upper("ticker").alias("ticker"), F.to_date("listed").alias("listed"), F.to_date("expiry").alias("expiry")).where("listed <= expiry").distinct()
+    by_generic = Window.partitionBy("generic").orderBy("at")
+    events = live.select("generic", F.explode(F.array("listed", F.date_add("expiry", 1))).alias("at")).distinct().withColumn("k", F.row_number().over(by_generic))
+    spans = events.withColumn("end", F.date_sub(F.lead("at").over(by_generic), 1)).select("generic", "k", F.col("at").alias("start"), "end")
+    first, past = (events.select("generic", F.col("at").alias(d), F.col("k").alias(n)) for d, n in (("listed", "k0"), ("gone", "k1")))
+    held = live.join(first, ["generic", "listed"]).withColumn("gone", F.date_add("expiry", 1)).join(past, ["generic", "gone"])
+    each = held.select("generic", "ticker", "expiry", F.explode(F.sequence(F.col("k0"), F.col("k1") - 1)).alias("k"))
+    ranked = each.withColumn("position", F.row_number().over(Window.partitionBy("generic", "k").orderBy("expiry", "ticker")))
+    ranked = ranked if most is None else ranked.where(F.col("position") <= most)
+    run = F.col("k") - F.row_number().over(Window.partitionBy("generic", "position", "ticker").orderBy("k"))
+    runs = ranked.withColumn("run", run).groupBy("generic", "position", "ticker", "run").agg(F.min("k").alias("k0"), F.max("k").alias("k1"))
+    a, b = spans.select("generic", F.col("k").alias("k0"), "start"), spans.select("generic", F.col("k").alias("k1"), "end")
+    return runs.join(a, ["generic", "k0"]).join(b, ["generic", "k1"]).select("generic", "position", "ticker", "start", "end")
+
+
+def chain_on(contracts: DataFrame, calendar: DataFrame, most: int | None = None) -> DataFrame:
+    """obs_date, generic, position, ticker: the chains on the dates of a calendar. A date is placed by the last change of a chain up to it."""
+    held = chain(contracts, most)
+    dates = calendar.select("obs_date").distinct().crossJoin(held.select("generic", "position").distinct())
+    both = held.select("generic", "position", F.col("start").alias("obs_date"), F.struct("ticker", "end").alias("now")).unionByName(dates.withColumn("now", F.lit(None).cast("struct<ticker: string, end: date>")), allowMissingColumns=True)
+    # the row of a start stands before the calendar's row of that date
+    order = Window.partitionBy("generic", "position").orderBy("obs_date", F.col("now").isNull())
+    last = F.last("now", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("last", last).where(F.col("now").isNull() & (F.col("obs_date") <= F.col("last.end")))
+    return found.select("obs_date", "generic", "position", F.col("last.ticker").alias("ticker"))
+
+
 def roll_calendar(expiries: DataFrame, roll_days: int = 5, buffer: int = 1) -> DataFrame:
     """ticker, roll_start, roll_end, expiry by business days."""
     if roll_days < 1 or buffer < 0:
@@ -92,6 +149,8 @@ def rolling_index(prices: DataFrame, expiries: DataFrame, allocation: float | Ma
     if roll_days < 1 or buffer < 0:
         raise ValueError("roll_days >= 1 and buffer >= 0 are needed")
     positions = dict(allocation) if isinstance(allocation, Mapping) else {1: float(allocation)}
+    if not positions or any(int(k) != k or k < 1 for k in positions):
+        raise ValueError("the allocation is by positions from 1 on")
     spark = prices.sparkSession
     dates = prices.select("obs_date").distinct().withColumn("no", F.row_number().over(on_dates()))
     bounds = dates.agg(F.max("obs_date").alias("__end"), F.max("no").alias("__n"), F.min("obs_date").alias("__begin"))

@@ -12,13 +12,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sliding
 from .demand import Panel, Span, cut, span_of
 from ..functions import optimize
 from ..functions.calendar import business_shift, monotonic, year_fraction
+from ..functions.calendar import date_range as made_range
 from ..operators import asof, clean, cross, rolling
 from ..operators.frames import by_date, by_ticker, dense, guarded, last_rows, skip_sum, strict_sum
 from ..sources.shared import materialized
@@ -37,9 +38,16 @@ def _require(ok: bool, message: str) -> None:
 
 
 class Universe:
-    """Tickers on an observation calendar; filters multiply into the eligibility (1 or 0)."""
+    """Tickers on an observation calendar; filters multiply into the eligibility (1 or 0).
 
-    def __init__(self, tickers: Sequence[str], calendar: DataFrame):
+    The calendar is a DataFrame or, as with ``calendar.date_range``, given by three of ``start``, ``end``, ``periods`` and ``freq``.
+    """
+
+    def __init__(self, tickers: Sequence[str], calendar: DataFrame | None = None, *, spark=None, **date_range):
+        if (calendar is None) == (not date_range):
+            raise ValueError("a calendar is needed, or start, end, periods and freq of one")
+        if calendar is None:
+            calendar = made_range(spark or SparkSession.active(), **date_range)
         if isinstance(tickers, str):
             tickers = [tickers]
         if not isinstance(tickers, (list, tuple)):
@@ -570,3 +578,15 @@ def rolling_mean_variance(returns: DataFrame, window: int, **how) -> DataFrame:
     share = F.lit(1.0) / F.count(F.lit(1)).over(by_date())
     start = returns.join(dates.where(F.col("no") <= window).select("obs_date"), "obs_date", "left_semi").select("obs_date", "ticker", share.alias("value"))
     return start.unionByName(solved.withColumnRenamed("weight", "value"))
+
+
+def efficient_frontiers(returns: DataFrame, calendar: DataFrame, window: int, low=0.0, high=1.0, factor: float = 252) -> DataFrame:
+    """obs_date, corner, ticker, weight, mean, volatility: on each date of the calendar the corners of the frontier of the last ``window`` returns.
+
+    Between two neighbouring corners every blend of them is efficient, and nothing else is.
+    """
+    _require(window >= 2, "the window is at least 2")
+    dates = sliding.numbered(returns)
+    at = asof.calendar_map(calendar, returns).where("as_of is not null").select(F.col("obs_date").alias("slice_date"), F.col("as_of").alias("obs_date"))
+    ends = at.join(dates, "obs_date").where(F.col("no") >= window).select("slice_date", F.col("no").alias("end"))
+    return sliding.corners(returns, dates, ends, window, low, high, factor)

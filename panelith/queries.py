@@ -663,6 +663,54 @@ def _(s, d):
     return _four(strategy.optimized_weight(_both(s, d), two(s, d), 60, kind=reciprocal))
 
 
+# three assets: the least variance over the simplex lies inside it, on an edge or in a corner; the best that is feasible is it
+
+_THREE = (
+    "three AS (SELECT obs_date, CASE CAST(right(ticker, 1) AS INT) % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS ticker, avg(close) AS value FROM px GROUP BY 1, 2)",
+    "hf AS (SELECT d.obs_date, t.ticker, last_value(value IGNORE NULLS) OVER (PARTITION BY t.ticker ORDER BY d.obs_date ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT DISTINCT obs_date FROM three) d CROSS JOIN (VALUES ('A'), ('B'), ('C')) t(ticker) LEFT JOIN three ON three.obs_date = d.obs_date AND three.ticker = t.ticker)",
+    f"hr3 AS (SELECT obs_date, ticker, coalesce(v / lag(v) {WT}) - 1, 0) AS r FROM hf)",
+    "hx AS (SELECT a.obs_date, a.r AS x, b.r AS y, c.r AS z FROM hr3 a JOIN hr3 b USING (obs_date) JOIN hr3 c USING (obs_date) WHERE a.ticker = 'A' AND b.ticker = 'B' AND c.ticker = 'C')",
+    "hc AS (SELECT obs_date, var_samp(x) OVER w AS xx, var_samp(y) OVER w AS yy, var_samp(z) OVER w AS zz, covar_samp(x, y) OVER w AS xy, covar_samp(x, z) OVER w AS xz, covar_samp(y, z) OVER w AS yz FROM hx WINDOW w AS (ORDER BY obs_date ROWS 59 PRECEDING))",
+    # inside: z = 1 - x - y leaves two linear equations
+    "hk AS (SELECT *, xx + zz - 2 * xz AS p, yy + zz - 2 * yz AS q, xy + zz - xz - yz AS s, zz - xz AS u, zz - yz AS t FROM hc JOIN e3 USING (obs_date))",
+    "hw AS (SELECT obs_date, xx, yy, zz, xy, xz, yz, unnest([{'x': (u * q - t * s) / (p * q - s * s), 'y': (t * p - u * s) / (p * q - s * s)}, {'x': (yy - xy) / (xx + yy - 2 * xy), 'y': 1 - (yy - xy) / (xx + yy - 2 * xy)}, {'x': (zz - xz) / (xx + zz - 2 * xz), 'y': 0.0}, {'x': 0.0, 'y': (zz - yz) / (yy + zz - 2 * yz)}, {'x': 1.0, 'y': 0.0}, {'x': 0.0, 'y': 1.0}, {'x': 0.0, 'y': 0.0}]) AS c FROM hk)",
+    "hb3 AS (SELECT obs_date, arg_min(c, c.x * c.x * xx + c.y * c.y * yy + (1 - c.x - c.y) ** 2 * zz + 2 * c.x * c.y * xy + 2 * c.x * (1 - c.x - c.y) * xz + 2 * c.y * (1 - c.x - c.y) * yz) AS c FROM hw WHERE c.x >= -1e-12 AND c.y >= -1e-12 AND c.x + c.y <= 1 + 1e-12 GROUP BY 1)",
+)
+
+
+def three(s, d) -> DataFrame:
+    rest = F.substring("ticker", -1, 1).cast("int") % 3
+    q = quotes(s, d).withColumn("ticker", F.when(rest == 0, "A").when(rest == 1, "B").otherwise("C"))
+    return dense(q.groupBy("obs_date", "ticker").agg(F.avg("close").alias("value")))
+
+
+@register("optimized_weight_three_bounded", _sql(
+    "SELECT obs_date, ticker, round(value + 3e-8, 4) AS value FROM (SELECT obs_date, 'A' AS ticker, c.x AS value FROM hb3 UNION ALL SELECT obs_date, 'B', c.y FROM hb3 UNION ALL SELECT obs_date, 'C', 1 - c.x - c.y FROM hb3)", _ENDS3, *_THREE
+))
+def _(s, d):
+    p = three(s, d)
+    signal = p.join(_both(s, d).select("obs_date").distinct(), "obs_date", "left_semi").withColumn("value", F.lit(1.0))
+    return _four(strategy.optimized_weight(signal, p, 60, low=0.0, high=1.0))
+
+
+_MINI = "least(greatest((yy - xy) / (xx + yy - 2 * xy), 0.2), 0.8)"
+
+
+@register("efficient_frontier_two", _sql(
+    # the best asset at its upper bound, then the least variance within the bounds, if that is another portfolio
+    "SELECT obs_date, CAST(corner AS INTEGER) AS corner, ticker, round(CASE ticker WHEN 'EVEN' THEN w ELSE 1 - w END + 3e-8, 4) AS weight, round((w * mx + (1 - w) * my) * 10000 + 3e-8, 4) AS mean, round(sqrt(252 * (w * w * xx + (1 - w) ** 2 * yy + 2 * w * (1 - w) * xy)) + 3e-8, 4) AS volatility "
+    "FROM (SELECT *, 0 AS corner, w0 AS w FROM ef UNION ALL SELECT *, 1, w1 FROM ef WHERE abs(w1 - w0) > 1e-12) CROSS JOIN (VALUES ('EVEN'), ('ODD')) t(ticker)",
+    *_TWO, _ENDS3,
+    "tm2 AS (SELECT obs_date, avg(x) OVER w AS mx, avg(y) OVER w AS my, n FROM tw WINDOW w AS (ORDER BY obs_date ROWS 59 PRECEDING))",
+    f"ef AS (SELECT tc.*, mx, my, CASE WHEN mx >= my THEN 0.8 ELSE 0.2 END AS w0, {_MINI} AS w1 FROM tc JOIN tm2 USING (obs_date) JOIN e3 USING (obs_date) WHERE n >= 60)",
+))
+def _(s, d):
+    p = clean.ffill(two(s, d))
+    returns = p.withColumn("value", F.coalesce(F.col("value") / F.lag("value").over(Window.partitionBy("ticker").orderBy("obs_date")) - 1, F.lit(0.0)))
+    out = strategy.efficient_frontiers(returns, _both(s, d).select("obs_date").distinct(), 60, 0.2, 0.8)
+    return out.select("obs_date", "corner", "ticker", F.round(F.col("weight") + SHIFT, 4).alias("weight"), F.round(F.col("mean") * 10000 + SHIFT, 4).alias("mean"), F.round(F.col("volatility") + SHIFT, 4).alias("volatility"))
+
+
 @register("rolling_mean_variance_two", _sql(
     # least volatility less return on x + y = 1: the derivative's root, kept within the bounds
     f"SELECT obs_date, ticker, round(value + 3e-8, 4) AS value FROM (SELECT obs_date, 'EVEN' AS ticker, x AS value FROM sol UNION ALL SELECT obs_date, 'ODD', 1 - x FROM sol UNION ALL SELECT obs_date, unnest(['EVEN', 'ODD']), 0.5 FROM tm WHERE n <= 12)",

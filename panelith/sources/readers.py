@@ -16,6 +16,13 @@ FIELDS = ("open", "high", "low", "close", "volume", "dividend", "split")
 FACTS = "obs_date date, ticker string, field string, value double"
 
 
+def among(rows: DataFrame, tickers: Sequence[str] | DataFrame) -> DataFrame:
+    """The rows of the tickers, given as a list or as a table."""
+    if isinstance(tickers, DataFrame):
+        return rows.join(tickers.select(F.upper("ticker").alias("ticker")), "ticker", "left_semi")
+    return rows.where(F.col("ticker").isin([t.upper() for t in tickers]))
+
+
 class Source(Protocol):
     """What a vendor connection provides."""
 
@@ -33,20 +40,26 @@ class FrameSource:
         self._facts, self._instruments, self._members, self._chains = facts, instruments, index_members, chains
 
     def facts(self, spark: SparkSession, tickers: Sequence[str], start=None, end=None) -> DataFrame:
-        out = self._facts.where(F.col("ticker").isin([t.upper() for t in tickers]))
+        out = among(self._facts, tickers)
         out = out if start is None else out.where(F.col("obs_date") >= F.lit(start).cast("date"))
         out = out if end is None else out.where(F.col("obs_date") <= F.lit(end).cast("date"))
         value = F.when(F.col("field").isin("dividend", "split"), F.nullif(no_nan("value"), F.lit(0.0))).otherwise(no_nan("value"))
         return out.select("obs_date", "ticker", "field", value.alias("value")).where("value is not null")
 
     def instruments(self, spark: SparkSession, tickers: Sequence[str]) -> DataFrame:
-        return self._instruments.where(F.col("ticker").isin([t.upper() for t in tickers]))
+        return among(self._instruments, tickers)
 
     def index_members(self, index_ticker: str) -> DataFrame:
         return self._members.where(F.col("index_ticker") == index_ticker.upper())
 
-    def futures_chain(self, generic: str) -> DataFrame:
-        return self._chains.where(F.col("generic") == generic.upper())
+    def futures_chain(self, generic: str, as_of: DataFrame | None = None, most: int | None = None) -> DataFrame:
+        """The contracts of a generic ticker, or, on the dates of a calendar, its n-th live contracts (see ``plans.futures.chain_on``)."""
+        own = self._chains.where(F.upper("generic") == generic.upper())
+        if as_of is None:
+            return own
+        from ..plans.futures import chain_on
+
+        return chain_on(own, as_of, most)
 
 
 class WorkbookSource:

@@ -22,6 +22,7 @@ from ..operators import asof, clean
 from ..operators.frames import by_ticker, dense, last_rows
 from .commits import FACT_SCHEMA, Conflict, Facts, Log
 from .readers import FIELDS, Source
+from ..plans.demand import StoredPanel
 
 # What instruments may be, and the fields they may not have.
 INSTRUMENT_TYPES = ("STOCK", "INDEX", "FUTURE", "ETF", "BOND", "FX")
@@ -376,17 +377,16 @@ class PanelStore:
 
         self._change_instruments(marked)
 
-    def refresh(self, source: Source, tickers: Sequence[str], replace: bool = True, today: dt.date | None = None) -> None:
-        """Incremental batch: facts from the least latest date on, then the dates of the instruments."""
-        there, missing, _ = self.existence(tickers)
-        if missing:
-            raise ValueError(f"unknown tickers {missing}")
-        start = self.eligible_start(there)
-        self.upsert(source.facts(self.spark, there, start), replace=replace, created=today)
-        self.record_refresh(there, FIELDS, today or dt.date.today())
+    def refresh(self, source: Source, tickers: Tickers, replace: bool = True, today: dt.date | None = None) -> None:
+        """Incremental batch: facts from the least latest date on, then the dates of the instruments. A table of tickers is handed to the source as it is."""
+        names = self._requested(tickers)
+        asked = names if isinstance(tickers, DataFrame) else list(dict.fromkeys(t.upper() for t in ([tickers] if isinstance(tickers, str) else tickers)))
+        start = self.eligible_start(names)
+        self.upsert(source.facts(self.spark, asked, start), replace=replace, created=today)
+        self.record_refresh(names, FIELDS, today or dt.date.today())
         self.refresh_dates()
 
-    def ingest(self, source: Source, tickers: Sequence[str], on_conflict: str = "ignore", refresh: bool = True, today: dt.date | None = None) -> None:
+    def ingest(self, source: Source, tickers: Tickers, on_conflict: str = "ignore", refresh: bool = True, today: dt.date | None = None) -> None:
         """New tickers of a source: their instruments and, if wanted, their facts."""
         self.add(source.instruments(self.spark, tickers), on_conflict)
         if refresh:
@@ -483,41 +483,69 @@ class PanelStore:
 
 
 class DataGetter:
-    """Metrics of stored data on an observation calendar: frequency filter, null policy, metric, as-of."""
+    """Metrics of stored data on an observation calendar: frequency filter, null policy, metric, as-of.
+
+    ``tickers`` is a list, or a table (obs_date, ticker) of one list for each of some dates: a list holds until the next one's date. A metric is computed
+    once per ticker, over all its rows, and cut to the dates on which the ticker stands in the list. With a window only the years are opened that the
+    calendar's dates and the rows before them need.
+    """
 
-    def __init__(self, store: PanelStore, tickers: Sequence[str], calendar: DataFrame, data_type: str = "close", freq: int | str | None = None, policy: str | None = None, window: int | None = None, **how):
-        if not tickers:
+    def __init__(self, store: PanelStore, tickers: Tickers, calendar: DataFrame, data_type: str = "close", freq: int | str | None = None, policy: str | None = None, window: int | None = None, **how):
+        if not isinstance(tickers, DataFrame) and not tickers:
             raise ValueError("tickers are needed")
         if window is not None and window <= 0:
             raise ValueError("the window is positive")
-        self.store, self.tickers, self.calendar, self.data_type, self.freq, self.policy, self.window, self.how = store, list(tickers), calendar, data_type, freq, policy, window, how
+        self.lists = tickers.select("obs_date", F.upper("ticker").alias("ticker")).distinct() if isinstance(tickers, DataFrame) and "obs_date" in tickers.columns else None
+        self.tickers = self.lists.select("ticker").distinct() if self.lists is not None else tickers if isinstance(tickers, DataFrame) else list(tickers)
+        self.store, self.calendar, self.data_type, self.freq, self.policy, self.window, self.how = store, calendar, data_type, freq, policy, window, how
 
     def _skip(self) -> bool:
         return self.policy == "skip"
 
-    def data(self, return_lag: int | None = None) -> DataFrame:
+    def _scanned(self, rows: int | None) -> DataFrame:
+        """The data, from where ``rows`` rows before the calendar's first date begin; all for None."""
+        how = dict(self.how)
+        if rows is not None and "start" not in how:
+            lo, hi = self.calendar.agg(F.min("obs_date"), F.max("obs_date")).first()
+            if lo is not None:
+                how |= {"start": StoredPanel(self.store, self.tickers, self.data_type).since(lo, rows, self.freq), "end": how.get("end", hi)}
+        return self.store.get(self.data_type, self.tickers, **how)
+
+    def data(self, return_lag: int | None = None, rows: int | None = None) -> DataFrame:
         from ..operators.cross import frequency_filter
         from ..operators.rolling import pct_change_raw
 
-        panel = frequency_filter(self.store.get(self.data_type, self.tickers, **self.how), self.freq)
+        panel = frequency_filter(self._scanned(rows), self.freq)
         panel = panel if self._skip() else clean.null_policy(panel, self.policy)
         return pct_change_raw(panel, return_lag) if return_lag else panel
 
     def _on(self, panel: DataFrame, ffill_values: bool) -> DataFrame:
-        return asof.on_calendar(clean.ffill(panel) if ffill_values else panel, self.calendar)
+        out = asof.on_calendar(clean.ffill(panel) if ffill_values else panel, self.calendar)
+        if self.lists is None:
+            return out
+        # the list of a date is the last one up to it
+        days = asof.calendar_map(self.calendar, self.lists).where("as_of is not null")
+        inside = days.join(self.lists.withColumnRenamed("obs_date", "as_of"), "as_of").select("obs_date", "ticker")
+        return out.join(inside, ["obs_date", "ticker"], "left_semi")
+
+    def _rows(self, lag: int = 1) -> int | None:
+        """Rows that a metric over the window looks back, with one more for its first return."""
+        return None if self.window is None else self.window + lag + 1
 
     def holding_period_return(self, ending_lag: int = 0, ffill_values: bool = False) -> DataFrame:
         from ..operators.rolling import holding_period_return
 
-        return self._on(holding_period_return(self.data(), self.window, ending_lag, self._skip()), ffill_values)
+        return self._on(holding_period_return(self.data(rows=self._rows(ending_lag)), self.window, ending_lag, self._skip()), ffill_values)
 
     def volatility(self, return_lag: int = 1, ffill_values: bool = False) -> DataFrame:
         from ..operators.cross import annualization_factor
         from ..operators.rolling import realized_volatility
 
-        return self._on(realized_volatility(self.data(), return_lag, self.window, self._skip(), annualization_factor(self.freq) / return_lag), ffill_values)
+        return self._on(realized_volatility(self.data(rows=self._rows(return_lag)), return_lag, self.window, self._skip(), annualization_factor(self.freq) / return_lag), ffill_values)
 
     def beta(self, beta_ticker: str, return_lag: int = 1, ffill_values: bool = False) -> DataFrame:
         from ..operators.rolling import realized_beta
 
-        return self._on(realized_beta(self.data(), beta_ticker, return_lag, self.window, self._skip()), ffill_values)
+        if self.lists is not None and not self.lists.where(F.col("ticker") == beta_ticker.upper()).take(1):
+            raise ValueError("the beta's ticker stands in no list")
+        return self._on(realized_beta(self.data(rows=self._rows(return_lag)), beta_ticker, return_lag, self.window, self._skip()), ffill_values)

@@ -17,7 +17,7 @@ from .plans import futures, strategy
 from .plans.demand import StoredPanel
 from .queries import Q, RET, _TR, _index, _r, _sql, _stale, _vol, WT, dividends, fx, instruments, month_ends, panel, quotes, register, rounded
 from .queries import _table as table
-from .sources import readers
+from .sources import membership, readers
 from .sources.shared import exists, scratch
 from .sources.store import DataGetter, PanelStore
 
@@ -279,6 +279,72 @@ def _(s, d):
     return stored(st)
 
 
+_LISTS = "ls AS (SELECT DISTINCT me.obs_date AS since, n.ticker FROM me, names n WHERE month(me.obs_date) IN (3, 9) AND (CAST(substr(n.ticker, 7) AS INT) + year(me.obs_date) + month(me.obs_date)) % 3 > 0)"
+
+
+@register("getter_list_per_date", _sql(
+    f"SELECT x.obs_date, x.ticker, {_r('x.v')} FROM (SELECT cal.obs_date, r.ticker, r.v, (SELECT max(since) FROM ls WHERE since <= cal.obs_date) AS since FROM cal JOIN (SELECT obs_date, ticker, CASE WHEN count(r) {WT} ROWS 39 PRECEDING) >= 40 THEN stddev_samp(r) {WT} ROWS 39 PRECEDING) * sqrt(252.0) END AS v FROM (SELECT obs_date, ticker, fv / lag(fv) {WT}) - 1 AS r FROM f)) r ON r.obs_date = cal.at) x JOIN ls USING (since, ticker)",
+    "cal AS (SELECT me.obs_date, (SELECT max(days.obs_date) FROM days WHERE days.obs_date <= me.obs_date) AS at FROM (SELECT last_day(obs_date) AS obs_date FROM me) me)", _LISTS,
+))
+def getter_list_per_date(s, d):
+    """Volatility over 40 rows of the tickers that stand in the list of each month's end; lists change twice a year, within windows too."""
+    st = shared(s, d)
+    ends = month_ends(panel(s, d))
+    days = ends.where("month(obs_date) in (3, 9)").crossJoin(instruments(s, d).select("ticker").distinct())
+    lists = days.where((F.substring("ticker", 7, 9).cast("int") + F.year("obs_date") + F.month("obs_date")) % 3 > 0)
+    return rounded(DataGetter(st, lists, _calendar(s, d), policy="ffill", window=40).volatility())
+
+
+_RUNS = (
+    "mb AS (SELECT obs_date, ticker FROM px WHERE close >= 948)",
+    "nd AS (SELECT obs_date, row_number() OVER (ORDER BY obs_date) AS no FROM days)",
+    "sr AS (SELECT ticker, min(obs_date) AS start, max(obs_date) AS \"end\" FROM (SELECT ticker, obs_date, no - row_number() OVER (PARTITION BY ticker ORDER BY no) AS run FROM mb JOIN nd USING (obs_date)) GROUP BY ticker, run)",
+)
+
+
+def _members(s, d) -> DataFrame:
+    return quotes(s, d).where("close >= 948").select("obs_date", "ticker")
+
+
+@register("membership_stretches", _sql('SELECT ticker, start, "end" FROM sr', *_RUNS))
+def membership_stretches(s, d):
+    return membership.stretches(_members(s, d), panel(s, d).select("obs_date"))
+
+
+@register("membership_round_trip", _sql("SELECT e.obs_date, t.ticker, CASE WHEN mb.ticker IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM (SELECT max(obs_date) AS obs_date FROM days GROUP BY year(obs_date), quarter(obs_date)) e CROSS JOIN (SELECT DISTINCT ticker FROM mb WHERE obs_date IN (SELECT max(obs_date) FROM days GROUP BY year(obs_date), quarter(obs_date))) t LEFT JOIN mb ON mb.obs_date = e.obs_date AND mb.ticker = t.ticker WHERE e.obs_date >= (SELECT min(obs_date) FROM mb WHERE obs_date IN (SELECT max(obs_date) FROM days GROUP BY year(obs_date), quarter(obs_date)))", *_RUNS))
+def membership_round_trip(s, d):
+    """Members of days, folded to stretches, cut to quarters, exported as a sheet and loaded again."""
+    calendar, folder = panel(s, d).select("obs_date").distinct(), scratch(s, "members")
+    runs = membership.stretches(_members(s, d), calendar)
+    membership.export(runs, calendar, folder, "Q")
+    return membership.load_eligibility(s, folder)
+
+
+_CHAIN = (
+    "ct AS (SELECT DISTINCT upper(p_brand) AS ticker, CAST(substr(upper(p_brand), 7) AS INT) AS b FROM part)",
+    "cn AS (SELECT ticker, 'G' || (b % 3) AS generic, DATE '1995-03-01' + b * 41 AS listed, DATE '1995-03-01' + b * 41 + 150 + (b * 97) % 700 AS expiry FROM ct)",
+)
+
+
+def _contracts(s, d) -> DataFrame:
+    b = F.substring("ticker", 7, 9).cast("int")
+    day = lambda n: F.date_add(F.lit("1995-03-01").cast("date"), n.cast("int"))
+    return instruments(s, d).select("ticker", F.concat(F.lit("G"), b % 3).alias("generic"), day(b * 41).alias("listed"), day(b * 41 + 150 + (b * 97) % 700).alias("expiry"))
+
+
+@register("futures_chain", _sql(
+    "SELECT obs_date, generic, CAST(position AS INTEGER) AS position, ticker FROM (SELECT d.obs_date, generic, ticker, row_number() OVER (PARTITION BY d.obs_date, generic ORDER BY expiry, ticker) AS position FROM days d JOIN cn ON d.obs_date BETWEEN listed AND expiry) WHERE position <= 3", *_CHAIN
+))
+def futures_chain(s, d):
+    """The three nearest live contracts of each generic ticker on every date; late listings move the others back."""
+    source = readers.FrameSource(facts(s, d), underlyings(s, d), chains=_contracts(s, d))
+    days, out = panel(s, d).select("obs_date").distinct(), None
+    for g in ("g0", "g1", "g2"):
+        rows = source.futures_chain(g, days, 3)
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 _Y = "DATE '1998-01-01'"
 _WITHIN = f"mw AS (SELECT obs_date FROM me WHERE obs_date BETWEEN {_Y} AND DATE '1998-12-31')"
 
