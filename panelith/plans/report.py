@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,6 @@ from ..operators.frames import by_ticker, guarded, last_rows
 # Month names in order.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 YEAR = 252
-#: Tickers with a return table of their own.
-MOST_TICKERS = 10_000
 
 
 def _prepared(prices: DataFrame, start=None, end=None, normalize: bool = True) -> DataFrame:
@@ -41,14 +40,15 @@ def rolling_statistics(prices: DataFrame, window: int = YEAR) -> DataFrame:
     )
 
 
-def risk_and_return(prices: DataFrame, benchmark: str | None = None, start=None, end=None, normalize: bool = True, window: int = YEAR) -> dict[str, DataFrame]:
+def risk_and_return(prices: DataFrame, benchmark: str | None = None, start=None, end=None, normalize: bool = True, window: int = YEAR, own_tables: Sequence[str] = ()) -> dict[str, DataFrame]:
     """The report's tables by name. With a benchmark there are exactly two tickers.
 
-    "Return tables" holds the monthly tables of all tickers; the first ``MOST_TICKERS`` also have tables of their own.
+    "Return tables" holds the monthly tables of all tickers; those of ``own_tables`` also have sheets of their own.
     """
-    tickers = [r[0] for r in prices.select("ticker").distinct().orderBy("ticker").limit(MOST_TICKERS).collect()]
-    if benchmark is not None and (len(tickers) != 2 or benchmark not in tickers):
-        raise ValueError("a benchmark analysis needs exactly two tickers")
+    if benchmark is not None:
+        tickers = [r[0] for r in prices.select("ticker").distinct().limit(3).collect()]
+        if len(tickers) != 2 or benchmark not in tickers:
+            raise ValueError("a benchmark analysis needs exactly two tickers")
     p = _prepared(prices, start, end, normalize)
     stats = rolling_statistics(p, window)
     summary = stats.groupBy("ticker").agg(F.avg("annual_return").alias("mean_return"), F.avg("annual_volatility").alias("mean_volatility"), F.min("full_drawdown").alias("maximum_drawdown"))
@@ -61,8 +61,8 @@ def risk_and_return(prices: DataFrame, benchmark: str | None = None, start=None,
         out["Rolling 1Y active returns"] = active.select("obs_date", F.col("active_return").alias("value"))
         out["Rolling 1Y information ratio"] = active.select("obs_date", F.col("information_ratio").alias("value"))
     out["Return tables"] = monthly_table(p)
-    for t in tickers:
-        out[f"Return table ({t})"] = monthly_table(p.where(F.col("ticker") == t))
+    for t in own_tables:
+        out[f"Return table ({t})"] = out["Return tables"].where(F.col("ticker") == t)
     return out
 
 

@@ -16,7 +16,7 @@ from .operators import asof, clean, cross, rolling
 from .operators.frames import dense
 from .plans import futures, report, strategy
 from .sources import readers, store
-from .sources.shared import exists, scratch
+from .sources.shared import exists, scratch, stamp
 
 SHIFT = 3e-8
 
@@ -31,7 +31,7 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str, str], str] = {}
 
 
 def built_quotes(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,8 +43,8 @@ def built_quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """The dense panel of all fields, built once per application and stored: queries read it as a user reads a stored panel."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The dense panel of all fields, stored once for the tables as they are: queries read it as a user reads a stored panel."""
+    key = (spark.sparkContext.applicationId, sf, stamp(spark, f"{sf}/lineitem.parquet", f"{sf}/part.parquet"))
     if key not in _stored or not exists(spark, f"{_stored[key]}/_SUCCESS"):
         path = scratch(spark, "panel")
         dense(built_quotes(spark, sf)).write.parquet(path)

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import xlsx
 from ..operators.frames import no_nan
+from . import xlsx
+from .shared import materialized
 
 FIELDS = ("open", "high", "low", "close", "volume", "dividend", "split")
 FACTS = "obs_date date, ticker string, field string, value double"
@@ -69,11 +70,14 @@ class WorkbookSource:
 
     def __init__(self, folder: str, format: str = "csv"):
         self.folder, self.format = folder, format
+        self._cells: DataFrame | None = None
 
     def sheet(self, spark: SparkSession, name: str) -> DataFrame | None:
         """The table, or None if it is missing or empty."""
         if self.folder.endswith(".xlsx"):
-            return xlsx.read_sheet(xlsx.read_cells(spark, self.folder), name)
+            if self._cells is None:  # the file is parsed once for all sheets
+                self._cells = materialized(xlsx.read_cells(spark, self.folder), "cells")
+            return xlsx.read_sheet(self._cells, name)
         from pyspark.errors import AnalysisException
 
         reader = spark.read.option("header", True) if self.format == "csv" else spark.read
@@ -98,7 +102,7 @@ class WorkbookSource:
             out = rows if out is None else out.unionByName(rows)
         if out is None:
             raise ValueError(f"{self.folder} has no sheet with data")
-        out = out if tickers is None else out.where(F.col("ticker").isin([t.upper() for t in tickers]))
+        out = out if tickers is None else among(out, tickers)
         out = out if start is None else out.where(F.col("obs_date") >= F.lit(start).cast("date"))
         return out if end is None else out.where(F.col("obs_date") <= F.lit(end).cast("date"))
 
@@ -110,7 +114,7 @@ class WorkbookSource:
         cols = [F.upper(F.col("ticker")).alias("ticker")]
         cols += [F.coalesce(F.col(c) if c in free else text.attribute(F.col(c)), F.lit("NA")).alias(c) for c in raw.columns if c != "ticker"]
         out = raw.select(*cols).dropDuplicates(["ticker"])
-        return out if tickers is None else out.where(F.col("ticker").isin([t.upper() for t in tickers]))
+        return out if tickers is None else among(out, tickers)
 
 
 def html_links(pages: DataFrame, pattern: str = r'<a href="/([^"]*)"[^>]*>([^<]*)</a>') -> DataFrame:
@@ -162,7 +166,7 @@ def write_report(report: dict[str, DataFrame], folder: str, format: str = "parqu
 
 def read_sheet(spark: SparkSession, folder: str, name: str, format: str = "parquet") -> DataFrame:
     if folder.endswith(".xlsx"):
-        return xlsx.read_sheet(xlsx.read_cells(spark, folder), name)
+        return xlsx.read_sheet(materialized(xlsx.read_cells(spark, folder).where(F.col("sheet") == name[:31]), "cells"), name)
     return spark.read.format(format).option("header", True).load(f"{folder}/{text.sheet_name(name)}.{format}")
 
 

@@ -23,6 +23,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stamp(spark: SparkSession, *paths: str) -> str:
+    """Sizes and times of the files under the paths: another text once one of them has changed."""
+    out, jvm, conf = [], spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        for f in fs.globStatus(p) or []:
+            for g in fs.listStatus(f.getPath()):
+                out.append(f"{g.getPath().getName()} {g.getLen()} {g.getModificationTime()}")
+    return ", ".join(sorted(out))
+
+
 _made: list[tuple[str, str]] = []
 
 

@@ -146,7 +146,9 @@ def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
     rows = None
     for k, df in enumerate(sheets.values()):
         cells = F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])
-        one = df.select(F.lit(k).alias("sheet"), F.col(f"`{df.columns[0]}`").cast("string").alias("key"), cells.alias("cells"))
+        first = F.col(f"`{df.columns[0]}`")
+        number = first.cast("double") if kinds[k][0] == "n" else F.lit(None).cast("double")
+        one = df.select(F.lit(k).alias("sheet"), number.alias("number"), first.cast("string").alias("key"), cells.alias("cells"))
         rows = one if rows is None else rows.unionAll(one)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,5 +183,6 @@ def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
             turn(len(names))
         yield pa.RecordBatch.from_arrays([pa.array([n], type=pa.int64())], names=["n"])
 
-    ordered = rows.coalesce(1).sortWithinPartitions("sheet", "key")
+    # the sheets' own plans run as they would; one task takes their rows, as a workbook is one file
+    ordered = rows.repartition(1).sortWithinPartitions("sheet", "number", "key").select("sheet", "cells")
     ordered.mapInArrow(write, "n long").collect()

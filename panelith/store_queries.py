@@ -18,7 +18,7 @@ from .plans.demand import StoredPanel
 from .queries import Q, RET, _TR, _index, _r, _sql, _stale, _vol, WT, dividends, fx, instruments, month_ends, panel, quotes, register, rounded
 from .queries import _table as table
 from .sources import membership, readers
-from .sources.shared import exists, scratch
+from .sources.shared import exists, scratch, stamp
 from .sources.store import DataGetter, PanelStore
 
 FACTS = "obs_date date, ticker string, field string, value double"
@@ -59,12 +59,12 @@ def opened(s: SparkSession, d: str, rows: DataFrame | None = None) -> PanelStore
     return out
 
 
-_shared: dict[tuple[str, str], PanelStore] = {}
+_shared: dict[tuple[str, str, str], PanelStore] = {}
 
 
 def shared(s: SparkSession, d: str) -> PanelStore:
-    """The store of all facts for queries that only read, written once per application."""
-    key = (s.sparkContext.applicationId, d)
+    """The store of all facts for queries that only read, written once for the tables as they are."""
+    key = (s.sparkContext.applicationId, d, stamp(s, f"{d}/lineitem.parquet", f"{d}/part.parquet"))
     if key not in _shared or not exists(s, f"{_shared[key].path}/log"):
         _shared[key] = opened(s, d)
     return PanelStore(s, _shared[key].path)
@@ -256,12 +256,17 @@ def _(s, d):
     return stored(st)
 
 
-@register("store_reset", "SELECT 0::BIGINT AS facts, 0::BIGINT AS instruments")
+@register("store_reset", _sql("SELECT (SELECT count(*) FROM st) AS facts_before, (SELECT count(DISTINCT upper(p_brand)) FROM part) AS instruments_before, (SELECT count(*) FROM st WHERE field = 'close') AS facts, 1::BIGINT AS instruments", *ALL).replace("(SELECT count(*) FROM st WHERE field = 'close') AS facts", "(SELECT count(*) FROM px WHERE ticker = 'BRAND#1') AS facts"))
 def _(s, d):
+    """A full store is emptied and cleaned up, and then takes the closes of one ticker."""
     st = opened(s, d)
+    before = st.facts().agg(F.count("*").alias("facts_before")).first()[0], st.instruments().count()
     st.reset()
     st.vacuum()
-    return st.facts().agg(F.count("*").alias("facts")).crossJoin(st.instruments().agg(F.count("*").alias("instruments")))
+    assert not st.facts().take(1) and not st.instruments().take(1)
+    st.add(underlyings(s, d).where("ticker = 'BRAND#1'"))
+    st.upsert(facts(s, d).where("ticker = 'BRAND#1' and field = 'close'"))
+    return st.facts().agg(F.lit(before[0]).cast("long").alias("facts_before"), F.lit(before[1]).cast("long").alias("instruments_before"), F.count("*").alias("facts")).crossJoin(st.instruments().agg(F.count("*").alias("instruments")))
 
 
 @register("store_ingest_refresh", _sql(
@@ -559,15 +564,20 @@ def _(s, d):
     return table(s, d, "part").select("p_type", F.upper("p_brand").alias("b")).distinct().groupBy("p_type").agg(text.join_tickers(F.col("b")).alias("tickers"))
 
 
-@register("calendar_ranges", """
-SELECT 'B' AS freq, CAST(range AS DATE) AS obs_date FROM range(DATE '1995-01-02', DATE '1998-01-01', INTERVAL 1 DAY) WHERE isodow(range) <= 5
-UNION ALL SELECT 'M', last_day(CAST(range AS DATE)) FROM range(DATE '1995-01-01', DATE '1998-01-01', INTERVAL 1 MONTH)
-UNION ALL SELECT 'BM', m - CAST(greatest(isodow(m) - 5, 0) AS INT) FROM (SELECT last_day(CAST(range AS DATE)) AS m FROM range(DATE '1995-01-01', DATE '1998-01-01', INTERVAL 1 MONTH))
-""")
+_SPAN = "(SELECT min(obs_date) AS a, max(obs_date) AS b FROM px)"
+
+
+@register("calendar_ranges", _sql(
+    f"SELECT 'B' AS freq, CAST(r AS DATE) AS obs_date FROM (SELECT unnest(range(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS r FROM {_SPAN}) WHERE isodow(r) <= 5 "
+    f"UNION ALL SELECT 'M', last_day(CAST(r AS DATE)) FROM (SELECT unnest(range(date_trunc('month', a), b + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS r, b FROM {_SPAN}) WHERE last_day(CAST(r AS DATE)) <= b "
+    f"UNION ALL SELECT 'BM', m FROM (SELECT last_day(CAST(r AS DATE)) - CAST(greatest(isodow(last_day(CAST(r AS DATE))) - 5, 0) AS INT) AS m, b FROM (SELECT unnest(range(date_trunc('month', a), b + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS r, b FROM {_SPAN})) WHERE m <= b"
+))
 def _(s, d):
+    """Calendars over the span of the quotes."""
+    a, b = quotes(s, d).agg(F.min("obs_date"), F.max("obs_date")).first()
     out = None
     for freq in ("B", "M", "BM"):
-        one = calendar.date_range(s, "1995-01-02", "1997-12-31", freq=freq).select(F.lit(freq).alias("freq"), "obs_date")
+        one = calendar.date_range(s, str(a), str(b), freq=freq).select(F.lit(freq).alias("freq"), "obs_date")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -641,10 +651,20 @@ def _(s, d):
     return st.instruments().select("ticker", "description").join(n, "ticker")
 
 
-@register("rolling_strategy_names", "SELECT * FROM (VALUES ('CO', 'BRENT_CRUDE_OIL_LONG_1_FUT_SHORT_4_FUT INDEX', 'Brent Crude Oil rolling futures strategy. LONG 50.0% 1st future ,SHORT 25.0% 4th future.', 'H K N U X F'), ('S ', 'SOYBEANS_LONG_2_FUT INDEX', 'Soybeans rolling futures strategy. LONG 100% 2nd future.', 'H K N X F')) t(code, ticker, description, months)")
+@register("rolling_strategy_names", """
+SELECT ticker AS brand, CASE WHEN even THEN 'CO' ELSE 'S ' END AS code, (CASE WHEN even THEN 'BRENT_CRUDE_OIL' ELSE 'SOYBEANS' END) || '_' || side || '_' || n || '_FUT INDEX' AS ticker,
+       (CASE WHEN even THEN 'Brent Crude Oil' ELSE 'Soybeans' END) || ' rolling futures strategy. ' || side || ' ' || share || '.0% ' || n || (CASE n WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END) || ' future.' AS description,
+       CASE WHEN even THEN 'H K N U X F' ELSE 'H K N X F' END AS months
+FROM (SELECT ticker, b % 2 = 0 AS even, b % 5 + 1 AS n, CASE WHEN b % 3 = 0 THEN 'SHORT' ELSE 'LONG' END AS side, 10 + b AS share FROM (SELECT DISTINCT upper(p_brand) AS ticker, CAST(substr(p_brand, 7) AS INT) AS b FROM part))
+""")
 def _(s, d):
-    rows = [(c, *futures.named(c.lower(), a), " ".join(futures.roll_months(c))) for c, a in (("CO", {1: 0.5, 4: -0.25}), ("S ", {2: 1}))]
-    return frame(s, rows, "code string, ticker string, description string, months string")
+    """A strategy for each brand: its number gives the commodity, the contract and the allocation."""
+    rows = []
+    for r in instruments(s, d).select("ticker").distinct().orderBy("ticker").collect():  # 25 brands
+        b = int(r["ticker"][6:])
+        code = "CO" if b % 2 == 0 else "S "
+        rows.append((r["ticker"], code, *futures.named(code.lower(), {b % 5 + 1: (10 + b) / 100 * (-1 if b % 3 == 0 else 1)}), " ".join(futures.roll_months(code))))
+    return frame(s, rows, "brand string, code string, ticker string, description string, months string")
 
 
 _NTH = "(SELECT d FROM (SELECT CAST(range AS DATE) AS d, row_number() OVER (ORDER BY range DESC) AS k FROM range(lo - INTERVAL 900 DAY, lo, INTERVAL 1 DAY) WHERE isodow(range) <= 5) WHERE k = {})"
@@ -666,12 +686,17 @@ def _(s, d):
     return out
 
 
-@register("strategy_described", "SELECT * FROM (VALUES (0, 'Index eligibility:', '0.6 of the last 20 closes'), (1, 'Currency:', 'USD'), (2, 'Return type:', 'Total return'), (3, 'Dividend tax:', '15.0%'), (4, 'Signal:', 'SmaCross'), (5, 'Weight:', 'equal_weight'), (6, 'Overlay:', 'VolatilityTarget'), (7, 'Index fee p.a.:', '1.0%'), (8, 'Transaction costs:', '0.1%'), (9, 'Weight observation lag (days):', '2')) t(position, item, description)")
+@register("strategy_described", """
+SELECT * FROM (SELECT 0 AS position, 'Index eligibility:' AS item, '0.6 of the last ' || (SELECT 4 * count(*) FROM region) || ' closes' AS description UNION ALL SELECT 1, 'Currency:', (SELECT replace(max(r_name), ' ', '_') FROM region)
+UNION ALL SELECT 2, 'Return type:', 'Total return' UNION ALL SELECT 3, 'Dividend tax:', '15.0%' UNION ALL SELECT 4, 'Signal:', 'SmaCross' UNION ALL SELECT 5, 'Weight:', 'equal_weight' UNION ALL SELECT 6, 'Overlay:', 'VolatilityTarget'
+UNION ALL SELECT 7, 'Index fee p.a.:', (SELECT count(*) FROM region) || '.0%' UNION ALL SELECT 8, 'Transaction costs:', '0.1%' UNION ALL SELECT 9, 'Weight observation lag (days):', '2')
+""")
 def _(s, d):
-    p = panel(s, d)
-    u = strategy.Universe(names(shared(s, d)), month_ends(p)).price_history(p, 20, 0.6)
-    st = strategy.Strategy(strategy.SmaCross(u.eligibility(), p, 20, 5), strategy.equal_weight, p, strategy.VolatilityTarget(0.1), fee=0.01, transaction_cost=0.001)
-    return st.describe_table(u, "usd", True, 0.15)
+    """The parameters are those of the tables: as many closes, percent and currencies as there are regions."""
+    p, r = panel(s, d), table(s, d, "region").agg(F.count("*"), F.max("r_name")).first()
+    u = strategy.Universe(names(shared(s, d)), month_ends(p)).price_history(p, 4 * r[0], 0.6)
+    st = strategy.Strategy(strategy.SmaCross(u.eligibility(), p, 20, 5), strategy.equal_weight, p, strategy.VolatilityTarget(0.1), fee=r[0] / 100, transaction_cost=0.001)
+    return st.describe_table(u, r[1].replace(" ", "_").lower(), True, 0.15)
 
 
 @register("xlsx_round_trip", _sql(f"SELECT field, obs_date, ticker, {_r('value')} FROM st WHERE field IN ('close', 'dividend')", IDIV.replace(f" WHERE {STOCKS}", ""), ALL[1].replace(f" WHERE {STOCKS}", "")))

@@ -25,6 +25,16 @@ def test_round_trip(spark, tmp_path):
         xlsx.write_workbook({}, path)
 
 
+def test_rows_stand_in_order_of_the_first_column_by_its_type(spark, tmp_path):
+    path = f"{tmp_path}/book.xlsx"
+    numbers = spark.range(1, 13).select(F.col("id").alias("n"), F.format_string("x%d", "id").alias("s")).repartition(5)
+    readers.write_report({"numbers": numbers, "texts": numbers.select("s", "n")}, path)
+    cells = xlsx.read_cells(spark, path).where("row > 1 and col = 1").orderBy("row").collect()
+    assert [int(c["value"]) for c in cells if c["sheet"] == "numbers"] == list(range(1, 13))
+    texts = [c["value"] for c in cells if c["sheet"] == "texts"]
+    assert texts == sorted(texts) and len(texts) == 12
+
+
 def test_shared_strings_serial_dates_and_gaps(spark, tmp_path):
     """A workbook as other programs write it."""
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
