@@ -741,14 +741,36 @@ def _(s, d):
     return strategy.rolling_mean_variance(monthly, 12, min_total=1.0, max_total=1.0)
 
 
-@register("rolling_futures_index", None)
+_FUTURES = (
+    "nd AS (SELECT obs_date, row_number() OVER (ORDER BY obs_date) AS no FROM days)",
+    "cu AS (SELECT ticker, row_number() OVER (ORDER BY ticker) AS rank, CAST((SELECT min(obs_date) FROM days) + to_months(CAST(3 * row_number() OVER (ORDER BY ticker) AS INTEGER)) AS DATE) AS expiry FROM names)",
+    "ce AS (SELECT cu.*, (SELECT max(no) FROM nd WHERE nd.obs_date <= cu.expiry) AS e_no, expiry >= (SELECT max(obs_date) FROM days) AS open FROM cu)",
+    "cs AS (SELECT *, CASE WHEN open THEN (SELECT max(no) FROM nd) ELSE e_no - 1 END AS to_no FROM (SELECT *, count(*) FILTER (open) OVER (ORDER BY rank) AS opened FROM ce WHERE e_no IS NOT NULL) WHERE NOT open OR opened = 1)",
+    "sg AS (SELECT *, list_reverse_sort(list_filter(list_transform(range(1, 20), lambda i: expiry - CAST(i AS INTEGER)), lambda x: isodow(x) <= 5))[5] AS expected FROM (SELECT *, coalesce(lag(to_no) OVER (ORDER BY rank), 1) AS from_no FROM cs) WHERE to_no >= from_no)",
+    "sd AS (SELECT sg.rank, nd.no, nd.obs_date, CASE WHEN CASE WHEN open THEN nd.obs_date >= expected ELSE nd.no > to_no - 5 END THEN 0.0 ELSE 1.0 END AS raw FROM sg JOIN nd ON nd.no BETWEEN from_no AND to_no)",
+    "sw AS (SELECT *, CASE WHEN count(raw) OVER w >= 5 THEN avg(raw) OVER w END AS w5 FROM sd WINDOW w AS (PARTITION BY rank ORDER BY no ROWS 4 PRECEDING))",
+    "sh AS (SELECT *, first_value(w5 IGNORE NULLS) OVER (PARTITION BY rank ORDER BY no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM sw)",
+    "lg AS (SELECT sh.rank, no, obs_date, position, after, 0.5 * CASE after WHEN 0 THEN share ELSE 1 - share END AS weight, rank + position - 1 + after AS held FROM sh, (VALUES (1), (2)) p(position), (VALUES (0), (1)) a(after))",
+    f"bf AS (SELECT obs_date, ticker, coalesce(fv, first_value(fv IGNORE NULLS) {WT} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM f)",
+    "lp AS (SELECT lg.*, last_value(v IGNORE NULLS) OVER (PARTITION BY lg.rank, position, after ORDER BY no ROWS UNBOUNDED PRECEDING) AS p FROM lg LEFT JOIN (SELECT cu.rank AS held, bf.obs_date, v FROM bf JOIN cu USING (ticker)) c ON c.held = lg.held AND c.obs_date = lg.obs_date)",
+    "lr AS (SELECT *, p / lag(p) OVER (PARTITION BY rank, position, after ORDER BY no) - 1 AS ret FROM lp)",
+    "lh AS (SELECT * FROM (SELECT *, count(ret + weight) OVER (PARTITION BY rank, no) = 4 AS whole FROM lr) WHERE whole OR rank = (SELECT min(rank) FROM sg))",
+    "lt AS (SELECT *, ret * lag(weight) OVER w AS t, CASE WHEN after = 1 THEN greatest(abs(weight) - lag(abs(weight)) OVER w, 0) END AS c FROM lh WINDOW w AS (PARTITION BY position, after ORDER BY no, rank))",
+    "ld AS (SELECT obs_date, coalesce(sum(t), 0) AS r, 2 * coalesce(sum(c), 0) AS c FROM lt GROUP BY 1)",
+    "ln AS (SELECT obs_date, r, r - 0.0005 * c - 0.01 * date_diff('day', lag(obs_date) OVER (ORDER BY obs_date), obs_date) / 365.0 AS net FROM ld)",
+)
+
+
+@register("rolling_futures_index", _sql(
+    f"SELECT obs_date, {_r('r', 'index_return')}, {_r('product(1 + r) OVER (ORDER BY obs_date ROWS UNBOUNDED PRECEDING)', 'value')}, {_r('net', 'net_return')}, {_r('CASE WHEN net IS NOT NULL THEN product(1 + net) OVER (ORDER BY obs_date ROWS UNBOUNDED PRECEDING) END', 'net_value')} FROM ln", *_FUTURES
+))
 def _(s, d):
     """Brands as contracts that expire one after another, three months apart."""
     p = panel(s, d)
     names = p.groupBy("ticker").agg(F.min("obs_date").alias("f")).withColumn("k", F.row_number().over(Window.orderBy("ticker")))
     first = p.agg(F.min("obs_date")).first()[0]
     expiries = names.select("ticker", F.add_months(F.lit(first), F.col("k") * 3).alias("expiry"))
-    return futures.rolling_index(clean.bfill(clean.ffill(p)), expiries, {1: 0.5, 2: 0.5}, 5, 1, 0.0005, 0.01)
+    return rounded(futures.rolling_index(clean.bfill(clean.ffill(p)), expiries, {1: 0.5, 2: 0.5}, 5, 1, 0.0005, 0.01), "index_return", "value", "net_return", "net_value")
 
 
 _HALL = (
