@@ -14,8 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import optimize
-
 #: Dates of a run at least; rows after which sums are made anew.
 RUN, RESET = 64, 256
 
@@ -101,10 +99,13 @@ def solved(returns: DataFrame, dates: DataFrame, ends: DataFrame, held: DataFram
     return rows.groupBy("run").cogroup(asked.groupBy("run")).applyInPandas(task, "obs_date date, ticker string, weight double")
 
 
-def corners(returns: DataFrame, dates: DataFrame, ends: DataFrame, window: int, low=0.0, high=1.0, factor: float = 252) -> DataFrame:
-    """obs_date, corner, ticker, weight, mean, volatility: the corner portfolios of the efficient frontier of the last ``window`` rows of each date.
+#: Tables of portfolios by date: weights, and what they are worth in the window.
+PORTFOLIOS = "obs_date date, no int, ticker string, weight double, mean double, volatility double"
+
 
-    Corner 0 has the greatest return, the last one the least variance. Dates with missing returns have none.
+def portfolios(returns: DataFrame, dates: DataFrame, ends: DataFrame, window: int, make: Callable[[np.ndarray, np.ndarray], np.ndarray], factor: float = 252) -> DataFrame:
+    """obs_date, no, ticker, weight, mean, volatility: the portfolios (a row of weights each) that ``make`` gives for the means and covariance
+    of the last ``window`` rows of each date. Dates with missing returns have none.
     """
     run = max(window, RUN)
     near = F.sequence(F.floor(F.col("no") / run), F.floor((F.col("no") + window - 1) / run))
@@ -112,7 +113,7 @@ def corners(returns: DataFrame, dates: DataFrame, ends: DataFrame, window: int,
     asked = ends.select(F.floor(F.col("end") / run).alias("run"), "slice_date", "end")
 
     def task(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({c: [] for c in ("obs_date", "corner", "ticker", "weight", "mean", "volatility")}, dtype=object)]
+        out = [pd.DataFrame({c.split()[0]: [] for c in PORTFOLIOS.split(", ")}, dtype=object)]
         if len(rows) and len(asked):
             table = rows.pivot(index="no", columns="ticker", values="value").sort_index()
             table = table.reindex(range(int(table.index[0]), int(table.index[-1]) + 1))
@@ -123,13 +124,13 @@ def corners(returns: DataFrame, dates: DataFrame, ends: DataFrame, window: int,
                 cov = m.covariance(at, cols)
                 if not np.isnan(cov).any():
                     means = m.x[m.rows(at)].mean(axis=0)
-                    w = optimize.corner_portfolios(means, cov, low, high)
+                    w = np.atleast_2d(make(means, cov))
                     each = np.repeat(np.arange(len(w)), len(cols))
                     vol = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", w, cov, w), 0.0) * factor)
-                    out.append(pd.DataFrame({"obs_date": day, "corner": each, "ticker": np.tile(table.columns, len(w)), "weight": w.ravel(), "mean": (w @ means)[each], "volatility": vol[each]}))
+                    out.append(pd.DataFrame({"obs_date": day, "no": each, "ticker": np.tile(table.columns, len(w)), "weight": w.ravel(), "mean": (w @ means)[each], "volatility": vol[each]}))
         return pd.concat(out[1:]) if len(out) > 1 else out[0]
 
-    return rows.groupBy("run").cogroup(asked.groupBy("run")).applyInPandas(task, "obs_date date, corner int, ticker string, weight double, mean double, volatility double")
+    return rows.groupBy("run").cogroup(asked.groupBy("run")).applyInPandas(task, PORTFOLIOS)
 
 
 def inside(start: np.ndarray | None, total: float) -> np.ndarray | None:

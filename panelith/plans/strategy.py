@@ -580,13 +580,25 @@ def rolling_mean_variance(returns: DataFrame, window: int, **how) -> DataFrame:
     return start.unionByName(solved.withColumnRenamed("weight", "value"))
 
 
-def efficient_frontiers(returns: DataFrame, calendar: DataFrame, window: int, low=0.0, high=1.0, factor: float = 252) -> DataFrame:
-    """obs_date, corner, ticker, weight, mean, volatility: on each date of the calendar the corners of the frontier of the last ``window`` returns.
-
-    Between two neighbouring corners every blend of them is efficient, and nothing else is.
-    """
+def portfolios(returns: DataFrame, calendar: DataFrame, window: int, make: Callable[[np.ndarray, np.ndarray], np.ndarray], factor: float = 252) -> DataFrame:
+    """obs_date, no, ticker, weight, mean, volatility: on each date of the calendar, from the ``window``-th return on, the portfolios that ``make``
+    gives for the means and covariance of the last ``window`` returns, a row of weights each, with their mean return and annual volatility."""
     _require(window >= 2, "the window is at least 2")
     dates = sliding.numbered(returns)
     at = asof.calendar_map(calendar, returns).where("as_of is not null").select(F.col("obs_date").alias("slice_date"), F.col("as_of").alias("obs_date"))
     ends = at.join(dates, "obs_date").where(F.col("no") >= window).select("slice_date", F.col("no").alias("end"))
-    return sliding.corners(returns, dates, ends, window, low, high, factor)
+    return sliding.portfolios(returns, dates, ends, window, make, factor)
+
+
+def efficient_frontiers(returns: DataFrame, calendar: DataFrame, window: int, low=0.0, high=1.0, factor: float = 252) -> DataFrame:
+    """obs_date, corner, ticker, weight, mean, volatility: the corners of each date's frontier under bounds, from the greatest return (0) to the least variance.
+
+    Between two neighbouring corners every blend of them is efficient, and nothing else is.
+    """
+    return portfolios(returns, calendar, window, lambda means, cov: optimize.corner_portfolios(means, cov, low, high), factor).withColumnRenamed("no", "corner")
+
+
+def frontier_blends(returns: DataFrame, calendar: DataFrame, window: int, allocation: float = 1.0, points: int = 50, factor: float = 252) -> DataFrame:
+    """obs_date, point, ticker, weight, mean, volatility: each date's frontier without bounds, as blends of the portfolios of least variance and greatest return."""
+    make = lambda means, cov: np.array([w for _, w, _, _ in optimize.efficient_frontier(means, cov, allocation, points)])
+    return portfolios(returns, calendar, window, make, factor).withColumnRenamed("no", "point")

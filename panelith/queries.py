@@ -705,10 +705,73 @@ _MINI = "least(greatest((yy - xy) / (xx + yy - 2 * xy), 0.2), 0.8)"
     f"ef AS (SELECT tc.*, mx, my, CASE WHEN mx >= my THEN 0.8 ELSE 0.2 END AS w0, {_MINI} AS w1 FROM tc JOIN tm2 USING (obs_date) JOIN e3 USING (obs_date) WHERE n >= 60)",
 ))
 def _(s, d):
-    p = clean.ffill(two(s, d))
-    returns = p.withColumn("value", F.coalesce(F.col("value") / F.lag("value").over(Window.partitionBy("ticker").orderBy("obs_date")) - 1, F.lit(0.0)))
-    out = strategy.efficient_frontiers(returns, _both(s, d).select("obs_date").distinct(), 60, 0.2, 0.8)
-    return out.select("obs_date", "corner", "ticker", F.round(F.col("weight") + SHIFT, 4).alias("weight"), F.round(F.col("mean") * 10000 + SHIFT, 4).alias("mean"), F.round(F.col("volatility") + SHIFT, 4).alias("volatility"))
+    return _measured(strategy.efficient_frontiers(_returns(two(s, d)), _both(s, d).select("obs_date").distinct(), 60, 0.2, 0.8), "corner")
+
+
+def _returns(p: DataFrame) -> DataFrame:
+    return clean.ffill(p).withColumn("value", F.coalesce(F.col("value") / F.lag("value").over(Window.partitionBy("ticker").orderBy("obs_date")) - 1, F.lit(0.0)))
+
+
+def _measured(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select("obs_date", *keys, "ticker", F.round(F.col("weight") + SHIFT, 4).alias("weight"), F.round(F.col("mean") * 10000 + SHIFT, 4).alias("mean"), F.round(F.col("volatility") + SHIFT, 4).alias("volatility"))
+
+
+@register("frontier_blends_two", _sql(
+    "SELECT obs_date, CAST(k AS INTEGER) AS point, ticker, round(CASE ticker WHEN 'EVEN' THEN w ELSE 1 - w END + 3e-8, 4) AS weight, round((w * mx + (1 - w) * my) * 10000 + 3e-8, 4) AS mean, round(sqrt(252 * (w * w * xx + (1 - w) ** 2 * yy + 2 * w * (1 - w) * xy)) + 3e-8, 4) AS volatility "
+    f"FROM (SELECT *, (1 - k / 2.0) * {_LEAST} + k / 2.0 * CASE WHEN mx > my THEN 1.0 ELSE 0.0 END AS w FROM tc JOIN tm3 USING (obs_date) JOIN e3 USING (obs_date), (SELECT unnest(range(5)) AS k) WHERE n >= 60) CROSS JOIN (VALUES ('EVEN'), ('ODD')) t(ticker)",
+    *_TWO, _ENDS3, "tm3 AS (SELECT obs_date, avg(x) OVER w AS mx, avg(y) OVER w AS my, n FROM tw WINDOW w AS (ORDER BY obs_date ROWS 59 PRECEDING))",
+))
+def _(s, d):
+    """Five blends, from the least variance over equal parts to the greatest return."""
+    return _measured(strategy.frontier_blends(_returns(two(s, d)), _both(s, d).select("obs_date").distinct(), 60, points=5), "point")
+
+
+_NUMBERS = "(wa * wa * xx + wb * wb * yy + wc * wc * zz + 2 * (wa * wb * xy + wa * wc * xz + wb * wc * yz))"
+
+
+@register("theoretical_mean_variance", _sql(
+    # two equations leave one direction, orthogonal to both: the variance's least value along it
+    f"SELECT obs_date, t.ticker, round(CASE t.ticker WHEN 'A' THEN wa WHEN 'B' THEN wb ELSE wc END + 3e-8, 4) AS weight, round((wa * m1 + wb * m2 + wc * m3) * 10000 + 3e-8, 4) AS mean, round(sqrt(252 * {_NUMBERS}) + 3e-8, 4) AS volatility, "
+    f"round(2 * sqrt(252 * {_NUMBERS}) - (wa * m1 + wb * m2 + wc * m3) + 3e-8, 4) AS loss, round((0.5 * (greatest(m1, m2, m3) + least(m1, m2, m3)) - (wa * m1 + wb * m2 + wc * m3)) * 10000 + 3e-8, 4) AS short_of_target, round(abs(1 - wa - wb - wc), 4) AS slack "
+    "FROM (SELECT *, a0 + q * v1 AS wa, b0 + q * v2 AS wb, c0 + q * v3 AS wc FROM (SELECT *, -(v1 * (a0 * xx + b0 * xy + c0 * xz) + v2 * (a0 * xy + b0 * yy + c0 * yz) + v3 * (a0 * xz + b0 * yz + c0 * zz)) / (v1 * v1 * xx + v2 * v2 * yy + v3 * v3 * zz + 2 * (v1 * v2 * xy + v1 * v3 * xz + v2 * v3 * yz)) AS q FROM hz)) CROSS JOIN (VALUES ('A'), ('B'), ('C')) t(ticker)",
+    _ENDS3, *_THREE[:5],
+    "hm3 AS (SELECT obs_date, avg(x) OVER w AS m1, avg(y) OVER w AS m2, avg(z) OVER w AS m3, row_number() OVER (ORDER BY obs_date) AS n FROM hx WINDOW w AS (ORDER BY obs_date ROWS 59 PRECEDING))",
+    # a start that meets both: half of each of the best and the worst asset
+    "hz AS (SELECT hc.*, m1, m2, m3, m2 - m3 AS v1, m3 - m1 AS v2, m1 - m2 AS v3, CASE WHEN m1 = greatest(m1, m2, m3) OR m1 = least(m1, m2, m3) THEN 0.5 ELSE 0 END AS a0, CASE WHEN m2 = greatest(m1, m2, m3) OR m2 = least(m1, m2, m3) THEN 0.5 ELSE 0 END AS b0, CASE WHEN m3 = greatest(m1, m2, m3) OR m3 = least(m1, m2, m3) THEN 0.5 ELSE 0 END AS c0 FROM hc JOIN hm3 USING (obs_date) JOIN e3 USING (obs_date) WHERE n >= 60)",
+))
+def _(s, d):
+    """Least variance at half way between the least and the greatest mean return, and what the portfolio's measures say of it."""
+
+    def make(means, cov):
+        from .functions import optimize
+
+        return optimize.analytic(cov, means, 0.5 * (means.max() + means.min()))
+
+    out = strategy.portfolios(_returns(three(s, d)), _both(s, d).select("obs_date").distinct(), 60, make)
+    day = Window.partitionBy("obs_date")
+    means = _returns(three(s, d)).withColumn("m", F.avg("value").over(Window.partitionBy("ticker").orderBy("obs_date").rowsBetween(-59, 0))).groupBy("obs_date").agg((0.5 * (F.max("m") + F.min("m"))).alias("target"))
+    named = out.join(means, "obs_date").withColumn("loss", F.round(2 * F.col("volatility") - F.col("mean") + SHIFT, 4)).withColumn("short_of_target", F.round((F.col("target") - F.col("mean")) * 10000 + SHIFT, 4))
+    named = named.withColumn("slack", F.round(F.abs(1 - F.sum("weight").over(day)), 4))
+    return _measured(named).join(named.select("obs_date", "ticker", "loss", "short_of_target", "slack"), ["obs_date", "ticker"])
+
+
+@register("top_k_signal_best_dropped", _sql(
+    "SELECT obs_date, ticker, CASE WHEN j <= 4 THEN NULL WHEN j IS NOT NULL THEN 1.0::DOUBLE END AS value FROM (SELECT *, CASE WHEN k2 IS NOT NULL THEN row_number() OVER (PARTITION BY obs_date ORDER BY k2 NULLS LAST, ticker) END AS j FROM "
+    f"(SELECT *, CASE WHEN k > round_even(0.3 * n, 0) THEN k END AS k2 FROM (SELECT *, count(value) OVER (PARTITION BY obs_date) AS n, {_RANK.format('DESC')} AS k FROM rk)))",
+    _TOP,
+))
+def _(s, d):
+    """The best three tenths go, of the rest all but the first four."""
+    return cross.top_k(rolling.holding_period_return(panel(s, d), 20), eligible(s, d), number=4, include=False, drop_best_fraction=0.3)
+
+
+@register("universe_ever_eligible", _sql(
+    f"SELECT obs_date, ticker, CASE WHEN n >= 18 THEN 1.0::DOUBLE END AS value FROM (SELECT *, count(value) {WT} ROWS 19 PRECEDING) AS n FROM g) JOIN me USING (obs_date) WHERE ticker IN (SELECT ticker FROM (SELECT *, count(value) {WT} ROWS 19 PRECEDING) AS n FROM g) JOIN me USING (obs_date) WHERE n >= 18)"
+))
+def _(s, d):
+    """Only the tickers that pass the filter at some month's end."""
+    p, u = _universe(s, d)
+    return u.price_history(p, 20, 0.9).eligibility(only_eligible=True)
 
 
 @register("rolling_mean_variance_two", _sql(

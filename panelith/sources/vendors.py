@@ -78,8 +78,11 @@ class VendorSource:
         n = -(-names.count() // self.batch)
         return batches.repartition(max(1, n), "batch").select("tickers").mapInPandas(run, schema)
 
-    def _names(self, spark: SparkSession, tickers: Sequence[str]) -> DataFrame:
-        own = spark.createDataFrame([(t.upper(),) for t in dict.fromkeys(tickers)], "ticker string")
+    def _names(self, spark: SparkSession, tickers: Sequence[str] | DataFrame) -> DataFrame:
+        if isinstance(tickers, DataFrame):
+            own = tickers.select(F.upper("ticker").alias("ticker")).distinct()
+        else:
+            own = spark.createDataFrame([(t.upper(),) for t in dict.fromkeys(tickers)], "ticker string")
         return own.withColumn("vendor", self.to_vendor(F.col("ticker")))
 
     def facts(self, spark: SparkSession, tickers: Sequence[str], start=None, end=None) -> DataFrame:

@@ -18,8 +18,9 @@ from .plans.demand import StoredPanel
 from .queries import Q, RET, _TR, _index, _r, _sql, _stale, _vol, WT, dividends, fx, instruments, month_ends, panel, quotes, register, rounded
 from .queries import _table as table
 from .sources import membership, readers
-from .sources.shared import exists, scratch, stamp
+from .sources.shared import exists, file_system, scratch, stamp
 from .sources.store import DataGetter, PanelStore
+from .sources.vendors import VendorSource
 
 FACTS = "obs_date date, ticker string, field string, value double"
 DAY = dt.date(1999, 6, 30)
@@ -300,6 +301,58 @@ def getter_list_per_date(s, d):
     return rounded(DataGetter(st, lists, _calendar(s, d), policy="ffill", window=40).volatility())
 
 
+@register("getter_types", _sql(
+    " UNION ALL ".join(f"SELECT '{f}' AS data_type, obs_date, ticker, {_r('value')} FROM ({_dense(f, f).replace(f"'{f}' AS field, ", '')}) WHERE obs_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'" for f in ("open", "high", "low", "volume"))
+    + f" UNION ALL SELECT 'liquidity', obs_date, ticker, {_r(f'CASE WHEN {STOCKS} THEN value * volume END')} FROM g WHERE obs_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'",
+    *ALL,
+))
+def getter_types(s, d):
+    """Every data type but the close through one door, for a year."""
+    st, out = shared(s, d), None
+    for kind in ("open", "high", "low", "volume", "liquidity"):
+        rows = rounded(st.get(kind, names(st), start="1996-01-01", end="1996-12-31")).select(F.lit(kind).alias("data_type"), "obs_date", "ticker", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("vendor_ingest", _sql(
+    f"SELECT st.field, st.obs_date, st.ticker, {_r('st.value')}, {KIND.replace('ticker', 'st.ticker')} AS instrument_type, {CURRENCY.replace('ticker', 'st.ticker')} AS currency, 'YAHOO' AS data_source FROM st WHERE NOT (st.field = 'dividend' AND st.value = 0) AND st.field <> 'low'", *ALL
+))
+def vendor_ingest(s, d):
+    """A vendor's connection, asked in tasks for batches of tickers in its own notation: quotes, dividends and attributes, tidied, into a store.
+
+    The connection answers from the panel's files, with gaps as NaN and days without a dividend as 0.
+    """
+    folder = scratch(s, "vendor")
+    quoted = quotes(s, d).withColumn("Open", F.col("low")).join(dividends(s, d).withColumnRenamed("value", "Dividend"), ["obs_date", "ticker"], "left")
+    quoted.select("obs_date", "ticker", "Open", F.col("high").alias("High"), F.col("close").alias("Close"), F.col("volume").cast("double").alias("Volume"), F.coalesce("Dividend", F.lit(0.0)).alias("Dividend")).write.parquet(f"{folder}/quotes")
+    kinds = {"STOCK": "equity", "ETF": "etf", "INDEX": "index"}
+    pairs = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    underlyings(s, d).select("ticker", pairs[F.col("instrument_type")].alias("kind"), F.lower("currency").alias("currency")).write.parquet(f"{folder}/info")
+
+    def quotes_of(tickers, start, end):
+        from pyarrow import dataset
+
+        fs, path = file_system(f"{folder}/quotes")
+        asked = dataset.field("ticker").isin([t.removesuffix(" EQUITY") for t in tickers])
+        for batch in dataset.dataset(path, filesystem=fs, format="parquet").to_batches(filter=asked):
+            for row in batch.to_pylist():
+                if start is None or row["obs_date"] >= start:
+                    yield from ((row["obs_date"], f"{row['ticker']} EQUITY", f, row[f]) for f in ("Open", "High", "Close", "Volume", "Dividend"))
+
+    def info_of(tickers):
+        from pyarrow import dataset
+
+        fs, path = file_system(f"{folder}/info")
+        held = {r["ticker"]: r for r in dataset.dataset(path, filesystem=fs, format="parquet").to_table().to_pylist()}
+        return [(t, {"quoteType": held[k]["kind"], "currency": held[k]["currency"]}) for t in tickers if (k := t.removesuffix(" EQUITY")) in held]
+
+    source = VendorSource(quotes_of, info_of, {"quoteType": "instrument_type", "currency": "currency"}, "YAHOO", to_vendor=text.add_suffix, batch=7, values={"equity": "STOCK"})
+    st = PanelStore(s, scratch(s, "panel-store"))
+    st.ingest(source, names(shared(s, d)), today=DAY)
+    return stored(st).join(st.attributes(names(st), ["instrument_type", "currency", "data_source"]), "ticker")
+
+
 _RUNS = (
     "mb AS (SELECT obs_date, ticker FROM px WHERE close >= 948)",
     "nd AS (SELECT obs_date, row_number() OVER (ORDER BY obs_date) AS no FROM days)",
