@@ -77,6 +77,23 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair(conversation.damage(common.table(spark, sf_dir, "conversations")))
 
 
+def embedding_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 on every vector, a near copy of each fifth and an exact one of each tenth: the given vectors have no links of their own."""
+    given = common.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    near = given.where("vec_id % 5 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when(i < 1, -x).otherwise(x)).alias("embedding"))
+    exact = given.where("vec_id % 10 = 0").select((F.col("vec_id") + 2_000_000).alias("vec_id"), "embedding")
+    return embdedup.near_duplicates(given.unionAll(near).unionAll(exact))
+
+
+def warc_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7 on every page, a copy of each third and a short page beside each seventh: the given payloads all differ and none is short."""
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    copies = pages.where("page_id % 3 = 0").select((F.col("page_id") + 1_000_000).alias("page_id"), "url", "html")
+    short = pages.where("page_id % 7 = 0").select((F.col("page_id") + 2_000_000).alias("page_id"), "url", F.substring("html", 1, 40).alias("html"))
+    folder = common.new_path(spark, "warc")
+    return warc.read_records(warc.write_archives(pages.unionAll(copies).unionAll(short), folder), folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash,
     "op2_best_fit_packing": op2_pack,
@@ -88,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_mix,
     "op9_token_store": op9_token_store,
     "op10_lm_scoring": op10_lm,
+    "embedding_copies": embedding_copies,
+    "warc_copies": warc_copies,
     "op11_quality": op11_quality,
     "op12_lexical_search": op12_lexical,
     "op13_conversation_repair": op13_conversations,
@@ -98,6 +117,8 @@ ORACLES: dict[str, str] = {
     "op6_exact_top_k": topk.ORACLE,
     "op7_warc": warc.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
+    "embedding_copies": "WITH RECURSIVE given AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings), copied AS (SELECT * FROM given UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x, i: CASE WHEN i <= 1 THEN -x ELSE x END) FROM given WHERE vec_id % 5 = 0 UNION ALL SELECT vec_id + 2000000, embedding FROM given WHERE vec_id % 10 = 0), " + embdedup.ORACLE.strip().removeprefix("WITH RECURSIVE ").replace("FROM embeddings", "FROM copied"),
+    "warc_copies": "WITH copied AS (SELECT page_id, url, html FROM pages UNION ALL SELECT page_id + 1000000, url, html FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id + 2000000, url, substr(html, 1, 40) FROM pages WHERE page_id % 7 = 0), " + warc.ORACLE.strip().removeprefix("WITH ").replace("FROM pages", "FROM copied"),
     "op12_lexical_search": lexical.ORACLE,
     "op13_conversation_repair": conversation.ORACLE,
 }

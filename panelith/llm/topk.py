@@ -12,11 +12,13 @@ query, and the groups' results are ranked once more.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count as padded with
 zeros; a query with fewer candidates than k gets all; null ids take no part; rows that repeat an id are candidates each but never
-of their own id; scores beyond 64 bits are an error; an empty table gives no rows; further columns are ignored.
+of their own id; pairs whose sums may pass 2**53 are scored in whole numbers of any size, and a pair whose score doesn't fit in 64 bits
+is left out; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ def _pack(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (dim,), parts in runs(batches, ["dim"], rows):
             whole = pa.Table.from_batches(parts)
-            x = np.floor(SCALE * as_matrix(whole["embedding"].combine_chunks()))
+            x = as_matrix(whole["embedding"].combine_chunks())
             ids = whole["vec_id"].to_numpy().astype("<i8")
             yield pa.RecordBatch.from_arrays([pa.array([dim], type=pa.int32()), pa.array([ids.tobytes()], type=pa.binary()), pa.array([x.astype("<f8").tobytes()], type=pa.binary())], names=["dim", "ids", "data"])
 
@@ -46,25 +48,44 @@ def _pack(rows: int):
 PACK_SCHEMA = "dim int, ids binary, data binary"
 
 
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x); infinite where that is beyond doubles."""
+    with np.errstate(over="ignore"):
+        return np.floor(SCALE * raw)
+
+
+def whole(v: float) -> int:
+    """floor(SCALE * v) of any finite number; one too large to be scaled is whole itself."""
+    w = SCALE * v
+    return math.floor(w) if math.isfinite(w) else int(v) * SCALE
+
+
 class Forward:
     """Documents of a group: integer matrix, ids, and the bounds of each block."""
 
     def __init__(self, packs: list[tuple[np.ndarray, np.ndarray]]):
         width = max(x.shape[1] for _, x in packs)
         self.ids = np.concatenate([i for i, _ in packs])
-        self.x = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for _, x in packs])
+        self.raw = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for _, x in packs])
+        self.x = scaled(self.raw)
         at = np.arange(0, len(self.ids), BLOCK)
         self.top, self.bottom, self.count = np.maximum.reduceat(self.x, at), np.minimum.reduceat(self.x, at), len(at)
         #: Blocks that were scored, of those that were asked for.
         self.scored = self.asked = 0
-        self.exact = float(np.abs(self.x).max(initial=0)) * width
+        self.greatest = np.abs(self.x).max(axis=1, initial=0)
 
     def search(self, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(query, document, score) of the k best of each query."""
+        """(query, document, score) of the k best of each query; ``q`` is not scaled."""
+        return [(int(query), d, s) for query, found in zip(ids, self._best(ids, q, k), strict=True) for d, s in found]
+
+    def _best(self, ids: np.ndarray, q: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
         width = self.x.shape[1]
-        q = np.pad(q, ((0, 0), (0, max(0, width - q.shape[1]))))[:, :width] if q.shape[1] != width else q
-        if self.exact * float(np.abs(q).max(initial=0)) >= 2**53:
-            return self._search_large(ids, q, k)
+        raw = np.pad(q, ((0, 0), (0, max(0, width - q.shape[1]))))[:, :width] if q.shape[1] != width else q
+        q = scaled(raw)
+        most = max(1.0, float(np.abs(q).max(initial=0))) * width
+        large = ~(self.greatest < 2**53 / most)
+        if large.any():
+            return self._best_large(ids, raw, k, large)
         bound = np.maximum(q, 0) @ self.top.T + np.minimum(q, 0) @ self.bottom.T
         order = np.argsort(-bound, axis=1, kind="stable")
         out = []
@@ -90,17 +111,18 @@ class Forward:
                 by = np.lexsort((docs, -score))[:k]
                 best, best_ids = score[by], docs[by]
             self.asked += self.count
-            out += [(int(query), int(d), int(s)) for d, s in zip(best_ids, best, strict=True)]
+            out.append([(int(d), int(s)) for d, s in zip(best_ids, best, strict=True)])
         return out
 
-    def _search_large(self, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """Integers beyond double precision: Python's own."""
-        whole = [[int(v) for v in row] for row in self.x]
+    def _best_large(self, ids: np.ndarray, raw: np.ndarray, k: int, large: np.ndarray) -> list[list[tuple[int, int]]]:
+        """Documents whose sums may pass 2**53 in Python's integers, the others by blocks; both meet at the end."""
+        rest = Forward([(self.ids[~large], self.raw[~large])])._best(ids, raw, k) if not large.all() else [[] for _ in ids]
+        docs = [(int(d), [(j, whole(v)) for j, v in enumerate(row) if v]) for d, row in zip(self.ids[large], self.raw[large].tolist(), strict=True)]
         out = []
-        for query, row in zip(ids, q, strict=True):
-            weights = [int(v) for v in row]
-            scored = sorted((-sum(a * b for a, b in zip(weights, x, strict=True)), int(d)) for d, x in zip(self.ids, whole, strict=True) if d != query)
-            out += [(int(query), d, -s) for s, d in scored[:k]]
+        for query, row, found in zip(ids.tolist(), raw.tolist(), rest, strict=True):
+            weights = [whole(v) for v in row]
+            scores = ((d, sum(weights[j] * v for j, v in x)) for d, x in docs if d != query)
+            out.append(sorted(found + [(d, s) for d, s in scores if -(2**63) <= s < 2**63], key=lambda x: (-x[1], x[0]))[:k])
         return out
 
 

@@ -7,13 +7,15 @@ import numpy as np
 
 from panelith.llm import lm
 
+from . import small_model
+
 
 def _trie(texts, order=3, context_bits=30):
     codes = np.concatenate([lm.grams(np.frombuffer(t, dtype=np.uint8), order) for t in texts])
     nodes = {}
     for k in range(1, order + 2):
         nodes[k] = np.unique(codes & ((1 << 8 * k) - 1), return_counts=True)
-    return lm.Trie(len(codes), nodes, order, context_bits)
+    return small_model.Trie(len(codes), nodes, order, context_bits)
 
 
 def _slow(texts, order, data):
@@ -54,7 +56,7 @@ def test_tables_agree_with_a_walk_through_the_contexts():
     texts = [b"the cat sat on the mat\n", b"the dog sat on the log\n", b"\n", b"a cat and a dog\n"]
     trie = _trie(texts)
     asked = [b"the cat sat\n", b"zebra\n", b"\n", b"the the the \xff\xfe dog\n", b"on a mat\n" * 1]
-    got = lm.log10_probabilities(trie, asked)
+    got = small_model.log10_probabilities(trie, asked)
     for text, x in zip(asked, got, strict=True):
         assert abs(x - _slow(texts, 3, text)) < 1e-3 * len(text), text
 
@@ -71,7 +73,7 @@ def test_segments_join_without_a_seam():
     texts = [b"lorem ipsum dolor sit amet consectetur " * 40 + b"\n"]
     trie = _trie(texts)
     long = b"lorem dolor amet sit ipsum " * 60 + b"\n"
-    assert abs(lm.log10_probabilities(trie, [long, b"\n"])[0] - _slow(texts, 3, long)) < 1e-3 * len(long)
+    assert abs(small_model.log10_probabilities(trie, [long, b"\n"])[0] - _slow(texts, 3, long)) < 1e-3 * len(long)
 
 
 def test_query_against_brute_force(spark):
@@ -104,6 +106,19 @@ def test_rare_contexts_count_in_a_large_corpus(spark):
     asked = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1][:3] + [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0][:3]
     codes = np.concatenate([lm.grams(np.frombuffer(t, dtype=np.uint8)) for t in train])
     nodes = {k: np.unique(codes & ((1 << 8 * k) - 1), return_counts=True) for k in range(1, lm.ORDER + 2)}
-    want = lm.log10_probabilities(lm.Trie(len(codes), nodes, lm.ORDER, 60), [rows[i][1].encode() + b"\n" for i in asked])
+    want = small_model.log10_probabilities(small_model.Trie(len(codes), nodes, lm.ORDER, 60), [rows[i][1].encode() + b"\n" for i in asked])
     for i, x in zip(asked, want, strict=True):
         assert abs(got[i] - x) < 1e-3 * len(rows[i][1])
+
+
+def test_sums_hold_distinct_grams_only():
+    rnd = np.random.default_rng(8)
+    sums, whole = lm.Sums(), Counter()
+    for _ in range(60):
+        codes = np.unique(rnd.integers(0, 60_000, 20_000))
+        n = rnd.integers(0, 4, len(codes)).astype(np.int32)
+        sums.add(codes, n)
+        whole.update(dict(zip(codes.tolist(), n.tolist(), strict=True)))
+        assert sums._size + len(sums.codes) <= (1 << 18) + 80_000
+    codes, n = sums.done()
+    assert dict(zip(codes.tolist(), n.tolist(), strict=True)) == dict(whole) and (np.diff(codes) > 0).all()

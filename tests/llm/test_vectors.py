@@ -98,8 +98,8 @@ def test_blocks_are_skipped_where_terms_dominate():
     x = np.floor(64 * 0.05 * r.standard_normal((6400, 64)))
     lead = np.sort(r.integers(64, size=6400))
     x[np.arange(6400), lead] += 64
-    forward = topk.Forward([(np.arange(6400), x)])
-    got = forward.search(np.arange(0, 6400, 100), x[::100], 20)
+    forward = topk.Forward([(np.arange(6400), x / 64)])
+    got = forward.search(np.arange(0, 6400, 100), x[::100] / 64, 20)
     scores = x[::100] @ x.T
     scores[np.arange(64), np.arange(0, 6400, 100)] = -1e9
     want = [(int(q * 100), int(d), int(scores[q, d])) for q in range(64) for d in np.lexsort((np.arange(6400), -scores[q]))[:20]]
@@ -126,3 +126,21 @@ def test_few_candidates_large_numbers_and_ties(spark):
     got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
     x, y = 64 * 10**7, 64 * 10**7 + 64
     assert got == [(20, 1, 1, x * x + y * y), (20, 2, 2, x * x + y * y), (20, 3, 3, -64 * x)]
+
+
+def test_components_beyond_doubles_and_scores_beyond_64_bits(spark):
+    rows = [(20, [0.0, 1.0]), (1, [1e307, 2.0]), (2, [-1.7e308, 2.0]), (3, [0.0, 1.0]), (40, [1.0, 0.0]), (4, [2.0**50, 0.0]), (5, [2.0**51, 0.0]), (60, [1e307, 0.0]), (6, [0.5, 0.25])]
+    rows += [(100 + k, [0.0, -k / 64]) for k in range(1, 12)]
+    got: dict = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+
+    def whole(v):
+        return int(v) * 64 if abs(v) > 2**60 else math.floor(64 * v)
+
+    for q, v in rows:
+        if q % 20 == 0:
+            scores = [(d, sum(whole(a) * whole(b) for a, b in zip(v, x, strict=True))) for d, x in rows if d != q]
+            want = sorted(((d, s) for d, s in scores if -(2**63) <= s < 2**63), key=lambda x: (-x[1], x[0]))[:20]
+            assert got.get(q, []) == want, q
+    assert (1, 8192) in got[20] and (4, 2**62) in got[40] and 5 not in dict(got[40])
