@@ -93,6 +93,8 @@ def weekday(name: str) -> int:
 
 def frequency_filter(panel: DataFrame, freq: int | str | None) -> DataFrame:
     """A weekday's rows, or every n-th date counted back from the latest."""
+    if freq is not None and (isinstance(freq, bool) or not isinstance(freq, (int, str))):
+        raise TypeError("the frequency is None, a whole number or a weekday's name")
     if freq is None or freq == 1:
         return panel
     if isinstance(freq, str):

@@ -4,7 +4,7 @@ A part of a strategy (universe filter, signal, weight, overlay, index) says how
 into a date before any plan is built, from the store's summaries: the last year from whose begin on every ticker has so many rows before the first date,
 or all it ever had. The scan then opens the partitions from that year to the last date only, and no metric differs from that of the whole panel.
 
-A metric over each n-th row counts its rows from the panel's begin and so needs everything; one over a weekday's rows is given ``WEEKLY`` rows
+A metric over each n-th row counts its rows back from the panel's latest date and so needs everything; one over a weekday's rows is given ``WEEKLY`` rows
 for each of its own.
 """
 
@@ -36,7 +36,8 @@ class StoredPanel:
         return self.store.since(field, self.tickers, first, rows * WEEKLY if isinstance(freq, str) else rows)
 
     def over(self, span: Span, rows: int | None, freq: int | str | None = None) -> DataFrame:
-        return self.store.get(self.data_type, self.tickers, start=self.since(span[0], rows, freq), end=span[1], **self.how)
+        end = None if isinstance(freq, int) and freq > 1 else span[1]
+        return self.store.get(self.data_type, self.tickers, start=self.since(span[0], rows, freq), end=end, **self.how)
 
 
 Panel = DataFrame | StoredPanel

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.clean import drop_incomplete_dates
 from ..operators.frames import by_ticker, guarded, last_rows
+from ..sources import readers, xlsx
 
 # Month names in order.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -91,3 +92,15 @@ def monthly_table(prices: DataFrame, include_first: bool = True) -> DataFrame:
     year = m.groupBy("ticker", "year").agg((F.product(1 + F.col("value")) - 1).alias("yearly_return"))
     return m.groupBy("ticker", "year").pivot("__m", list(MONTHS)).agg(F.first("value")).join(year, ["ticker", "year"])
 
+
+
+def report_of_sheet(spark: SparkSession, folder: str, sheet: str, out: str, benchmark: str | None = None, window: int = YEAR) -> dict[str, DataFrame]:
+    """The report of index levels that stand in a sheet, dates by tickers, as they are; written to ``out``, a folder or a workbook."""
+    wide = readers.read_sheet(spark, folder, sheet)
+    if wide is None:
+        raise ValueError(f"{sheet} has no rows")
+    typed = wide.select(xlsx.as_date(F.col(f"`{wide.columns[0]}`").cast("string")).alias("obs_date"), *[F.col(f"`{c}`").try_cast("double").alias(c.upper()) for c in wide.columns[1:]])
+    levels = typed.unpivot(["obs_date"], typed.columns[1:], "ticker", "value")
+    tables = risk_and_return(levels, benchmark, normalize=False, window=window)
+    readers.write_report(tables, out)
+    return tables

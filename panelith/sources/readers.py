@@ -164,6 +164,22 @@ def write_report(report: dict[str, DataFrame], folder: str, format: str = "parqu
         df.write.mode("overwrite").format(format).option("header", True).save(f"{folder}/{text.sheet_name(name)}.{format}")
 
 
+def place(full_path: str | None = None, workbook: str | None = None, folder: str | None = None) -> str:
+    """Where a report lies: a full path, or a workbook's name in a folder."""
+    if (full_path is None) == (workbook is None and folder is None) or (workbook is None) != (folder is None):
+        raise ValueError("give a full path, or a workbook and a folder")
+    return full_path if full_path is not None else f"{folder.rstrip('/')}/{workbook}{'' if workbook.endswith('.xlsx') else '.xlsx'}"
+
+
+def save_frames(frames: Sequence[DataFrame], sheets: Sequence[str], full_path: str | None = None, workbook: str | None = None, folder: str | None = None) -> str:
+    """Writes each frame to the sheet of its place; returns where."""
+    if len(frames) != len(sheets):
+        raise ValueError("there are as many sheets as frames")
+    where = place(full_path, workbook, folder)
+    write_report(dict(zip(sheets, frames, strict=True)), where)
+    return where
+
+
 def read_sheet(spark: SparkSession, folder: str, name: str, format: str = "parquet") -> DataFrame:
     if folder.endswith(".xlsx"):
         return xlsx.read_sheet(materialized(xlsx.read_cells(spark, folder).where(F.col("sheet") == name[:31]), "cells"), name)

@@ -22,6 +22,7 @@ from ..operators import asof, clean
 from ..operators.frames import by_ticker, dense, last_rows
 from .commits import FACT_SCHEMA, Conflict, Facts, Log
 from .readers import FIELDS, Source
+from .shared import materialized
 from ..plans.demand import StoredPanel
 
 # What instruments may be, and the fields they may not have.
@@ -195,6 +196,8 @@ class PanelStore:
         if on_conflict not in ("ignore", "replace", "delete"):
             raise ValueError("on_conflict is ignore, replace or delete")
         rows = self._checked(rows.withColumn("ticker", F.upper("ticker"))).distinct()
+        marks = [f"last_{f}_refresh" for f in FIELDS]
+        rows = rows.withColumns({m: F.lit(None).cast("date") for m in marks if m not in rows.columns})
         if rows.groupBy("ticker").count().where("count > 1").take(1):
             raise ValueError("a ticker has different attributes in two rows")
 
@@ -482,22 +485,37 @@ class PanelStore:
         return getattr(self, data_type)(tickers, **how)
 
 
+def open_store(path: str, app: str = "panelith", config: Mapping[str, str] | None = None, **how) -> PanelStore:
+    """The store under a path with a session of its own making, or the one there is; a new store has both tables, empty."""
+    builder = SparkSession.builder.appName(app)
+    for key, value in (config or {}).items():
+        builder = builder.config(key, value)
+    store = PanelStore(builder.getOrCreate(), path, **how)
+    if not store.log.numbers():
+        store.reset()
+    return store
+
+
 class DataGetter:
     """Metrics of stored data on an observation calendar: frequency filter, null policy, metric, as-of.
 
     ``tickers`` is a list, or a table (obs_date, ticker) of one list for each of some dates: a list holds until the next one's date. A metric is computed
     once per ticker, over all its rows, and cut to the dates on which the ticker stands in the list. With a window only the years are opened that the
     calendar's dates and the rows before them need.
+
+    With ``keep`` the scanned panel is written to the shared folder and read again by the next metric, as long as it covers what that asks for and the
+    store has not changed since; ``calendar``, ``window`` and ``freq`` may be set anew in between.
     """
 
-    def __init__(self, store: PanelStore, tickers: Tickers, calendar: DataFrame, data_type: str = "close", freq: int | str | None = None, policy: str | None = None, window: int | None = None, **how):
+    def __init__(self, store: PanelStore, tickers: Tickers, calendar: DataFrame, data_type: str = "close", freq: int | str | None = None, policy: str | None = None, window: int | None = None, keep: bool = False, **how):
         if not isinstance(tickers, DataFrame) and not tickers:
             raise ValueError("tickers are needed")
         if window is not None and window <= 0:
             raise ValueError("the window is positive")
         self.lists = tickers.select("obs_date", F.upper("ticker").alias("ticker")).distinct() if isinstance(tickers, DataFrame) and "obs_date" in tickers.columns else None
         self.tickers = self.lists.select("ticker").distinct() if self.lists is not None else tickers if isinstance(tickers, DataFrame) else list(tickers)
-        self.store, self.calendar, self.data_type, self.freq, self.policy, self.window, self.how = store, calendar, data_type, freq, policy, window, how
+        self.store, self.calendar, self.data_type, self.freq, self.policy, self.window, self.keep, self.how = store, calendar, data_type, freq, policy, window, keep, how
+        self._kept: tuple | None = None
 
     def _skip(self) -> bool:
         return self.policy == "skip"
@@ -509,7 +527,19 @@ class DataGetter:
             lo, hi = self.calendar.agg(F.min("obs_date"), F.max("obs_date")).first()
             if lo is not None:
                 how |= {"start": StoredPanel(self.store, self.tickers, self.data_type).since(lo, rows, self.freq), "end": how.get("end", hi)}
-        return self.store.get(self.data_type, self.tickers, **how)
+        if not self.keep:
+            return self.store.get(self.data_type, self.tickers, **how)
+        state, lo, hi = (self.store.log.latest()[0], self.data_type), how.pop("start", None), how.pop("end", None)
+        text_of = lambda x: None if x is None else str(x)[:10]
+        lo, hi = text_of(lo), text_of(hi)
+        if self._kept is not None:
+            was, a, b, panel = self._kept
+            if was == state and (a is None or lo is not None and a <= lo) and (b is None or hi is not None and hi <= b):
+                panel = panel if lo is None else panel.where(F.col("obs_date") >= F.lit(lo).cast("date"))
+                return panel if hi is None else panel.where(F.col("obs_date") <= F.lit(hi).cast("date"))
+        panel = materialized(self.store.get(self.data_type, self.tickers, start=lo, end=hi, **how), "getter")
+        self._kept = (state, lo, hi, panel)
+        return panel
 
     def data(self, return_lag: int | None = None, rows: int | None = None) -> DataFrame:
         from ..operators.cross import frequency_filter

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import calendar, text
-from .operators import cross, rolling
-from .plans import futures, strategy
+from .operators import clean, cross, rolling
+from .plans import futures, report, strategy
 from .plans.demand import StoredPanel
 from .queries import Q, RET, _TR, _index, _r, _sql, _stale, _vol, WT, dividends, fx, instruments, month_ends, panel, quotes, register, rounded
 from .queries import _table as table
@@ -353,6 +353,19 @@ def vendor_ingest(s, d):
     return stored(st).join(st.attributes(names(st), ["instrument_type", "currency", "data_source"]), "ticker")
 
 
+@register("report_of_sheet", _sql(
+    f"SELECT ticker, {_r('avg(ar)', 'mean_return')}, {_r('avg(av)', 'mean_volatility')}, {_r('min(dd)', 'maximum_drawdown')} FROM (SELECT ticker, fv / lag(fv, 252) {WT}) - 1 AS ar, CASE WHEN count(r) {WT} ROWS 251 PRECEDING) >= 252 THEN stddev_samp(r) {WT} ROWS 251 PRECEDING) END * sqrt(252.0) AS av, fv / max(fv) {WT} ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM (SELECT *, fv / lag(fv) {WT}) - 1 AS r FROM f WHERE obs_date NOT IN (SELECT obs_date FROM f WHERE fv IS NULL)) q) GROUP BY ticker"
+))
+def report_of_sheet(s, d):
+    """Closes in a workbook's sheet become a report, written as a workbook and read again."""
+    book, out = f"{scratch(s, 'levels')}.xlsx", scratch(s, "report")
+    levels = clean.ffill(panel(s, d))
+    readers.save_frames([levels.groupBy("obs_date").pivot("ticker").agg(F.first("value"))], ["levels"], full_path=book)
+    report.report_of_sheet(s, book, "levels", out)
+    back = readers.read_sheet(s, out, "Risk and return")
+    return rounded(back.select("ticker", "mean_return", "mean_volatility", "maximum_drawdown"), "mean_return", "mean_volatility", "maximum_drawdown")
+
+
 _RUNS = (
     "mb AS (SELECT obs_date, ticker FROM px WHERE close >= 948)",
     "nd AS (SELECT obs_date, row_number() OVER (ORDER BY obs_date) AS no FROM days)",

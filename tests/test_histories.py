@@ -142,3 +142,53 @@ def test_universe_of_a_date_range(spark):
         strategy.Universe(["AA"])
     with pytest.raises(ValueError):
         strategy.Universe(["AA"], u.calendar, start="2020-01-01", periods=3)
+
+
+def test_kept_panels(spark, tmp_path):
+    s = PanelStore(spark, str(tmp_path / "store"))
+    s.add(spark.createDataFrame([(t, "STOCK", "EXCEL", "USD") for t in ("AA", "BB")], "ticker string, instrument_type string, data_source string, currency string"))
+    schema = "obs_date date, ticker string, field string, value double"
+    s.upsert(spark.createDataFrame([(D(2020, 1, 1) + dt.timedelta(days=k), t, "close", 100.0 + k % 7) for k in range(400) for t in ("AA", "BB")], schema))
+
+    def facts_read(df):
+        return any("/facts/" in f for f in df.inputFiles())
+
+    g = DataGetter(s, ["AA", "BB"], days(spark, 30, 10, D(2020, 11, 1)), window=20, keep=True)
+    first = g.volatility().orderBy("obs_date", "ticker").collect()
+    assert not facts_read(g.holding_period_return()) and g._kept[1:3] == ("2020-01-01", "2020-11-21")
+    kept = g._kept
+    g.calendar = days(spark, 20, 10, D(2020, 11, 1))
+    assert g.volatility().count() == 4 and g._kept is kept  # less is asked for
+    g.calendar = days(spark, 60, 10, D(2020, 11, 1))
+    assert g.volatility().count() == 12 and g._kept is not kept  # more is asked for
+    kept = g._kept
+    s.upsert(spark.createDataFrame([(D(2020, 10, 30), "AA", "close", 500.0)], schema), replace="exact")
+    again = g.volatility().orderBy("obs_date", "ticker").collect()
+    assert g._kept is not kept and again[0]["value"] > first[0]["value"]
+    g.keep = False
+    assert facts_read(g.volatility())
+
+
+def test_new_stores_and_reports_in_place(spark, tmp_path):
+    from panelith.plans import report
+    from panelith.sources import readers
+    from panelith.sources.store import open_store
+
+    s = open_store(str(tmp_path / "new"))
+    assert s.log.numbers() == [1] and s.facts().count() == 0 and open_store(s.path).log.numbers() == [1]
+    s.add(spark.createDataFrame([("AA", "STOCK", "EXCEL", "USD")], "ticker string, instrument_type string, data_source string, currency string"))
+    assert {"last_close_refresh", "last_split_refresh"} <= set(s.instruments().columns)
+    wide = spark.createDataFrame([(D(2024, 1, 1) + dt.timedelta(days=k), 100.0 + k) for k in range(40)], "date date, AA double")
+    where = readers.save_frames([wide], ["levels"], workbook="book", folder=str(tmp_path))
+    assert where.endswith("/book.xlsx")
+    tables = report.report_of_sheet(spark, where, "levels", str(tmp_path / "out"), window=10)
+    assert tables["Performance"].agg(F.min("value")).first()[0] == 100 and readers.read_sheet(spark, str(tmp_path / "out"), "Risk and return").count() == 1
+    for bad in ({}, {"full_path": "a", "workbook": "b", "folder": "c"}, {"workbook": "b"}):
+        with pytest.raises(ValueError):
+            readers.place(**bad)
+    with pytest.raises(ValueError):
+        readers.save_frames([wide], [], full_path="x")
+    with pytest.raises(TypeError):
+        from panelith.operators import cross
+
+        cross.frequency_filter(wide, 1.5)
