@@ -174,7 +174,7 @@ def rolling_index(prices: DataFrame, expiries: DataFrame, allocation: float | Ma
     pos = spark.createDataFrame([(int(k), float(v)) for k, v in positions.items()], "position int, allocation double")
     legs = rows.crossJoin(F.broadcast(pos)).select("*", F.explode(F.array(F.struct(F.lit(0).alias("after"), F.col("share").alias("s")), F.struct(F.lit(1).alias("after"), (1 - F.col("share")).alias("s")))).alias("leg"))
     legs = legs.select("rank", "no", "obs_date", "from_no", "position", F.col("leg.after").alias("after"), (F.col("allocation") * F.col("leg.s")).alias("weight"), (F.col("rank") + F.col("position") - 1 + F.col("leg.after")).alias("held"))
-    closes = settled(prices).join(F.broadcast(curve.select("ticker", F.col("rank").alias("held"))), "ticker").select("held", "obs_date", "value")
+    closes = settled(prices).join(curve.select("ticker", F.col("rank").alias("held")), "ticker").select("held", "obs_date", "value")
     legs = legs.join(closes, ["held", "obs_date"], "left")
     in_leg = Window.partitionBy("rank", "position", "after").orderBy("no")
     filled = F.last("value", ignorenulls=True).over(last_rows(in_leg, None))

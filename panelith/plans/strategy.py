@@ -237,7 +237,7 @@ def equal_weight(signal: DataFrame, net_zero: bool = False) -> DataFrame:
 def static_weight(signal: DataFrame, weights: DataFrame) -> DataFrame:
     """Weights in percent by (ticker, signal): a table instead of a prompt. Warns if a date's total isn't 1."""
     table = weights.select("ticker", F.col("signal").cast("double").alias("__s"), (F.col("weight") / 100).alias("__w"))
-    out = signal.join(F.broadcast(table), (signal["ticker"] == table["ticker"]) & (F.col("value") == F.col("__s")), "left")
+    out = signal.join(table, (signal["ticker"] == table["ticker"]) & (F.col("value") == F.col("__s")), "left")
     out = out.select("obs_date", signal["ticker"], F.coalesce("__w", F.lit(0.0)).alias("value"))
     if out.groupBy("obs_date").agg(F.sum("value").alias("t")).where("abs(t - 1) > 1e-9").take(1):
         warnings.warn("the static weights of a date don't add up to 1", stacklevel=2)

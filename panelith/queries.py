@@ -796,6 +796,26 @@ def _(s, d):
     return strategy.optimized_weight(eligible(s, d), panel(s, d), 60, low=0.0, high=0.3)
 
 
+@register("optimized_weight_conditions", _sql("SELECT obs_date, count(value) AS n, 1.0::DOUBLE AS total, true AS within, 0.0::DOUBLE AS violation FROM el GROUP BY 1"))
+def _(s, d):
+    """Optima of all eligible tickers meet the conditions of Karush, Kuhn and Tucker, whose measures are computed from the returns anew.
+
+    A ticker's gradient is its covariance with the portfolio. Off the bounds all are equal; who stands at 0 has at least that, who stands at 0.3 at most. The
+    greatest violation is told as a share of the mean variance, to three digits.
+    """
+    signal, p = eligible(s, d), panel(s, d)
+    w = strategy.optimized_weight(signal, p, 60, low=0.0, high=0.3).join(signal.where("value is not null").select("obs_date", "ticker"), ["obs_date", "ticker"])
+    held = asof.trailing_slices(_returns(p), signal, 60).join(w.select(F.col("obs_date").alias("slice_date"), "ticker", F.col("value").alias("w")), ["slice_date", "ticker"])
+    basket = held.groupBy("slice_date", "obs_date").agg(F.sum(F.col("w") * F.col("value")).alias("b"))
+    each = held.join(basket, ["slice_date", "obs_date"]).groupBy("slice_date", "ticker").agg(F.first("w").alias("w"), F.covar_samp("value", "b").alias("g"), F.var_samp("value").alias("v"))
+    free = (F.col("w") > 1e-4) & (F.col("w") < 0.3 - 1e-4)
+    level = F.coalesce(F.avg(F.when(free, F.col("g"))).over(Window.partitionBy("slice_date")), F.max(F.when(F.col("w") > 1e-4, F.col("g"))).over(Window.partitionBy("slice_date")))
+    off = each.withColumn("level", level).withColumn("off", F.when(free, F.abs(F.col("g") - F.col("level"))).when(F.col("w") <= 1e-4, F.greatest(F.col("level") - F.col("g"), F.lit(0.0))).otherwise(F.greatest(F.col("g") - F.col("level"), F.lit(0.0))))
+    within = (F.min("w") >= -1e-9) & (F.max("w") <= 0.3 + 1e-9)
+    out = off.groupBy(F.col("slice_date").alias("obs_date")).agg(F.count("*").alias("n"), F.round(F.sum("w"), 6).alias("total"), within.alias("within"), F.round(F.max("off") / F.avg("v"), 3).alias("violation"))
+    return out
+
+
 @register("rolling_mean_variance", None)
 def _(s, d):
     returns = rolling.pct_change_pad(clean.ffill(panel(s, d)), 1)

@@ -134,7 +134,7 @@ class Facts:
         several = {k for k, n in Counter((e[0], e[1]) for e in entries).items() if n > 1}
         gone = self._gone(state, entries)
         batches = [(b, x["number"], x["keep"]) for b, x in state["batches"].items()]
-        commits = self.spark.createDataFrame(batches, "batch string, number long, keep boolean")  # a row for each live batch
+        commits = self.spark.createDataFrame(batches, "batch string, number long, keep boolean")  # a row for each live batch: folding keeps them few
 
         def left(group: list) -> DataFrame:
             out = self._read(group).join(F.broadcast(commits), "batch")
