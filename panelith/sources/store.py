@@ -434,7 +434,7 @@ class PanelStore:
 
     def _fx(self, start=None, end=None) -> DataFrame:
         """Currency closes for the dates of a span: each one's last before it too."""
-        names = self.instruments().where(F.col("ticker").endswith(".FX")).select("ticker")
+        names = self.dates("close").where(F.col("ticker").endswith(".FX")).select("ticker")
         begin = None if start is None else self.since("close", names, start, 1)
         return self.facts("close", begin, end, names).select("obs_date", "ticker", "value")
 

@@ -328,3 +328,13 @@ def test_streams_have_a_winner(filled, spark, tmp_path):
     upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "plain")).drop("seen"), filled, str(tmp_path / "check2")).awaitTermination()
     filled.compact()
     assert values(filled.close("AA"))[("AA", 3)] == 3.0  # what has an order stays before what has none
+
+
+def test_currencies_look_back_to_the_last_rate_before_the_span(spark, tmp_path):
+    s = PanelStore(spark, str(tmp_path / "fx"))
+    s.add(spark.createDataFrame([("BB", "STOCK", "EXCEL", "EUR")], "ticker string, instrument_type string, data_source string, currency string"))
+    rows = [(D(2021, 5, 3), "USD_EUR.FX", "close", 2.0), (D(2020, 5, 3), "USD_EUR.FX", "close", 9.0), (D(2024, 1, 2), "BB", "close", 10.0), (D(2024, 1, 3), "BB", "close", 11.0), (D(2024, 1, 3), "USD_EUR.FX", "close", 3.0)]
+    s.upsert(spark.createDataFrame(rows, FACTS))
+    got = s.close("BB", start="2024-01-01", currency="usd")
+    assert values(got) == {("BB", 2): 20.0, ("BB", 3): 33.0}
+    assert {f.split("/year=")[1][:4] for f in got.inputFiles() if "/facts/" in f} == {"2021", "2024"}
