@@ -528,6 +528,8 @@ class Strategy:
     def returns_and_weights(self, end=None) -> DataFrame:
         """(obs_date, ticker, ret, weight) after the overlays, from the first date with weights on. What overlays read again is written once."""
         w = self.weights()
+        if not isinstance(self.prices, DataFrame):  # scans of a store are not repeated in the plan: weights are few, and read three times
+            w = materialized(w, "weights")
         first = w.agg(F.min("obs_date").alias("__d"))
         needed = cut(self.prices, lambda: (self.span()[0], end), 2)
         prices = clean.ffill(needed).join(F.broadcast(first), F.col("obs_date") >= F.col("__d")).drop("__d")
