@@ -712,7 +712,7 @@ def _(s, d):
     rows = p.select(F.explode(F.sequence(F.date_sub("expiry", 3), F.date_sub("expiry", 1))).alias("obs_date"), "ticker", F.lit("close").alias("field"), F.lit(5.0).alias("value"))
     known = p.select("ticker", F.lit("FUTURE").alias("instrument_type"), F.lit("EXCEL").alias("data_source"), F.lit("USD").alias("currency"), F.lit("none").alias("description"))
     st = PanelStore(s, scratch(s, "panel-store"))
-    futures.update_contracts(st, readers.FrameSource(rows, known), [r[0] for r in p.select("ticker").collect()], p, DAY)
+    futures.update_contracts(st, readers.FrameSource(rows, known), p.select("ticker"), p, DAY)
     n = st.facts("close").groupBy("ticker").agg(F.count("*").alias("n"))
     return st.instruments().select("ticker", "description").join(n, "ticker")
 

@@ -192,3 +192,15 @@ def test_new_stores_and_reports_in_place(spark, tmp_path):
         from panelith.operators import cross
 
         cross.frequency_filter(wide, 1.5)
+
+
+def test_contracts_are_updated_without_a_list_of_them_in_the_driver(spark, monkeypatch):
+    from panelith import store_queries
+
+    frame, most = type(spark.range(0)), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: most.append(len(rows := collect(df))) or rows)
+    out = store_queries.Q["futures_contracts_updated"][0](spark, "/root/testdata/sf0.001")
+    rows = collect(out)
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count() and {r["n"] for r in rows} == {3}
+    assert max(most) < 50 < len(rows)
