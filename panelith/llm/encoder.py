@@ -3,8 +3,11 @@
 A tokenizer file of the form below drops white space and cuts letters, single digits and signs apart before its BPE model sees them, so the
 ids of a text are the ids of its words in order, and a word needs to be encoded once per worker. Blanks may be put wherever the
 pre-tokenizer cuts anyway, and Latin capitals may be lower-cased beforehand, as the normalizer does so itself: fewer different words are left.
-Words of Latin letters are one piece and go to the library's BPE model at once; every other word passes the whole tokenizer.
-Texts that hold an added token (in any case) pass it word by word as they are, and so do whole texts if the file has another form.
+Texts are looked at together: their words are numbered by Arrow and each different one is looked up once. Those of them that are new and of
+Latin letters are one piece each and go to the library's BPE model as one text, with the digit 0 between them, whose id no letter gives; every
+other word passes the whole tokenizer.
+Texts that hold an added token (in any case) pass it word by word as they are, and so do whole texts
+if the file has another form.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 #: Words kept per Python worker (about 200 bytes each), in two generations; the older one goes when the younger is full.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 #: Longer words are encoded whenever they come; bytes of text looked at together.
-LONGEST, SEGMENT = 64, 1 << 20
+LONGEST, SEGMENT = 64, 1 << 21
 
 # The form of a file whose texts may be encoded by words.
 FORM = {
@@ -37,13 +41,12 @@ FORM = {
     "padding": None,
 }
 
-#: Latin letters that are in normal form C and lower-case one by one; the dotted capital I does not.
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ȿ]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
-#: Stands between texts that are looked at together; the byte is in no UTF-8 text.
-_MARK = b"\xff"
-_END = b" \xff "
+#: Latin letters that are in normal form C and lower-case one by one; the dotted capital I does not.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ȿ]+")
+#: Stands between words that are encoded as one text.
+_BETWEEN = b" 0 "
 _encoders: dict[str, "WordEncoder"] = {}
 
 OTHER, LETTER, DIGIT, SIGN, QUOTE = range(5)
@@ -66,8 +69,12 @@ for _a, _b in ((LETTER, DIGIT), (LETTER, SIGN), (LETTER, QUOTE), (DIGIT, LETTER)
 _CUTS = _CUT.ravel()
 
 
-def spaced(data: bytes) -> bytes:
-    """The text with blanks wherever the pre-tokenizer cuts between characters of ASCII and Latin letters."""
+_IS_BLANK = np.zeros(256, dtype=bool)
+_IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words_of(data: bytes) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words of a text and where each begins. It is cut at blanks and wherever the pre-tokenizer cuts between characters of ASCII and Latin letters."""
     raw = np.frombuffer(data, dtype=np.uint8)
     kind = _KIND[raw]
     if not data.isascii():
@@ -77,57 +84,95 @@ def spaced(data: bytes) -> bytes:
         # not letters: the signs of multiplication and division; not one letter in lower case: the dotted capital I
         no = ((lead == 0xC3) & ((second == 0x97) | (second == 0xB7))) | ((lead == 0xC4) & (second == 0xB0))
         kind[wide + 1] = kind[wide] = np.where(no, OTHER, LETTER)
-    at = np.flatnonzero(_CUTS[kind[:-1] * np.uint8(5) + kind[1:]]) + 1
-    if not len(at):
-        return data
-    out = np.full(len(raw) + len(at), 32, dtype=np.uint8)
-    place = np.ones(len(out), dtype=bool)
-    place[at + np.arange(len(at))] = False
-    out[place] = raw
-    return out.tobytes()
+    ink = ~_IS_BLANK[raw]
+    begins = ink.copy()
+    begins[1:] &= ~ink[:-1] | _CUTS[kind[:-1] * np.uint8(5) + kind[1:]]
+    at = np.flatnonzero(begins)
+    solid = raw[ink]
+    offsets = np.append(np.flatnonzero(begins[ink]), len(solid)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]), at
+
+
+def _byte_letters() -> np.ndarray:
+    """The byte-level alphabet as code points: printable bytes and blanks stand for themselves, the others follow from code point 256 on."""
+    out = np.arange(256, dtype="<u2")
+    others = [b for b in range(256) if b not in {*range(32, 127), *range(161, 173), *range(174, 256)}]
+    # the blank is the 33rd of the alphabet's others, but it only separates words here
+    out[others] = [256 + k + (b > 32) for k, b in enumerate(others)]
+    return out
 
 
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(256 + k) for k, b in enumerate(others)}
+_LETTERS = _byte_letters()
+
+
+def _as_bytes(values: pa.BinaryArray) -> list[bytes]:
+    if not len(values):
+        return []
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[values.offset : values.offset + len(values) + 1].tolist()
+    whole = data.to_pybytes()
+    return [whole[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 class _Words(dict):
-    """Ids of a word as bytes, learned at first sight."""
+    """Ids of words as bytes, learned at first sight."""
 
     def __init__(self, tokenizer, dtype: np.dtype, most: int):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         super().__init__()
         self.whole = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        self.code, self.tokenize, self.byte_level = {2: "H", 4: "I"}[dtype.itemsize], tokenizer.model.tokenize, _byte_letters()
+        plain = Tokenizer(tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.pieces = lambda text: plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        self.code, self.dtype = {2: "H", 4: "I"}[dtype.itemsize], dtype
         self.older: dict[bytes, bytes] = {}
         self.half = most // 2
-        self[_MARK] = b""
+        zero = self.whole("0")
+        self.between = zero[0] if len(zero) == 1 else None
 
     def ids(self, word: bytes) -> bytes:
         """The ids of a word as the whole tokenizer gives them."""
         return array(self.code, self.whole(word.decode())).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            if word.isalpha():
-                ids = array(self.code, [x.id for x in self.tokenize(word.decode())]).tobytes()
-            elif _LATIN.fullmatch(text := word.decode()):
-                units = text.lower().encode().decode("latin-1").translate(self.byte_level)
-                ids = array(self.code, [x.id for x in self.tokenize(units)]).tobytes()
-            else:
-                ids = self.ids(word)
-        if len(word) <= LONGEST:
-            self[word] = ids
-        return ids
+    def all_ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of the words, which differ."""
+        out = list(map(self.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        if new and self.older:
+            for k in new:
+                ids = out[k] = self.older.get(words[k])
+                if ids is not None:
+                    self[words[k]] = ids
+            new = [k for k in new if out[k] is None]
+        for k, ids in zip(new, self._learned([words[k] for k in new]), strict=True):
+            out[k] = ids
+            if len(words[k]) <= LONGEST:
+                self[words[k]] = ids
+        return out
+
+    def _learned(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words that are not known yet."""
+        plain = [w for w in words if w.isalpha() or _LATIN.fullmatch(w.decode())] if self.between is not None else []
+        known: dict[bytes, bytes] = {}
+        if plain:
+            text = _BETWEEN.join(plain)
+            if not text.isascii():
+                text = text.decode().lower().encode()
+            letters = text.decode() if text.isascii() else _LETTERS[np.frombuffer(text, dtype=np.uint8)].tobytes().decode("utf-16-le")
+            coded = np.array(self.pieces(letters), dtype=self.dtype)
+            ends = np.append(np.flatnonzero(coded == self.between), len(coded)).tolist()
+            if len(ends) == len(plain):
+                data, width, last = coded.tobytes(), self.dtype.itemsize, 0
+                for word, end in zip(plain, ends, strict=True):
+                    known[word] = data[last * width : end * width]
+                    last = end + 1
+        return [known[w] if w in known else self.ids(w) for w in words]
 
     def bound(self) -> None:
         if len(self) > self.half:
             self.older = dict(self)
             self.clear()
-            self[_MARK] = b""
 
 
 class WordEncoder:
@@ -153,7 +198,7 @@ class WordEncoder:
         if not self.by_words:
             return [np.array(self.words.whole(t or ""), dtype=self.dtype) for t in texts]
         raw = [t.encode() if t else b"" for t in texts]
-        out: list[bytes] = []
+        out: list[np.ndarray] = []
         group: list[bytes] = []
         size = 0
         for data in raw:
@@ -161,29 +206,38 @@ class WordEncoder:
                 out += self._group(group)
                 group, size = [], 0
             if len(data) > SEGMENT:
-                out.append(b"".join(x for part in _segments(data) for x in self._group([part])))
+                out.append(np.concatenate([x for part in _segments(data) for x in self._group([part])]))
             else:
                 group.append(data)
                 size += len(data)
         if group:
             out += self._group(group)
-        return [np.frombuffer(x, dtype=self.dtype) for x in out]
+        return out
 
-    def _group(self, texts: list[bytes]) -> list[bytes]:
-        words = self.words
+    def _group(self, texts: list[bytes]) -> list[np.ndarray]:
         low = [t.translate(_LOWER) for t in texts]
         special = [any(a in t for a in self.added) for t in low]
-        split = spaced(_END.join(b"" if s else t for t, s in zip(low, special, strict=True))).split()
-        ids = list(map(words.__getitem__, split))
-        out, at = [], 0
-        for text, s in zip(texts, special, strict=True):
-            try:
-                until = split.index(_MARK, at)
-            except ValueError:
-                until = len(split)
-            out.append(b"".join(map(words.ids, text.split())) if s else b"".join(ids[at:until]))
-            at = until + 1
-        words.bound()
+        low = [b"" if s else t for t, s in zip(low, special, strict=True)]
+        found, at = words_of(b" ".join(low))
+        coded = found.dictionary_encode()
+        each = self.words.all_ids(_as_bytes(coded.dictionary))
+        # the ids of the different words, and how many and from where on each has
+        flat = np.frombuffer(b"".join(each), dtype=self.dtype)
+        n = np.fromiter(map(len, each), dtype=np.int32, count=len(each)) // self.dtype.itemsize
+        first = np.cumsum(n, dtype=np.int32) - n
+        place = coded.indices.to_numpy()
+        counts = n[place]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(first[place] - (ends - counts).astype(np.int32), counts) + np.arange(total, dtype=np.int32)]
+        # texts end where the next one begins
+        borders = np.cumsum(np.fromiter((len(t) + 1 for t in low), dtype=np.int64, count=len(low)))
+        until = np.append(0, ends)[np.searchsorted(at, borders)].tolist()
+        self.words.bound()
+        out = [ids[a:b] for a, b in zip([0, *until[:-1]], until, strict=True)]
+        for k, s in enumerate(special):
+            if s:
+                out[k] = np.frombuffer(b"".join(map(self.words.ids, texts[k].split())), dtype=self.dtype)
         return out
 
 

@@ -50,3 +50,25 @@ def test_other_forms_encode_whole_texts(tmp_path):
     path.write_text(json.dumps(said), encoding="utf-8")
     text = "Some Words, and 12 MORE"
     assert WordEncoder(str(path)).encode(text).tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
+def test_words_kept_by_a_worker_stay_under_80_mb():
+    import sys
+
+    enc = WordEncoder(PATH)
+    letters = "bcdfghjklm"
+    for k in range(0, 750_000, 50_000):
+        enc.encode_all([" ".join("".join(letters[int(d)] for d in f"{n:07d}") for n in range(k, k + 50_000))])
+    kept = [enc.words, enc.words.older]
+    size = sum(sys.getsizeof(d) + sum(sys.getsizeof(w) + sys.getsizeof(ids) for w, ids in d.items()) for d in kept)
+    assert size < 80_000_000, size
+
+
+def test_new_words_pass_the_model_together():
+    enc = WordEncoder(PATH)
+    calls, pieces = [], enc.words.pieces
+    enc.words.pieces = lambda text: calls.append(text) or pieces(text)
+    texts = ["the Straße 0x0 école", "ĳ 10 École über x0y", None, "", "ﬁx ́ 'll don't"]
+    for _ in range(2):
+        assert [x.tolist() for x in enc.encode_all(texts)] == [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1
